@@ -2,6 +2,7 @@
 
 from .analyze import Analysis, Inventories, analyze, run_analysis
 from .assess import assess, health_of_issues, issue_counts, issues, small_file_issues, table_health
+from . import rules
 from .metrics import table_metrics
 from .report import (
     extended_report,
@@ -27,6 +28,7 @@ __all__ = [
     "latest_reports",
     "maintenance_sql",
     "report_history",
+    "rules",
     "run_analysis",
     "small_file_issues",
     "table_health",
