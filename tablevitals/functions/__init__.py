@@ -1,4 +1,10 @@
-"""Column helpers: every one is a plain expression over built-in functions."""
+"""Expression helpers.
+
+Each helper takes Spark SQL expression texts (a column name, or any expression)
+and returns an expression text built from Spark's own functions, for use with
+``selectExpr``, ``F.expr`` or SQL. Text keeps the thresholds and the rules built on
+them readable, and one parsed text replaces hundreds of calls into the JVM.
+"""
 
 from .numbers import (
     bytes_to_gb,
@@ -10,22 +16,25 @@ from .numbers import (
 )
 from .severity import HEALTH, SEVERITIES, health_status, severity_order, skew_severity
 from .text import (
+    NO_STRINGS,
     clustering_columns,
     file_name,
     full_name,
     has_cluster_by,
-    join_or_empty,
     number_text,
     operation_name,
     parse_zorder,
     partition_of_path,
+    quoted_list,
     quoted_name,
     ratio_text,
+    sql_string,
 )
 from .timing import age_text, floor_days, iso_text, moment, weekday_name
 
 __all__ = [
     "HEALTH",
+    "NO_STRINGS",
     "SEVERITIES",
     "age_text",
     "bytes_to_gb",
@@ -38,18 +47,19 @@ __all__ = [
     "has_cluster_by",
     "health_status",
     "iso_text",
-    "join_or_empty",
     "moment",
     "number_text",
     "operation_name",
     "parse_zorder",
     "partition_of_path",
     "percent_of",
+    "quoted_list",
     "quoted_name",
     "ratio_text",
     "round_binary",
     "safe_divide",
     "severity_order",
     "skew_severity",
+    "sql_string",
     "weekday_name",
 ]

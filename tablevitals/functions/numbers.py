@@ -1,13 +1,10 @@
 """Sizes, percentages and rounding."""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 MIB = 1 << 20
 GIB = 1 << 30
 
 
-def round_binary(value: Column, digits: int) -> Column:
+def round_binary(value: str, digits: int = 2) -> str:
     """Round the exact binary value half-even: 2.675 -> 2.67, 0.125 -> 0.12.
 
     ``round`` and ``bround`` work on the shortest decimal text of a double, so
@@ -15,41 +12,38 @@ def round_binary(value: Column, digits: int) -> Column:
     number formatter looks at the stored value. It costs a string per row, so it
     is for per-table columns; per-file sizes use ``bytes_to_mb``.
     """
-    pattern = "0." + "0" * digits if digits else "0"
-    return F.call_function("format_number", value.cast("double"), F.lit(pattern)).cast("double")
+    return f"CAST(format_number(CAST({value} AS DOUBLE), '0.{'0' * digits}') AS DOUBLE)"
 
 
-def bytes_to_mb(size: Column) -> Column:
+def bytes_to_mb(size: str) -> str:
     """MiB to 2 decimals, half-even; null gives 0.
 
     Whole bytes over 2^20 are exact in a double, and the nearest non-tie lies
     4.7e-9 away from a tie, so ``bround`` is exact up to sizes of about 90 TB.
     """
-    return F.coalesce(F.bround(size / F.lit(float(MIB)), 2), F.lit(0.0))
+    return f"coalesce(bround(({size}) / {MIB}D, 2), 0D)"
 
 
-def bytes_to_gb(size: Column) -> Column:
+def bytes_to_gb(size: str) -> str:
     """GiB to 2 decimals, half-even on the binary value; null gives 0."""
-    return F.coalesce(round_binary(size / F.lit(float(GIB)), 2), F.lit(0.0))
+    return f"coalesce({round_binary(f'({size}) / {GIB}D')}, 0D)"
 
 
-def percent_of(part: Column, whole: Column, digits: int = 2) -> Column:
+def percent_of(part: str, whole: str, digits: int = 2) -> str:
     """100 * part / whole; null when the whole is zero."""
-    share = F.try_divide(part.cast("double") * F.lit(100.0), whole.cast("double"))
-    return round_binary(share, digits)
+    return round_binary(f"try_divide(({part}) * 100D, CAST({whole} AS DOUBLE))", digits)
 
 
-def safe_divide(numerator: Column, denominator: Column, default: float = 0.0) -> Column:
+def safe_divide(numerator: str, denominator: str, default: float = 0.0) -> str:
     """Quotient, or ``default`` where the denominator is zero."""
-    return F.when(denominator == 0, F.lit(float(default))).otherwise(
-        F.try_divide(numerator.cast("double"), denominator.cast("double"))
-    )
+    quotient = f"try_divide(CAST({numerator} AS DOUBLE), CAST({denominator} AS DOUBLE))"
+    return f"CASE WHEN ({denominator}) = 0 THEN {float(default)}D ELSE {quotient} END"
 
 
-def digits_to_number(text: Column) -> Column:
+def digits_to_number(text: str) -> str:
     """Text made of digits only, as a whole number; anything else is 0.
 
     Decimal rather than bigint, so that sums of metrics cannot wrap or fail.
     """
-    is_number = text.rlike("^[0-9]+$")
-    return F.coalesce(F.when(is_number, text.try_cast("decimal(28,0)")), F.lit(0).cast("decimal(28,0)"))
+    number = f"try_cast({text} AS DECIMAL(28, 0))"
+    return f"coalesce(CASE WHEN {text} RLIKE '^[0-9]+$' THEN {number} END, CAST(0 AS DECIMAL(28, 0)))"

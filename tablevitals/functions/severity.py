@@ -1,8 +1,5 @@
 """Severity tiers and the health fold."""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from ..config import LayoutConfig
 
 # Fixed values, worst first: the position is the sort order of issues.
@@ -14,27 +11,26 @@ HEALTHY = "healthy"
 ERROR = "error"
 
 
-def severity_order(severity: Column) -> Column:
-    """0 for critical up to 4 for none."""
-    position = F.lit(len(SEVERITIES))
-    for at, name in enumerate(SEVERITIES):
-        position = F.when(severity == name, at).otherwise(position)
-    return position
+def _cases(value: str, pairs, default: str) -> str:
+    whens = " ".join(f"WHEN '{key}' THEN {result}" for key, result in pairs)
+    return f"CASE {value} {whens} ELSE {default} END"
+
+
+def severity_order(severity: str) -> str:
+    """0 for critical up to 4 for none, 5 for anything else."""
+    pairs = [(name, at) for at, name in enumerate(SEVERITIES)]
+    return _cases(severity, pairs, str(len(SEVERITIES)))
 
 
-def skew_severity(ratio: Column, config: LayoutConfig) -> Column:
+def skew_severity(ratio: str, config: LayoutConfig) -> str:
     """Tier of an unrounded largest-to-median ratio; each limit is inclusive."""
     return (
-        F.when(ratio.isNull() | (ratio <= config.skew_low_threshold), "none")
-        .when(ratio <= config.skew_medium_threshold, "low")
-        .when(ratio <= config.skew_high_threshold, "medium")
-        .otherwise("high")
+        f"CASE WHEN ({ratio}) IS NULL OR ({ratio}) <= {config.skew_low_threshold}D THEN 'none' "
+        f"WHEN ({ratio}) <= {config.skew_medium_threshold}D THEN 'low' "
+        f"WHEN ({ratio}) <= {config.skew_high_threshold}D THEN 'medium' ELSE 'high' END"
     )
 
 
-def health_status(worst: Column) -> Column:
+def health_status(worst: str) -> str:
     """Health from the worst severity of a table; null when it has no issue."""
-    status = F.lit(HEALTHY)
-    for severity, health in HEALTH.items():
-        status = F.when(worst == severity, health).otherwise(status)
-    return status
+    return _cases(worst, [(s, f"'{h}'") for s, h in HEALTH.items()], f"'{HEALTHY}'")

@@ -1,11 +1,10 @@
 """Names, statement text, and the small texts found in metadata."""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from ..schemas import KEY
 
-_BLANKS = " \t\n\r\f\x0b"
+NO_STRINGS = "CAST(array() AS ARRAY<STRING>)"
+
+_BLANKS = r"' \t\n\r\f\u000b'"
 
 # Fixed values. A CLUSTER BY clause anywhere in a DDL text, with a column list in
 # parentheses or one bare word; any case, and words may hold non-ASCII letters.
@@ -13,96 +12,99 @@ _CLUSTER_LIST = r"(?iU)CLUSTER\s+BY\s*\(([^)]+)\)"
 _CLUSTER_WORD = r"(?iU)CLUSTER\s+BY\s+(\w+)"
 _CLUSTER_ANY = r"(?iU)CLUSTER\s+BY\s*\([^)]+\)|CLUSTER\s+BY\s+\w+"
 # Spark's own DDL text states clustering as a table property holding name paths.
-_CLUSTER_PROPERTY = r"'clusteringColumns'\s*=\s*'((?:[^'\\]|\\.)*)'"
+_CLUSTER_PROPERTY = r"'clusteringColumns'\s*=\s*'([^']*)'"
 
 
-def _empty() -> Column:
-    return F.array().cast("array<string>")
+def sql_string(value: str) -> str:
+    """A text as a SQL string literal."""
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n")
+    return f"'{escaped}'"
 
 
-def _strip(text: Column) -> Column:
-    return F.btrim(text, F.lit(_BLANKS))
+def _strip(text: str, characters: str = _BLANKS) -> str:
+    return f"btrim({text}, {characters})"
 
 
-def full_name(catalog="catalog", schema="schema", table="table") -> Column:
-    return F.concat_ws(".", F.col(catalog), F.col(schema), F.col(table))
+def full_name() -> str:
+    return f"concat_ws('.', {', '.join(f'`{k}`' for k in KEY)})"
 
 
-def quoted_name(*parts: str) -> Column:
-    """Back-quoted dotted identifier, safe inside a statement."""
-    names = parts or KEY
-    return F.concat_ws(".", *[_quote(F.col(p)) for p in names])
+def _quote(name: str) -> str:
+    return f"concat('`', replace({name}, '`', '``'), '`')"
 
 
-def _quote(name: Column) -> Column:
-    return F.concat(F.lit("`"), F.replace(name, F.lit("`"), F.lit("``")), F.lit("`"))
+def quoted_name() -> str:
+    """Back-quoted dotted identifier of the row's table, safe inside a statement."""
+    return f"concat_ws('.', {', '.join(_quote(f'`{k}`') for k in KEY)})"
 
 
-def quoted_list(names: Column) -> Column:
-    return F.array_join(F.transform(names, _quote), ", ")
+def quoted_list(names: str) -> str:
+    return f"array_join(transform({names}, c -> {_quote('c')}), ', ')"
 
 
-def file_name(path: Column) -> Column:
-    return F.substring_index(path, "/", -1)
+def file_name(path: str) -> str:
+    return f"substring_index({path}, '/', -1)"
 
 
-def partition_of_path(path: Column) -> Column:
+def partition_of_path(path: str) -> str:
     """The ``k=v/k2=v2`` part of a file path, of any depth; null without one."""
-    steps = F.regexp_extract_all(path, F.lit(r"([^/=]+=[^/]*)/"), F.lit(1))
-    return F.when(F.size(steps) > 0, F.array_join(steps, "/"))
+    return f"nullif(array_join(regexp_extract_all({path}, '([^/=]+=[^/]*)/', 1), '/'), '')"
 
 
-def operation_name(operation: Column) -> Column:
+def operation_name(operation: str) -> str:
     """Upper-cased operation; a missing or empty one is UNKNOWN."""
-    return F.when(operation.isNull() | (operation == ""), "UNKNOWN").otherwise(F.upper(operation))
+    return f"upper(coalesce(nullif({operation}, ''), 'UNKNOWN'))"
 
 
-def has_cluster_by(ddl: Column) -> Column:
-    found = ddl.rlike(_CLUSTER_ANY) | (_property_paths(ddl) != "")
-    return F.coalesce(found, F.lit(False))
+def _clause(ddl: str) -> str:
+    return f"regexp_extract({ddl}, r'{_CLUSTER_ANY}', 0)"
 
 
-def _property_paths(ddl: Column) -> Column:
-    return F.regexp_extract(ddl, _CLUSTER_PROPERTY, 1)
+def _property(ddl: str) -> str:
+    return f'regexp_extract({ddl}, r"{_CLUSTER_PROPERTY}", 1)'
 
 
-def clustering_columns(ddl: Column) -> Column:
-    """Columns named by the first CLUSTER BY clause, else by the table property."""
-    clause = F.regexp_extract(ddl, _CLUSTER_ANY, 0)
-    listed = F.regexp_extract(clause, _CLUSTER_LIST, 1)
-    inner = F.when(listed != "", listed).otherwise(F.regexp_extract(clause, _CLUSTER_WORD, 1))
-    parts = F.transform(F.split(inner, ","), lambda c: F.btrim(_strip(c), F.lit("`\"'")))
-    from_clause = F.filter(parts, lambda c: c != "")
-    paths = F.from_json(_property_paths(ddl), "array<array<string>>")
-    from_property = F.transform(paths, lambda path: F.array_join(path, "."))
-    return F.when(clause != "", from_clause).otherwise(F.coalesce(from_property, _empty()))
+def has_cluster_by(ddl: str) -> str:
+    return f"coalesce({_clause(ddl)} <> '' OR {_property(ddl)} <> '', false)"
 
 
-def parse_zorder(text: Column) -> Column:
+def clustering_columns(ddl: str) -> str:
+    """Columns named by the first CLUSTER BY clause, else by the table property."""
+    clause = _clause(ddl)
+    inner = (
+        f"coalesce(nullif(regexp_extract({clause}, r'{_CLUSTER_LIST}', 1), ''), "
+        f"regexp_extract({clause}, r'{_CLUSTER_WORD}', 1))"
+    )
+    unquoted = _strip(_strip("c"), r"""'`"\''""")
+    listed = f"filter(transform(split({inner}, ','), c -> {unquoted}), c -> c <> '')"
+    paths = f"from_json({_property(ddl)}, 'array<array<string>>')"
+    named = f"transform({paths}, p -> array_join(p, '.'))"
+    return f"CASE WHEN {clause} <> '' THEN {listed} ELSE coalesce({named}, {NO_STRINGS}) END"
+
+
+def parse_zorder(text: str) -> str:
     """Columns in a z-order parameter: a JSON array, or a comma-separated list.
 
     Text that opens like an array but is not valid JSON is read as a list with
     its brackets and quotes removed. Only that form drops blank entries.
     """
-    is_array = text.startswith("[")
-    closed = F.rtrim(text).endswith("]")
-    parsed = F.when(is_array & closed, F.from_json(text, "array<string>"))
-    bare = F.regexp_replace(text, r'[\[\]"]', "")
-    salvaged = F.filter(F.transform(F.split(bare, ","), _strip), lambda c: c != "")
-    listed = F.transform(F.split(text, ","), lambda c: F.btrim(_strip(c), F.lit("\"'")))
-    columns = F.when(is_array, F.coalesce(F.array_compact(parsed), salvaged)).otherwise(listed)
-    return F.when(text.isNull() | (text == ""), _empty()).otherwise(columns)
-
-
-def join_or_empty(names: Column) -> Column:
-    return F.coalesce(F.array_join(names, ", "), F.lit(""))
-
-
-def number_text(value: Column, digits: int = 2) -> Column:
+    parsed = f"CASE WHEN endswith(rtrim({text}), ']') THEN from_json({text}, 'array<string>') END"
+    bare = f"""regexp_replace({text}, r'[\\[\\]"]', '')"""
+    salvaged = f"filter(transform(split({bare}, ','), c -> {_strip('c')}), c -> c <> '')"
+    unquoted = _strip(_strip("c"), r"""'"\''""")
+    listed = f"transform(split({text}, ','), c -> {unquoted})"
+    return (
+        f"CASE WHEN {text} IS NULL OR {text} = '' THEN {NO_STRINGS} "
+        f"WHEN startswith({text}, '[') THEN coalesce(array_compact({parsed}), {salvaged}) "
+        f"ELSE {listed} END"
+    )
+
+
+def number_text(value: str, digits: int = 2) -> str:
     """Grouped fixed-point text; plain casts turn 1e7 into 1.0E7."""
-    return F.format_number(value, digits)
+    return f"format_number({value}, {digits})"
 
 
-def ratio_text(value: Column) -> Column:
+def ratio_text(value: str) -> str:
     """One decimal, half-even on the binary value."""
-    return F.call_function("format_number", value.cast("double"), F.lit("0.0"))
+    return f"format_number(CAST({value} AS DOUBLE), '0.0')"

@@ -2,42 +2,38 @@
 
 from datetime import datetime
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 _DAY_MICROS = 86_400_000_000
 
 
-def moment(when: datetime) -> Column:
+def moment(when: datetime) -> str:
     """A point in time; one without an offset is read in the session time zone."""
-    return F.lit(when.isoformat(sep=" ")).cast("timestamp")
+    return f"TIMESTAMP '{when.isoformat(sep=' ')}'"
 
 
-def floor_days(later: Column, earlier: Column) -> Column:
+def floor_days(later: str, earlier: str) -> str:
     """Completed 24-hour periods between two timestamps; negative before zero.
 
     Not ``datediff``, which counts calendar days.
     """
-    micros = F.unix_micros(later) - F.unix_micros(earlier)
-    return ((micros - F.pmod(micros, F.lit(_DAY_MICROS))) / F.lit(_DAY_MICROS)).cast("int")
+    micros = f"(unix_micros({later}) - unix_micros({earlier}))"
+    return f"CAST(({micros} - pmod({micros}, {_DAY_MICROS}L)) DIV {_DAY_MICROS}L AS INT)"
 
 
-def age_text(days: Column, never: str = "Never") -> Column:
+def age_text(days: str, never: str = "Never") -> str:
     # These words are stored in saved reports.
     return (
-        F.when(days.isNull(), never)
-        .when(days == 0, "Today")
-        .when(days == 1, "Yesterday")
-        .otherwise(F.concat(days.cast("string"), F.lit(" days ago")))
+        f"CASE WHEN {days} IS NULL THEN '{never}' WHEN {days} = 0 THEN 'Today' "
+        f"WHEN {days} = 1 THEN 'Yesterday' ELSE concat({days}, ' days ago') END"
     )
 
 
-def iso_text(ts: Column) -> Column:
+def iso_text(ts: str) -> str:
     """ISO-8601 text; the fraction appears only when it is not zero."""
-    whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
-    micros = F.pmod(F.unix_micros(ts), F.lit(1_000_000))
-    return F.when(micros == 0, whole).otherwise(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+    return (
+        f"concat(date_format({ts}, \"yyyy-MM-dd'T'HH:mm:ss\"), "
+        f"CASE WHEN pmod(unix_micros({ts}), 1000000L) = 0 THEN '' ELSE date_format({ts}, '.SSSSSS') END)"
+    )
 
 
-def weekday_name(ts: Column) -> Column:
-    return F.date_format(ts, "EEEE")
+def weekday_name(ts: str) -> str:
+    return f"date_format({ts}, 'EEEE')"

@@ -1,10 +1,8 @@
 """Clustering read from DDL text."""
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ..functions import clustering_columns as columns_of
-from ..functions import has_cluster_by
+from ..functions import NO_STRINGS, clustering_columns, has_cluster_by
 from ..schemas import KEY
 
 
@@ -15,8 +13,8 @@ def clustering(ddl: DataFrame) -> DataFrame:
     column AUTO, and a comment holding the phrase counts. A missing DDL is not
     clustered.
     """
-    return ddl.select(
+    return ddl.selectExpr(
         *KEY,
-        has_cluster_by(F.col("ddl")).alias("is_liquid_clustered"),
-        F.coalesce(columns_of(F.col("ddl")), F.array().cast("array<string>")).alias("clustering_columns"),
+        f"{has_cluster_by('ddl')} AS is_liquid_clustered",
+        f"coalesce({clustering_columns('ddl')}, {NO_STRINGS}) AS clustering_columns",
     )

@@ -1,13 +1,14 @@
 """Table detail: defaults, validity and scope."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import LayoutConfig
-from ..functions import bytes_to_gb, bytes_to_mb, full_name
+from ..functions import NO_STRINGS, bytes_to_gb, bytes_to_mb, full_name
 from ..schemas import KEY, TABLE_DETAIL
 
 SUPPORTED_FORMAT = "delta"
+_SUPPORTED = f"coalesce(lower(format) = '{SUPPORTED_FORMAT}', false)"
 
 
 def _with_all_columns(detail: DataFrame) -> DataFrame:
@@ -16,13 +17,9 @@ def _with_all_columns(detail: DataFrame) -> DataFrame:
     return detail.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing})
 
 
-def _is_supported(format_name: Column) -> Column:
-    return F.coalesce(F.lower(format_name) == SUPPORTED_FORMAT, F.lit(False))
-
-
 def supported_tables(detail: DataFrame) -> DataFrame:
     """Keys of the tables in the supported format; an unknown format is not."""
-    return detail.filter(_is_supported(F.col("format"))).select(*KEY)
+    return detail.filter(_SUPPORTED).select(*KEY)
 
 
 def table_detail(detail: DataFrame) -> DataFrame:
@@ -30,30 +27,31 @@ def table_detail(detail: DataFrame) -> DataFrame:
 
     A stated other format is invalid; an unknown (null or empty) one is not.
     """
-    detail = _with_all_columns(detail)
-    other_format = (F.coalesce(F.col("format"), F.lit("")) != "") & ~_is_supported(F.col("format"))
-    error = F.coalesce(
-        F.col("error"),
-        F.when(other_format, F.concat(F.lit("unsupported table format: "), F.col("format"))),
+    other_format = f"coalesce(format, '') <> '' AND NOT {_SUPPORTED}"
+    rows = _with_all_columns(detail).withColumn(
+        "error",
+        F.expr(
+            f"coalesce(error, CASE WHEN {other_format} THEN concat('unsupported table format: ', format) END)"
+        ),
     )
-    size = F.coalesce(F.col("sizeInBytes"), F.lit(0).cast("bigint"))
-    return detail.select(
+    size = "coalesce(sizeInBytes, 0L)"
+    return rows.selectExpr(
         *KEY,
-        full_name().alias("full_name"),
-        error.isNull().alias("is_valid"),
-        error.alias("error"),
+        f"{full_name()} AS full_name",
+        "error IS NULL AS is_valid",
+        "error",
         "format",
         "location",
-        size.alias("table_size_bytes"),
-        bytes_to_mb(size).alias("table_size_mb"),
-        bytes_to_gb(size).alias("table_size_gb"),
-        F.coalesce(F.col("numFiles"), F.lit(0).cast("bigint")).alias("num_files"),
-        F.coalesce(F.col("partitionColumns"), F.array().cast("array<string>")).alias("partition_columns"),
-        F.col("createdAt").alias("created_at"),
-        F.col("lastModified").alias("last_modified"),
-        F.coalesce(F.col("properties"), F.create_map().cast("map<string,string>")).alias("table_properties"),
-        F.col("minReaderVersion").alias("min_reader_version"),
-        F.col("minWriterVersion").alias("min_writer_version"),
+        f"{size} AS table_size_bytes",
+        f"{bytes_to_mb(size)} AS table_size_mb",
+        f"{bytes_to_gb(size)} AS table_size_gb",
+        "coalesce(numFiles, 0L) AS num_files",
+        f"coalesce(partitionColumns, {NO_STRINGS}) AS partition_columns",
+        "createdAt AS created_at",
+        "lastModified AS last_modified",
+        "coalesce(properties, CAST(map() AS MAP<STRING, STRING>)) AS table_properties",
+        "minReaderVersion AS min_reader_version",
+        "minWriterVersion AS min_writer_version",
     )
 
 

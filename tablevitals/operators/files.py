@@ -1,16 +1,13 @@
 """File layout: statistics, size bands, skew, and the fallback without a listing."""
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from ..config import LayoutConfig
-from ..functions import bytes_to_mb, percent_of, ratio_text, round_binary, skew_severity
+from ..functions import percent_of, ratio_text, round_binary, skew_severity
 from ..functions.numbers import MIB
 from ..schemas import KEY
 from .sizes import size_histogram, size_summary
 
-_BANDS = ("severe_small_files_count", "small_files_count", "optimal_files_count")
-
 LAYOUT_COLUMNS = (
     "total_files",
     "total_size_bytes",
@@ -41,56 +38,44 @@ SKEW_COLUMNS = (
 
 def file_profile(files: DataFrame, config: LayoutConfig) -> DataFrame:
     """All listing-based figures of every table, from one pass over the files."""
-    size = F.col("size_bytes")
+    severe, acceptable = config.small_file_severe_mb * MIB, config.small_file_acceptable_mb * MIB
+    smallest, largest = config.optimal_file_size_min_mb * MIB, config.optimal_file_size_max_mb * MIB
     bands = {
-        "severe_small_files_count": size < int(config.small_file_severe_mb * MIB),
-        "small_files_count": size < int(config.small_file_acceptable_mb * MIB),
-        "optimal_files_count": size.between(
-            int(config.optimal_file_size_min_mb * MIB), int(config.optimal_file_size_max_mb * MIB)
-        ),
+        "severe_small_files_count": f"size_bytes < {severe:.0f}L",
+        "small_files_count": f"size_bytes < {acceptable:.0f}L",
+        "optimal_files_count": f"size_bytes BETWEEN {smallest:.0f}L AND {largest:.0f}L",
     }
-    summary = size_summary(size_histogram(files, **bands), *_BANDS)
-    n = F.col("n")
-    return summary.select(
-        *KEY,
-        n.alias("total_files"),
-        F.col("bytes").alias("total_size_bytes"),
-        (F.col("bytes").cast("double") / n.cast("double")).alias("avg_file_size_bytes"),
-        round_binary(F.col("mean_mb"), 2).alias("avg_file_size_mb"),
-        round_binary(F.col("median_mb"), 2).alias("median_file_size_mb"),
-        F.col("min_mb").alias("min_file_size_mb"),
-        F.col("max_mb").alias("max_file_size_mb"),
-        round_binary(F.col("stddev_mb"), 2).alias("std_dev_mb"),
-        *_BANDS,
-        *[percent_of(F.col(b), n).alias(b.replace("_count", "_pct")) for b in _BANDS],
-        *_skew_columns(config),
+    summary = size_summary(size_histogram(files, **bands), *bands)
+    ratios = summary.selectExpr(
+        "*",
+        "CASE WHEN n >= 2 AND median_mb > 0 THEN max_mb / median_mb ELSE 0D END AS ratio",
+        "CASE WHEN n >= 2 AND mean_mb > 0 THEN stddev_mb / mean_mb * 100D ELSE 0D END AS variation",
     )
-
-
-def _skew_columns(config: LayoutConfig) -> list[Column]:
-    """Skew over a size summary; tiers look at the unrounded ratio."""
-    enough = F.col("n") >= 2
-    raw = F.when(F.col("median_mb") > 0, F.col("max_mb") / F.col("median_mb")).otherwise(0.0)
-    ratio = F.when(enough, raw).otherwise(0.0)
-    variation = F.when(
-        enough & (F.col("mean_mb") > 0), F.col("stddev_mb") / F.col("mean_mb") * 100.0
-    ).otherwise(0.0)
-    severity = skew_severity(ratio, config)
-    shown = F.concat(F.lit(" (largest file is "), ratio_text(ratio), F.lit(" times the median)"))
-    description = (
-        F.when(severity == "none", "file sizes are even")
-        .when(severity == "low", F.concat(F.lit("slightly uneven file sizes"), shown))
-        .when(severity == "medium", F.concat(F.lit("uneven file sizes"), shown))
-        .otherwise(F.concat(F.lit("very uneven file sizes"), shown))
+    # Tiers look at the unrounded ratio.
+    severity = skew_severity("ratio", config)
+    shown = f"concat(' (largest file is ', {ratio_text('ratio')}, ' times the median)')"
+    return ratios.selectExpr(
+        *KEY,
+        "n AS total_files",
+        "bytes AS total_size_bytes",
+        "CAST(bytes AS DOUBLE) / CAST(n AS DOUBLE) AS avg_file_size_bytes",
+        f"{round_binary('mean_mb')} AS avg_file_size_mb",
+        f"{round_binary('median_mb')} AS median_file_size_mb",
+        "min_mb AS min_file_size_mb",
+        "max_mb AS max_file_size_mb",
+        f"{round_binary('stddev_mb')} AS std_dev_mb",
+        *bands,
+        *[f"{percent_of(b, 'n')} AS {b.replace('_count', '_pct')}" for b in bands],
+        f"{round_binary('ratio')} AS file_skew_ratio",
+        f"ratio > {config.file_skew_threshold}D AS has_file_skew",
+        f"{severity} AS file_skew_severity",
+        f"{round_binary('variation')} AS coefficient_of_variation",
+        f"""CASE {severity} WHEN 'none' THEN 'file sizes are even'
+            WHEN 'low' THEN concat('slightly uneven file sizes', {shown})
+            WHEN 'medium' THEN concat('uneven file sizes', {shown})
+            ELSE concat('very uneven file sizes', {shown}) END AS skew_description""",
+        "CASE WHEN n < 2 THEN 'fewer than two files' END AS skew_error",
     )
-    return [
-        round_binary(ratio, 2).alias("file_skew_ratio"),
-        (ratio > config.file_skew_threshold).alias("has_file_skew"),
-        severity.alias("file_skew_severity"),
-        round_binary(variation, 2).alias("coefficient_of_variation"),
-        description.alias("skew_description"),
-        F.when(~enough, "fewer than two files").alias("skew_error"),
-    ]
 
 
 def file_layout(files: DataFrame, config: LayoutConfig) -> DataFrame:
@@ -113,10 +98,11 @@ def layout_with_fallback(detail: DataFrame, profile: DataFrame, config: LayoutCo
     joined = detail.select(*KEY, "location", "num_files", "table_size_bytes").join(
         profile, list(KEY), "left"
     )
-    return joined.select(*KEY, *[c.alias(name) for name, c in layout_figures(config).items()])
+    figures = layout_figures(config)
+    return joined.selectExpr(*KEY, *[f"{text} AS {name}" for name, text in figures.items()])
 
 
-def layout_figures(config: LayoutConfig) -> dict[str, Column]:
+def layout_figures(config: LayoutConfig) -> dict[str, str]:
     """Layout columns over a detail row with its (maybe missing) file profile.
 
     ``layout_source`` tells where the figures come from: the listing; the detail
@@ -124,18 +110,17 @@ def layout_figures(config: LayoutConfig) -> dict[str, Column]:
     says there are no files or has no location. Detail averages know no spread,
     so they give no skew, and they make all files small or none.
     """
-    has_files = F.col("location").isNotNull() & (F.col("num_files") > 0)
-    listed = has_files & F.col("total_files").isNotNull()
-    estimated = has_files & F.col("total_files").isNull()
-    avg_bytes = F.try_divide(F.col("table_size_bytes").cast("double"), F.col("num_files").cast("double"))
-    avg_mb = round_binary(avg_bytes / float(MIB), 2)
+    has_files = "location IS NOT NULL AND num_files > 0"
+    listed = f"{has_files} AND total_files IS NOT NULL"
+    avg_bytes = "try_divide(CAST(table_size_bytes AS DOUBLE), CAST(num_files AS DOUBLE))"
+    avg_mb = round_binary(f"{avg_bytes} / {MIB}D")
 
-    def below(limit_mb: float) -> Column:
-        return F.when(avg_mb < limit_mb, 100.0).otherwise(0.0)
+    def below(limit_mb: float) -> str:
+        return f"CASE WHEN {avg_mb} < {limit_mb}D THEN 100D ELSE 0D END"
 
     estimates = {
-        "total_files": F.col("num_files"),
-        "total_size_bytes": F.col("table_size_bytes"),
+        "total_files": "num_files",
+        "total_size_bytes": "table_size_bytes",
         "avg_file_size_bytes": avg_bytes,
         "avg_file_size_mb": avg_mb,
         "median_file_size_mb": avg_mb,
@@ -143,18 +128,16 @@ def layout_figures(config: LayoutConfig) -> dict[str, Column]:
         "severe_small_files_pct": below(config.small_file_severe_mb),
     }
 
-    def figure(name: str, default) -> Column:
-        value = F.when(listed, F.col(name))
-        if name in estimates:
-            value = value.when(estimated, estimates[name])
-        return value.otherwise(default)
+    def figure(name: str, default: str) -> str:
+        estimate = f"WHEN {has_files} THEN {estimates[name]}" if name in estimates else ""
+        return f"CASE WHEN {listed} THEN {name} {estimate} ELSE {default} END"
 
-    zeros = {name: F.lit(0) for name in LAYOUT_COLUMNS + BAND_COLUMNS}
-    no_skew = {"file_skew_ratio": 0.0, "has_file_skew": False, "file_skew_severity": "none"}
-    no_skew["coefficient_of_variation"] = 0.0
+    defaults = {name: "0" for name in LAYOUT_COLUMNS + BAND_COLUMNS}
+    defaults |= {"file_skew_ratio": "0D", "has_file_skew": "false", "file_skew_severity": "'none'"}
+    defaults["coefficient_of_variation"] = "0D"
     return {
-        "layout_source": F.when(listed, "listing").when(estimated, "detail").otherwise("none"),
-        **{name: figure(name, default) for name, default in {**zeros, **no_skew}.items()},
-        "skew_description": F.when(listed, F.col("skew_description")),
-        "skew_error": F.when(listed, F.col("skew_error")).when(has_files, "no file listing"),
+        "layout_source": f"CASE WHEN {listed} THEN 'listing' WHEN {has_files} THEN 'detail' ELSE 'none' END",
+        **{name: figure(name, default) for name, default in defaults.items()},
+        "skew_description": f"CASE WHEN {listed} THEN skew_description END",
+        "skew_error": f"CASE WHEN {listed} THEN skew_error WHEN {has_files} THEN 'no file listing' END",
     }

@@ -3,12 +3,13 @@
 Inputs are the output of ``recent_history``: bounded commits per table.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import digits_to_number, floor_days, round_binary, weekday_name
 from ..functions.numbers import MIB
 from ..schemas import KEY
+from .history import aggregate, named
 
 # Commits that change rows, and where they state written bytes.
 MUTATIONS = ("WRITE", "MERGE", "UPDATE", "DELETE")
@@ -17,109 +18,88 @@ BYTE_METRICS = ("numOutputBytes", "numAddedBytes")
 # Weekday names in English, as date_format writes them.
 WEEKDAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
 
-
-def _is_mutation() -> Column:
-    return F.coalesce(F.upper("operation").isin(*MUTATIONS), F.lit(False))
+_IS_MUTATION = f"upper(operation) IN {MUTATIONS}"
 
 
 def mutations(recent: DataFrame) -> DataFrame:
-    return recent.filter(F.upper("operation").isin(*MUTATIONS))
-
-
-def _bytes_written() -> Column:
-    """First non-empty byte metric: "0" ends the search, text without digits is 0."""
-    stated = [
-        F.nullif(F.try_element_at("operationMetrics", F.lit(name)), F.lit("")) for name in BYTE_METRICS
-    ]
-    return digits_to_number(F.coalesce(*stated))
-
-
-def growth_aggregates() -> list[Column]:
-    mutation = _is_mutation()
-    with_metrics = mutation & (F.size("operationMetrics") > 0)
-    written_at = F.when(mutation, F.col("timestamp"))
-    by_day = [
-        F.count_if(mutation & (weekday_name(F.col("timestamp")) == day)).alias(f"_n_{day}")
-        for day in WEEKDAYS
-    ]
-    newest_by_day = [
-        F.max(F.when(mutation & (weekday_name(F.col("timestamp")) == day), F.col("version"))).alias(f"_v_{day}")
-        for day in WEEKDAYS
-    ]
-    return [
-        F.count_if(mutation).alias("_writes"),
-        F.min(written_at).alias("_first_write"),
-        F.max(written_at).alias("_last_write"),
-        F.sum(F.when(with_metrics, _bytes_written())).cast("decimal(38,0)").alias("_bytes_written"),
-        F.count_if(with_metrics).alias("_writes_with_metrics"),
-        *by_day,
-        *newest_by_day,
-    ]
-
-
-def growth_figures() -> dict[str, Column]:
-    """Figures of the write aggregates; ``write_bytes_per_day`` is unrounded."""
-    several = F.col("_writes") >= 2
-    days = F.greatest(floor_days(F.col("_last_write"), F.col("_first_write")), F.lit(1)).cast("double")
-    total = F.coalesce(F.col("_bytes_written"), F.lit(0)).cast("double")
-    per_write = F.try_divide(total, F.col("_writes_with_metrics").cast("double"))
-    per_day = F.when(several & (F.col("_writes_with_metrics") > 0), total / days)
-    pattern = F.filter(
-        F.array(
-            *[
-                F.struct(
-                    F.col(f"_n_{day}").alias("commits"),
-                    F.col(f"_v_{day}").alias("newest_version"),
-                    F.lit(day).alias("day"),
-                )
-                for day in WEEKDAYS
-            ]
-        ),
-        lambda d: d["commits"] > 0,
+    return recent.filter(_IS_MUTATION)
+
+
+def with_writes(recent: DataFrame) -> DataFrame:
+    """Add time, weekday and bytes of row-changing commits; null for the others.
+
+    The first non-empty byte metric counts: "0" ends the search, and text without
+    digits is 0. Commits without any metric have no bytes.
+    """
+    stated = ", ".join(f"nullif(try_element_at(operationMetrics, '{m}'), '')" for m in BYTE_METRICS)
+    has_metrics = f"{_IS_MUTATION} AND size(operationMetrics) > 0"
+    return (
+        recent.withColumn("byte_metric", F.expr(f"coalesce({stated})"))
+        .withColumn("is_mutation", F.expr(f"coalesce({_IS_MUTATION}, false)"))
+        .withColumns(
+            {
+                "written_at": F.expr("CASE WHEN is_mutation THEN timestamp END"),
+                "weekday": F.expr(f"CASE WHEN is_mutation THEN {weekday_name('timestamp')} END"),
+                "written": F.expr(f"CASE WHEN {has_metrics} THEN {digits_to_number('byte_metric')} END"),
+            }
+        )
     )
-    pattern = F.when(several, pattern).otherwise(F.slice(pattern, 1, 0))
-    entries = F.transform(pattern, lambda d: F.struct(d["day"], d["commits"]))
-    return {
-        "daily_write_count": F.when(
-            several, round_binary(F.col("_writes").cast("double") / days, 2)
-        ).otherwise(0.0),
-        "avg_write_size_mb": F.coalesce(round_binary(per_write / float(MIB), 2), F.lit(0.0)),
-        "estimated_daily_growth_mb": F.coalesce(round_binary(per_day / float(MIB), 2), F.lit(0.0)),
-        "write_bytes_per_day": F.coalesce(per_day, F.lit(0.0)),
-        "write_patterns": F.map_from_entries(entries),
-        # Most commits; among equals the day that comes first, newest commit first.
-        "busiest_day": F.array_max(pattern)["day"],
-    }
-
-
-def growth_rate(bytes_per_day: Column, table_bytes: Column) -> Column:
+
+
+WRITE_SUMS = {
+    "writes": "count_if(is_mutation)",
+    "first_write": "min(written_at)",
+    "newest_write": "max(written_at)",
+    "bytes_written": "CAST(sum(written) AS DECIMAL(38, 0))",
+    "writes_with_metrics": "count(written)",
+    **{f"n_{day}": f"count_if(weekday = '{day}')" for day in WEEKDAYS},
+    **{f"v_{day}": f"max(CASE WHEN weekday = '{day}' THEN version END)" for day in WEEKDAYS},
+}
+
+_SPAN = f"CAST(greatest({floor_days('newest_write', 'first_write')}, 1) AS DOUBLE)"
+_TOTAL = "CAST(coalesce(bytes_written, 0) AS DOUBLE)"
+_PER_WRITE = f"try_divide({_TOTAL}, CAST(writes_with_metrics AS DOUBLE))"
+_PER_DAY = f"CASE WHEN writes >= 2 AND writes_with_metrics > 0 THEN {_TOTAL} / {_SPAN} END"
+_DAYS = ", ".join(
+    f"named_struct('commits', n_{day}, 'newest_version', v_{day}, 'day', '{day}')" for day in WEEKDAYS
+)
+_PATTERN = f"filter(array({_DAYS}), d -> writes >= 2 AND d.commits > 0)"
+
+# ``write_bytes_per_day`` is unrounded. The busiest day has the most commits;
+# among equals it is the one met first, newest commit first.
+WRITE_FIGURES = {
+    "daily_write_count": f"CASE WHEN writes >= 2 THEN {round_binary(f'CAST(writes AS DOUBLE) / {_SPAN}')} ELSE 0D END",
+    "avg_write_size_mb": f"coalesce({round_binary(f'{_PER_WRITE} / {MIB}D')}, 0D)",
+    "estimated_daily_growth_mb": f"coalesce({round_binary(f'({_PER_DAY}) / {MIB}D')}, 0D)",
+    "write_bytes_per_day": f"coalesce({_PER_DAY}, 0D)",
+    "write_patterns": f"map_from_entries(transform({_PATTERN}, d -> struct(d.day, d.commits)))",
+    "busiest_day": f"array_max({_PATTERN}).day",
+}
+
+
+def growth_rate(bytes_per_day: str, table_bytes: str) -> str:
     """Daily growth in percent of the table size, 4 decimals; 0 for an empty table."""
-    share = F.try_divide(F.lit(100.0) * bytes_per_day, table_bytes.cast("double"))
-    return F.coalesce(F.when(table_bytes > 0, round_binary(share, 4)), F.lit(0.0))
+    share = round_binary(f"try_divide(100D * {bytes_per_day}, CAST({table_bytes} AS DOUBLE))", 4)
+    return f"coalesce(CASE WHEN {table_bytes} > 0 THEN {share} END, 0D)"
 
 
 def growth(recent: DataFrame, detail: DataFrame) -> DataFrame:
     """Growth of every table with a row-changing commit."""
-    figures = growth_figures()
-    sums = mutations(recent).groupBy(*KEY).agg(*growth_aggregates())
-    figured = sums.select(*KEY, "_writes", *[c.alias(name) for name, c in figures.items()])
+    sums = aggregate(with_writes(mutations(recent)), WRITE_SUMS)
+    figured = sums.selectExpr(*KEY, "writes", *named(WRITE_FIGURES))
     sizes = detail.select(*KEY, "table_size_bytes")
-    size = F.coalesce(F.col("table_size_bytes"), F.lit(0))
-    return figured.join(sizes, list(KEY), "left").select(
+    return figured.join(sizes, list(KEY), "left").selectExpr(
         *KEY,
-        F.col("_writes").alias("mutating_commits"),
+        "writes AS mutating_commits",
         "daily_write_count",
         "avg_write_size_mb",
         "estimated_daily_growth_mb",
-        growth_rate(F.col("write_bytes_per_day"), size).alias("growth_rate_pct_daily"),
+        f"{growth_rate('write_bytes_per_day', 'table_size_bytes')} AS growth_rate_pct_daily",
         "busiest_day",
     )
 
 
 def weekday_pattern(recent: DataFrame) -> DataFrame:
     """Row-changing commits by weekday, and the busiest day, for tables with two or more."""
-    figures = growth_figures()
-    sums = mutations(recent).groupBy(*KEY).agg(*growth_aggregates()).filter("_writes >= 2")
-    return sums.select(
-        *KEY, figures["write_patterns"].alias("write_patterns"), figures["busiest_day"].alias("busiest_day")
-    )
+    sums = aggregate(with_writes(mutations(recent)), WRITE_SUMS).filter("writes >= 2")
+    return sums.selectExpr(*KEY, *named(WRITE_FIGURES)).select(*KEY, "write_patterns", "busiest_day")

@@ -48,80 +48,74 @@ def recent_history(history: DataFrame, config: LayoutConfig) -> DataFrame:
 
 def operation_counts(recent: DataFrame) -> DataFrame:
     """Commits per table and upper-cased operation."""
-    operation = operation_name(F.col("operation")).alias("operation")
+    operation = F.expr(operation_name("operation")).alias("operation")
     return recent.groupBy(*KEY, operation).agg(F.count(F.lit(1)).alias("commits"))
 
 
-def count_aggregates() -> list[Column]:
-    """Counts by exact name; a vacuum counts its START and its END."""
-    operation = operation_name(F.col("operation"))
+def with_operation(recent: DataFrame) -> DataFrame:
+    """Add the upper-cased operation once, for the aggregates below."""
+    return recent.withColumn("op", F.expr(operation_name("operation")))
 
-    def named(*names: str) -> Column:
-        return F.count_if(operation.isin(*names))
 
-    return [
-        F.count(F.lit(1)).alias("total_commits"),
-        named("WRITE").alias("write_count"),
-        named("OPTIMIZE").alias("optimize_count"),
-        named("VACUUM START", "VACUUM END").alias("vacuum_count"),
-        named("MERGE").alias("merge_count"),
-        named("DELETE").alias("delete_count"),
-        named("UPDATE").alias("update_count"),
-    ]
+# Counts by exact name; a vacuum counts its START and its END.
+COUNTS = {
+    "total_commits": "count(1)",
+    "write_count": "count_if(op = 'WRITE')",
+    "optimize_count": "count_if(op = 'OPTIMIZE')",
+    "vacuum_count": "count_if(op IN ('VACUUM START', 'VACUUM END'))",
+    "merge_count": "count_if(op = 'MERGE')",
+    "delete_count": "count_if(op = 'DELETE')",
+    "update_count": "count_if(op = 'UPDATE')",
+}
 
+# Latest time per tracked name, found anywhere within the operation: STREAMING
+# UPDATE moves the last UPDATE, though it is not counted as one.
+LAST = {
+    "last_" + name.lower().replace(" ", "_"): f"max(CASE WHEN contains(op, '{name}') THEN timestamp END)"
+    for name in TRACKED
+}
 
-def last_aggregates() -> list[Column]:
-    """Latest time per tracked name, found anywhere within the operation.
 
-    So STREAMING UPDATE moves the last UPDATE, though it is not counted as one.
-    """
-    operation = operation_name(F.col("operation"))
-    return [
-        F.max(F.when(operation.contains(name), F.col("timestamp"))).alias(_last_column(name))
-        for name in TRACKED
-    ]
-
-
-def _last_column(name: str) -> str:
-    return "last_" + name.lower().replace(" ", "_")
+def aggregate(rows: DataFrame, *aggregates: dict[str, str]) -> DataFrame:
+    """One row per table of the given named aggregates."""
+    columns = [F.expr(text).alias(name) for group in aggregates for name, text in group.items()]
+    return rows.groupBy(*KEY).agg(*columns)
 
 
 def operation_pivot(recent: DataFrame) -> DataFrame:
     """One row of operation counts per table."""
-    return recent.groupBy(*KEY).agg(*count_aggregates())
+    return aggregate(with_operation(recent), COUNTS)
 
 
 def last_operations(recent: DataFrame) -> DataFrame:
     """One row of latest times per table."""
-    return recent.groupBy(*KEY).agg(*last_aggregates())
+    return aggregate(with_operation(recent), LAST)
 
 
-def status_columns(as_of: datetime) -> dict[str, Column]:
+def status_figures(as_of: datetime) -> dict[str, str]:
     """Maintenance times and ages over the columns of ``last_operations``.
 
     A finished vacuum wins over a started one even when the start is newer.
     """
-    now = moment(as_of)
-    vacuum = F.coalesce(F.col("last_vacuum_end"), F.col("last_vacuum_start"))
-    ages = {
-        "write": floor_days(now, F.col("last_write")),
-        "optimize": floor_days(now, F.col("last_optimize")),
-        "vacuum": floor_days(now, vacuum),
-    }
+    vacuum = "coalesce(last_vacuum_end, last_vacuum_start)"
+    optimized, vacuumed = floor_days(moment(as_of), "last_optimize"), floor_days(moment(as_of), vacuum)
     return {
-        "last_write_timestamp": F.col("last_write"),
-        "last_optimize_timestamp": F.col("last_optimize"),
+        "last_write_timestamp": "last_write",
+        "last_optimize_timestamp": "last_optimize",
         "last_vacuum_timestamp": vacuum,
-        "last_merge_timestamp": F.col("last_merge"),
-        "days_since_last_write": ages["write"],
-        "days_since_last_optimize": ages["optimize"],
-        "days_since_last_vacuum": ages["vacuum"],
-        "optimize_status": age_text(ages["optimize"], never="Never run"),
-        "vacuum_status": age_text(ages["vacuum"], never="Never run"),
+        "last_merge_timestamp": "last_merge",
+        "days_since_last_write": floor_days(moment(as_of), "last_write"),
+        "days_since_last_optimize": optimized,
+        "days_since_last_vacuum": vacuumed,
+        "optimize_status": age_text(optimized, never="Never run"),
+        "vacuum_status": age_text(vacuumed, never="Never run"),
     }
 
 
+def named(figures: dict[str, str]) -> list[str]:
+    return [f"{text} AS {name}" for name, text in figures.items()]
+
+
 def maintenance_status(recent: DataFrame, as_of: datetime) -> DataFrame:
     """Last write, optimize, vacuum and merge with their ages at ``as_of``."""
-    columns = status_columns(as_of)
-    return last_operations(recent).select(*KEY, *[c.alias(name) for name, c in columns.items()])
+    return last_operations(recent).selectExpr(*KEY, *named(status_figures(as_of)))

@@ -3,92 +3,74 @@
 Inputs are the output of ``recent_history``: bounded commits per table.
 """
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import floor_days, parse_zorder, round_binary
 from ..schemas import KEY
-from .history import newest
+from .history import aggregate, named, newest
 
-_IS_OPTIMIZE = "_is_optimize"
-_GAP = "_gap_days"
+_IS_OPTIMIZE = "coalesce(upper(operation) = 'OPTIMIZE', false)"
 
+# Usage counts take any non-empty text, [] included.
+ZORDER_SUMS = {
+    "zorder_lists": "collect_list(CASE WHEN zorder_by <> '' THEN array_distinct(zorder_names) END)",
+    "zorder_usage_count": "count_if(zorder_by <> '')",
+    "predicate_optimizations": "count_if(optimize_predicate <> '')",
+}
+ZORDER_FIGURES = {
+    "zorder_columns": "array_sort(array_distinct(flatten(zorder_lists)))",
+    "zorder_usage_count": "zorder_usage_count",
+    "predicate_optimizations": "predicate_optimizations",
+}
 
-def _is_optimize() -> Column:
-    return F.coalesce(F.upper("operation") == "OPTIMIZE", F.lit(False))
-
-
-def _parameter(name: str) -> Column:
-    return F.try_element_at("operationParameters", F.lit(name))
+GAP_SUMS = {"gap_sum": "sum(gap_days)", "gap_count": "count(gap_days)"}
+GAP_FIGURES = {
+    "optimize_frequency_days": round_binary("try_divide(CAST(gap_sum AS DOUBLE), CAST(gap_count AS DOUBLE))", 1)
+}
 
 
 def optimize_commits(recent: DataFrame) -> DataFrame:
-    return recent.filter(F.upper("operation") == "OPTIMIZE")
+    return recent.filter("upper(operation) = 'OPTIMIZE'")
 
 
 def with_gaps(recent: DataFrame) -> DataFrame:
-    """Add the whole days from each optimize back to the one before it."""
-    flagged = recent.withColumn(_IS_OPTIMIZE, _is_optimize())
-    window = Window.partitionBy(*KEY, _IS_OPTIMIZE).orderBy(F.col("timestamp").desc())
-    gap = F.when(
-        F.col(_IS_OPTIMIZE), floor_days(F.col("timestamp"), F.lead("timestamp").over(window))
-    )
-    return flagged.withColumn(_GAP, gap)
+    """Add ``gap_days``: whole days from each optimize back to the one before it."""
+    names = ", ".join(f"`{k}`" for k in KEY)
+    before = f"lead(timestamp) OVER (PARTITION BY {names}, is_optimize ORDER BY timestamp DESC)"
+    gap = f"CASE WHEN is_optimize THEN {floor_days('timestamp', before)} END"
+    return recent.withColumn("is_optimize", F.expr(_IS_OPTIMIZE)).withColumn("gap_days", F.expr(gap))
 
 
-def gap_aggregates() -> list[Column]:
-    return [F.sum(_GAP).alias("_gap_sum"), F.count(_GAP).alias("_gap_count")]
+def with_zorder(recent: DataFrame) -> DataFrame:
+    """Add the z-order and predicate parameters of each optimize."""
 
+    def parameter(name: str):
+        return F.expr(f"CASE WHEN {_IS_OPTIMIZE} THEN try_element_at(operationParameters, '{name}') END")
 
-def gap_figures() -> dict[str, Column]:
-    mean = F.try_divide(F.col("_gap_sum").cast("double"), F.col("_gap_count").cast("double"))
-    return {"optimize_frequency_days": round_binary(mean, 1)}
+    stated = recent.withColumns(
+        {"zorder_by": parameter("zOrderBy"), "optimize_predicate": parameter("predicate")}
+    )
+    return stated.withColumn("zorder_names", F.expr(parse_zorder("zorder_by")))
 
 
 def optimize_cadence(recent: DataFrame) -> DataFrame:
     """Optimize count, latest optimize, and mean whole-day gap between optimizes."""
-    sums = with_gaps(optimize_commits(recent)).groupBy(*KEY).agg(
-        F.count(F.lit(1)).alias("optimize_count"),
-        F.max("timestamp").alias("last_optimize_timestamp"),
-        *gap_aggregates(),
-    )
-    figures = [c.alias(name) for name, c in gap_figures().items()]
-    return sums.select(*KEY, "optimize_count", "last_optimize_timestamp", *figures)
-
-
-def zorder_aggregates() -> list[Column]:
-    """Usage counts take any non-empty text, ``[]`` included."""
-    zorder, predicate = _parameter("zOrderBy"), _parameter("predicate")
-    used = _is_optimize() & (F.length(zorder) > 0)
-    return [
-        F.collect_list(F.when(used, F.array_distinct(parse_zorder(zorder)))).alias("_zorder"),
-        F.count_if(used).alias("zorder_usage_count"),
-        F.count_if(_is_optimize() & (F.length(predicate) > 0)).alias("predicate_optimizations"),
-    ]
-
-
-def zorder_figures() -> dict[str, Column]:
-    return {
-        "zorder_columns": F.array_sort(F.array_distinct(F.flatten("_zorder"))),
-        "zorder_usage_count": F.col("zorder_usage_count"),
-        "predicate_optimizations": F.col("predicate_optimizations"),
-    }
+    head = {"optimize_count": "count(1)", "last_optimize_timestamp": "max(timestamp)"}
+    sums = aggregate(with_gaps(optimize_commits(recent)), head, GAP_SUMS)
+    return sums.selectExpr(*KEY, *head, *named(GAP_FIGURES))
 
 
 def zorder_columns(recent: DataFrame) -> DataFrame:
     """Distinct z-order columns over a table's optimizes, and how often it z-ordered."""
-    sums = optimize_commits(recent).groupBy(*KEY).agg(*zorder_aggregates())
-    return sums.select(*KEY, *[c.alias(name) for name, c in zorder_figures().items()])
+    sums = aggregate(with_zorder(optimize_commits(recent)), ZORDER_SUMS)
+    return sums.selectExpr(*KEY, *named(ZORDER_FIGURES))
 
 
 def recent_optimizes(recent: DataFrame, n: int = 5) -> DataFrame:
     """The n latest optimizes with parameters, newest first (``position`` from 1)."""
-    stated = optimize_commits(recent).filter(F.size("operationParameters") > 0)
+    stated = optimize_commits(recent).filter("size(operationParameters) > 0")
     order = [F.col("timestamp").desc(), F.col("version").desc()]
-    return newest(stated, order, n, rank="position").select(
-        *KEY,
-        "position",
-        "version",
-        "timestamp",
-        F.col("operationParameters").alias("parameters"),
+    return newest(stated, order, n, rank="position").selectExpr(
+        *KEY, "position", "version", "timestamp", "operationParameters AS parameters"
     )

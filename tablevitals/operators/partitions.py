@@ -40,15 +40,14 @@ def partition_measures(partitions: DataFrame) -> DataFrame:
 
     Partitions without bytes are counted but not measured.
     """
-    has_bytes = F.col("size_bytes") > 0
-    histogram = size_histogram(partitions, counts=has_bytes, partition_count=F.lit(True))
-    return size_summary(histogram, "partition_count").select(
+    histogram = size_histogram(partitions, counts="size_bytes > 0", partition_count="true")
+    return size_summary(histogram, "partition_count").selectExpr(
         *KEY,
         "partition_count",
-        F.col("min_mb").alias("_smallest_mb"),
-        F.col("max_mb").alias("_largest_mb"),
-        F.col("median_mb").alias("_median_mb"),
-        F.col("mean_mb").alias("_mean_mb"),
+        "min_mb AS _smallest_mb",
+        "max_mb AS _largest_mb",
+        "median_mb AS _median_mb",
+        "mean_mb AS _mean_mb",
     )
 
 
@@ -60,38 +59,41 @@ def partition_figures(joined: DataFrame, config: LayoutConfig) -> DataFrame:
     partition is total/count. A table without partition columns has none,
     whatever its paths look like.
     """
-    partitioned = F.size("partition_columns") > 0
-    count = F.when(partitioned, F.coalesce(F.col("partition_count"), F.lit(0))).otherwise(0).cast("int")
-    in_range = count.between(1, config.partition_sizing_limit)
-    known = F.col("_median_mb").isNotNull()
-    even_mb = bytes_to_mb(F.floor(F.try_divide(F.col("table_size_bytes"), count)))
+    partitioned = "size(partition_columns) > 0"
+    counted = joined.withColumn(
+        "partition_count",
+        F.expr(f"CAST(CASE WHEN {partitioned} THEN coalesce(partition_count, 0L) ELSE 0L END AS INT)"),
+    )
+    in_range = f"partition_count BETWEEN 1 AND {config.partition_sizing_limit}"
+    even_mb = bytes_to_mb("floor(try_divide(table_size_bytes, partition_count))")
 
     def mb(source: str) -> Column:
-        value = F.when(in_range & known, round_binary(F.col(source), 2)).when(in_range, even_mb)
-        return value.otherwise(0.0)
+        return F.expr(
+            f"CASE WHEN NOT ({in_range}) THEN 0D WHEN _median_mb IS NULL THEN {even_mb} "
+            f"ELSE {round_binary(source)} END"
+        )
 
-    sized = joined.withColumns(
+    sized = counted.withColumns(
         {
-            "is_partitioned": partitioned,
-            "partition_count": count,
+            "is_partitioned": F.expr(partitioned),
             "largest_partition_size_mb": mb("_largest_mb"),
             "smallest_partition_size_mb": mb("_smallest_mb"),
             "median_partition_size_mb": mb("_median_mb"),
             "avg_partition_size_mb": mb("_mean_mb"),
-            "partition_sizes_estimated": in_range & ~known,
-            "partition_note": F.when(~partitioned, "not partitioned"),
+            "partition_sizes_estimated": F.expr(f"{in_range} AND _median_mb IS NULL"),
+            "partition_note": F.expr(f"CASE WHEN NOT ({partitioned}) THEN 'not partitioned' END"),
         }
     ).drop("_largest_mb", "_smallest_mb", "_median_mb", "_mean_mb")
     # The ratio uses the rounded sizes here, unlike the file ratio.
-    ratio = F.when(
-        F.col("median_partition_size_mb") > 0,
-        F.col("largest_partition_size_mb") / F.col("median_partition_size_mb"),
-    ).otherwise(0.0)
+    ratio = (
+        "CASE WHEN median_partition_size_mb > 0 "
+        "THEN largest_partition_size_mb / median_partition_size_mb ELSE 0D END"
+    )
     return sized.withColumns(
         {
-            "partition_skew_ratio": round_binary(ratio, 2),
-            "partition_skew_severity": skew_severity(ratio, config),
-            "has_partition_skew": ratio > config.partition_skew_threshold,
+            "partition_skew_ratio": F.expr(round_binary(ratio)),
+            "partition_skew_severity": F.expr(skew_severity(ratio, config)),
+            "has_partition_skew": F.expr(f"{ratio} > {config.partition_skew_threshold}D"),
         }
     )
 

@@ -5,19 +5,9 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 
 from ..schemas import KEY
-from .growth import growth_aggregates, growth_figures
-from .history import count_aggregates, last_aggregates, status_columns
-from .optimize import gap_aggregates, gap_figures, with_gaps, zorder_aggregates, zorder_figures
-
-_COUNTS = (
-    "total_commits",
-    "write_count",
-    "optimize_count",
-    "vacuum_count",
-    "merge_count",
-    "delete_count",
-    "update_count",
-)
+from .growth import WRITE_FIGURES, WRITE_SUMS, with_writes
+from .history import COUNTS, LAST, aggregate, named, status_figures, with_operation
+from .optimize import GAP_FIGURES, GAP_SUMS, ZORDER_FIGURES, ZORDER_SUMS, with_gaps, with_zorder
 
 
 def history_profile(recent: DataFrame, as_of: datetime) -> DataFrame:
@@ -26,17 +16,7 @@ def history_profile(recent: DataFrame, as_of: datetime) -> DataFrame:
     The commits of ``recent_history`` are already grouped by table, so this adds
     one sort (for the gaps between optimizes) and no shuffle.
     """
-    sums = with_gaps(recent).groupBy(*KEY).agg(
-        *count_aggregates(),
-        *last_aggregates(),
-        *zorder_aggregates(),
-        *gap_aggregates(),
-        *growth_aggregates(),
-    )
-    figures = {
-        **status_columns(as_of),
-        **zorder_figures(),
-        **gap_figures(),
-        **growth_figures(),
-    }
-    return sums.select(*KEY, *_COUNTS, *[c.alias(name) for name, c in figures.items()])
+    prepared = with_writes(with_zorder(with_gaps(with_operation(recent))))
+    sums = aggregate(prepared, COUNTS, LAST, GAP_SUMS, ZORDER_SUMS, WRITE_SUMS)
+    figures = {**status_figures(as_of), **ZORDER_FIGURES, **GAP_FIGURES, **WRITE_FIGURES}
+    return sums.selectExpr(*KEY, *COUNTS, *named(figures))

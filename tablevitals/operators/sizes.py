@@ -10,52 +10,51 @@ second aggregation therefore has a bounded group whatever the number of files.
 Sums are whole numbers of 0.01 MB, so results do not depend on the partitioning.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bytes_to_mb
 from ..schemas import KEY
 
 
-def size_histogram(rows: DataFrame, counts: Column | None = None, **flags: Column) -> DataFrame:
+def size_histogram(rows: DataFrame, counts: str = "true", **flags: str) -> DataFrame:
     """Rows, bytes and flagged rows per table and rounded size.
 
-    ``counts`` says which rows enter the statistics (default: all); ``flags`` are
-    counted over all rows.
+    ``counts`` says which rows enter the statistics; ``flags`` (name -> condition)
+    are counted over all rows.
     """
-    counted = [F.count_if(flag).alias(name) for name, flag in flags.items()]
-    n = F.count(F.lit(1)) if counts is None else F.count_if(counts)
-    return rows.groupBy(*KEY, bytes_to_mb(F.col("size_bytes")).alias("size_mb")).agg(
-        n.alias("n"), F.sum("size_bytes").alias("bytes"), *counted
+    counted = [F.expr(f"count_if({flag})").alias(name) for name, flag in flags.items()]
+    rounded = F.expr(bytes_to_mb("size_bytes")).alias("size_mb")
+    return rows.groupBy(*KEY, rounded).agg(
+        F.expr(f"count_if({counts})").alias("n"), F.sum("size_bytes").alias("bytes"), *counted
     )
 
 
 def size_summary(histogram: DataFrame, *flags: str) -> DataFrame:
     """Per table: count, bytes, and unrounded statistics of the rounded MB."""
-    hundredths = F.round(F.col("size_mb") * 100).cast("decimal(14,0)")
-    n = F.col("n").cast("decimal(12,0)")
-    sums = histogram.groupBy(*KEY).agg(
-        F.sum("n").alias("n"),
-        F.sum("bytes").alias("bytes"),
-        F.min(F.when(F.col("n") > 0, F.col("size_mb"))).alias("min_mb"),
-        F.max(F.when(F.col("n") > 0, F.col("size_mb"))).alias("max_mb"),
-        F.percentile("size_mb", F.lit(0.5), F.col("n")).alias("median_mb"),
-        F.sum(hundredths * n).cast("decimal(20,0)").alias("_s1"),
-        F.sum((hundredths * hundredths).cast("decimal(26,0)") * n).cast("decimal(38,0)").alias("_s2"),
-        *[F.sum(name).alias(name) for name in flags],
-    )
-    count, s1, s2 = F.col("n").cast("decimal(17,0)"), F.col("_s1"), F.col("_s2")
-    spread = (count * s2).cast("decimal(38,0)") - (s1 * s1).cast("decimal(38,0)")
-    pairs = F.col("n").cast("double") * (F.col("n") - 1).cast("double")
-    deviation = F.sqrt(F.try_divide(spread.cast("double"), pairs)) / 100.0
-    return sums.select(
+    hundredths = "CAST(round(size_mb * 100) AS DECIMAL(14, 0))"
+    count = "CAST(n AS DECIMAL(12, 0))"
+    aggregates = {
+        "n": "sum(n)",
+        "bytes": "sum(bytes)",
+        "min_mb": "min(CASE WHEN n > 0 THEN size_mb END)",
+        "max_mb": "max(CASE WHEN n > 0 THEN size_mb END)",
+        "median_mb": "percentile(size_mb, 0.5D, n)",
+        "s1": f"CAST(sum({hundredths} * {count}) AS DECIMAL(20, 0))",
+        "s2": f"CAST(sum(CAST({hundredths} * {hundredths} AS DECIMAL(26, 0)) * {count}) AS DECIMAL(38, 0))",
+        **{name: f"sum({name})" for name in flags},
+    }
+    sums = histogram.groupBy(*KEY).agg(*[F.expr(a).alias(name) for name, a in aggregates.items()])
+    spread = "CAST(CAST(n AS DECIMAL(17, 0)) * s2 AS DECIMAL(38, 0)) - CAST(s1 * s1 AS DECIMAL(38, 0))"
+    pairs = "CAST(n AS DOUBLE) * CAST(n - 1 AS DOUBLE)"
+    return sums.selectExpr(
         *KEY,
         "n",
         "bytes",
         "min_mb",
         "max_mb",
         "median_mb",
-        F.try_divide(s1.cast("double"), F.col("n").cast("double") * 100.0).alias("mean_mb"),
-        F.coalesce(deviation, F.lit(0.0)).alias("stddev_mb"),
+        "try_divide(CAST(s1 AS DOUBLE), CAST(n AS DOUBLE) * 100D) AS mean_mb",
+        f"coalesce(sqrt(try_divide(CAST({spread} AS DOUBLE), {pairs})) / 100D, 0D) AS stddev_mb",
         *flags,
     )

@@ -1,8 +1,7 @@
 """Whole analyses: metrics of all tables, issues, reports, and the entry points."""
 
 from .analyze import Analysis, Inventories, analyze, run_analysis
-from .assess import assess, health_of_issues, issue_counts, issues, small_file_issues, table_health
-from . import rules
+from .assess import assess, issue_counts, issues, small_file_issues, table_health
 from .metrics import table_metrics
 from .report import (
     extended_report,
@@ -21,14 +20,12 @@ __all__ = [
     "assess",
     "extended_report",
     "fleet_summary",
-    "health_of_issues",
     "issue_counts",
     "issue_report",
     "issues",
     "latest_reports",
     "maintenance_sql",
     "report_history",
-    "rules",
     "run_analysis",
     "small_file_issues",
     "table_health",

@@ -1,62 +1,49 @@
 """Apply the rules to table metrics; fold issues into counts and health."""
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterable
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import LayoutConfig
-from ..functions import SEVERITIES, health_status
+from ..functions import health_status
 from ..functions.severity import ERROR
 from ..schemas import KEY
 from . import rules as R
 
 _COUNTED = ("critical", "high", "medium", "low")
 
-
-def _sorted_issues(rules: tuple, config: LayoutConfig) -> Column:
-    """One array per table: worst severity first, then rule order.
-
-    A struct sorts by its leading fields, which are exactly those two.
-    """
-    found = [F.when(F.col("is_valid"), rule(config)) for rule in rules]
-    return F.array_sort(F.array_compact(F.array(*found)))
-
-
-def _count(severity: str) -> Column:
-    return F.size(F.filter("issues", lambda i: i["severity"] == severity))
-
-
-def health_of_issues(issues: Column) -> Column:
-    """Health from a sorted issue array: its first entry is the worst."""
-    return health_status(F.try_element_at(issues, F.lit(1))["severity"])
+# Issues are sorted, so the first one is the worst.
+_WORST = "try_element_at(issues, 1).severity"
 
 
-def assess(metrics: DataFrame, config: LayoutConfig, rules: tuple = R.RULES) -> DataFrame:
+def assess(metrics: DataFrame, config: LayoutConfig, rules: Iterable[str] = R.RULES) -> DataFrame:
     """Metrics with the issue array, its counts and the health of every table.
 
-    All rules are one projection: no union, explode, shuffle or join. An invalid
-    table raises no issue and has the health ``error``.
+    All rules are one projection: no union, explode, shuffle or join. The issues
+    of a table stand worst first, then in rule order: a struct sorts by its
+    leading fields, which are exactly those two. An invalid table raises no issue
+    and has the health ``error``.
     """
-    raised = metrics.withColumn("issues", _sorted_issues(rules, config))
-    counts = {f"{severity}_issues": _count(severity) for severity in _COUNTED}
-    return raised.withColumns(
-        {
-            "issue_count": F.size("issues"),
-            **counts,
-            "health_status": F.when(F.col("is_valid"), health_of_issues(F.col("issues"))).otherwise(ERROR),
-        }
-    )
+    found = ", ".join(R.raised(category, config) for category in rules)
+    listed = metrics.withColumn("issues", F.expr(f"array_sort(array_compact(array({found})))"))
+    folds = {
+        "issue_count": "size(issues)",
+        **{f"{s}_issues": f"size(filter(issues, i -> i.severity = '{s}'))" for s in _COUNTED},
+        "health_status": f"CASE WHEN is_valid THEN {health_status(_WORST)} ELSE '{ERROR}' END",
+    }
+    return listed.withColumns({name: F.expr(text) for name, text in folds.items()})
 
 
 def issues(assessed: DataFrame) -> DataFrame:
     """One row per issue, with its place in the table's list."""
-    fields = [F.col(f"issue.{name}").alias(name) for name in R.ISSUE_FIELDS]
-    rows = assessed.select(*KEY, "analysis_timestamp", F.posexplode("issues").alias("position", "issue"))
-    return rows.select(*KEY, (F.col("position") + 1).alias("position"), *fields, "analysis_timestamp")
+    rows = assessed.selectExpr(*KEY, "analysis_timestamp", "posexplode(issues) AS (at, issue)")
+    return rows.selectExpr(*KEY, "at + 1 AS position", "issue.*", "analysis_timestamp")
 
 
 def small_file_issues(metrics: DataFrame, config: LayoutConfig) -> DataFrame:
     """The small-file rule alone."""
-    return issues(assess(metrics, config, rules=(R.small_files,)))
+    return issues(assess(metrics, config, rules=("small_files",)))
 
 
 def issue_counts(assessed: DataFrame) -> DataFrame:
@@ -66,5 +53,4 @@ def issue_counts(assessed: DataFrame) -> DataFrame:
 
 def table_health(assessed: DataFrame) -> DataFrame:
     """Health per table, with the worst severity it comes from."""
-    worst = F.coalesce(F.try_element_at("issues", F.lit(1))["severity"], F.lit(SEVERITIES[-1]))
-    return assessed.select(*KEY, worst.alias("worst_severity"), "health_status")
+    return assessed.selectExpr(*KEY, f"coalesce({_WORST}, 'none') AS worst_severity", "health_status")

@@ -2,11 +2,11 @@
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import LayoutConfig
-from ..functions import moment
+from ..functions import NO_STRINGS, moment
 from ..operators import (
     clustering,
     file_profile,
@@ -20,29 +20,28 @@ from ..operators.growth import growth_rate
 from ..operators.partitions import join_partition_measures, partition_figures
 from ..schemas import KEY
 
-# Values of a table without history rows; columns not listed stay null.
-_NO_HISTORY = {
-    "total_commits": 0,
-    "write_count": 0,
-    "optimize_count": 0,
-    "vacuum_count": 0,
-    "merge_count": 0,
-    "delete_count": 0,
-    "update_count": 0,
-    "optimize_status": "Never run",
-    "vacuum_status": "Never run",
-    "zorder_usage_count": 0,
-    "predicate_optimizations": 0,
-    "daily_write_count": 0.0,
-    "avg_write_size_mb": 0.0,
-    "estimated_daily_growth_mb": 0.0,
+# Values of a table without history or DDL rows; columns not listed stay null.
+_DEFAULTS = {
+    "total_commits": "0L",
+    "write_count": "0L",
+    "optimize_count": "0L",
+    "vacuum_count": "0L",
+    "merge_count": "0L",
+    "delete_count": "0L",
+    "update_count": "0L",
+    "optimize_status": "'Never run'",
+    "vacuum_status": "'Never run'",
+    "zorder_columns": NO_STRINGS,
+    "zorder_usage_count": "0L",
+    "predicate_optimizations": "0L",
+    "daily_write_count": "0D",
+    "avg_write_size_mb": "0D",
+    "estimated_daily_growth_mb": "0D",
+    "is_liquid_clustered": "false",
+    "clustering_columns": NO_STRINGS,
 }
 
 
-def _no_strings() -> Column:
-    return F.array().cast("array<string>")
-
-
 def table_metrics(
     detail: DataFrame,
     ddl: DataFrame,
@@ -70,18 +69,12 @@ def table_metrics(
         .join(activity, key, "left")
     )
     joined = join_partition_measures(joined, sizes, partition_counts)
-    joined = partition_figures(joined.withColumns(layout_figures(config)), config)
-    had_history = F.col("total_commits").isNotNull()
-    bytes_per_day = F.coalesce(F.col("write_bytes_per_day"), F.lit(0.0))
-    defaults = {name: F.coalesce(F.col(name), F.lit(value)) for name, value in _NO_HISTORY.items()}
-    return joined.withColumns(
-        {
-            **defaults,
-            "history_available": had_history,
-            "growth_rate_pct_daily": growth_rate(bytes_per_day, F.col("table_size_bytes")),
-            "zorder_columns": F.coalesce(F.col("zorder_columns"), _no_strings()),
-            "is_liquid_clustered": F.coalesce(F.col("is_liquid_clustered"), F.lit(False)),
-            "clustering_columns": F.coalesce(F.col("clustering_columns"), _no_strings()),
-            "analysis_timestamp": moment(as_of),
-        }
-    ).drop("write_bytes_per_day")
+    figures = {
+        **layout_figures(config),
+        **{name: f"coalesce({name}, {value})" for name, value in _DEFAULTS.items()},
+        "history_available": "total_commits IS NOT NULL",
+        "growth_rate_pct_daily": growth_rate("coalesce(write_bytes_per_day, 0D)", "table_size_bytes"),
+        "analysis_timestamp": moment(as_of),
+    }
+    filled = joined.withColumns({name: F.expr(text) for name, text in figures.items()})
+    return partition_figures(filled.drop("write_bytes_per_day"), config)

@@ -1,6 +1,6 @@
 """Reports over assessed tables, and over saved reports."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import HEALTH, iso_text
@@ -33,74 +33,60 @@ HISTORY_COLUMNS = (
 )
 
 
-def _json_list(names: Column) -> Column:
-    return F.to_json(F.coalesce(names, F.array().cast("array<string>")))
-
-
-def _commands() -> Column:
-    return F.array_compact(F.transform("issues", lambda i: i["sql_command"]))
-
-
-def _summaries() -> Column:
-    return F.transform(
-        "issues",
-        lambda i: F.struct(*[i[source].alias(name) for name, source in _SUMMARY_FIELDS.items()]),
-    )
-
-
-def _report_columns() -> dict[str, Column]:
-    """Report columns that are not metrics as they stand, in the text form."""
-    return {
-        "partition_columns": _json_list(F.col("partition_columns")),
-        "clustering_columns": _json_list(F.col("clustering_columns")),
-        "zorder_columns": _json_list(F.col("zorder_columns")),
-        "last_optimize": iso_text(F.col("last_optimize_timestamp")),
-        "last_optimize_days_ago": F.col("days_since_last_optimize"),
-        "last_vacuum": iso_text(F.col("last_vacuum_timestamp")),
-        "last_vacuum_days_ago": F.col("days_since_last_vacuum"),
-        "issues_summary": F.to_json(_summaries()),
-        "sql_commands": F.to_json(_commands()),
-        "analysis_timestamp": iso_text(F.col("analysis_timestamp")),
-    }
+_COMMANDS = "array_compact(transform(issues, i -> i.sql_command))"
+_SUMMARIES = "transform(issues, i -> struct({}))".format(
+    ", ".join(f"i.{source} AS {name}" for name, source in _SUMMARY_FIELDS.items())
+)
 
+# Report columns that are not metrics as they stand, in their text form.
+_MADE = {
+    "partition_columns": "to_json(partition_columns)",
+    "clustering_columns": "to_json(clustering_columns)",
+    "zorder_columns": "to_json(zorder_columns)",
+    "last_optimize": iso_text("last_optimize_timestamp"),
+    "last_optimize_days_ago": "days_since_last_optimize",
+    "last_vacuum": iso_text("last_vacuum_timestamp"),
+    "last_vacuum_days_ago": "days_since_last_vacuum",
+    "issues_summary": f"to_json({_SUMMARIES})",
+    "sql_commands": f"to_json({_COMMANDS})",
+    "analysis_timestamp": iso_text("analysis_timestamp"),
+}
 
 # A table that could not be analyzed shows no figures, only its error.
 _INVALID = {
-    "table_size_gb": 0.0,
-    "num_files": 0,
-    "avg_file_size_mb": 0.0,
-    "small_files_pct": 0.0,
-    "severe_small_files_pct": 0.0,
-    "file_skew_ratio": 0.0,
-    "file_skew_severity": "none",
-    "is_partitioned": False,
-    "partition_count": 0,
-    "partition_columns": "[]",
-    "partition_skew_ratio": 0.0,
-    "is_liquid_clustered": False,
-    "clustering_columns": "[]",
-    "zorder_columns": "[]",
-    "last_optimize": None,
-    "last_optimize_days_ago": None,
-    "optimize_status": "Never",
-    "last_vacuum": None,
-    "last_vacuum_days_ago": None,
-    "vacuum_status": "Never",
+    "table_size_gb": "0",
+    "num_files": "0",
+    "avg_file_size_mb": "0",
+    "small_files_pct": "0",
+    "severe_small_files_pct": "0",
+    "file_skew_ratio": "0",
+    "file_skew_severity": "'none'",
+    "is_partitioned": "false",
+    "partition_count": "0",
+    "partition_columns": "'[]'",
+    "partition_skew_ratio": "0",
+    "is_liquid_clustered": "false",
+    "clustering_columns": "'[]'",
+    "zorder_columns": "'[]'",
+    "last_optimize": "NULL",
+    "last_optimize_days_ago": "NULL",
+    "optimize_status": "'Never'",
+    "last_vacuum": "NULL",
+    "last_vacuum_days_ago": "NULL",
+    "vacuum_status": "'Never'",
 }
 
 
 def table_report(assessed: DataFrame) -> DataFrame:
     """The 33-column report, one row per table; lists are JSON, times ISO text."""
-    made = _report_columns()
 
-    def column(field) -> Column:
-        value = made.get(field.name, F.col(field.name))
+    def column(field) -> str:
+        value = _MADE.get(field.name, f"`{field.name}`")
         if field.name in _INVALID:
-            blank = F.lit(_INVALID[field.name]).cast(field.dataType)
-            value = F.when(F.col("is_valid"), value).otherwise(blank)
-        return value.cast(field.dataType).alias(field.name)
+            value = f"CASE WHEN is_valid THEN {value} ELSE {_INVALID[field.name]} END"
+        return f"CAST({value} AS {field.dataType.simpleString()}) AS `{field.name}`"
 
-    return assessed.select(*[column(f) for f in TABLE_REPORT.fields])
+    return assessed.selectExpr(*[column(f) for f in TABLE_REPORT.fields])
 
 
 def extended_report(assessed: DataFrame) -> DataFrame:
@@ -109,15 +95,13 @@ def extended_report(assessed: DataFrame) -> DataFrame:
     Adds what the 33 columns leave out, such as growth, partition-skew severity
     and where the layout figures come from.
     """
-    return assessed.withColumn("sql_commands", _commands())
+    return assessed.withColumn("sql_commands", F.expr(_COMMANDS))
 
 
 def issue_report(issue_rows: DataFrame) -> DataFrame:
     """The 13-column issue report; it keeps its schema when there is no issue."""
-    when = iso_text(F.col("analysis_timestamp"))
-    return issue_rows.withColumn("analysis_timestamp", when).select(
-        *[F.col(f.name).cast(f.dataType).alias(f.name) for f in ISSUES.fields]
-    )
+    when = F.expr(iso_text("analysis_timestamp"))
+    return issue_rows.withColumn("analysis_timestamp", when).select(*ISSUES.names)
 
 
 def fleet_summary(assessed: DataFrame) -> DataFrame:
@@ -131,10 +115,10 @@ def fleet_summary(assessed: DataFrame) -> DataFrame:
 
 def maintenance_sql(assessed: DataFrame) -> DataFrame:
     """Suggested statements, worst issue first, for the tables that have any."""
-    listed = assessed.select(
-        *KEY, "full_name", "health_status", F.posexplode(_commands()).alias("step", "statement")
+    listed = assessed.selectExpr(
+        *KEY, "full_name", "health_status", f"posexplode({_COMMANDS}) AS (at, statement)"
     )
-    return listed.withColumn("step", F.col("step") + 1)
+    return listed.selectExpr(*KEY, "full_name", "health_status", "at + 1 AS step", "statement")
 
 
 def report_history(saved: DataFrame, limit: int = 100) -> DataFrame:

@@ -17,12 +17,11 @@ Points decided on purpose:
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from ..config import LayoutConfig
-from ..functions import join_or_empty, number_text, quoted_name, severity_order
-from ..functions.text import quoted_list
+from ..functions import number_text, quoted_list, quoted_name, severity_order, sql_string
 
 ISSUE_FIELDS = (
     "severity_order",
@@ -39,340 +38,334 @@ ISSUE_FIELDS = (
 )
 
 
-def _text(*parts) -> Column:
-    return F.concat(*[p if isinstance(p, Column) else F.lit(str(p)) for p in parts])
+@dataclass(frozen=True)
+class Issue:
+    """One outcome of a rule; all fields are SQL expression texts."""
 
+    when: str
+    issue_id: str
+    severity: str
+    title: str
+    details: str
+    current_value: str
+    threshold: str
+    recommendation: str
+    sql_command: str = "CAST(NULL AS STRING)"
 
-def _plain(limit: float) -> str:
-    """A configured limit as short text: 32, 0.5, 1000."""
-    return f"{limit:g}" if limit < 1e6 else f"{limit:,.0f}"
 
+Rule = Callable[[LayoutConfig], tuple[Issue, ...]]
 
-def _issue(rule_no: int, issue_id, category: str, severity, **texts) -> Column:
-    def column(value) -> Column:
-        if isinstance(value, Column):
-            return value
-        return F.lit(value).cast("string")
-
-    level = column(severity)
-    return F.struct(
-        severity_order(level).alias("severity_order"),
-        F.lit(rule_no).alias("rule_no"),
-        column(issue_id).alias("issue_id"),
-        column(category).alias("category"),
-        level.alias("severity"),
-        *[column(texts.get(name)).alias(name) for name in ISSUE_FIELDS[5:]],
-    )
+_lit = sql_string
 
 
-def _mb(name: str) -> Column:
-    return _text(number_text(F.col(name)), " MB")
+class _Value(str):
+    """An expression inside a text, as opposed to literal words."""
 
 
-def _pct(name: str) -> Column:
-    return _text(number_text(F.col(name)), "%")
+def _join(*parts: str) -> str:
+    """Concatenate literal words and ``_Value`` expressions."""
+    return f"concat({', '.join(p if isinstance(p, _Value) else _lit(p) for p in parts)})"
 
 
-def _compact() -> Column:
-    """OPTIMIZE, with the z-order columns the table was ordered by before."""
-    ordered = F.when(
-        F.size("zorder_columns") > 0, _text(" ZORDER BY (", quoted_list(F.col("zorder_columns")), ")")
-    )
-    return _text("OPTIMIZE ", quoted_name(), F.coalesce(ordered, F.lit("")), ";")
+def _plain(limit: float) -> str:
+    """A configured limit as short text: 32, 0.5, 1000."""
+    return f"{limit:g}" if limit < 1e6 else f"{limit:,.0f}"
+
 
+def _number(column: str, digits: int = 2) -> _Value:
+    return _Value(number_text(column, digits))
 
-def small_files(config: LayoutConfig) -> Column:
+
+_NAME = _Value(quoted_name())
+_COMPACT = _join("OPTIMIZE ", _NAME, ";")
+# OPTIMIZE with the z-order columns the table was ordered by before.
+_REORDER = _join(
+    "OPTIMIZE ",
+    _NAME,
+    _Value(
+        "CASE WHEN size(zorder_columns) > 0 "
+        f"THEN concat(' ZORDER BY (', {quoted_list('zorder_columns')}, ')') ELSE '' END"
+    ),
+    ";",
+)
+
+
+def small_files(config: LayoutConfig) -> tuple[Issue, ...]:
     severe, acceptable = _plain(config.small_file_severe_mb), _plain(config.small_file_acceptable_mb)
-    average = F.col("avg_file_size_mb")
-    has_files = (F.col("num_files") > 0) & (average > 0)
-    critical = (average < config.small_file_severe_mb) | (
-        F.col("severe_small_files_pct") > config.small_files_pct_critical
-    )
-    warning = (average < config.small_file_acceptable_mb) | (
-        F.col("small_files_pct") > config.small_files_pct_warning
-    )
-    command = _text("OPTIMIZE ", quoted_name(), ";")
-    files = _text(number_text(F.col("num_files"), 0), " files of ", _mb("avg_file_size_mb"), " on average; ")
-    return F.when(
-        has_files & critical,
-        _issue(
-            1,
-            "SMALL_FILES_CRITICAL",
-            "small_files",
-            "critical",
-            title="Most files are far too small",
-            details=_text(
-                files,
-                _pct("severe_small_files_pct"),
-                f" are under {severe} MB and ",
-                _pct("small_files_pct"),
-                f" under {acceptable} MB",
+    files = (_number("num_files", 0), " files of ", _number("avg_file_size_mb"), " MB on average; ")
+    average = (_number("avg_file_size_mb"), " MB average, ")
+    under_severe = (_number("severe_small_files_pct"), "%")
+    under_acceptable = (_number("small_files_pct"), "%")
+    return (
+        Issue(
+            when=f"num_files > 0 AND avg_file_size_mb > 0 "
+            f"AND (avg_file_size_mb < {config.small_file_severe_mb}D "
+            f"OR severe_small_files_pct > {config.small_files_pct_critical}D)",
+            issue_id=_lit("SMALL_FILES_CRITICAL"),
+            severity=_lit("critical"),
+            title=_lit("Most files are far too small"),
+            details=_join(
+                *files, *under_severe, f" are under {severe} MB and ", *under_acceptable, f" under {acceptable} MB"
             ),
-            current_value=_text(
-                _mb("avg_file_size_mb"), " average, ", _pct("severe_small_files_pct"), f" under {severe} MB"
+            current_value=_join(*average, *under_severe, f" under {severe} MB"),
+            threshold=_lit(
+                f"average of {severe} MB or more, at most "
+                f"{_plain(config.small_files_pct_critical)}% under {severe} MB"
             ),
-            threshold=f"average of {severe} MB or more, at most "
-            f"{_plain(config.small_files_pct_critical)}% under {severe} MB",
-            recommendation="Compact the table now, then write larger batches so that it stays compact.",
-            sql_command=command,
+            recommendation=_lit("Compact the table now, then write larger batches so that it stays compact."),
+            sql_command=_COMPACT,
         ),
-    ).when(
-        has_files & warning,
-        _issue(
-            1,
-            "SMALL_FILES_WARNING",
-            "small_files",
-            "medium",
-            title="Many files are small",
-            details=_text(files, _pct("small_files_pct"), f" are under {acceptable} MB"),
-            current_value=_text(
-                _mb("avg_file_size_mb"), " average, ", _pct("small_files_pct"), f" under {acceptable} MB"
+        Issue(
+            when=f"num_files > 0 AND avg_file_size_mb > 0 "
+            f"AND (avg_file_size_mb < {config.small_file_acceptable_mb}D "
+            f"OR small_files_pct > {config.small_files_pct_warning}D)",
+            issue_id=_lit("SMALL_FILES_WARNING"),
+            severity=_lit("medium"),
+            title=_lit("Many files are small"),
+            details=_join(*files, *under_acceptable, f" are under {acceptable} MB"),
+            current_value=_join(*average, *under_acceptable, f" under {acceptable} MB"),
+            threshold=_lit(
+                f"average of {acceptable} MB or more, at most "
+                f"{_plain(config.small_files_pct_warning)}% under {acceptable} MB"
             ),
-            threshold=f"average of {acceptable} MB or more, at most "
-            f"{_plain(config.small_files_pct_warning)}% under {acceptable} MB",
-            recommendation="Compact the table and put compaction on a schedule.",
-            sql_command=command,
+            recommendation=_lit("Compact the table and put compaction on a schedule."),
+            sql_command=_COMPACT,
         ),
     )
 
 
-def file_skew(config: LayoutConfig) -> Column:
-    severity = F.col("file_skew_severity")
-    ratio = number_text(F.col("file_skew_ratio"))
-    return F.when(
-        severity != "none",
-        _issue(
-            2,
-            _text("FILE_SKEW_", F.upper(severity)),
-            "file_skew",
-            severity,
-            title=_text("File sizes are uneven (", F.initcap(severity), ")"),
-            details=_text(
+def file_skew(config: LayoutConfig) -> tuple[Issue, ...]:
+    return (
+        Issue(
+            when="file_skew_severity <> 'none'",
+            issue_id="concat('FILE_SKEW_', upper(file_skew_severity))",
+            severity="file_skew_severity",
+            title=_join("File sizes are uneven (", _Value("initcap(file_skew_severity)"), ")"),
+            details=_join(
                 "Largest file ",
-                _mb("max_file_size_mb"),
-                ", median ",
-                _mb("median_file_size_mb"),
-                ", smallest ",
-                _mb("min_file_size_mb"),
-                "; coefficient of variation ",
-                _pct("coefficient_of_variation"),
+                _number("max_file_size_mb"),
+                " MB, median ",
+                _number("median_file_size_mb"),
+                " MB, smallest ",
+                _number("min_file_size_mb"),
+                " MB; coefficient of variation ",
+                _number("coefficient_of_variation"),
+                "%",
+            ),
+            current_value=_join("largest file is ", _number("file_skew_ratio"), " times the median"),
+            threshold=_lit(f"at most {_plain(config.skew_low_threshold)} times"),
+            recommendation=_lit(
+                "Look at how the table is written, and spread rows evenly over tasks before writing."
             ),
-            current_value=_text("largest file is ", ratio, " times the median"),
-            threshold=f"at most {_plain(config.skew_low_threshold)} times",
-            recommendation="Look at how the table is written, and spread rows evenly over tasks before writing.",
         ),
     )
 
 
-def stale_optimize(config: LayoutConfig) -> Column:
-    limit = f"optimized within {config.optimize_stale_days} days"
-    age = F.col("days_since_last_optimize")
-    return F.when(
-        age.isNull(),
-        _issue(
-            3,
-            "OPTIMIZE_NEVER_RUN",
-            "stale_optimize",
-            "high",
-            title="Never compacted",
-            details="No OPTIMIZE is found in the commits looked at.",
-            current_value="never",
+def stale_optimize(config: LayoutConfig) -> tuple[Issue, ...]:
+    limit = _lit(f"optimized within {config.optimize_stale_days} days")
+    age = _Value("days_since_last_optimize")
+    return (
+        Issue(
+            when="days_since_last_optimize IS NULL",
+            issue_id=_lit("OPTIMIZE_NEVER_RUN"),
+            severity=_lit("high"),
+            title=_lit("Never compacted"),
+            details=_lit("No OPTIMIZE is found in the commits looked at."),
+            current_value=_lit("never"),
             threshold=limit,
-            recommendation="Compact the table and put compaction on a schedule.",
-            sql_command=_compact(),
+            recommendation=_lit("Compact the table and put compaction on a schedule."),
+            sql_command=_REORDER,
         ),
-    ).when(
-        age > config.optimize_stale_days,
-        _issue(
-            3,
-            "OPTIMIZE_STALE",
-            "stale_optimize",
-            "medium",
-            title="Compaction is overdue",
-            details=_text("The last OPTIMIZE is ", age.cast("string"), " days old."),
-            current_value=_text(age.cast("string"), " days ago"),
+        Issue(
+            when=f"days_since_last_optimize > {config.optimize_stale_days}",
+            issue_id=_lit("OPTIMIZE_STALE"),
+            severity=_lit("medium"),
+            title=_lit("Compaction is overdue"),
+            details=_join("The last OPTIMIZE is ", age, " days old."),
+            current_value=_join(age, " days ago"),
             threshold=limit,
-            recommendation="Compact the table, and do so more often.",
-            sql_command=_compact(),
+            recommendation=_lit("Compact the table, and do so more often."),
+            sql_command=_REORDER,
         ),
     )
 
 
-def stale_vacuum(config: LayoutConfig) -> Column:
-    limit = f"vacuumed within {config.vacuum_stale_days} days"
-    age = F.col("days_since_last_vacuum")
-    command = _text("VACUUM ", quoted_name(), f" RETAIN {config.vacuum_retain_hours} HOURS;")
-    return F.when(
-        age.isNull(),
-        _issue(
-            4,
-            "VACUUM_NEVER_RUN",
-            "stale_vacuum",
-            "medium",
-            title="Never vacuumed",
-            details="No VACUUM is found in the commits looked at.",
-            current_value="never",
+def stale_vacuum(config: LayoutConfig) -> tuple[Issue, ...]:
+    limit = _lit(f"vacuumed within {config.vacuum_stale_days} days")
+    age = _Value("days_since_last_vacuum")
+    command = _join("VACUUM ", _NAME, f" RETAIN {config.vacuum_retain_hours} HOURS;")
+    return (
+        Issue(
+            when="days_since_last_vacuum IS NULL",
+            issue_id=_lit("VACUUM_NEVER_RUN"),
+            severity=_lit("medium"),
+            title=_lit("Never vacuumed"),
+            details=_lit("No VACUUM is found in the commits looked at."),
+            current_value=_lit("never"),
             threshold=limit,
-            recommendation="Vacuum the table to free the space of files no longer in use, and repeat it on a schedule.",
+            recommendation=_lit(
+                "Vacuum the table to free the space of files no longer in use, and repeat it on a schedule."
+            ),
             sql_command=command,
         ),
-    ).when(
-        age > config.vacuum_stale_days,
-        _issue(
-            4,
-            "VACUUM_STALE",
-            "stale_vacuum",
-            "low",
-            title="Vacuum is overdue",
-            details=_text("The last VACUUM is ", age.cast("string"), " days old."),
-            current_value=_text(age.cast("string"), " days ago"),
+        Issue(
+            when=f"days_since_last_vacuum > {config.vacuum_stale_days}",
+            issue_id=_lit("VACUUM_STALE"),
+            severity=_lit("low"),
+            title=_lit("Vacuum is overdue"),
+            details=_join("The last VACUUM is ", age, " days old."),
+            current_value=_join(age, " days ago"),
             threshold=limit,
-            recommendation="Vacuum the table to free the space of files no longer in use.",
+            recommendation=_lit("Vacuum the table to free the space of files no longer in use."),
             sql_command=command,
         ),
     )
 
 
-def no_partitioning(config: LayoutConfig) -> Column:
-    size = _text(number_text(F.col("table_size_gb")), " GB")
-    large = F.col("table_size_gb") >= config.large_table_threshold_gb
-    sketch = _text(
-        "-- Pick the partition column first:\n-- CREATE TABLE ",
-        quoted_name(),
-        "_partitioned PARTITIONED BY (partition_column) AS SELECT * FROM ",
-        quoted_name(),
-        ";",
-    )
-    return F.when(
-        large & (F.size("partition_columns") == 0),
-        _issue(
-            5,
-            "LARGE_TABLE_NO_PARTITION",
-            "no_partitioning",
-            "high",
-            title="Large table without partitions",
-            details=_text("The table holds ", size, " in one unpartitioned set of files."),
-            current_value=_text(size, ", not partitioned"),
-            threshold=f"partitioned from {_plain(config.large_table_threshold_gb)} GB",
-            recommendation="Recreate the table partitioned by a column that queries filter on, such as a date.",
-            sql_command=sketch,
+def no_partitioning(config: LayoutConfig) -> tuple[Issue, ...]:
+    size = _number("table_size_gb")
+    return (
+        Issue(
+            when=f"table_size_gb >= {config.large_table_threshold_gb}D AND size(partition_columns) = 0",
+            issue_id=_lit("LARGE_TABLE_NO_PARTITION"),
+            severity=_lit("high"),
+            title=_lit("Large table without partitions"),
+            details=_join("The table holds ", size, " GB in one unpartitioned set of files."),
+            current_value=_join(size, " GB, not partitioned"),
+            threshold=_lit(f"partitioned from {_plain(config.large_table_threshold_gb)} GB"),
+            recommendation=_lit(
+                "Recreate the table partitioned by a column that queries filter on, such as a date."
+            ),
+            sql_command=_join(
+                "-- Pick the partition column first:\n-- CREATE TABLE ",
+                _NAME,
+                "_partitioned PARTITIONED BY (partition_column) AS SELECT * FROM ",
+                _NAME,
+                ";",
+            ),
         ),
     )
 
 
-def no_clustering(config: LayoutConfig) -> Column:
-    size = F.col("table_size_gb")
-    return F.when(
-        (size > config.clustering_min_gb)
-        & (size < config.large_table_threshold_gb)
-        & ~F.col("is_liquid_clustered"),
-        _issue(
-            6,
-            "NO_LIQUID_CLUSTERING",
-            "no_liquid_clustering",
-            "medium",
-            title="No clustering columns",
-            details=_text("The table holds ", number_text(size), " GB and has no clustering columns."),
-            current_value="not clustered",
-            threshold=f"clustered from {_plain(config.clustering_min_gb)} GB "
-            f"to {_plain(config.large_table_threshold_gb)} GB",
-            recommendation="Cluster the table by the columns that queries filter on.",
-            sql_command=_text("ALTER TABLE ", quoted_name(), " CLUSTER BY (column1, column2);"),
+def no_clustering(config: LayoutConfig) -> tuple[Issue, ...]:
+    return (
+        Issue(
+            when=f"table_size_gb > {config.clustering_min_gb}D "
+            f"AND table_size_gb < {config.large_table_threshold_gb}D AND NOT is_liquid_clustered",
+            issue_id=_lit("NO_LIQUID_CLUSTERING"),
+            severity=_lit("medium"),
+            title=_lit("No clustering columns"),
+            details=_join("The table holds ", _number("table_size_gb"), " GB and has no clustering columns."),
+            current_value=_lit("not clustered"),
+            threshold=_lit(
+                f"clustered from {_plain(config.clustering_min_gb)} GB "
+                f"to {_plain(config.large_table_threshold_gb)} GB"
+            ),
+            recommendation=_lit("Cluster the table by the columns that queries filter on."),
+            sql_command=_join("ALTER TABLE ", _NAME, " CLUSTER BY (column1, column2);"),
         ),
     )
 
 
-def no_zorder(config: LayoutConfig) -> Column:
-    size = F.col("table_size_gb")
-    return F.when(
-        (size > config.zorder_recommend_threshold_gb)
-        & (F.size("zorder_columns") == 0)
-        & ~F.col("is_liquid_clustered"),
-        _issue(
-            7,
-            "NO_ZORDER",
-            "no_zorder",
-            "medium",
-            title="Large table that was never z-ordered",
-            details=_text("The table holds ", number_text(size), " GB and no commit looked at z-ordered it."),
-            current_value="no z-order columns",
-            threshold=f"z-ordered or clustered above {_plain(config.zorder_recommend_threshold_gb)} GB",
-            recommendation="Z-order the table by the columns that queries filter on, or cluster it by them.",
-            sql_command=_text("OPTIMIZE ", quoted_name(), " ZORDER BY (column1, column2);"),
+def no_zorder(config: LayoutConfig) -> tuple[Issue, ...]:
+    return (
+        Issue(
+            when=f"table_size_gb > {config.zorder_recommend_threshold_gb}D "
+            "AND size(zorder_columns) = 0 AND NOT is_liquid_clustered",
+            issue_id=_lit("NO_ZORDER"),
+            severity=_lit("medium"),
+            title=_lit("Large table that was never z-ordered"),
+            details=_join(
+                "The table holds ", _number("table_size_gb"), " GB and no commit looked at z-ordered it."
+            ),
+            current_value=_lit("no z-order columns"),
+            threshold=_lit(f"z-ordered or clustered above {_plain(config.zorder_recommend_threshold_gb)} GB"),
+            recommendation=_lit(
+                "Z-order the table by the columns that queries filter on, or cluster it by them."
+            ),
+            sql_command=_join("OPTIMIZE ", _NAME, " ZORDER BY (column1, column2);"),
         ),
     )
 
 
-def excess_partitions(config: LayoutConfig) -> Column:
-    count = F.col("partition_count")
+def excess_partitions(config: LayoutConfig) -> tuple[Issue, ...]:
+    count = _number("partition_count", 0)
     texts = {
-        "details": _text(
-            number_text(count, 0), " partitions by ", join_or_empty(F.col("partition_columns"))
-        ),
-        "current_value": _text(number_text(count, 0), " partitions"),
-        "threshold": f"at most {config.max_partition_count:,} partitions",
+        "details": _join(count, " partitions by ", _Value("array_join(partition_columns, ', ')")),
+        "current_value": _join(count, " partitions"),
+        "threshold": _lit(f"at most {config.max_partition_count:,} partitions"),
     }
-    return F.when(
-        count > config.max_partition_count,
-        _issue(
-            8,
-            "EXCESS_PARTITIONS",
-            "excess_partitions",
-            "critical",
-            title="Too many partitions",
-            recommendation="Partition by fewer columns or by a coarser one, such as month instead of day.",
+    return (
+        Issue(
+            when=f"partition_count > {config.max_partition_count}",
+            issue_id=_lit("EXCESS_PARTITIONS"),
+            severity=_lit("critical"),
+            title=_lit("Too many partitions"),
+            recommendation=_lit("Partition by fewer columns or by a coarser one, such as month instead of day."),
             **texts,
         ),
-    ).when(
-        count > config.max_partition_count * config.high_partition_share,
-        _issue(
-            8,
-            "HIGH_PARTITION_COUNT",
-            "excess_partitions",
-            "medium",
-            title="Partition count nears its limit",
-            recommendation="Watch the partition count, and plan a coarser partitioning if it keeps rising.",
+        Issue(
+            when=f"partition_count > {config.max_partition_count * config.high_partition_share}D",
+            issue_id=_lit("HIGH_PARTITION_COUNT"),
+            severity=_lit("medium"),
+            title=_lit("Partition count nears its limit"),
+            recommendation=_lit("Watch the partition count, and plan a coarser partitioning if it keeps rising."),
             **texts,
         ),
     )
 
 
-def partition_skew(config: LayoutConfig) -> Column:
-    severity = F.col("partition_skew_severity")
-    return F.when(
-        F.col("has_partition_skew") & (severity != "none"),
-        _issue(
-            9,
-            _text("PARTITION_SKEW_", F.upper(severity)),
-            "partition_skew",
-            severity,
-            title=_text("Partition sizes are uneven (", F.initcap(severity), ")"),
-            details=_text(
+def partition_skew(config: LayoutConfig) -> tuple[Issue, ...]:
+    return (
+        Issue(
+            when="has_partition_skew AND partition_skew_severity <> 'none'",
+            issue_id="concat('PARTITION_SKEW_', upper(partition_skew_severity))",
+            severity="partition_skew_severity",
+            title=_join("Partition sizes are uneven (", _Value("initcap(partition_skew_severity)"), ")"),
+            details=_join(
                 "Largest partition ",
-                _mb("largest_partition_size_mb"),
-                ", median ",
-                _mb("median_partition_size_mb"),
-                ", smallest ",
-                _mb("smallest_partition_size_mb"),
+                _number("largest_partition_size_mb"),
+                " MB, median ",
+                _number("median_partition_size_mb"),
+                " MB, smallest ",
+                _number("smallest_partition_size_mb"),
+                " MB",
             ),
-            current_value=_text(
-                "largest partition is ", number_text(F.col("partition_skew_ratio")), " times the median"
+            current_value=_join("largest partition is ", _number("partition_skew_ratio"), " times the median"),
+            threshold=_lit(f"at most {_plain(config.partition_skew_threshold)} times"),
+            recommendation=_lit(
+                "Partition by a column, or a function of it, that spreads rows more evenly."
             ),
-            threshold=f"at most {_plain(config.partition_skew_threshold)} times",
-            recommendation="Partition by a column, or a function of it, that spreads rows more evenly.",
         ),
     )
 
 
-# In rule order, which breaks ties between issues of one severity.
-RULES = (
-    small_files,
-    file_skew,
-    stale_optimize,
-    stale_vacuum,
-    no_partitioning,
-    no_clustering,
-    no_zorder,
-    excess_partitions,
-    partition_skew,
-)
+# Rule order (it breaks ties between issues of one severity) and category.
+RULES: dict[str, Rule] = {
+    "small_files": small_files,
+    "file_skew": file_skew,
+    "stale_optimize": stale_optimize,
+    "stale_vacuum": stale_vacuum,
+    "no_partitioning": no_partitioning,
+    "no_liquid_clustering": no_clustering,
+    "no_zorder": no_zorder,
+    "excess_partitions": excess_partitions,
+    "partition_skew": partition_skew,
+}
+
+
+def raised(category: str, config: LayoutConfig) -> str:
+    """The issue a rule raises for a row: the first whose condition holds, or null."""
+    rule_no = list(RULES).index(category) + 1
+
+    def struct(issue: Issue) -> str:
+        values = {
+            "severity_order": severity_order(issue.severity),
+            "rule_no": str(rule_no),
+            "category": _lit(category),
+        }
+        fields = (f"'{f}', {values.get(f) or getattr(issue, f)}" for f in ISSUE_FIELDS)
+        return f"named_struct({', '.join(fields)})"
+
+    whens = " ".join(f"WHEN {i.when} THEN {struct(i)}" for i in RULES[category](config))
+    return f"CASE WHEN NOT is_valid THEN NULL {whens} END"

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablevitals import Inventories, LayoutConfig
@@ -26,30 +26,22 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _keyed(rows: DataFrame, table: Column) -> DataFrame:
-    return rows.withColumns({"catalog": F.lit("lake"), "schema": F.lit("main"), "table": table})
-
-
-def _number(source: str = "source") -> Column:
-    return F.substring(source, 4, 10).cast("int")
+def _key(table: str) -> tuple[str, str, str]:
+    return "'lake' AS catalog", "'main' AS schema", f"{table} AS `table`"
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k, chars = F.col("k"), F.col("n_chars")
-    size = (
-        F.when(k % 4 == 0, chars * 8000)
-        .when(k % 4 == 1, chars * 60000)
-        .when(k % 4 == 2, 400000000 + chars * 20000)
-        .otherwise(60000000 + chars * 60000)
+    rows = _table(spark, sf_dir, "documents").selectExpr(
+        "*", "CAST(substring(source, 4) AS INT) % 4 AS style"
     )
-    rows = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars")
-    return _keyed(rows.withColumn("k", _number()), F.col("source")).select(
-        *KEY,
-        F.col("doc_id").cast("string").alias("path"),
-        F.col("doc_id").cast("string").alias("name"),
-        F.col("lang").alias("partition"),
-        size.alias("size_bytes"),
-        F.lit(None).cast("timestamp").alias("modification_time"),
+    return rows.selectExpr(
+        *_key("source"),
+        "CAST(doc_id AS STRING) AS path",
+        "CAST(doc_id AS STRING) AS name",
+        "lang AS partition",
+        """CASE style WHEN 0 THEN n_chars * 8000 WHEN 1 THEN n_chars * 60000
+           WHEN 2 THEN 400000000 + n_chars * 20000 ELSE 60000000 + n_chars * 60000 END AS size_bytes""",
+        "CAST(NULL AS TIMESTAMP) AS modification_time",
     )
 
 
@@ -57,94 +49,66 @@ def detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     sums = files(spark, sf_dir).groupBy(*KEY).agg(
         F.count(F.lit(1)).alias("numFiles"), F.sum("size_bytes").alias("bytes")
     )
-    k = _number("table")
-    return sums.select(
+    return sums.selectExpr("*", "CAST(substring(`table`, 4) AS INT) AS k").selectExpr(
         *KEY,
-        F.when(k == 19, "iceberg").otherwise("delta").alias("format"),
-        F.concat(F.lit("/lake/main/"), F.col("table")).alias("location"),
-        (F.col("bytes") * F.element_at(F.array(*map(F.lit, (1, 4, 16, 64, 256))), k % 5 + 1)).alias("sizeInBytes"),
+        "CASE WHEN k = 19 THEN 'iceberg' ELSE 'delta' END AS format",
+        "concat('/lake/main/', `table`) AS location",
+        "bytes * element_at(array(1L, 4L, 16L, 64L, 256L), k % 5 + 1) AS sizeInBytes",
         "numFiles",
-        F.when(k % 2 == 0, F.array(F.lit("lang"))).otherwise(F.array().cast("array<string>")).alias(
-            "partitionColumns"
-        ),
-        F.lit(None).cast("timestamp").alias("createdAt"),
-        F.lit(None).cast("timestamp").alias("lastModified"),
-        F.create_map().cast("map<string,string>").alias("properties"),
-        F.lit(1).alias("minReaderVersion"),
-        F.lit(2).alias("minWriterVersion"),
+        "CASE WHEN k % 2 = 0 THEN array('lang') ELSE CAST(array() AS ARRAY<STRING>) END AS partitionColumns",
+        "CAST(NULL AS TIMESTAMP) AS createdAt",
+        "CAST(NULL AS TIMESTAMP) AS lastModified",
+        "CAST(map() AS MAP<STRING, STRING>) AS properties",
+        "1 AS minReaderVersion",
+        "2 AS minWriterVersion",
     )
 
 
 def ddl(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources = _table(spark, sf_dir, "documents").select("source").distinct()
-    clause = (
-        F.when(_number() % 3 == 0, "\nCLUSTER BY (`a`, b)")
-        .when(_number() % 3 == 1, "\ncluster  by c")
-        .otherwise("")
+    return sources.selectExpr(
+        *_key("source"),
+        r"""concat('CREATE TABLE lake.main.', source, ' (a INT) USING delta',
+            CASE CAST(substring(source, 4) AS INT) % 3 WHEN 0 THEN '\nCLUSTER BY (`a`, b)'
+            WHEN 1 THEN '\ncluster  by c' ELSE '' END) AS ddl""",
     )
-    text = F.concat(F.lit("CREATE TABLE lake.main."), F.col("source"), F.lit(" (a INT) USING delta"), clause)
-    return _keyed(sources, F.col("source")).select(*KEY, text.alias("ddl"))
 
 
 def partition_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A partition inventory with thousands of partitions per table."""
-    rows = _table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_extendedprice")
-    table = F.concat(F.lit("src"), (F.col("l_suppkey") % 20).cast("string"))
-    return _keyed(rows, table).select(
-        *KEY,
-        F.col("l_orderkey").cast("string").alias("partition"),
-        (F.floor("l_extendedprice") * 1000).alias("size_bytes"),
+    return _table(spark, sf_dir, "lineitem").selectExpr(
+        *_key("concat('src', l_suppkey % 20)"),
+        "CAST(l_orderkey AS STRING) AS partition",
+        "floor(l_extendedprice) * 1000 AS size_bytes",
     )
 
 
 def count_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detail rows for the tables of ``partition_rows``, all partitioned."""
     sums = partition_rows(spark, sf_dir).groupBy(*KEY).agg(F.sum("size_bytes").alias("sizeInBytes"))
-    return sums.select(
-        *KEY,
-        F.lit("delta").alias("format"),
-        "sizeInBytes",
-        F.array(F.lit("orderkey")).alias("partitionColumns"),
-    )
+    return sums.selectExpr(*KEY, "'delta' AS format", "sizeInBytes", "array('orderkey') AS partitionColumns")
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = _table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
-    k, even = F.col("user_id") % 20, F.col("event_id") % 2 == 0
-    kind = F.col("event_type")
-    late = F.col("ts") >= F.lit("2024-01-06 00:00:00").cast("timestamp_ntz")
-    dropped = (
-        ((kind == "purchase") & k.isin(0, 7))
-        | ((kind == "error") & k.isin(3, 7))
-        | (kind.isin("purchase", "error") & k.isin(1, 5, 9) & late)
+    events = _table(spark, sf_dir, "events").selectExpr("*", "user_id % 20 AS k", "event_type AS kind")
+    kept = events.filter(
+        """NOT (kind = 'purchase' AND k IN (0, 7)) AND NOT (kind = 'error' AND k IN (3, 7))
+           AND NOT (kind IN ('purchase', 'error') AND k IN (1, 5, 9)
+                    AND ts >= TIMESTAMP_NTZ '2024-01-06 00:00:00')"""
     )
-    operation = (
-        F.when(kind == "view", "WRITE")
-        .when(kind == "signup", "MERGE")
-        .when(kind == "purchase", "OPTIMIZE")
-        .when((kind == "error") & even, "VACUUM START")
-        .when(kind == "error", "VACUUM END")
-        .when(even, "DELETE")
-        .otherwise("STREAMING UPDATE")
-    )
-    third, tenth = F.col("event_id") % 3, F.col("event_id") % 10
-    zorder = F.when(third == 0, '["c1","c2"]').when(third == 1, "[]").otherwise("c3, c4")
-    written = F.floor(F.col("value") * 1000000).cast("string")
-    metrics = (
-        F.when(tenth == 0, F.create_map(F.lit("numFiles"), F.lit("1")))
-        .when(tenth == 5, F.create_map(F.lit("numOutputBytes"), F.lit("n/a")))
-        .otherwise(F.create_map(F.lit("numOutputBytes"), written))
-    )
-    rows = _keyed(events.filter(~dropped), F.concat(F.lit("src"), k.cast("string")))
-    return rows.select(
-        *KEY,
-        F.col("event_id").alias("version"),
-        F.col("ts").cast("timestamp").alias("timestamp"),
-        operation.alias("operation"),
-        F.when(kind == "purchase", F.create_map(F.lit("zOrderBy"), zorder))
-        .otherwise(F.create_map().cast("map<string,string>"))
-        .alias("operationParameters"),
-        metrics.alias("operationMetrics"),
+    return kept.selectExpr(
+        *_key("concat('src', k)"),
+        "event_id AS version",
+        "CAST(ts AS TIMESTAMP) AS timestamp",
+        """CASE WHEN kind = 'view' THEN 'WRITE' WHEN kind = 'signup' THEN 'MERGE'
+           WHEN kind = 'purchase' THEN 'OPTIMIZE'
+           WHEN kind = 'error' THEN if(event_id % 2 = 0, 'VACUUM START', 'VACUUM END')
+           ELSE if(event_id % 2 = 0, 'DELETE', 'STREAMING UPDATE') END AS operation""",
+        """CASE WHEN kind = 'purchase' THEN map('zOrderBy', CASE event_id % 3
+             WHEN 0 THEN '["c1","c2"]' WHEN 1 THEN '[]' ELSE 'c3, c4' END)
+           ELSE CAST(map() AS MAP<STRING, STRING>) END AS operationParameters""",
+        """CASE event_id % 10 WHEN 0 THEN map('numFiles', '1') WHEN 5 THEN map('numOutputBytes', 'n/a')
+           ELSE map('numOutputBytes', CAST(floor(value * 1000000) AS STRING)) END AS operationMetrics""",
     )
 
 
@@ -155,5 +119,3 @@ def inventories(spark: SparkSession, sf_dir: str) -> Inventories:
         files=files(spark, sf_dir),
         history=history(spark, sf_dir),
     )
-
-

@@ -516,10 +516,12 @@ WHERE rn - 1 = least(floor(n * 95e0 / 100), n - 1)""",
     ),
     "excess_partitions": query(
         [PARTS, _COUNTS],
-        f"""SELECT {KEYS}, CASE WHEN n > 2700 THEN 'EXCESS_PARTITIONS' ELSE 'HIGH_PARTITION_COUNT' END AS issue_id,
-  CASE WHEN n > 2700 THEN 'critical' ELSE 'medium' END AS severity,
-  {counted("n")} || ' partitions' AS current_value, 'at most 2,700 partitions' AS threshold
-FROM counts WHERE n > 2700 * 0.8e0""",
+        f"""SELECT {KEYS}, n AS partition_count,
+  CASE WHEN n > 2700 THEN 'EXCESS_PARTITIONS' WHEN n > 2700 * 0.8e0 THEN 'HIGH_PARTITION_COUNT' END AS issue_id,
+  CASE WHEN n > 2700 THEN 'critical' WHEN n > 2700 * 0.8e0 THEN 'medium' END AS severity,
+  CASE WHEN n > 2700 * 0.8e0 THEN {counted("n")} || ' partitions' END AS current_value,
+  CASE WHEN n > 2700 * 0.8e0 THEN 'at most 2,700 partitions' END AS threshold
+FROM counts""",
     ),
     "partition_count_from_data": (
         "SELECT count(DISTINCT concat_ws('/', l_returnflag, l_linestatus, CAST(l_suppkey AS VARCHAR))) "

@@ -32,7 +32,7 @@ def _analysis(spark: SparkSession, sf_dir: str):
 
 
 def _iso(rows: DataFrame, *columns: str) -> DataFrame:
-    return rows.withColumns({c: fx.iso_text(F.col(c)) for c in columns})
+    return rows.withColumns({c: F.expr(fx.iso_text(c)) for c in columns})
 
 
 def _joined(rows: DataFrame, *columns: str) -> DataFrame:
@@ -102,12 +102,14 @@ def partition_balance(spark, sf_dir):
 
 
 def excess_partitions(spark, sf_dir):
-    """The partition-count rule over the same tables."""
+    """The partition-count rule over the same tables; no issue leaves nulls."""
     detail = ops.table_detail(I.count_detail(spark, sf_dir))
     counts = ops.partition_count(I.partition_rows(spark, sf_dir))
-    rows = detail.join(counts, list(KEY), "left").withColumn("analysis_timestamp", F.lit(None))
-    assessed = plans.assess(rows, I.COUNT_CONFIG, rules=(plans.rules.excess_partitions,))
-    return plans.issues(assessed).select(*KEY, "issue_id", "severity", "current_value", "threshold")
+    rows = detail.join(counts, list(KEY), "left")
+    assessed = plans.assess(rows, I.COUNT_CONFIG, rules=("excess_partitions",))
+    first = "try_element_at(issues, 1)"
+    fields = [f"{first}.{name} AS {name}" for name in ("issue_id", "severity", "current_value", "threshold")]
+    return assessed.selectExpr(*KEY, "partition_count", *fields)
 
 
 def partition_count_from_data(spark, sf_dir):
@@ -151,8 +153,8 @@ def optimize_cadence(spark, sf_dir):
 
 def recent_optimizes(spark, sf_dir):
     rows = ops.recent_optimizes(_recent(spark, sf_dir))
-    zorder = F.try_element_at("parameters", F.lit("zOrderBy")).alias("zorder_by")
-    return _iso(rows.select(*KEY, "position", "version", "timestamp", zorder), "timestamp")
+    zorder = "try_element_at(parameters, 'zOrderBy') AS zorder_by"
+    return _iso(rows.selectExpr(*KEY, "position", "version", "timestamp", zorder), "timestamp")
 
 
 def growth(spark, sf_dir):
@@ -161,10 +163,8 @@ def growth(spark, sf_dir):
 
 def weekday_pattern(spark, sf_dir):
     rows = ops.weekday_pattern(_recent(spark, sf_dir))
-    entries = F.transform(
-        F.map_entries("write_patterns"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))
-    )
-    return rows.withColumn("write_patterns", F.array_join(F.array_sort(entries), ","))
+    entries = "transform(map_entries(write_patterns), e -> concat(e.key, '=', e.value))"
+    return rows.withColumn("write_patterns", F.expr(f"array_join(array_sort({entries}), ',')"))
 
 
 # Detail --------------------------------------------------------------------
@@ -188,27 +188,33 @@ def scalar_helpers(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select(
         "event_id", "ts", "user_id", "event_type", "value"
     )
-    size = F.floor(F.col("value") * 1000000)
-    ts = F.col("ts").cast("timestamp")
-    age = fx.floor_days(fx.moment(I.AS_OF), ts) - 14
-    text = F.when(F.col("event_id") % 3 == 0, "n/a").otherwise(size.cast("string"))
-    bucket = F.col("user_id") % 5
-    return events.select(
+    prepared = events.selectExpr(
+        "*",
+        "floor(value * 1000000) AS size",
+        "CAST(ts AS TIMESTAMP) AS at",
+        "user_id % 5 AS bucket",
+        "concat('a, ', event_type) AS names_text",
+    ).selectExpr(
+        "*",
+        f"{fx.floor_days(fx.moment(I.AS_OF), 'at')} - 14 AS age_days",
+        "CASE WHEN event_id % 3 = 0 THEN 'n/a' ELSE CAST(size AS STRING) END AS size_text",
+    )
+    return prepared.selectExpr(
         "event_id",
-        fx.bytes_to_mb(size).alias("size_mb"),
-        fx.bytes_to_gb(size * 1000).alias("size_gb"),
-        fx.iso_text(ts).alias("iso"),
-        age.alias("age_days"),
-        fx.age_text(F.when(age != 7, age)).alias("age_text"),
-        fx.safe_divide(F.col("value"), bucket, -1.0).alias("quotient"),
-        fx.percent_of(bucket, F.lit(7)).alias("pct"),
-        fx.skew_severity(F.col("value") / 4, I.CONFIG).alias("tier"),
-        fx.weekday_name(ts).alias("weekday"),
-        fx.digits_to_number(text).cast("bigint").alias("digits"),
-        fx.number_text(F.col("value") * 1000).alias("grouped"),
-        fx.ratio_text(F.col("value")).alias("ratio"),
-        fx.operation_name(F.nullif("event_type", F.lit("error"))).alias("operation"),
-        F.array_join(fx.parse_zorder(F.concat(F.lit("a, "), F.col("event_type"))), "|").alias("names"),
+        f"{fx.bytes_to_mb('size')} AS size_mb",
+        f"{fx.bytes_to_gb('size * 1000')} AS size_gb",
+        f"{fx.iso_text('at')} AS iso",
+        "age_days",
+        f"{fx.age_text('nullif(age_days, 7)')} AS age_text",
+        f"{fx.safe_divide('value', 'bucket', -1.0)} AS quotient",
+        f"{fx.percent_of('bucket', '7')} AS pct",
+        f"{fx.skew_severity('value / 4', I.CONFIG)} AS tier",
+        f"{fx.weekday_name('at')} AS weekday",
+        f"CAST({fx.digits_to_number('size_text')} AS BIGINT) AS digits",
+        f"{fx.number_text('value * 1000')} AS grouped",
+        f"{fx.ratio_text('value')} AS ratio",
+        f"""{fx.operation_name("nullif(event_type, 'error')")} AS operation""",
+        f"array_join({fx.parse_zorder('names_text')}, '|') AS names",
     )
 
 
@@ -220,7 +226,7 @@ def small_file_issues(spark, sf_dir):
     profile = ops.file_profile(I.files(spark, sf_dir), I.CONFIG)
     detail = _detail(spark, sf_dir)
     layout = ops.layout_with_fallback(detail, profile, I.CONFIG)
-    rows = detail.join(layout, list(KEY)).withColumn("analysis_timestamp", F.lit(None))
+    rows = detail.join(layout, list(KEY)).withColumn("analysis_timestamp", F.expr(fx.moment(I.AS_OF)))
     found = plans.small_file_issues(rows, I.CONFIG)
     return found.select(*KEY, "issue_id", "category", "severity", "current_value", "sql_command")
 
