@@ -7,7 +7,10 @@ and a table of M megabytes has at most sqrt(200 * M) distinct rounded sizes (the
 k smallest ones add up to k*k/200 MB): about 141,000 for a 100 TB table. The
 second aggregation therefore has a bounded group whatever the number of files.
 
-Sums are whole numbers of 0.01 MB, so results do not depend on the partitioning.
+All sums are sums of whole numbers, so results do not depend on the partitioning,
+and the mean is the exact mean of the rounded sizes as doubles, rounded once. With
+two files every second mean lies on a tie of the 2-decimal rounding that follows,
+where the last bit of the double decides.
 """
 
 from pyspark.sql import DataFrame
@@ -16,6 +19,8 @@ from pyspark.sql import functions as F
 from ..functions import bytes_to_mb
 from ..schemas import KEY
 
+_UNIT = 1 << 59
+
 
 def size_histogram(rows: DataFrame, counts: str = "true", **flags: str) -> DataFrame:
     """Rows, bytes and flagged rows per table and rounded size.
@@ -33,6 +38,9 @@ def size_histogram(rows: DataFrame, counts: str = "true", **flags: str) -> DataF
 def size_summary(histogram: DataFrame, *flags: str) -> DataFrame:
     """Per table: count, bytes, and unrounded statistics of the rounded MB."""
     hundredths = "CAST(round(size_mb * 100) AS DECIMAL(14, 0))"
+    # A double of at least 0.01 is a whole number of 2^-59, split here at the point.
+    whole = "CAST(floor(size_mb) AS DECIMAL(13, 0))"
+    part = f"CAST(CAST((size_mb - floor(size_mb)) * {_UNIT}D AS BIGINT) AS DECIMAL(18, 0))"
     count = "CAST(n AS DECIMAL(12, 0))"
     aggregates = {
         "n": "sum(n)",
@@ -42,19 +50,29 @@ def size_summary(histogram: DataFrame, *flags: str) -> DataFrame:
         "median_mb": "percentile(size_mb, 0.5D, n)",
         "s1": f"CAST(sum({hundredths} * {count}) AS DECIMAL(20, 0))",
         "s2": f"CAST(sum(CAST({hundredths} * {hundredths} AS DECIMAL(26, 0)) * {count}) AS DECIMAL(38, 0))",
+        "whole": f"CAST(sum({whole} * {count}) AS DECIMAL(18, 0))",
+        "part": f"CAST(sum({part} * {count}) AS DECIMAL(36, 0))",
         **{name: f"sum({name})" for name in flags},
     }
     sums = histogram.groupBy(*KEY).agg(*[F.expr(a).alias(name) for name, a in aggregates.items()])
     spread = "CAST(CAST(n AS DECIMAL(17, 0)) * s2 AS DECIMAL(38, 0)) - CAST(s1 * s1 AS DECIMAL(38, 0))"
     pairs = "CAST(n AS DOUBLE) * CAST(n - 1 AS DOUBLE)"
-    return sums.selectExpr(
-        *KEY,
-        "n",
-        "bytes",
-        "min_mb",
-        "max_mb",
-        "median_mb",
-        "try_divide(CAST(s1 AS DOUBLE), CAST(n AS DOUBLE) * 100D) AS mean_mb",
-        f"coalesce(sqrt(try_divide(CAST({spread} AS DOUBLE), {pairs})) / 100D, 0D) AS stddev_mb",
-        *flags,
+    # Four times the total, divided by n; an odd last digit stands for a remainder,
+    # so that the cast to double rounds the true quotient.
+    quotient = "CAST((total - total % nullif(n, 0)) / nullif(n, 0) AS DECIMAL(38, 0))"
+    return (
+        sums.withColumn("total", F.expr(f"CAST(4 * (whole * {_UNIT}BD + part) AS DECIMAL(38, 0))"))
+        .withColumn("quotient", F.expr(quotient))
+        .selectExpr(
+            *KEY,
+            "n",
+            "bytes",
+            "min_mb",
+            "max_mb",
+            "median_mb",
+            f"""CAST(quotient + CASE WHEN total % nullif(n, 0) > 0 AND quotient % 2 = 0 THEN 1 ELSE 0 END AS DOUBLE)
+                / {4 * _UNIT}D AS mean_mb""",
+            f"coalesce(sqrt(try_divide(CAST({spread} AS DOUBLE), {pairs})) / 100D, 0D) AS stddev_mb",
+            *flags,
+        )
     )

@@ -56,6 +56,14 @@ def middle(values: str) -> str:
     return f"({s}[({n} + 1) // 2] + {s}[{n} // 2 + 1]) / 2e0"
 
 
+def mean(x: str) -> str:
+    """Exact mean of doubles of at least 0.01: each is a whole number of 2^-59."""
+    units = f"CAST(floor({x}) AS HUGEINT) * 576460752303423488 + CAST(({x} - floor({x})) * 576460752303423488e0 AS HUGEINT)"
+    total, n = f"(4 * CAST(sum({units}) AS HUGEINT))", f"count({x})"
+    odd = f"CASE WHEN {total} % {n} > 0 AND ({total} // {n}) % 2 = 0 THEN 1 ELSE 0 END"
+    return f"CASE WHEN {n} > 0 THEN CAST({total} // {n} + {odd} AS DOUBLE) / 2305843009213693952e0 END"
+
+
 # Inputs --------------------------------------------------------------------
 
 FILES = """
@@ -87,7 +95,7 @@ PROFILE = f"""
 per AS (SELECT tbl, size, {mb("size")} AS m FROM files),
 stats AS (
   SELECT tbl, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes, min(m) AS lo, max(m) AS hi,
-    sum(CAST(round(m * 100) AS BIGINT)) / (count(*) * 100e0) AS mean,
+    {mean("m")} AS mean,
     {middle("list(m)")} AS med, coalesce(stddev_samp(m), 0e0) AS sd,
     count(*) FILTER (size < 32 * 1048576) AS severe,
     count(*) FILTER (size < 128 * 1048576) AS small,
@@ -118,7 +126,7 @@ pmb AS (SELECT tbl, CASE WHEN size > 0 THEN {mb("size")} END AS m FROM psize),
 pstat AS (
   SELECT tbl, CAST(count(*) AS INTEGER) AS n, max(m) AS hi, min(m) AS lo,
     {middle("(list(m) FILTER (m IS NOT NULL))")} AS med,
-    sum(CAST(round(m * 100) AS BIGINT)) / (count(m) * 100e0) AS mean
+    {mean("m")} AS mean
   FROM pmb GROUP BY tbl)"""
 
 
