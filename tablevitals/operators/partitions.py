@@ -101,12 +101,14 @@ def partition_figures(joined: DataFrame, config: LayoutConfig) -> DataFrame:
 def join_partition_measures(
     rows: DataFrame, partitions: DataFrame, counts: DataFrame | None = None
 ) -> DataFrame:
-    """Left-join measures; ``counts`` replaces the counts found in the sizes."""
-    measures = partition_measures(partitions)
+    """Left-join measures; a count in ``counts`` wins over the one found in the sizes."""
+    joined = rows.join(partition_measures(partitions), list(KEY), "left")
     if counts is None:
-        return rows.join(measures, list(KEY), "left")
-    joined = rows.join(measures.drop("partition_count"), list(KEY), "left")
-    return joined.join(counts.select(*KEY, "partition_count"), list(KEY), "left")
+        return joined
+    stated = counts.select(*KEY, F.col("partition_count").alias("_stated"))
+    return joined.join(stated, list(KEY), "left").withColumn(
+        "partition_count", F.coalesce("_stated", "partition_count")
+    ).drop("_stated")
 
 
 def partition_stats(

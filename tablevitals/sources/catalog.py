@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,9 @@ from ..schemas import KEY, TABLE_DDL, TABLE_DETAIL, TABLE_HISTORY
 
 log = logging.getLogger(__name__)
 
+# What a failing command or write may raise; some Java errors come unconverted.
+ERRORS = (PySparkException, Py4JError)
+
 Runner = Callable[[str], DataFrame]
 
 TABLES = T.StructType([T.StructField(name, T.StringType(), True) for name in KEY])
@@ -39,7 +43,7 @@ def tables_in_schema(spark: SparkSession, catalog: str, schema: str) -> DataFram
     """Keys of the tables of a schema; none, with a log entry, when it cannot be listed."""
     try:
         shown = spark.sql(f"SHOW TABLES IN {quoted(catalog, schema)}")
-    except PySparkException as e:
+    except ERRORS as e:
         log.error("cannot list tables of %s.%s: %s", catalog, schema, e)
         return _no_tables(spark)
     return shown.filter("NOT isTemporary").select(
@@ -51,7 +55,7 @@ def tables_in_catalog(spark: SparkSession, catalog: str) -> DataFrame:
     """Keys of the tables of every schema but ``information_schema``."""
     try:
         shown = spark.sql(f"SHOW SCHEMAS IN {quoted(catalog)}")
-    except PySparkException as e:
+    except ERRORS as e:
         log.error("cannot list schemas of %s: %s", catalog, e)
         return _no_tables(spark)
     # The name is the first column: it is called namespace or databaseName.
@@ -85,7 +89,7 @@ def _per_table(
     def attempt(key: Row) -> tuple:
         try:
             found = read(key)
-        except PySparkException as e:
+        except ERRORS as e:
             found = {"error": str(e)}
         found = {**key.asDict(), **found}
         return tuple(found.get(name) for name in schema.names)
@@ -145,7 +149,7 @@ def partition_counts(
         name = quoted(*key)
         try:
             return {"partition_count": run(f"SHOW PARTITIONS {name}").count()}
-        except PySparkException:
+        except ERRORS:
             data = run(f"SELECT * FROM {name}")
             return partition_count_from_data(data, columns[tuple(key)]).first().asDict()
 

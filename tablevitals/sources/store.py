@@ -5,12 +5,11 @@ from __future__ import annotations
 import logging
 from typing import TYPE_CHECKING
 
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 from ..config import LayoutConfig
 from ..plans.report import report_history
-from .catalog import quoted
+from .catalog import ERRORS, quoted
 
 if TYPE_CHECKING:
     from ..plans.analyze import Analysis
@@ -35,7 +34,7 @@ def save_report(analysis: Analysis, config: LayoutConfig) -> bool:
         kept = type(analysis)(tables)
         _append(kept.report, config, config.output_table)
         _append(kept.issues, config, config.output_issues_table)
-    except PySparkException:
+    except ERRORS:
         log.exception("cannot save to %s", config.output_table_name())
         return False
     finally:
