@@ -36,9 +36,14 @@ def assess(metrics: DataFrame, config: LayoutConfig, rules: Iterable[str] = R.RU
 
 
 def issues(assessed: DataFrame) -> DataFrame:
-    """One row per issue, with its place in the table's list."""
-    rows = assessed.selectExpr(*KEY, "analysis_timestamp", "posexplode(issues) AS (at, issue)")
-    return rows.selectExpr(*KEY, "at + 1 AS position", "issue.*", "analysis_timestamp")
+    """One row per issue, with its place in the table's list.
+
+    An outer explode, since Spark infers a filter from an inner one that would
+    apply all rules a second time.
+    """
+    rows = assessed.selectExpr(*KEY, "analysis_timestamp", "posexplode_outer(issues) AS (at, issue)")
+    found = rows.filter("at IS NOT NULL")
+    return found.selectExpr(*KEY, "at + 1 AS position", "issue.*", "analysis_timestamp")
 
 
 def small_file_issues(metrics: DataFrame, config: LayoutConfig) -> DataFrame:

@@ -116,9 +116,10 @@ def fleet_summary(assessed: DataFrame) -> DataFrame:
 def maintenance_sql(assessed: DataFrame) -> DataFrame:
     """Suggested statements, worst issue first, for the tables that have any."""
     listed = assessed.selectExpr(
-        *KEY, "full_name", "health_status", f"posexplode({_COMMANDS}) AS (at, statement)"
+        *KEY, "full_name", "health_status", f"posexplode_outer({_COMMANDS}) AS (at, statement)"
     )
-    return listed.selectExpr(*KEY, "full_name", "health_status", "at + 1 AS step", "statement")
+    stated = listed.filter("at IS NOT NULL")
+    return stated.selectExpr(*KEY, "full_name", "health_status", "at + 1 AS step", "statement")
 
 
 def report_history(saved: DataFrame, limit: int = 100) -> DataFrame:

@@ -31,9 +31,11 @@ def _key(table: str) -> tuple[str, str, str]:
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "documents").selectExpr(
-        "*", "CAST(substring(source, 4) AS INT) % 4 AS style"
-    )
+    return files_of(_table(spark, sf_dir, "documents"))
+
+
+def files_of(documents: DataFrame) -> DataFrame:
+    rows = documents.selectExpr("*", "CAST(substring(source, 4) AS INT) % 4 AS style")
     return rows.selectExpr(
         *_key("source"),
         "CAST(doc_id AS STRING) AS path",
@@ -46,7 +48,11 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def detail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sums = files(spark, sf_dir).groupBy(*KEY).agg(
+    return detail_of(files(spark, sf_dir))
+
+
+def detail_of(files: DataFrame) -> DataFrame:
+    sums = files.groupBy(*KEY).agg(
         F.count(F.lit(1)).alias("numFiles"), F.sum("size_bytes").alias("bytes")
     )
     return sums.selectExpr("*", "CAST(substring(`table`, 4) AS INT) AS k").selectExpr(
@@ -65,7 +71,11 @@ def detail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ddl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sources = _table(spark, sf_dir, "documents").select("source").distinct()
+    return ddl_of(_table(spark, sf_dir, "documents"))
+
+
+def ddl_of(documents: DataFrame) -> DataFrame:
+    sources = documents.select("source").distinct()
     return sources.selectExpr(
         *_key("source"),
         r"""concat('CREATE TABLE lake.main.', source, ' (a INT) USING delta',
@@ -113,9 +123,11 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def inventories(spark: SparkSession, sf_dir: str) -> Inventories:
+    documents = _table(spark, sf_dir, "documents")
+    listed = files_of(documents)
     return Inventories(
-        detail=detail(spark, sf_dir),
-        ddl=ddl(spark, sf_dir),
-        files=files(spark, sf_dir),
+        detail=detail_of(listed),
+        ddl=ddl_of(documents),
+        files=listed,
         history=history(spark, sf_dir),
     )
