@@ -7,43 +7,21 @@ it needs no further shuffle and never sees an unbounded group.
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import LayoutConfig
 from ..functions import age_text, floor_days, moment, operation_name
 from ..schemas import KEY
+from .first import first_per_table
 
 # The operations followed, by upper-cased name.
 TRACKED = ("WRITE", "OPTIMIZE", "VACUUM END", "VACUUM START", "MERGE", "DELETE", "UPDATE")
 
-# Spark keeps only the first n rows of each group before the shuffle up to this n
-# (the default of spark.sql.optimizer.windowGroupLimitThreshold).
-_GROUP_LIMIT = 1000
-_SLICES = 64
-
-
-def newest(rows: DataFrame, order: list[Column], n: int, rank: str | None = None) -> DataFrame:
-    """The first n commits of each table in the given order.
-
-    Up to ``_GROUP_LIMIT`` rows Spark's group limit cuts each map task's rows
-    before the shuffle. Beyond it the commits of one table are first cut within
-    slices spread over the cluster, so the last step sees at most slices * n.
-    """
-    position = rank or "_rank"
-    if n > _GROUP_LIMIT:
-        slice_of = F.pmod(F.xxhash64("version"), F.lit(_SLICES))
-        within = Window.partitionBy(*KEY, "_slice").orderBy(*order)
-        sliced = rows.withColumn("_slice", slice_of).withColumn(position, F.row_number().over(within))
-        rows = sliced.filter(F.col(position) <= n).drop(position, "_slice")
-    window = Window.partitionBy(*KEY).orderBy(*order)
-    kept = rows.withColumn(position, F.row_number().over(window)).filter(F.col(position) <= n)
-    return kept if rank else kept.drop(position)
-
 
 def recent_history(history: DataFrame, config: LayoutConfig) -> DataFrame:
     """The newest ``max_history_records`` commits of each table."""
-    return newest(history, [F.col("version").desc()], config.max_history_records)
+    return first_per_table(history, [F.col("version").desc()], config.max_history_records, spread="version")
 
 
 def operation_counts(recent: DataFrame) -> DataFrame:

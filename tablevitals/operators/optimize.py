@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions import floor_days, parse_zorder, round_binary
 from ..schemas import KEY
-from .history import aggregate, named, newest
+from .first import first_per_table
+from .history import aggregate, named
 
 _IS_OPTIMIZE = "coalesce(upper(operation) = 'OPTIMIZE', false)"
 
@@ -71,6 +72,6 @@ def recent_optimizes(recent: DataFrame, n: int = 5) -> DataFrame:
     """The n latest optimizes with parameters, newest first (``position`` from 1)."""
     stated = optimize_commits(recent).filter("size(operationParameters) > 0")
     order = [F.col("timestamp").desc(), F.col("version").desc()]
-    return newest(stated, order, n, rank="position").selectExpr(
+    return first_per_table(stated, order, n, spread="version", rank="position").selectExpr(
         *KEY, "position", "version", "timestamp", "operationParameters AS parameters"
     )

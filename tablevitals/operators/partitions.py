@@ -6,18 +6,23 @@ from pyspark.sql import functions as F
 from ..config import LayoutConfig
 from ..functions import bytes_to_mb, round_binary, skew_severity
 from ..schemas import KEY
+from .first import first_per_table
 from .sizes import size_histogram, size_summary
 
 
-def partition_sizes(files: DataFrame) -> DataFrame:
+def partition_sizes(files: DataFrame, max_partitions_per_table: int | None = None) -> DataFrame:
     """Bytes per table and partition, over all levels of the partition path.
 
     Works on a file inventory and on a partition inventory alike. Map-side sums
     come before the shuffle, and the shuffle key includes the partition, so one
-    large table spreads over many tasks.
+    large table spreads over many tasks. ``max_partitions_per_table`` keeps the
+    first ones by name, for a quick look; by default every partition counts.
     """
     located = files.filter(F.col("partition").isNotNull())
-    return located.groupBy(*KEY, "partition").agg(F.sum("size_bytes").alias("size_bytes"))
+    sizes = located.groupBy(*KEY, "partition").agg(F.sum("size_bytes").alias("size_bytes"))
+    if max_partitions_per_table is None:
+        return sizes
+    return first_per_table(sizes, [F.col("partition")], max_partitions_per_table, spread="partition")
 
 
 def partition_count(partitions: DataFrame) -> DataFrame:

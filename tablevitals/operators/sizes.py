@@ -19,7 +19,11 @@ from pyspark.sql import functions as F
 from ..functions import bytes_to_mb
 from ..schemas import KEY
 
-_UNIT = 1 << 59
+# A double of at least 0.01 is a whole number of 2^-59: the bits after the point
+# are summed as two numbers, which fit a bigint up to 8 billion files of a table.
+_HIGH_BITS, _LOW_BITS = 29, 30
+# Likewise squares, for tables up to 2.8 EB. An overflow would fail in ANSI mode.
+_SQUARE_BASE = 1 << 15
 
 
 def size_histogram(rows: DataFrame, counts: str = "true", **flags: str) -> DataFrame:
@@ -37,31 +41,37 @@ def size_histogram(rows: DataFrame, counts: str = "true", **flags: str) -> DataF
 
 def size_summary(histogram: DataFrame, *flags: str) -> DataFrame:
     """Per table: count, bytes, and unrounded statistics of the rounded MB."""
-    hundredths = "CAST(round(size_mb * 100) AS DECIMAL(14, 0))"
-    # A double of at least 0.01 is a whole number of 2^-59, split here at the point.
-    whole = "CAST(floor(size_mb) AS DECIMAL(13, 0))"
-    part = f"CAST(CAST((size_mb - floor(size_mb)) * {_UNIT}D AS BIGINT) AS DECIMAL(18, 0))"
-    count = "CAST(n AS DECIMAL(12, 0))"
+    hundredths = "CAST(size_mb * 100 + 0.5D AS BIGINT)"
+    fraction = f"(size_mb - floor(size_mb)) * {1 << _HIGH_BITS}D"
     aggregates = {
         "n": "sum(n)",
         "bytes": "sum(bytes)",
         "min_mb": "min(CASE WHEN n > 0 THEN size_mb END)",
         "max_mb": "max(CASE WHEN n > 0 THEN size_mb END)",
         "median_mb": "percentile(size_mb, 0.5D, n)",
-        "s1": f"CAST(sum({hundredths} * {count}) AS DECIMAL(20, 0))",
-        "s2": f"CAST(sum(CAST({hundredths} * {hundredths} AS DECIMAL(26, 0)) * {count}) AS DECIMAL(38, 0))",
-        "whole": f"CAST(sum({whole} * {count}) AS DECIMAL(18, 0))",
-        "part": f"CAST(sum({part} * {count}) AS DECIMAL(36, 0))",
+        # Sum, and sum of squares in two digits, of the size in hundredths.
+        "s1": f"sum({hundredths} * n)",
+        "s2_high": f"sum({hundredths} * n * ({hundredths} DIV {_SQUARE_BASE}L))",
+        "s2_low": f"sum({hundredths} * n * ({hundredths} % {_SQUARE_BASE}L))",
+        # Sum of the size as a double: whole MB, and the fraction in two digits.
+        "whole": "sum(floor(size_mb) * n)",
+        "part_high": f"sum(floor({fraction}) * n)",
+        "part_low": f"sum(CAST(({fraction} - floor({fraction})) * {1 << _LOW_BITS}D AS BIGINT) * n)",
         **{name: f"sum({name})" for name in flags},
     }
     sums = histogram.groupBy(*KEY).agg(*[F.expr(a).alias(name) for name, a in aggregates.items()])
-    spread = "CAST(CAST(n AS DECIMAL(17, 0)) * s2 AS DECIMAL(38, 0)) - CAST(s1 * s1 AS DECIMAL(38, 0))"
+    joined = {
+        "s1": "CAST(s1 AS DECIMAL(19, 0))",
+        "s2": f"CAST(s2_high * {_SQUARE_BASE}BD + s2_low AS DECIMAL(36, 0))",
+        "total": f"CAST(4 * ((whole * {1 << _HIGH_BITS}BD + part_high) * {1 << _LOW_BITS}BD + part_low) AS DECIMAL(38, 0))",
+    }
+    spread = "CAST(CAST(n AS DECIMAL(19, 0)) * s2 AS DECIMAL(38, 0)) - CAST(s1 * s1 AS DECIMAL(38, 0))"
     pairs = "CAST(n AS DOUBLE) * CAST(n - 1 AS DOUBLE)"
     # Four times the total, divided by n; an odd last digit stands for a remainder,
     # so that the cast to double rounds the true quotient.
     quotient = "CAST((total - total % nullif(n, 0)) / nullif(n, 0) AS DECIMAL(38, 0))"
     return (
-        sums.withColumn("total", F.expr(f"CAST(4 * (whole * {_UNIT}BD + part) AS DECIMAL(38, 0))"))
+        sums.withColumns({name: F.expr(text) for name, text in joined.items()})
         .withColumn("quotient", F.expr(quotient))
         .selectExpr(
             *KEY,
@@ -71,7 +81,7 @@ def size_summary(histogram: DataFrame, *flags: str) -> DataFrame:
             "max_mb",
             "median_mb",
             f"""CAST(quotient + CASE WHEN total % nullif(n, 0) > 0 AND quotient % 2 = 0 THEN 1 ELSE 0 END AS DOUBLE)
-                / {4 * _UNIT}D AS mean_mb""",
+                / {4 << (_HIGH_BITS + _LOW_BITS)}D AS mean_mb""",
             f"coalesce(sqrt(try_divide(CAST({spread} AS DOUBLE), {pairs})) / 100D, 0D) AS stddev_mb",
             *flags,
         )

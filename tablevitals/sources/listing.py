@@ -18,10 +18,11 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import file_name, partition_of_path
+from ..operators.first import first_per_table
 from ..schemas import FILE_INVENTORY, KEY
 from .attribute import attribute_paths, existing, table_roots
 
@@ -158,7 +159,5 @@ def file_inventory(
     )
     files = named.select(*FILE_INVENTORY.names)
     if max_files_per_table is not None:
-        ordered = Window.partitionBy(*KEY).orderBy("path")
-        ranked = files.withColumn("_rank", F.row_number().over(ordered))
-        files = ranked.filter(F.col("_rank") <= max_files_per_table).drop("_rank")
+        files = first_per_table(files, [F.col("path")], max_files_per_table, spread="path")
     return files

@@ -22,6 +22,7 @@ def test_sizes_add_up_over_all_levels_and_skip_unpartitioned_rows(spark):
     found = {r.partition: r.size_bytes for r in ops.partition_sizes(rows).collect()}
     assert found == {"a=1/b=1": 11, "a=1/b=2": 1}
     assert ops.partition_count(rows).first().partition_count == 2
+    assert [r.partition for r in ops.partition_sizes(rows, max_partitions_per_table=1).collect()] == ["a=1/b=1"]
 
 
 def test_stats_equal_brute_force(spark):
