@@ -16,10 +16,12 @@ def collect_inventories(
 ) -> Inventories:
     """Discover tables, describe them, list their files, and read their commit logs."""
     detail = collect_details(spark, discover_tables(spark, config))
-    return inventories_of(spark, detail, scratch)
+    return inventories_of(spark, detail, config, scratch)
 
 
-def inventories_of(spark: SparkSession, detail: DataFrame, scratch: str | None = None) -> Inventories:
+def inventories_of(
+    spark: SparkSession, detail: DataFrame, config: LayoutConfig, scratch: str | None = None
+) -> Inventories:
     """Inventories of described tables; only those in the supported format are read."""
     located = detail.join(supported_tables(detail), list(KEY), "left_semi").select(
         *KEY, "location", "partitionColumns"
@@ -28,6 +30,6 @@ def inventories_of(spark: SparkSession, detail: DataFrame, scratch: str | None =
         detail=detail,
         ddl=collect_ddl(spark, located),
         files=file_inventory(spark, located, scratch=scratch),
-        history=commit_history(spark, located),
+        history=commit_history(spark, located, config.max_history_records),
         partition_counts=partition_counts(spark, located),
     )

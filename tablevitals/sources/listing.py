@@ -25,69 +25,14 @@ from ..functions import file_name, partition_of_path
 from ..operators.first import first_per_table
 from ..schemas import FILE_INVENTORY, KEY
 from .attribute import attribute_paths, existing, table_roots
+from .walk import ENTRY, directory_lister, roots_of, spread_paths
 
 DATA_SUFFIX = ".parquet"
 HIDDEN_PREFIX = "_"
 
-_ENTRY = (
-    ", ".join(f"`{k}` STRING" for k in KEY)
-    + ", root STRING, path STRING, is_dir BOOLEAN, size_bytes BIGINT, modification_time TIMESTAMP"
-)
-_COLUMNS = [*KEY, "root", "path", "is_dir", "size_bytes", "modification_time"]
 _MAX_DEPTH = 64
 
 
-def _directory_lister(suffix: str, hidden: str):
-    """The function that lists one level below each directory, for ``mapInPandas``.
-
-    It yields data files and subdirectories; names with the hidden prefix are left
-    out. A directory that cannot be read yields nothing, so a table without a
-    readable root has no files. Everything it needs is inside it, so executors
-    run it without this package installed.
-    """
-    columns, key, slice_rows = list(_COLUMNS), len(KEY), 10_000
-
-    def file_system(location: str):
-        from pyarrow import fs
-
-        scheme, colon, rest = location.partition(":")
-        if not colon or "/" in scheme:
-            return fs.LocalFileSystem(), location
-        if scheme == "file":
-            return fs.LocalFileSystem(), "/" + rest.lstrip("/")
-        # The S3 clients of other engines use schemes of their own.
-        return fs.FileSystem.from_uri(f"s3:{rest}" if scheme in ("s3a", "s3n") else location)
-
-    def children(row):
-        from pyarrow import fs
-
-        try:
-            system, path = file_system(row.path)
-            entries = system.get_file_info(fs.FileSelector(path, recursive=False))
-        except (OSError, ValueError):
-            return
-        for e in entries:
-            is_dir = e.type == fs.FileType.Directory
-            if not e.base_name.startswith(hidden) and (is_dir or e.base_name.endswith(suffix)):
-                size, when = (None, None) if is_dir else (e.size, e.mtime)
-                yield (*row[:key], row.root, f"{row.path}/{e.base_name}", is_dir, size, when)
-
-    def list_directories(batches):
-        from itertools import islice
-
-        import pandas as pd
-
-        rows = (row for batch in batches for row in batch.itertuples(index=False))
-        entries = (entry for row in rows for entry in children(row))
-        while found := list(islice(entries, slice_rows)):
-            frame = pd.DataFrame(found, columns=columns)
-            frame["size_bytes"] = frame["size_bytes"].astype("Int64")
-            frame["modification_time"] = pd.to_datetime(frame["modification_time"], utc=True)
-            yield frame
-
-    return list_directories
-
-
 def scratch_folder(spark: SparkSession) -> str:
     """A new folder in the shared place the session names for checkpoints."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -99,18 +44,13 @@ def scratch_folder(spark: SparkSession) -> str:
 def walk_files(spark: SparkSession, tables: DataFrame, scratch: str | None = None) -> DataFrame:
     """List the files of ``tables`` (key columns and ``location``) on the executors."""
     scratch = scratch or scratch_folder(spark)
-    root = F.rtrim(F.col("location"), F.lit("/"))
-    pending = tables.filter("location IS NOT NULL").select(
-        *KEY, root.alias("root"), root.alias("path")
-    )
-    lister = _directory_lister(DATA_SUFFIX, HIDDEN_PREFIX)
+    pending = roots_of(tables)
+    lister = directory_lister(DATA_SUFFIX, HIDDEN_PREFIX)
     levels = []
     for depth in range(_MAX_DEPTH):
         folder = f"{scratch}/level={depth}"
-        # Directories of one table differ in their path, so they spread out.
-        spread = pending.repartition(F.col("path")) if depth else pending.repartition(*KEY)
-        spread.mapInPandas(lister, _ENTRY).write.mode("overwrite").parquet(folder)
-        level = spark.read.schema(_ENTRY).parquet(folder)
+        spread_paths(pending).mapInPandas(lister, ENTRY).write.mode("overwrite").parquet(folder)
+        level = spark.read.schema(ENTRY).parquet(folder)
         levels.append(level.filter("NOT is_dir"))
         pending = level.filter("is_dir").select(*KEY, "root", "path")
         if pending.isEmpty():
@@ -124,7 +64,7 @@ def listed_files(spark: SparkSession, tables: DataFrame, batch: int = 2000) -> D
     roots = table_roots(tables)
     present = existing(spark, [r.location for r in roots])
     if not present:
-        return spark.createDataFrame([], _ENTRY).withColumn("relative_path", F.col("path"))
+        return spark.createDataFrame([], ENTRY).withColumn("relative_path", F.col("path"))
     reads = [
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)

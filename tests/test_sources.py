@@ -39,8 +39,9 @@ def lake(spark, tmp_path_factory):
         }
         with open(f"{base}/flat/_delta_log/{version:020d}.json", "w") as f:
             f.write(json.dumps({"commitInfo": commit}) + "\n" + json.dumps({"add": {"path": "x", "size": 1}}) + "\n")
-    with open(f"{base}/flat/_delta_log/_last_checkpoint", "w") as f:
-        f.write("{}")
+    for name in ("_last_checkpoint", "00000000000000000001.checkpoint.json", "latest.json"):
+        with open(f"{base}/flat/_delta_log/{name}", "w") as f:
+            f.write("{}")
     rows = [
         ("c", "s", "deep", f"{base}/a b/deep"),
         ("c", "s", "flat", f"file:{base}/flat/"),
@@ -115,9 +116,10 @@ def test_attribution_without_broadcast(spark, lake, monkeypatch):
     assert sorted(map(str, sources.file_inventory(spark, tables, how="reader").collect())) == before
 
 
-def test_commit_logs(spark, lake):
+@pytest.mark.parametrize("how", ["walk", "reader"])
+def test_commit_logs(spark, lake, how):
     _, tables = lake
-    history = sources.commit_history(spark, tables)
+    history = sources.commit_history(spark, tables, how=how)
     assert history.columns == TABLE_HISTORY.names
     rows = history.orderBy("version").collect()
     assert [(r["table"], r.version, r.operation) for r in rows] == [
@@ -127,7 +129,15 @@ def test_commit_logs(spark, lake):
     assert rows[1].operationParameters == {"zOrderBy": '["a"]'}
     assert rows[1].operationMetrics == {"numOutputBytes": "100"}
     nowhere = tables.filter("`table` = 'missing'")
-    assert sources.commit_history(spark, nowhere).count() == 0
+    assert sources.commit_history(spark, nowhere, how=how).count() == 0
+
+
+def test_commit_limit_reaches_the_listing(spark, lake):
+    _, tables = lake
+    newest = sources.commit_history(spark, tables, limit=2).collect()
+    assert sorted(r.version for r in newest) == [1, 2]
+    with pytest.raises(ValueError):
+        sources.commit_history(spark, tables, how="guess")
 
 
 def test_tables_of_schemas_and_catalogs(spark):
@@ -204,7 +214,7 @@ def test_collected_inventories_can_be_analyzed(spark, lake, tmp_path):
     base, _ = lake
     run = Commands(spark, base)
     detail = sources.collect_details(spark, spark.createDataFrame([("c", "s", "deep"), ("c", "s", "flat")], TABLES), run)
-    inputs = inventories_of(spark, detail, scratch=str(tmp_path / "s"))
+    inputs = inventories_of(spark, detail, LayoutConfig(), scratch=str(tmp_path / "s"))
     report = by_table(analyze(inputs, LayoutConfig(), datetime(2024, 3, 1)).report)
     # SHOW CREATE TABLE and SHOW PARTITIONS fail here: no clustering, counts from the listing.
     assert (report["deep"].is_liquid_clustered, report["deep"].partition_count) == (False, 3)
