@@ -60,10 +60,11 @@ def size_summary(histogram: DataFrame, *flags: str) -> DataFrame:
         **{name: f"sum({name})" for name in flags},
     }
     sums = histogram.groupBy(*KEY).agg(*[F.expr(a).alias(name) for name, a in aggregates.items()])
+    doubles = f"((whole * {1 << _HIGH_BITS}BD + part_high) * {1 << _LOW_BITS}BD + part_low)"
     joined = {
         "s1": "CAST(s1 AS DECIMAL(19, 0))",
         "s2": f"CAST(s2_high * {_SQUARE_BASE}BD + s2_low AS DECIMAL(36, 0))",
-        "total": f"CAST(4 * ((whole * {1 << _HIGH_BITS}BD + part_high) * {1 << _LOW_BITS}BD + part_low) AS DECIMAL(38, 0))",
+        "total": f"CAST(4 * {doubles} AS DECIMAL(38, 0))",
     }
     spread = "CAST(CAST(n AS DECIMAL(19, 0)) * s2 AS DECIMAL(38, 0)) - CAST(s1 * s1 AS DECIMAL(38, 0))"
     pairs = "CAST(n AS DOUBLE) * CAST(n - 1 AS DOUBLE)"
