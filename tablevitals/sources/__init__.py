@@ -3,6 +3,7 @@
 from .catalog import (
     collect_ddl,
     collect_details,
+    collect_history,
     discover_tables,
     history_of_table,
     tables_in_catalog,
@@ -16,6 +17,7 @@ from .store import read_reports, save_report
 __all__ = [
     "collect_ddl",
     "collect_details",
+    "collect_history",
     "collect_inventories",
     "commit_history",
     "discover_tables",

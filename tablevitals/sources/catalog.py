@@ -8,6 +8,7 @@ hand one DataFrame on; failures become rows with an ``error``.
 from __future__ import annotations
 
 import logging
+import uuid
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
@@ -20,6 +21,7 @@ from pyspark.sql import types as T
 
 from ..config import LayoutConfig
 from ..schemas import KEY, TABLE_DDL, TABLE_DETAIL, TABLE_HISTORY
+from .scratch import scratch_folder
 
 log = logging.getLogger(__name__)
 
@@ -170,3 +172,29 @@ def history_of_table(
     rows = run(f"DESCRIBE HISTORY {quoted(*key)} LIMIT {config.max_history_records}")
     keyed = rows.withColumns({name: F.lit(value) for name, value in zip(KEY, key)})
     return keyed.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in TABLE_HISTORY.fields])
+
+
+def collect_history(
+    spark: SparkSession,
+    tables: DataFrame,
+    config: LayoutConfig,
+    scratch: str | None = None,
+    run: Runner | None = None,
+    workers: int = 8,
+) -> DataFrame:
+    """Commits of many tables from the history command, for logs that cannot be read.
+
+    Each table's result, at most ``max_history_records`` rows, is written below the
+    scratch folder as it comes, so the driver never holds more than a few of them.
+    A table whose command fails has no history.
+    """
+    folder = scratch or scratch_folder(spark, "history")
+
+    def read(key: Row) -> dict:
+        history_of_table(spark, config, tuple(key), run).write.parquet(f"{folder}/{uuid.uuid4().hex}")
+        return {"done": True}
+
+    schema = T.StructType([*TABLES.fields, T.StructField("done", T.BooleanType())])
+    if _per_table(spark, tables, read, schema, workers).filter("done").isEmpty():
+        return spark.createDataFrame([], TABLE_HISTORY)
+    return spark.read.schema(TABLE_HISTORY).option("recursiveFileLookup", True).parquet(folder)

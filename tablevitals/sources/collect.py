@@ -6,30 +6,53 @@ from ..config import LayoutConfig
 from ..operators import supported_tables
 from ..plans.analyze import Inventories
 from ..schemas import KEY
-from .catalog import collect_ddl, collect_details, discover_tables, partition_counts
+from .catalog import (
+    collect_ddl,
+    collect_details,
+    collect_history,
+    discover_tables,
+    partition_counts,
+)
 from .commits import commit_history
 from .listing import file_inventory
 
 
 def collect_inventories(
-    spark: SparkSession, config: LayoutConfig, scratch: str | None = None
+    spark: SparkSession,
+    config: LayoutConfig,
+    scratch: str | None = None,
+    files: str = "walk",
+    history: str = "walk",
 ) -> Inventories:
-    """Discover tables, describe them, list their files, and read their commit logs."""
+    """Discover tables, describe them, list their files, and read their commits.
+
+    ``files`` and ``history`` say how: ``walk`` or ``reader``, and for the history
+    also ``command`` where the logs cannot be read.
+    """
     detail = collect_details(spark, discover_tables(spark, config))
-    return inventories_of(spark, detail, config, scratch)
+    return inventories_of(spark, detail, config, scratch, files, history)
 
 
 def inventories_of(
-    spark: SparkSession, detail: DataFrame, config: LayoutConfig, scratch: str | None = None
+    spark: SparkSession,
+    detail: DataFrame,
+    config: LayoutConfig,
+    scratch: str | None = None,
+    files: str = "walk",
+    history: str = "walk",
 ) -> Inventories:
     """Inventories of described tables; only those in the supported format are read."""
     located = detail.join(supported_tables(detail), list(KEY), "left_semi").select(
         *KEY, "location", "partitionColumns"
     )
+    if history == "command":
+        commits = collect_history(spark, located, config, scratch and f"{scratch}/history")
+    else:
+        commits = commit_history(spark, located, config.max_history_records, history)
     return Inventories(
         detail=detail,
         ddl=collect_ddl(spark, located),
-        files=file_inventory(spark, located, scratch=scratch),
-        history=commit_history(spark, located, config.max_history_records),
+        files=file_inventory(spark, located, files, scratch and f"{scratch}/files"),
+        history=commits,
         partition_counts=partition_counts(spark, located),
     )

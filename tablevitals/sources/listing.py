@@ -15,7 +15,6 @@ the inner table's files for both, the reader for the inner one only.
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +24,7 @@ from ..functions import file_name, partition_of_path
 from ..operators.first import first_per_table
 from ..schemas import FILE_INVENTORY, KEY
 from .attribute import attribute_paths, existing, table_roots
+from .scratch import scratch_folder
 from .walk import ENTRY, directory_lister, roots_of, spread_paths
 
 DATA_SUFFIX = ".parquet"
@@ -33,17 +33,9 @@ HIDDEN_PREFIX = "_"
 _MAX_DEPTH = 64
 
 
-def scratch_folder(spark: SparkSession) -> str:
-    """A new folder in the shared place the session names for checkpoints."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share, or pass scratch")
-    return f"{base.rstrip('/')}/listing-{uuid.uuid4().hex}"
-
-
 def walk_files(spark: SparkSession, tables: DataFrame, scratch: str | None = None) -> DataFrame:
     """List the files of ``tables`` (key columns and ``location``) on the executors."""
-    scratch = scratch or scratch_folder(spark)
+    scratch = scratch or scratch_folder(spark, "listing")
     pending = roots_of(tables)
     lister = directory_lister(DATA_SUFFIX, HIDDEN_PREFIX)
     levels = []

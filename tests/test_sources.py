@@ -208,6 +208,17 @@ def test_commands_per_table(spark, lake):
     assert history.first().operation == "WRITE"
 
 
+def test_history_command_for_many_tables(spark, lake, tmp_path):
+    run = Commands(spark, lake[0])
+    config = LayoutConfig(max_history_records=7)
+    tables = spark.createDataFrame([("c", "s", t) for t in ("deep", "_fl/at", "gone")], TABLES)
+    history = sources.collect_history(spark, tables, config, str(tmp_path / "h"), run)
+    assert history.schema == TABLE_HISTORY
+    assert sorted((r["table"], r.version) for r in history.collect()) == [("_fl/at", 5), ("deep", 5)]
+    failing = spark.createDataFrame([("c", "s", "gone")], TABLES)
+    assert sources.collect_history(spark, failing, config, str(tmp_path / "g"), run).count() == 0
+
+
 def test_collected_inventories_can_be_analyzed(spark, lake, tmp_path):
     from tablevitals import analyze
 
