@@ -34,7 +34,10 @@ _MAX_DEPTH = 64
 
 
 def walk_files(spark: SparkSession, tables: DataFrame, scratch: str | None = None) -> DataFrame:
-    """List the files of ``tables`` (key columns and ``location``) on the executors."""
+    """List the files of ``tables`` (key columns and ``location``) on the executors.
+
+    The snapshot stays in the scratch folder, as the result reads from it.
+    """
     scratch = scratch or scratch_folder(spark, "listing")
     pending = roots_of(tables)
     lister = directory_lister(DATA_SUFFIX, HIDDEN_PREFIX)

@@ -233,3 +233,18 @@ def test_collected_inventories_can_be_analyzed(spark, lake, tmp_path):
     # The files are so small that their mean rounds to 0 MB, which the small-file rule skips.
     assert (report["deep"].avg_file_size_mb, report["deep"].health_status) == (0.0, "warning")
     assert set(report["deep"].asDict()) >= set(KEY)
+
+
+def test_analysis_of_a_catalog_without_the_table_format(spark):
+    """Here DESCRIBE DETAIL fails: a single table reports it, a scan skips such tables."""
+    from tablevitals import run_analysis
+
+    spark.sql("CREATE DATABASE IF NOT EXISTS plain")
+    spark.sql("CREATE TABLE IF NOT EXISTS plain.t (a INT) USING parquet")
+    single = LayoutConfig(schema="plain", table="t", persist_results=False)
+    row = run_analysis(spark, single).report.first()
+    assert (row["table"], row.health_status, row.optimize_status) == ("t", "error", "Never")
+    assert row.error
+    scan = LayoutConfig(scan_mode="schema", schema="plain", persist_results=False)
+    assert run_analysis(spark, scan).report.count() == 0
+    assert run_analysis(spark, LayoutConfig(scan_mode="catalog", persist_results=False)).summary.first().tables == 0
