@@ -147,3 +147,20 @@ def test_layout_falls_back_to_detail_averages(spark):
     assert (rows["severe"].small_files_pct, rows["severe"].severe_small_files_pct) == (100.0, 100.0)
     assert (rows["large"].small_files_pct, rows["large"].file_skew_severity) == (0.0, "none")
     assert (rows["no_files"].avg_file_size_mb, rows["no_location"].total_files) == (0.0, 0)
+
+
+def test_rounding_ties_of_small_tables(spark):
+    """Means and medians of few files often lie on a tie of the 2-decimal rounding."""
+    rng = random.Random(11)
+    fleet = {
+        f"t{i}": [rng.randint(0, 300 * 2 ** rng.randint(10, 22)) for _ in range(rng.choice([1, 2, 2, 2, 4, 5, 8]))]
+        for i in range(3000)
+    }
+    found = by_table(ops.file_profile(files_frame(spark, fleet), CONFIG))
+    wrong = {}
+    for table, sizes in fleet.items():
+        expected = brute_force(sizes)
+        actual = {name: found[table][name] for name in expected}
+        if actual != expected:
+            wrong[table] = {n: (actual[n], expected[n]) for n in expected if actual[n] != expected[n]}
+    assert wrong == {}
