@@ -11,12 +11,12 @@ Nothing is compared all with all:
 * Documents with equal sets form a class, and its smallest id stands for it.
 * In a bucket, the members are checked against its smallest id (the pivot) first. What is
   linked that way is one component; members of a bucket that already share one need no check.
-* Only pairs of a bucket that lie in different components then remain. They are checked in
-  rounds with 4, 16, 64 ... further pivots a bucket, and components are joined in between,
-  until no bucket holds an unchecked pair of two components. No pair is dropped.
+* Only buckets that then hold several components go on. Their members are cut in blocks of
+  at most CELL by hash, and each pair of blocks is one cell, whose task counts what the sets
+  share and returns just the pairs that pass, never the pairs it looks at. No pair is dropped.
 
-Every link is confirmed on the full sets. Rounds write to scratch, so that a lost executor costs
-one round's tasks. Defined results: null or wordless texts have n_shingles 0 and are linked with
+Every link is confirmed on the full sets. Steps write to scratch, so that a lost executor costs
+one step's tasks. Defined results: null or wordless texts have n_shingles 0 and are linked with
 nothing; rows with the same id and text are one document; a null id is linked with nothing and
 kept; only doc_id and text are read, whatever other columns there are.
 """
@@ -25,24 +25,48 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from tablevitals.llm.common import WordHashes, empty, mixed, stored, words_of
 
 ROWS, BANDS, SHINGLE = 5, 51, 5
-_BLOCK = 512  # shingles whose coordinates are computed at once
+CELL = 256  # members of a block; a task compares two blocks at most
+_COLUMNS = 16_384  # values whose owners are compared at once
+_BLOCK = 64  # shingles whose coordinates are computed at once
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
 
 
-def shingle_set(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of the word n-grams; fewer words than that make one."""
-    count = min(size, len(words))
-    if not count:
-        return np.empty(0, dtype=np.uint64)
+def _shingles(words: np.ndarray, count: int) -> np.ndarray:
     total = np.full(len(words) - count + 1, count, dtype=np.uint64)
     for place in range(count):
         total += mixed(words[place : len(words) - count + 1 + place] ^ _FACTORS[place % 5]) * _FACTORS[place % 5]
-    return np.unique(mixed(total))
+    return mixed(total)
+
+
+def shingle_set(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of the word n-grams; fewer words than that make one."""
+    return np.unique(_shingles(words, min(size, len(words)))) if len(words) else np.empty(0, dtype=np.uint64)
+
+
+def shingle_sets_of(texts, hashes: WordHashes, at_once: int = 100_000):
+    """A shingle set for each text (Arrow strings), hashed many texts at once."""
+    waiting, count = [], 0
+
+    def made():
+        if count < SHINGLE:
+            yield from map(shingle_set, waiting)
+            return
+        grams, at = _shingles(np.concatenate(waiting), SHINGLE), 0
+        for words in waiting:
+            yield np.unique(grams[at : at + len(words) - SHINGLE + 1]) if len(words) >= SHINGLE else shingle_set(words)
+            at += len(words)
+
+    for text in texts:
+        waiting.append(hashes.of(words_of(text.as_py())))
+        count += len(waiting[-1])
+        if count >= at_once:
+            yield from made()
+            waiting, count = [], 0
+    yield from made()
 
 
 class Signer:
@@ -50,21 +74,21 @@ class Signer:
 
     def __init__(self, rows: int = ROWS, bands: int = BANDS):
         self.rows, self.bands = rows, bands
-        self.shifts = np.arange(rows * bands, dtype=np.uint32)[:, None]
-        self.space = np.empty((rows * bands, _BLOCK), dtype=np.uint32), np.empty((rows * bands, _BLOCK), dtype=np.uint32)
+        self.shifts = np.arange(rows * bands, dtype=np.uint32)[None, :]
+        self.space = np.empty((_BLOCK, rows * bands), dtype=np.uint32), np.empty((_BLOCK, rows * bands), dtype=np.uint32)
 
     def signature(self, shingles: np.ndarray) -> np.ndarray:
         places = (mixed(shingles ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(32)).astype(np.uint32)
         least = np.full(self.rows * self.bands, 0xFFFFFFFF, dtype=np.uint32)
         for start in range(0, len(places), _BLOCK):
             part = places[start : start + _BLOCK]
-            x, y = self.space[0][:, : len(part)], self.space[1][:, : len(part)]
-            np.add(part[None, :], self.shifts, out=x)
+            x, y = self.space[0][: len(part)], self.space[1][: len(part)]
+            np.add(part[:, None], self.shifts, out=x)
             x *= np.uint32(0x7FEB352D)
             np.right_shift(x, np.uint32(15), out=y)
             x ^= y
             x *= np.uint32(0x846CA68B)
-            np.minimum(least, x.min(axis=1), out=least)
+            np.minimum(least, np.minimum.reduce(x, axis=0), out=least)
         return least
 
     def buckets(self, shingles: np.ndarray) -> np.ndarray:
@@ -82,8 +106,7 @@ def signatures(docs: DataFrame, rows: int = ROWS, bands: int = BANDS) -> DataFra
         words, signer = WordHashes(), Signer(rows, bands)
         for batch in batches:
             sizes, keys, found = [], [], []
-            for text in batch.column(1):
-                shingles = shingle_set(words.of(words_of(text.as_py())))
+            for shingles in shingle_sets_of(batch.column(1), words):
                 sizes.append(len(shingles))
                 if len(shingles):
                     with np.errstate(over="ignore"):
@@ -104,7 +127,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     def make(batches):
         words = WordHashes()
         for batch in batches:
-            sets = [shingle_set(words.of(words_of(text.as_py()))).view(np.int64) for text in batch.column(1)]
+            sets = [found.view(np.int64) for found in shingle_sets_of(batch.column(1), words)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
     return docs.select("doc_id", "text").mapInArrow(make, "node long, shingles array<long>")
@@ -152,6 +175,50 @@ def open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
     return all_members.join(mixed_ones, "bucket", "left_semi")
 
 
+def _shared(first: np.ndarray, second: np.ndarray, owners: int) -> np.ndarray:
+    """How many values each two owners share; first holds values, second whose they are."""
+    order = np.argsort(first, kind="stable")
+    first, second = first[order], second[order]
+    starts = np.flatnonzero(np.append(True, first[1:] != first[:-1]))
+    sizes = np.diff(np.append(starts, len(first)))
+    often = np.repeat(sizes > 1, sizes)
+    column = np.repeat(np.cumsum(sizes > 1) - 1, sizes)[often]
+    second = second[often]
+    total = np.zeros((owners, owners), dtype=np.float32)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, _COLUMNS):
+        lo, hi = np.searchsorted(column, [start, start + _COLUMNS])
+        has = np.zeros((owners, _COLUMNS), dtype=np.float32)
+        has[second[lo:hi], column[lo:hi] - start] = 1
+        total += has @ has.T
+    return total
+
+
+def pairs_in_cells(members: DataFrame, sets: DataFrame, cell: int = CELL) -> DataFrame:
+    """Distinct pairs (a, b) that share a bucket, have different labels, and pass by 32-bit hashes."""
+    sizes = members.groupBy("bucket").agg(F.ceil(F.count("*") / cell).cast("int").alias("blocks"))
+    dealt = members.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    other = F.explode(F.expr("sequence(0, blocks - 1)"))
+    dealt = dealt.select("bucket", "node", "label", "block", other.alias("other"))
+    short = sets.select("node", F.transform("shingles", lambda x: F.shiftright(x, 32).cast("int")).alias("short"))
+    rows = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label")
+
+    def compare(key, cell_rows):
+        cell_rows = cell_rows.sort_by("node")
+        node, label, block = (cell_rows.column(name).to_numpy() for name in ("node", "label", "block"))
+        lists = cell_rows.column("short").combine_chunks()
+        lists = lists.chunks[0] if isinstance(lists, pa.ChunkedArray) else lists
+        sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+        common = _shared(lists.flatten().to_numpy(), np.repeat(np.arange(len(node)), sizes), len(node))
+        passed = 100 * common >= 75 * (sizes[:, None] + sizes[None, :] - common) - 2
+        passed &= (label[:, None] != label[None, :]) & (node[:, None] < node[None, :])
+        if key[1].as_py() != key[2].as_py():  # pairs within one block belong to its own cell
+            passed &= block[:, None] != block[None, :]
+        a, b = np.nonzero(passed)
+        return pa.table({"a": node[a], "b": node[b]})
+
+    return rows.join(short, "node").groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+
+
 def linked(docs: DataFrame, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of docs; see the module."""
     signed = stored(signatures(docs, rows, bands), "signatures")
@@ -172,21 +239,10 @@ def linked(docs: DataFrame, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     edges = stored(confirmed(first.select("a", "b"), sets), "links")
     labels = stored(components(edges), "labels")
 
-    done, more = 1, 4
-    rest = stored(open_buckets(members.select("bucket", "node", "n_shingles"), labels), "open")
-    while not empty(rest):
-        ranked = stored(rest.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("node"))), "ranked")
-        pivots = ranked.where((F.col("place") > done) & (F.col("place") <= done + more)).select("bucket", F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("n_shingles").alias("n_a"), F.col("place").alias("place_a"))
-        if empty(pivots):
-            break
-        pairs = ranked.join(pivots, "bucket").where("place > place_a and label <> label_a and 100L * least(n_a, n_shingles) >= 75L * greatest(n_a, n_shingles)")
-        found = stored(confirmed(pairs.select("a", F.col("node").alias("b")).distinct(), sets), "links")
-        done, more = done + more, more * 4
-        if not empty(found):
-            edges = edges.union(found)
-            labels = stored(components(labels.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")).union(found)), "labels")
-        # Places stay as they were: a bucket's members never change, only whether it is open.
-        rest = stored(open_buckets(ranked.select("bucket", "node", "n_shingles", "place"), labels), "open")
-        rest = rest.drop("place")
+    rest = stored(open_buckets(members.select("bucket", "node"), labels), "open")
+    if not empty(rest):
+        found = stored(confirmed(pairs_in_cells(rest, sets), sets), "links")
+        known = labels.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
+        labels = stored(components(known.union(found)), "labels")
     result = nodes.join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("label", "node").alias("component_id"))
     return result.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
