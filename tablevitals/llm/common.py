@@ -38,6 +38,19 @@ def stored(frame: DataFrame, purpose: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def tokenizer_path(name: str) -> str:
+    """A vocabulary file of the installed package of public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def tokenizer_pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
 def empty(frame: DataFrame) -> bool:
     return not frame.take(1)
 

@@ -2,8 +2,8 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablevitals.llm import minhash
-from tablevitals.llm.common import table
+from tablevitals.llm import attribution, minhash, packing, scoring
+from tablevitals.llm.common import table, tokenizer_path, tokenizer_pattern
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -11,6 +11,27 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.linked(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_minhash_dedup": op1_minhash_dedup}
+def op4_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every document; a token over a boundary goes to its first line."""
+    documents = table(spark, sf_dir, "documents")
+    return attribution.token_counts(documents, tokenizer_path("byte_bpe_50k.tiktoken"), tokenizer_pattern(), "start")
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every document in sequences of 2048 tokens."""
+    return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scores of every document under a bigram model of those not held out."""
+    return scoring.scored(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_minhash_dedup": op1_minhash_dedup,
+    "op4_token_attribution": op4_token_attribution,
+    "op7_packing": op7_packing,
+    "op9_lm_scoring": op9_lm_scoring,
+}
 
 ORACLE: dict[str, str] = {}
