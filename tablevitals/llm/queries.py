@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablevitals.llm import attribution, minhash, packing, scoring
+from tablevitals.llm import attribution, minhash, packing, quality, scoring, sharding
 from tablevitals.llm.common import table, tokenizer_path, tokenizer_pattern
 
 
@@ -17,11 +17,24 @@ def op4_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution.token_counts(documents, tokenizer_path("byte_bpe_50k.tiktoken"), tokenizer_pattern(), "start")
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of every document, and whether it passes the fences of its language and source."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    rows, name = quality.judged(documents.withColumn("doc_id", documents.doc_id.cast("long")))
+    columns = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return rows.select("doc_id", *(f"{name}.{column}" for column in columns))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of every document in sequences of 2048 tokens."""
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op8_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one of 40 shards of near-equal bytes."""
+    return sharding.sharded(table(spark, sf_dir, "documents"), 40)
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scores of every document under a bigram model of those not held out."""
     return scoring.scored(table(spark, sf_dir, "documents"))
@@ -30,7 +43,9 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op4_token_attribution": op4_token_attribution,
+    "op6_quality_rules": op6_quality_rules,
     "op7_packing": op7_packing,
+    "op8_virtual_slots": op8_virtual_slots,
     "op9_lm_scoring": op9_lm_scoring,
 }
 
