@@ -39,7 +39,7 @@ RULES = {
     "symbol_ratio": ("n_symbols / word_chars", False, 0.004),
     "word_length": ("word_chars / n_words", True, 0.3),
     "upper_ratio": ("n_upper / word_chars", False, 0.02),
-    "repeat_ratio": ("n_repeat_words / n_words", False, 0.05),
+    "repeat_ratio": ("n_repeat_words / n_words", False, 0.08),
     "dup_line_ratio": ("n_dup_lines / n_lines", False, 0.09),
 }
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")

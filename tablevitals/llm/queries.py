@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablevitals.llm import attribution, minhash, packing, quality, scoring, sharding
+from tablevitals.llm import attribution, minhash, packing, quality, scoring, sharding, toxicity
 from tablevitals.llm.common import table, tokenizer_path, tokenizer_pattern
 
 
@@ -40,6 +40,11 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.scored(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document, learnt from labelled ones that are not held out."""
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op4_token_attribution": op4_token_attribution,
@@ -47,6 +52,7 @@ QUERIES = {
     "op7_packing": op7_packing,
     "op8_virtual_slots": op8_virtual_slots,
     "op9_lm_scoring": op9_lm_scoring,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE: dict[str, str] = {}
