@@ -1,8 +1,9 @@
 """The registered queries of this subpackage: each applies an operator to its whole table."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tablevitals.llm import attribution, minhash, packing, quality, scoring, sharding, toxicity
+from tablevitals.llm import attribution, decontamination, minhash, packing, quality, scoring, sharding, toxicity
 from tablevitals.llm.common import table, tokenizer_path, tokenizer_pattern
 
 
@@ -17,6 +18,12 @@ def op4_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution.token_counts(documents, tokenizer_path("byte_bpe_50k.tiktoken"), tokenizer_pattern(), "start")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items that each document has a copy of, and where."""
+    documents = table(spark, sf_dir, "documents").withColumn("doc_id", F.col("doc_id").cast("long"))
+    return decontamination.matches(documents, table(spark, sf_dir, "benchmark"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counts of every document, and whether it passes the fences of its language and source."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
@@ -48,6 +55,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op4_token_attribution": op4_token_attribution,
+    "op5_decontamination": op5_decontamination,
     "op6_quality_rules": op6_quality_rules,
     "op7_packing": op7_packing,
     "op8_virtual_slots": op8_virtual_slots,
