@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablevitals.llm import attribution, decontamination, minhash, packing, quality, scoring, sharding, toxicity
+from tablevitals.llm import attribution, decontamination, licenses, minhash, packing, quality, scoring, sharding, toxicity
 from tablevitals.llm.common import table, tokenizer_path, tokenizer_pattern
 
 
@@ -12,6 +12,11 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.linked(table(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence notices in every document, by family."""
+    return licenses.scanned(table(spark, sf_dir, "documents"))
+
+
 def op4_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every line of every document; a token over a boundary goes to its first line."""
     documents = table(spark, sf_dir, "documents")
@@ -54,6 +59,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op3_license_scan": op3_license_scan,
     "op4_token_attribution": op4_token_attribution,
     "op5_decontamination": op5_decontamination,
     "op6_quality_rules": op6_quality_rules,
