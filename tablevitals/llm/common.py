@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 cloudpickle.register_pickle_by_value(sys.modules["tablevitals.llm"])
 
 #: Distinct words a worker remembers before it starts afresh.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 300_000
 
 #: White space of the word rule [^\x20\x09-\x0D]+, for SQL's trim and split.
 SPACES = " \t\n\u000b\f\r"

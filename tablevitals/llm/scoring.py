@@ -39,7 +39,7 @@ BASE = 1.5  # of the count levels
 BITS, PROBES = 8, 4  # bits an entry, bits set for it in its block
 WEIGHT = 0.3  # of what pairs say, against the word alone
 FILTER_BYTES = 80_000_000  # of filters broadcast at once
-BUCKET_TOKENS = 3_000_000, 9_000_000  # tokens for each bucket of pairs, of words
+BUCKET_TOKENS = 2_000_000, 4_000_000  # tokens for each bucket of pairs, of words
 END = np.uint64(0x51ED270B35D8A2F1)  # the end token, and what stands before the first word
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _PAIR_BITS = np.uint64((1 << 48) - 1)  # of a pair's hash; fewer bytes to shuffle
@@ -131,7 +131,7 @@ _PACKED = "kind int, bucket int, hashes binary, counts binary, runs binary, rows
 _TOTALS = "kind int, bucket int, blocks binary, tokens long, distinct long, row_ids binary, sums binary"
 
 
-def _texts(batch, words: WordHashes, at_once: int = 400_000):
+def _texts(batch, words: WordHashes, at_once: int = 200_000):
     """(first row, hashes of all tokens, ends) of a few texts at a time; an end token follows each text."""
     start, waiting, count = 0, [], 0
     for row, text in enumerate(batch.column("text")):
