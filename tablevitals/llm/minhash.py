@@ -246,3 +246,21 @@ def linked(docs: DataFrame, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
         labels = stored(components(known.union(found)), "labels")
     result = nodes.join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("label", "node").alias("component_id"))
     return result.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def kept(docs: DataFrame, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
+    """One row of each group, with the columns docs came with: that of its smallest id.
+
+    Of rows that share this id, those with its smallest text stay, once if they are equal.
+    """
+    found = linked(docs, rows, bands)
+    gone = stored(found.where("not kept").select("doc_id").distinct(), "duplicates")
+    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    again = stored(left.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("text").alias("least")).where("n > 1").select("doc_id", "least"), "repeated")
+    if empty(again):
+        return left
+    marks = again.withColumnRenamed("doc_id", "again")
+    several = left.join(marks, left.doc_id == marks.again, "left")
+    once = several.where("again is null").select(*docs.columns)
+    first = several.where("again is not null and (text <=> least)").select(*docs.columns).dropDuplicates(["doc_id"])
+    return once.union(first)

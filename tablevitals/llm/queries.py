@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablevitals.llm import attribution, decontamination, licenses, minhash, packing, quality, scoring, sharding, toxicity
+from tablevitals.llm import attribution, decontamination, licenses, minhash, packing, quality, scoring, sharding, toxicity, warc
 from tablevitals.llm.common import table, tokenizer_path, tokenizer_pattern
 
 
@@ -12,6 +12,12 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.linked(table(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, as it reads after a round trip through a WARC archive."""
+    rows = warc.round_trip(table(spark, sf_dir, "pages"))
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest_ok")
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The licence notices in every document, by family."""
     return licenses.scanned(table(spark, sf_dir, "documents"))
@@ -59,6 +65,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op2_warc": op2_warc,
     "op3_license_scan": op3_license_scan,
     "op4_token_attribution": op4_token_attribution,
     "op5_decontamination": op5_decontamination,
