@@ -16,7 +16,6 @@ Defined results: a null or empty text is the end id alone; rows with the same or
 documents of their own; an empty table gives no row; only doc_id and text are read.
 """
 
-import heapq
 import zlib
 
 import numpy as np
@@ -27,46 +26,71 @@ from pyspark.sql import DataFrame
 from tablevitals.llm.common import CACHE_WORDS
 
 SEQUENCE, END_ID = 2048, 1
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_000_000
 COST_LINEAR, COST_QUADRATIC = 1.0, 1.0 / 2048
-#: Characters whose chunks are looked up at once.
-_SPAN = 2_000_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+#: Letters of the plain path, which the tokenizer keeps together and only lower-cases.
+_LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþßÿ"
+#: Marks of the plain path; a run of them is one piece for the tokenizer.
+_MARKS = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
+
+
 class ChunkIds(dict):
-    """Little-endian unsigned 32-bit ids of a chunk without white space, remembered while few."""
+    """Little-endian unsigned 32-bit ids of a chunk without white space, remembered while few.
+
+    Most chunks are a run of letters between marks. For these the tokenizer's normalizer and
+    splitter have nothing to do but lower-case and cut off the marks, so the letters go to its BPE
+    model at once; all other chunks go through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
         super().__init__()
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-
-    def learn(self, chunks: set[str]) -> None:
-        """Encodes the chunks not met before, many at once."""
-        if len(self) + len(chunks) > CACHE_WORDS:
+        self.model = self.tokenizer.model
+        self.raw = [number.to_bytes(4, "little") for number in range(self.tokenizer.get_vocab_size())]
+        as_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
+        lower = {letter: as_bytes.pre_tokenize_str(letter)[0][0] for letter in _LETTERS}
+        upper = {letter.upper(): mapped for letter, mapped in lower.items() if len(letter.upper()) == 1 and letter.upper().lower() == letter}
+        self.byte_letters = str.maketrans(lower | upper)
+        self.plain = frozenset(lower | upper)
+        self.runs: dict[str, bytes] = {"": b""}
+
+    def __missing__(self, chunk: str) -> bytes:
+        if len(self) >= CACHE_WORDS:
             self.clear()
-        new = [chunk for chunk in chunks if chunk not in self]
-        for chunk, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self[chunk] = np.array(found.ids, dtype="<u4").tobytes()
-
-    def of(self, texts: list[str | None]):
-        """The ids of each text; texts are taken up to about SPAN characters at a time."""
-        waiting, count = [], 0
-        for text in texts:
-            waiting.append((text or "").replace("\n", " ").split(" "))
-            count += len(text or "")
-            if count >= _SPAN:
-                yield from self._looked_up(waiting)
-                waiting, count = [], 0
-        yield from self._looked_up(waiting)
-
-    def _looked_up(self, texts: list[list[str]]):
-        self.learn(set().union(*texts))
-        for chunks in texts:
-            yield b"".join(map(self.__getitem__, chunks))
+        core = chunk.strip(_MARKS)
+        if not core or "<" in chunk or not self.plain.issuperset(core):
+            ids = self._bytes(self.tokenizer.encode(chunk, add_special_tokens=False).ids) if chunk else b""
+        else:
+            start = chunk.find(core)
+            ids = self._run(chunk[:start], chunk[:start]) + self._run(core, core.translate(self.byte_letters)) + self._run(chunk[start + len(core) :], chunk[start + len(core) :])
+        if len(chunk) <= 256:
+            self[chunk] = ids
+        return ids
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        raw = self.raw
+        return b"".join([raw[number] for number in ids])
+
+    def _run(self, run: str, mapped: str) -> bytes:
+        found = self.runs.get(run)
+        if found is None:
+            if len(self.runs) >= CACHE_WORDS:
+                self.runs = {"": b""}
+            raw = self.raw
+            found = b"".join([raw[token.id] for token in self.model.tokenize(mapped)])
+            if len(run) <= 256:
+                self.runs[run] = found
+        return found
+
+    def of(self, text: str | None) -> bytes:
+        return b"".join(map(self.__getitem__, (text or "").replace("\n", " ").split(" ")))
 
 
 def cost(tokens: int) -> float:
@@ -83,33 +107,21 @@ def assigned(lengths: list[int], size: int = SEQUENCE) -> list[tuple[int, int, i
     room = [size] * count
     if count:
         room[-1] = total - size * (count - 1)
-    # By cost; entries whose sequence has no room for the piece wait until the next, smaller one.
-    heap, out = [(0.0, s) for s in range(count)], []
+    room, spent, out = np.array(room, dtype=np.int64), np.zeros(count), []
     for piece in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
-        left, start, waiting = lengths[piece], 0, []
-        while heap and heap[0][1] is not None:
-            spent, s = heapq.heappop(heap)
-            if room[s] >= left:
-                out.append((piece, start, left, s))
-                room[s] -= left
-                if room[s]:
-                    heapq.heappush(heap, (spent + cost(left), s))
-                left = 0
+        left, start = lengths[piece], 0
+        fits = np.where(room >= left, spent, np.inf)
+        cheapest = int(fits.argmin())
+        # If none has room for all of it: cut it over those with room, cheapest first.
+        over = [cheapest] if fits[cheapest] < np.inf else [s for s in np.argsort(spent, kind="stable") if room[s]]
+        for s in over:
+            take = min(int(room[s]), left)
+            out.append((piece, start, take, int(s)))
+            room[s] -= take
+            spent[s] += cost(take)
+            start, left = start + take, left - take
+            if not left:
                 break
-            waiting.append((spent, s))
-        if left:  # no sequence has room for all of it: cut it over those with room, cheapest first
-            rest = []
-            for spent, s in waiting:
-                take = min(room[s], left)
-                if take:
-                    out.append((piece, start, take, s))
-                    room[s] -= take
-                    start, left, spent = start + take, left - take, spent + cost(take)
-                if room[s]:
-                    rest.append((spent, s))
-            waiting = rest
-        for entry in waiting:
-            heapq.heappush(heap, entry)
     return out
 
 
@@ -158,9 +170,8 @@ def packed(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, end_id: int =
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
         for batch in batches:
-            texts = (text.as_py() for text in batch.column(1))
-            for doc_id, ids in zip(batch.column(0), chunks.of(texts)):
-                ids += end
+            for doc_id, text in zip(batch.column(0), batch.column(1)):
+                ids = chunks.of(text.as_py()) + end
                 doc_id, tokens, view = doc_id.as_py(), len(ids) // 4, memoryview(ids)
                 whole = tokens - tokens % size
                 for start in range(0, whole, size):
