@@ -84,15 +84,8 @@ def filter_of(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 class Filter:
     """The filters of some buckets as one array."""
 
-    def __init__(self, parts: dict[int, np.ndarray], buckets: int):
-        self.buckets = buckets
-        self.sizes = np.zeros(buckets, dtype=np.int64)
-        self.starts = np.zeros(buckets, dtype=np.int64)
-        at = 0
-        for bucket, blocks in parts.items():
-            self.sizes[bucket], self.starts[bucket] = len(blocks), at
-            at += len(blocks)
-        self.blocks = np.concatenate([*parts.values(), np.zeros(1, dtype=np.uint64)])
+    def __init__(self, blocks: np.ndarray, sizes: np.ndarray, starts: np.ndarray):
+        self.blocks, self.sizes, self.starts, self.buckets = blocks, sizes, starts, len(sizes)
 
     def levels(self, hashes: np.ndarray) -> np.ndarray:
         found = np.zeros(len(hashes), dtype=np.int64)
@@ -127,8 +120,8 @@ def unplaned(raw: bytes, size: int) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
-_PACKED = "kind int, bucket int, hashes binary, counts binary, runs binary, rows binary, ids binary"
-_TOTALS = "kind int, bucket int, blocks binary, tokens long, distinct long, row_ids binary, sums binary"
+_PACKED = "kind int, bucket int, source long, hashes binary, counts binary, runs binary, rows binary, ids binary"
+_TOTALS = "kind int, bucket int, source long, blocks binary, tokens long, distinct long, row_ids binary, sums binary"
 
 
 def _texts(batch, words: WordHashes, at_once: int = 200_000):
@@ -169,10 +162,10 @@ def counted(source: DataFrame, pair_buckets: int, word_buckets: int) -> DataFram
             for start, tokens, ends in _texts(batch, words):
                 row = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
                 learn = train[start + row]
-                out = []
+                out, source_id = [], int(mixed(row_ids[start : start + len(ends)].view(np.uint64)).sum().view(np.int64))
                 pairs, counts = _summed(pair_hash(_before(tokens, ends), tokens)[learn], np.ones(int(learn.sum()), dtype=np.int64))
                 for bucket, part in _by_bucket(pairs, pair_buckets):
-                    out.append((2, bucket, planes(pairs[part], 6), planes(counts[part], 4), b"", b"", b""))
+                    out.append((2, bucket, source_id, planes(pairs[part], 6), planes(counts[part], 4), b"", b"", b""))
                 order = np.lexsort((row, tokens))
                 tokens, row = tokens[order], row[order]
                 first = np.flatnonzero(np.append(True, (tokens[1:] != tokens[:-1]) | (row[1:] != row[:-1])))
@@ -183,10 +176,10 @@ def counted(source: DataFrame, pair_buckets: int, word_buckets: int) -> DataFram
                     own, place = np.unique(row[part], return_inverse=True)
                     marked = (place << 1) | train[start + row[part]]
                     runs = np.diff(np.append(heads, len(part)))
-                    out.append((1, bucket, tokens[part][heads].tobytes(), planes(counts[part], 4), planes(runs, 4), planes(marked, 4), row_ids[start + own].tobytes()))
-                columns = list(zip(*out)) or [[]] * 7
-                kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 5)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["kind", "bucket", "hashes", "counts", "runs", "rows", "ids"])
+                    out.append((1, bucket, source_id, tokens[part][heads].tobytes(), planes(counts[part], 4), planes(runs, 4), planes(marked, 4), row_ids[start + own].tobytes()))
+                columns = list(zip(*out)) or [[]] * 8
+                kinds = (pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 5)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["kind", "bucket", "source", "hashes", "counts", "runs", "rows", "ids"])
 
     def total(key, packed):
         kind, bucket = key[0].as_py(), key[1].as_py()
@@ -194,7 +187,7 @@ def counted(source: DataFrame, pair_buckets: int, word_buckets: int) -> DataFram
         counts, out = [x.astype(np.int64) for x in column("counts", 4)], []
         if kind == 2:
             pairs, times = _summed(np.concatenate(column("hashes", 6)), np.concatenate(counts))
-            out.append((2, bucket, filter_of(pairs, times).tobytes(), int(times.sum()), len(pairs), None, None))
+            out.append((2, bucket, None, filter_of(pairs, times).tobytes(), int(times.sum()), len(pairs), None, None))
         else:
             heads = [np.frombuffer(x, dtype=np.uint64) for x in packed.column("hashes").to_pylist()]
             runs = [x.astype(np.int64) for x in column("runs", 4)]
@@ -202,31 +195,36 @@ def counted(source: DataFrame, pair_buckets: int, word_buckets: int) -> DataFram
             learnt = [np.add.reduceat(c * (m & 1), np.append(0, np.cumsum(r)[:-1])) for c, m, r in zip(counts, marks, runs)]
             known, times = _summed(np.concatenate(heads), np.concatenate(learnt))
             known, times = known[times > 0], times[times > 0]
-            out.append((1, bucket, filter_of(known, times).tobytes() if len(known) else b"", int(times.sum()), len(known), None, None))
-            for head, run, count, mark, ids in zip(heads, runs, counts, marks, packed.column("ids").to_pylist()):
+            out.append((1, bucket, None, filter_of(known, times).tobytes() if len(known) else b"", int(times.sum()), len(known), None, None))
+            for head, run, count, mark, ids, source_id in zip(heads, runs, counts, marks, packed.column("ids").to_pylist(), packed.column("source").to_pylist()):
                 c = np.zeros(len(head), dtype=np.int64)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, head), len(known) - 1)
                     c = np.where(known[at] == head, times[at], 0)
                 c = np.repeat(c, run)
                 sums = [np.bincount(mark >> 1, weights=x) for x in (count, count * (c > 0), count * np.log10(c + 1.0))]
-                out.append((0, bucket, None, 0, 0, ids, np.concatenate(sums).tobytes()))
-        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["kind", "bucket", "blocks", "tokens", "distinct", "row_ids", "sums"])
+                out.append((0, bucket, source_id, None, 0, 0, ids, np.concatenate(sums).tobytes()))
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["kind", "bucket", "source", "blocks", "tokens", "distinct", "row_ids", "sums"])
 
     return source.select("row_id", "held_out", "text").mapInArrow(pack, _PACKED).groupBy("kind", "bucket").applyInArrow(total, _TOTALS)
 
 
 def by_row(totals: DataFrame) -> DataFrame:
-    """The sums over words as rows: all tokens, known ones, and log10(c + 1), of each row_id."""
+    """The sums over words as rows: all tokens, known ones, and log10(c + 1), of each row_id.
 
-    def unpack(batches):
-        for batch in batches:
-            for ids, sums in zip(batch.column("row_ids"), batch.column("sums")):
-                ids, sums = np.frombuffer(ids.as_py(), dtype=np.int64), np.frombuffer(sums.as_py(), dtype=np.float64).reshape(3, -1)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(np.int64)), pa.array(sums[2])], ["row_id", "all_tokens", "n_known", "logs"])
+    What the buckets say of one task's few texts meets again by its source, and only then
+    becomes rows; so these are as many as texts, whatever the number of buckets.
+    """
+
+    def add(parts):
+        ids = np.concatenate([np.frombuffer(x, dtype=np.int64) for x in parts.column("row_ids").to_pylist()])
+        sums = np.concatenate([np.frombuffer(x, dtype=np.float64).reshape(3, -1) for x in parts.column("sums").to_pylist()], axis=1)
+        own, place = np.unique(ids, return_inverse=True)
+        everything, known, logs = (np.bincount(place, weights=x) for x in sums)
+        return pa.table({"row_id": own, "all_tokens": np.round(everything).astype(np.int64), "n_known": np.round(known).astype(np.int64), "logs": logs})
 
-    parts = totals.where("kind = 0").select("row_ids", "sums").mapInArrow(unpack, "row_id long, all_tokens long, n_known long, logs double")
+    parts = totals.where("kind = 0").select("source", "row_ids", "sums").groupBy("source").applyInArrow(add, "row_id long, all_tokens long, n_known long, logs double")
     return parts.groupBy("row_id").agg(F.sum("all_tokens").alias("all_tokens"), F.sum("n_known").alias("n_known"), F.sum("logs").alias("logs"))
 
 
@@ -234,7 +232,8 @@ def model_sums(source: DataFrame, filters, n: int, v: int, parts: tuple[int, ...
     """Of each row its n_tokens and score, over the tokens whose v, w and v w lie in these parts."""
 
     def score(batches):
-        words, (befores, unigrams, pairs) = WordHashes(), (part.value for part in filters)
+        words = WordHashes()
+        befores, unigrams, pairs = (Filter(*part.value) for part in filters)
         for batch in batches:
             sums, sizes = [], []
             for _, tokens, ends in _texts(batch, words):
@@ -242,7 +241,7 @@ def model_sums(source: DataFrame, filters, n: int, v: int, parts: tuple[int, ...
                 both = pair_hash(before, tokens)
                 distinct, place = np.unique(tokens, return_inverse=True)
                 own = count_of(unigrams.levels(distinct))
-                context = own if befores is unigrams else count_of(befores.levels(distinct))
+                context = own if at[0] == at[1] else count_of(befores.levels(distinct))
                 own, context = own[place], context[np.searchsorted(distinct, before)]
                 seen = np.minimum(count_of(pairs.levels(both)), context)
                 logs = np.log10((1 - WEIGHT) * (own + 1) / (n + v + 1) + WEIGHT * seen / np.maximum(context, 1))
@@ -263,9 +262,16 @@ def _parts(totals: DataFrame, kind: int, buckets: int, most: int) -> int:
     return min(buckets, -(-size // most) or 1)
 
 
-def _filter(totals: DataFrame, kind: int, buckets: int, parts: int, part: int) -> Filter:
+def _filter(totals: DataFrame, kind: int, buckets: int, parts: int, part: int) -> tuple[np.ndarray, ...]:
+    """A part's blocks, one bucket after the other, with each bucket's size and start."""
     rows = totals.where((F.col("kind") == kind) & (F.col("bucket") % parts == part)).select("bucket", "blocks")
-    return Filter({row.bucket: np.frombuffer(row.blocks, dtype=np.uint64) for row in rows.toLocalIterator()}, buckets)
+    sizes, starts, found, at = np.zeros(buckets, dtype=np.int64), np.zeros(buckets, dtype=np.int64), [], 0
+    for row in rows.toLocalIterator():
+        blocks = np.frombuffer(row.blocks, dtype=np.uint64)
+        sizes[row.bucket], starts[row.bucket] = len(blocks), at
+        at += len(blocks)
+        found.append(blocks)
+    return np.concatenate([*found, np.zeros(1, dtype=np.uint64)]), sizes, starts
 
 
 def scored(docs: DataFrame, held_out=None, filter_bytes: int = FILTER_BYTES) -> DataFrame:
