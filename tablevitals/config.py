@@ -41,7 +41,6 @@ class LayoutConfig:
     # Whole-table checks.
     max_partition_count: int = 5000
     high_partition_share: float = 0.8
-    partition_sizing_limit: int = 10000
     large_table_threshold_gb: float = 1000
     zorder_recommend_threshold_gb: float = 500
     clustering_min_gb: float = 10
@@ -49,9 +48,6 @@ class LayoutConfig:
     vacuum_stale_days: int = 30
     vacuum_retain_hours: int = 168
 
-    # Commits looked at per table, newest first.
-    max_history_records: int = 1000
-
     # Where reports are appended.
     persist_results: bool = True
     output_catalog: str = "spark_catalog"
@@ -65,8 +61,6 @@ class LayoutConfig:
             raise ValueError(f"scan_mode must be one of {SCOPES}, not {self.scan_mode!r}")
         if self.scan_mode == "single_table" and self.table == "":
             raise ValueError("single_table scope needs a table name")
-        if self.max_history_records < 1:
-            raise ValueError("max_history_records must be at least 1")
         for f in fields(self):
             value = getattr(self, f.name)
             is_number = isinstance(value, (int, float)) and not isinstance(value, bool)

@@ -6,11 +6,12 @@ NO_STRINGS = "CAST(array() AS ARRAY<STRING>)"
 
 _BLANKS = r"' \t\n\r\f\u000b'"
 
-# Fixed values. A CLUSTER BY clause anywhere in a DDL text, with a column list in
-# parentheses or one bare word; any case, and words may hold non-ASCII letters.
-_CLUSTER_LIST = r"(?iU)CLUSTER\s+BY\s*\(([^)]+)\)"
-_CLUSTER_WORD = r"(?iU)CLUSTER\s+BY\s+(\w+)"
-_CLUSTER_ANY = r"(?iU)CLUSTER\s+BY\s*\([^)]+\)|CLUSTER\s+BY\s+\w+"
+# DDL grammar: what is no name or keyword, a name (back-quoted parts keep anything), and
+# the clause with one name or a list of them.
+_BACK_QUOTED = r"`(?:[^`]|``)*`"
+_NO_CODE = rf"({_BACK_QUOTED})|(?s:/[*].*?[*]/)|--[^\n]*|'(?:[^'\\]|\\.)*'"
+_A_NAME = rf'(?:{_BACK_QUOTED}|"[^"]*"|[^\s,()`"])+'
+_CLUSTER_CLAUSE = rf"(?iU)\bCLUSTER\s+BY\s*([(](?:{_BACK_QUOTED}|[^`()])*[)]|(?<=\s){_A_NAME}|{_BACK_QUOTED})"
 # Spark's own DDL text states clustering as a table property holding name paths.
 _CLUSTER_PROPERTY = r"'clusteringColumns'\s*=\s*'([^']*)'"
 
@@ -33,9 +34,11 @@ def _quote(name: str) -> str:
     return f"concat('`', replace({name}, '`', '``'), '`')"
 
 
-def quoted_name() -> str:
-    """Back-quoted dotted identifier of the row's table, safe inside a statement."""
-    return f"concat_ws('.', {', '.join(_quote(f'`{k}`') for k in KEY)})"
+def quoted_name(suffix: str = "") -> str:
+    """Back-quoted dotted identifier of the row's table, or of one with a suffixed name."""
+    *above, table = (f"`{k}`" for k in KEY)
+    parts = [*above, f"concat({table}, '{suffix}')" if suffix else table]
+    return f"concat_ws('.', {', '.join(map(_quote, parts))})"
 
 
 def quoted_list(names: str) -> str:
@@ -56,8 +59,15 @@ def operation_name(operation: str) -> str:
     return f"upper(coalesce(nullif({operation}, ''), 'UNKNOWN'))"
 
 
+def _raw(pattern: str) -> str:
+    """A pattern as a SQL string literal."""
+    return '"' + pattern.replace("\\", "\\\\").replace('"', '\\"') + '"'
+
+
 def _clause(ddl: str) -> str:
-    return f"regexp_extract({ddl}, r'{_CLUSTER_ANY}', 0)"
+    """What the first CLUSTER BY names, outside of comments and literals; empty without one."""
+    code = f"regexp_replace({ddl}, {_raw(_NO_CODE)}, '$1 ')"
+    return f"regexp_extract({code}, {_raw(_CLUSTER_CLAUSE)}, 1)"
 
 
 def _property(ddl: str) -> str:
@@ -71,12 +81,9 @@ def has_cluster_by(ddl: str) -> str:
 def clustering_columns(ddl: str) -> str:
     """Columns named by the first CLUSTER BY clause, else by the table property."""
     clause = _clause(ddl)
-    inner = (
-        f"coalesce(nullif(regexp_extract({clause}, r'{_CLUSTER_LIST}', 1), ''), "
-        f"regexp_extract({clause}, r'{_CLUSTER_WORD}', 1))"
-    )
-    unquoted = _strip(_strip("c"), r"""'`"\''""")
-    listed = f"filter(transform(split({inner}, ','), c -> {unquoted}), c -> c <> '')"
+    names = f"regexp_extract_all({clause}, {_raw(_A_NAME)}, 0)"
+    bare = r"""replace(regexp_replace(replace(c, '``', '\u0001'), '[`"]', ''), '\u0001', '`')"""
+    listed = f"transform({names}, c -> {bare})"
     paths = f"from_json({_property(ddl)}, 'array<array<string>>')"
     named = f"transform({paths}, p -> array_join(p, '.'))"
     return f"CASE WHEN {clause} <> '' THEN {listed} ELSE coalesce({named}, {NO_STRINGS}) END"

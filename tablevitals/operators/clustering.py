@@ -9,9 +9,8 @@ from ..schemas import KEY
 def clustering(ddl: DataFrame) -> DataFrame:
     """Whether the DDL names clustering columns, and which.
 
-    The clause is searched in the whole text, so ``CLUSTER BY AUTO`` reports a
-    column AUTO, and a comment holding the phrase counts. A missing DDL is not
-    clustered.
+    ``CLUSTER BY AUTO`` reports a column AUTO. Comments and literals do not count. A
+    missing DDL is not clustered.
     """
     return ddl.selectExpr(
         *KEY,

@@ -5,28 +5,23 @@ from pyspark.sql import functions as F
 
 from ..schemas import KEY
 
-# Spark cuts each map task's rows to the first n of a group before the shuffle up
-# to this n (the default of spark.sql.optimizer.windowGroupLimitThreshold).
-_GROUP_LIMIT = 1000
-_SLICES = 64
-
 
 def first_per_table(
     rows: DataFrame, order: list[Column], n: int, spread: str, rank: str | None = None
 ) -> DataFrame:
     """The first n rows of each table in the given order, with their rank if named.
 
-    Up to ``_GROUP_LIMIT`` rows Spark's group limit cuts each map task's rows
-    before the shuffle. Beyond it the rows of one table are first cut within
-    slices by the hash of ``spread``, a column that tells them apart; so the last
-    step sees at most slices * n rows of a table, however many it has.
+    One plan for every n: a table's rows are first cut within slices by the hash of
+    ``spread``, a column that tells them apart, as many as there are shuffle
+    partitions. So the last step sees at most slices * n rows of a table, however
+    many it has and however many tasks they come from.
     """
     position = rank or "_rank"
-    if n > _GROUP_LIMIT:
-        slice_of = F.pmod(F.xxhash64(spread), F.lit(_SLICES))
-        within = Window.partitionBy(*KEY, "_slice").orderBy(*order)
-        sliced = rows.withColumn("_slice", slice_of).withColumn(position, F.row_number().over(within))
-        rows = sliced.filter(F.col(position) <= n).drop(position, "_slice")
+    slices = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    within = Window.partitionBy(*KEY, "_slice").orderBy(*order)
+    sliced = rows.withColumn("_slice", F.pmod(F.xxhash64(spread), F.lit(slices)))
+    firsts = sliced.withColumn(position, F.row_number().over(within)).filter(F.col(position) <= n)
     window = Window.partitionBy(*KEY).orderBy(*order)
-    kept = rows.withColumn(position, F.row_number().over(window)).filter(F.col(position) <= n)
+    kept = firsts.drop(position, "_slice").withColumn(position, F.row_number().over(window))
+    kept = kept.filter(F.col(position) <= n)
     return kept if rank else kept.drop(position)

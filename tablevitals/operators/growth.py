@@ -1,7 +1,4 @@
-"""Growth: write frequency, bytes written, and weekday pattern.
-
-Inputs are the output of ``recent_history``: bounded commits per table.
-"""
+"""Growth: write frequency, bytes written, and weekday pattern, over all commits."""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,11 +18,11 @@ WEEKDAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday",
 _IS_MUTATION = f"upper(operation) IN {MUTATIONS}"
 
 
-def mutations(recent: DataFrame) -> DataFrame:
-    return recent.filter(_IS_MUTATION)
+def mutations(history: DataFrame) -> DataFrame:
+    return history.filter(_IS_MUTATION)
 
 
-def with_writes(recent: DataFrame) -> DataFrame:
+def with_writes(history: DataFrame) -> DataFrame:
     """Add time, weekday and bytes of row-changing commits; null for the others.
 
     The first non-empty byte metric counts: "0" ends the search, and text without
@@ -34,7 +31,7 @@ def with_writes(recent: DataFrame) -> DataFrame:
     stated = ", ".join(f"nullif(try_element_at(operationMetrics, '{m}'), '')" for m in BYTE_METRICS)
     has_metrics = f"{_IS_MUTATION} AND size(operationMetrics) > 0"
     return (
-        recent.withColumn("byte_metric", F.expr(f"coalesce({stated})"))
+        history.withColumn("byte_metric", F.expr(f"coalesce({stated})"))
         .withColumn("is_mutation", F.expr(f"coalesce({_IS_MUTATION}, false)"))
         .withColumns(
             {
@@ -83,9 +80,9 @@ def growth_rate(bytes_per_day: str, table_bytes: str) -> str:
     return f"coalesce(CASE WHEN {table_bytes} > 0 THEN {share} END, 0D)"
 
 
-def growth(recent: DataFrame, detail: DataFrame) -> DataFrame:
+def growth(history: DataFrame, detail: DataFrame) -> DataFrame:
     """Growth of every table with a row-changing commit."""
-    sums = aggregate(with_writes(mutations(recent)), WRITE_SUMS)
+    sums = aggregate(with_writes(mutations(history)), WRITE_SUMS)
     figured = sums.selectExpr(*KEY, "writes", *named(WRITE_FIGURES))
     sizes = detail.select(*KEY, "table_size_bytes")
     return figured.join(sizes, list(KEY), "left").selectExpr(
@@ -99,7 +96,7 @@ def growth(recent: DataFrame, detail: DataFrame) -> DataFrame:
     )
 
 
-def weekday_pattern(recent: DataFrame) -> DataFrame:
+def weekday_pattern(history: DataFrame) -> DataFrame:
     """Row-changing commits by weekday, and the busiest day, for tables with two or more."""
-    sums = aggregate(with_writes(mutations(recent)), WRITE_SUMS).filter("writes >= 2")
+    sums = aggregate(with_writes(mutations(history)), WRITE_SUMS).filter("writes >= 2")
     return sums.selectExpr(*KEY, *named(WRITE_FIGURES)).select(*KEY, "write_patterns", "busiest_day")

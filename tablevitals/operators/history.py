@@ -1,8 +1,8 @@
 """Commit history: the newest commits per table, operation counts, last maintenance.
 
-``recent_history`` bounds what follows: at most N commits per table are left, in
-partitions keyed by the table. Every later step groups or windows by that key, so
-it needs no further shuffle and never sees an unbounded group.
+All figures but ``recent_history`` are over every commit. They are counts, sums,
+minima and maxima, so each task folds its commits before the shuffle and a table
+with most of the commits costs no more than any other.
 """
 
 from datetime import datetime
@@ -10,7 +10,6 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import LayoutConfig
 from ..functions import age_text, floor_days, moment, operation_name
 from ..schemas import KEY
 from .first import first_per_table
@@ -19,20 +18,22 @@ from .first import first_per_table
 TRACKED = ("WRITE", "OPTIMIZE", "VACUUM END", "VACUUM START", "MERGE", "DELETE", "UPDATE")
 
 
-def recent_history(history: DataFrame, config: LayoutConfig) -> DataFrame:
-    """The newest ``max_history_records`` commits of each table."""
-    return first_per_table(history, [F.col("version").desc()], config.max_history_records, spread="version")
+def recent_history(history: DataFrame, n: int) -> DataFrame:
+    """The newest n commits of each table."""
+    if n < 1:
+        raise ValueError("n must be at least 1")
+    return first_per_table(history, [F.col("version").desc()], n, spread="version")
 
 
-def operation_counts(recent: DataFrame) -> DataFrame:
+def operation_counts(history: DataFrame) -> DataFrame:
     """Commits per table and upper-cased operation."""
     operation = F.expr(operation_name("operation")).alias("operation")
-    return recent.groupBy(*KEY, operation).agg(F.count(F.lit(1)).alias("commits"))
+    return history.groupBy(*KEY, operation).agg(F.count(F.lit(1)).alias("commits"))
 
 
-def with_operation(recent: DataFrame) -> DataFrame:
+def with_operation(history: DataFrame) -> DataFrame:
     """Add the upper-cased operation once, for the aggregates below."""
-    return recent.withColumn("op", F.expr(operation_name("operation")))
+    return history.withColumn("op", F.expr(operation_name("operation")))
 
 
 # Counts by exact name; a vacuum counts its START and its END.
@@ -60,14 +61,26 @@ def aggregate(rows: DataFrame, *aggregates: dict[str, str]) -> DataFrame:
     return rows.groupBy(*KEY).agg(*columns)
 
 
-def operation_pivot(recent: DataFrame) -> DataFrame:
+def by_day(rows: DataFrame, *aggregates: dict[str, str]) -> DataFrame:
+    """One row per table and UTC day of the given named aggregates."""
+    columns = [F.expr(text).alias(name) for group in aggregates for name, text in group.items()]
+    return rows.groupBy(*KEY, F.expr("floor(unix_seconds(timestamp) / 86400)").alias("day")).agg(*columns)
+
+
+def over_days(*aggregates: dict[str, str]) -> dict[str, str]:
+    """The aggregates that merge those of single days: minima, maxima, and sums of the rest."""
+    kind = {name: text[:3] if text[:4] in ("min(", "max(") else "sum" for group in aggregates for name, text in group.items()}
+    return {name: f"{fold}({name})" for name, fold in kind.items()}
+
+
+def operation_pivot(history: DataFrame) -> DataFrame:
     """One row of operation counts per table."""
-    return aggregate(with_operation(recent), COUNTS)
+    return aggregate(with_operation(history), COUNTS)
 
 
-def last_operations(recent: DataFrame) -> DataFrame:
+def last_operations(history: DataFrame) -> DataFrame:
     """One row of latest times per table."""
-    return aggregate(with_operation(recent), LAST)
+    return aggregate(with_operation(history), LAST)
 
 
 def status_figures(as_of: datetime) -> dict[str, str]:
@@ -94,6 +107,6 @@ def named(figures: dict[str, str]) -> list[str]:
     return [f"{text} AS {name}" for name, text in figures.items()]
 
 
-def maintenance_status(recent: DataFrame, as_of: datetime) -> DataFrame:
+def maintenance_status(history: DataFrame, as_of: datetime) -> DataFrame:
     """Last write, optimize, vacuum and merge with their ages at ``as_of``."""
-    return last_operations(recent).selectExpr(*KEY, *named(status_figures(as_of)))
+    return last_operations(history).selectExpr(*KEY, *named(status_figures(as_of)))

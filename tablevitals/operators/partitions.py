@@ -6,23 +6,18 @@ from pyspark.sql import functions as F
 from ..config import LayoutConfig
 from ..functions import bytes_to_mb, round_binary, skew_severity
 from ..schemas import KEY
-from .first import first_per_table
 from .sizes import size_histogram, size_summary
 
 
-def partition_sizes(files: DataFrame, max_partitions_per_table: int | None = None) -> DataFrame:
+def partition_sizes(files: DataFrame) -> DataFrame:
     """Bytes per table and partition, over all levels of the partition path.
 
     Works on a file inventory and on a partition inventory alike. Map-side sums
     come before the shuffle, and the shuffle key includes the partition, so one
-    large table spreads over many tasks. ``max_partitions_per_table`` keeps the
-    first ones by name, for a quick look; by default every partition counts.
+    large table spreads over many tasks.
     """
     located = files.filter(F.col("partition").isNotNull())
-    sizes = located.groupBy(*KEY, "partition").agg(F.sum("size_bytes").alias("size_bytes"))
-    if max_partitions_per_table is None:
-        return sizes
-    return first_per_table(sizes, [F.col("partition")], max_partitions_per_table, spread="partition")
+    return located.groupBy(*KEY, "partition").agg(F.sum("size_bytes").alias("size_bytes"))
 
 
 def partition_count(partitions: DataFrame) -> DataFrame:
@@ -59,7 +54,6 @@ def partition_measures(partitions: DataFrame) -> DataFrame:
 def partition_figures(joined: DataFrame, config: LayoutConfig) -> DataFrame:
     """Add partition columns to detail rows with their (maybe missing) measures.
 
-    Sizes are looked at for tables of 1 to ``partition_sizing_limit`` partitions.
     A table with a count but no measured partition is taken to be even: every
     partition is total/count. A table without partition columns has none,
     whatever its paths look like.
@@ -69,12 +63,12 @@ def partition_figures(joined: DataFrame, config: LayoutConfig) -> DataFrame:
         "partition_count",
         F.expr(f"CAST(CASE WHEN {partitioned} THEN coalesce(partition_count, 0L) ELSE 0L END AS INT)"),
     )
-    in_range = f"partition_count BETWEEN 1 AND {config.partition_sizing_limit}"
+    has_any = "partition_count > 0"
     even_mb = bytes_to_mb("floor(try_divide(table_size_bytes, partition_count))")
 
     def mb(source: str) -> Column:
         return F.expr(
-            f"CASE WHEN NOT ({in_range}) THEN 0D WHEN _median_mb IS NULL THEN {even_mb} "
+            f"CASE WHEN NOT ({has_any}) THEN 0D WHEN _median_mb IS NULL THEN {even_mb} "
             f"ELSE {round_binary(source)} END"
         )
 
@@ -85,7 +79,7 @@ def partition_figures(joined: DataFrame, config: LayoutConfig) -> DataFrame:
             "smallest_partition_size_mb": mb("_smallest_mb"),
             "median_partition_size_mb": mb("_median_mb"),
             "avg_partition_size_mb": mb("_mean_mb"),
-            "partition_sizes_estimated": F.expr(f"{in_range} AND _median_mb IS NULL"),
+            "partition_sizes_estimated": F.expr(f"{has_any} AND _median_mb IS NULL"),
             "partition_note": F.expr(f"CASE WHEN NOT ({partitioned}) THEN 'not partitioned' END"),
         }
     ).drop("_largest_mb", "_smallest_mb", "_median_mb", "_mean_mb")

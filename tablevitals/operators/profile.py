@@ -1,4 +1,4 @@
-"""Every history figure of a table from one aggregation."""
+"""Every history figure of a table from one scan."""
 
 from datetime import datetime
 
@@ -6,17 +6,28 @@ from pyspark.sql import DataFrame
 
 from ..schemas import KEY
 from .growth import WRITE_FIGURES, WRITE_SUMS, with_writes
-from .history import COUNTS, LAST, aggregate, named, status_figures, with_operation
-from .optimize import GAP_FIGURES, GAP_SUMS, ZORDER_FIGURES, ZORDER_SUMS, with_gaps, with_zorder
+from .history import COUNTS, LAST, aggregate, by_day, named, over_days, status_figures, with_operation
+from .optimize import (
+    DAY_SUMS,
+    GAP_FIGURES,
+    GAP_SUMS,
+    ZORDER_ALL,
+    ZORDER_FIGURES,
+    ZORDER_SUMS,
+    ZORDER_TEXTS,
+    with_gaps,
+    with_zorder,
+)
 
 
-def history_profile(recent: DataFrame, as_of: datetime) -> DataFrame:
+def history_profile(history: DataFrame, as_of: datetime) -> DataFrame:
     """Counts, maintenance status, optimize and growth figures per table.
 
-    The commits of ``recent_history`` are already grouped by table, so this adds
-    one sort (for the gaps between optimizes) and no shuffle.
+    Commits come down to one row per table and day in the tasks that read them. Only
+    these rows are then sorted by day, for the gaps, and folded to one row per table.
     """
-    prepared = with_writes(with_zorder(with_gaps(with_operation(recent))))
-    sums = aggregate(prepared, COUNTS, LAST, GAP_SUMS, ZORDER_SUMS, WRITE_SUMS)
+    sums = (COUNTS, LAST, ZORDER_SUMS, WRITE_SUMS)
+    days = by_day(with_writes(with_zorder(with_operation(history))), *sums, DAY_SUMS, ZORDER_TEXTS)
+    merged = aggregate(with_gaps(days), over_days(*sums), GAP_SUMS, ZORDER_ALL)
     figures = {**status_figures(as_of), **ZORDER_FIGURES, **GAP_FIGURES, **WRITE_FIGURES}
-    return sums.selectExpr(*KEY, *COUNTS, *named(figures))
+    return merged.selectExpr(*KEY, *COUNTS, *named(figures))

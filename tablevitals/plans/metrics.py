@@ -12,7 +12,6 @@ from ..operators import (
     file_profile,
     history_profile,
     partition_sizes,
-    recent_history,
     table_detail,
 )
 from ..operators.files import layout_figures
@@ -61,7 +60,7 @@ def table_metrics(
     """
     key = list(KEY)
     sizes = partition_sizes(files if partitions is None else partitions)
-    activity = history_profile(recent_history(history, config), as_of)
+    activity = history_profile(history, as_of)
     joined = (
         table_detail(detail)
         .join(file_profile(files, config), key, "left")

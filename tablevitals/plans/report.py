@@ -122,16 +122,20 @@ def maintenance_sql(assessed: DataFrame) -> DataFrame:
     return stated.selectExpr(*KEY, "full_name", "health_status", "at + 1 AS step", "statement")
 
 
-def report_history(saved: DataFrame, limit: int = 100) -> DataFrame:
-    """The latest saved report rows, newest first."""
-    ordered = saved.select(*HISTORY_COLUMNS).orderBy(
-        F.col("analysis_timestamp").desc(), *[F.col(k) for k in KEY]
-    )
-    return ordered.limit(limit)
+def _newest_first(*columns: str) -> list:
+    """Moments are compared as such, not as text; rows of one moment stand in a fixed order."""
+    rest = [c for c in HISTORY_COLUMNS if c not in (*KEY, "analysis_timestamp")]
+    return [F.to_timestamp("analysis_timestamp").desc(), *[F.col(c) for c in (*columns, *rest)]]
+
+
+def report_history(saved: DataFrame, limit: int | None = None) -> DataFrame:
+    """Saved report rows, newest first; only the latest ones if a limit is given."""
+    ordered = saved.select(*HISTORY_COLUMNS).orderBy(*_newest_first(*KEY))
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def latest_reports(saved: DataFrame) -> DataFrame:
     """The newest saved row of each table."""
-    window = Window.partitionBy(*KEY).orderBy(F.col("analysis_timestamp").desc())
+    window = Window.partitionBy(*KEY).orderBy(*_newest_first())
     ranked = saved.select(*HISTORY_COLUMNS, F.row_number().over(window).alias("_rank"))
     return ranked.filter("_rank = 1").drop("_rank")

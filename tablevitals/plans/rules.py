@@ -237,9 +237,9 @@ def no_partitioning(config: LayoutConfig) -> tuple[Issue, ...]:
                 "Recreate the table partitioned by a column that queries filter on, such as a date."
             ),
             sql_command=_join(
-                "-- Pick the partition column first:\n-- CREATE TABLE ",
-                _NAME,
-                "_partitioned PARTITIONED BY (partition_column) AS SELECT * FROM ",
+                "-- Choose the column, then run without the dashes:\n-- CREATE TABLE ",
+                _Value(quoted_name(suffix="_by_column")),
+                " PARTITIONED BY (chosen_column) AS SELECT * FROM ",
                 _NAME,
                 ";",
             ),
@@ -262,7 +262,7 @@ def no_clustering(config: LayoutConfig) -> tuple[Issue, ...]:
                 f"to {_plain(config.large_table_threshold_gb)} GB"
             ),
             recommendation=_lit("Cluster the table by the columns that queries filter on."),
-            sql_command=_join("ALTER TABLE ", _NAME, " CLUSTER BY (column1, column2);"),
+            sql_command=_join("ALTER TABLE ", _NAME, " CLUSTER BY (first_filter_column, second_filter_column);"),
         ),
     )
 
@@ -283,7 +283,7 @@ def no_zorder(config: LayoutConfig) -> tuple[Issue, ...]:
             recommendation=_lit(
                 "Z-order the table by the columns that queries filter on, or cluster it by them."
             ),
-            sql_command=_join("OPTIMIZE ", _NAME, " ZORDER BY (column1, column2);"),
+            sql_command=_join("OPTIMIZE ", _NAME, " ZORDER BY (first_filter_column, second_filter_column);"),
         ),
     )
 

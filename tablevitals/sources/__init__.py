@@ -11,7 +11,7 @@ from .catalog import (
 )
 from .collect import collect_inventories
 from .commits import commit_history
-from .listing import file_inventory, listed_files, walk_files
+from .listing import file_inventory, walk_files
 from .store import read_reports, save_report
 
 __all__ = [
@@ -23,7 +23,6 @@ __all__ = [
     "discover_tables",
     "file_inventory",
     "history_of_table",
-    "listed_files",
     "read_reports",
     "save_report",
     "tables_in_catalog",

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import KEY
@@ -15,14 +12,6 @@ from ..schemas import KEY
 BROADCAST_CHARACTERS = 16 << 20
 
 
-@dataclass(frozen=True)
-class Root:
-    catalog: str
-    schema: str
-    table: str
-    location: str
-
-
 def plain_path(location: str) -> str:
     """A location without its scheme's extra slashes: file:///a and file:/a are one."""
     head, colon, tail = location.partition(":")
@@ -36,26 +25,27 @@ def _plain(path: str) -> str:
     return f"regexp_replace({path}, '^([A-Za-z0-9+.-]+):/+', '$1:/')"
 
 
-def table_roots(tables: DataFrame) -> list[Root]:
-    """Roots on the driver: one per table, as readers need their paths there."""
-    located = tables.filter("location IS NOT NULL").select(*KEY, "location")
-    return [Root(*row[:3], row[3].rstrip("/")) for row in located.toLocalIterator()]
-
-
-def attribute_paths(rows: DataFrame, roots: list[Root], spark: SparkSession) -> DataFrame:
+def attribute_paths(rows: DataFrame, tables: DataFrame) -> DataFrame:
     """Add the key columns and ``relative_path`` to rows with a ``path``.
 
-    A path is cut at each depth that any root has (few, as a rule) and looked up
-    by equality, deepest first: an equi-join per depth, no prefix join. Rows below
-    no root are dropped. The roots are broadcast when their text, which is at hand
-    here, is small enough; else Spark shuffles both sides by root.
+    ``tables`` has key columns and ``location``. A path is cut at each depth that
+    any root has (few, as a rule) and looked up by equality, deepest first: an
+    equi-join per depth, no prefix join. Of nested roots the innermost one owns a
+    path. Rows below no root are dropped. The roots are broadcast when their text is
+    small enough; else Spark shuffles both sides by root.
     """
-    known = [(r.catalog, r.schema, r.table, full_path(spark, r.location)) for r in roots]
-    schema = ", ".join(f"`{k}` STRING" for k in KEY) + ", root STRING"
-    frame = spark.createDataFrame(known, schema)
-    if sum(sum(map(len, row)) for row in known) <= BROADCAST_CHARACTERS:
+    spark = rows.sparkSession
+    rooted = tables.filter("location IS NOT NULL").select(*KEY, F.rtrim("location", F.lit("/")).alias("root"))
+    default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///").rstrip("/")
+    full = F.when(F.col("root").rlike("^[^/]*:"), F.col("root")).otherwise(F.concat(F.lit(default), "root"))
+    frame = rooted.withColumn("root", full).withColumn("root", F.rtrim(F.expr(_plain("root")), F.lit("/")))
+    frame = frame.dropDuplicates(["root"])
+    shape = frame.agg(
+        F.sum(F.length(F.concat(*KEY, "root"))), F.collect_set(F.size(F.split("root", "/")))
+    ).first()
+    if (shape[0] or 0) <= BROADCAST_CHARACTERS:
         frame = F.broadcast(frame)
-    depths = sorted({len(row[3].split("/")) for row in known}, reverse=True)
+    depths = sorted(shape[1], reverse=True)
     found = rows.withColumn("_path", F.expr(_plain("path")))
     for at, depth in enumerate(depths):
         side = frame.filter(F.size(F.split("root", "/")) == depth).select(
@@ -64,6 +54,9 @@ def attribute_paths(rows: DataFrame, roots: list[Root], spark: SparkSession) ->
         cut = F.substring_index("_path", "/", depth)
         # The file itself lies below the root: a path equal to a root is no file of it.
         found = found.join(side, cut == F.col(f"_root{at}"), "left")
+    if not depths:
+        empty = rows.filter(F.lit(False)).select(*[F.lit("").alias(k) for k in KEY], *rows.columns)
+        return empty.withColumn("relative_path", F.lit(""))
     owner = F.coalesce(*[F.col(f"_at{at}") for at in range(len(depths))])
     owned = found.withColumn("_owner", owner).filter("_owner IS NOT NULL")
     return owned.select(
@@ -71,24 +64,3 @@ def attribute_paths(rows: DataFrame, roots: list[Root], spark: SparkSession) ->
         *rows.columns,
         F.expr("substr(_path, length(_owner.root) + 2)").alias("relative_path"),
     )
-
-
-def full_path(spark: SparkSession, location: str) -> str:
-    """A plain path with its scheme; the default file system's where it has none."""
-    if ":" in location.split("/")[0]:
-        return plain_path(location)
-    default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
-    return plain_path(default.rstrip("/") + location)
-
-
-def existing(spark: SparkSession, paths: list[str]) -> list[str]:
-    """The paths that exist: a reader fails as a whole when one of its paths does not."""
-    settings = spark.sparkContext._jsc.hadoopConfiguration()
-    jvm = spark.sparkContext._jvm
-
-    def exists(path: str) -> bool:
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        return target.getFileSystem(settings).exists(target)
-
-    with ThreadPoolExecutor(32) as pool:
-        return [path for path, there in zip(paths, pool.map(exists, paths)) if there]

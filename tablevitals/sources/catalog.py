@@ -162,14 +162,14 @@ def partition_counts(
 
 
 def history_of_table(
-    spark: SparkSession, config: LayoutConfig, key: tuple[str, str, str], run: Runner | None = None
+    spark: SparkSession, key: tuple[str, str, str], run: Runner | None = None
 ) -> DataFrame:
     """Commits of one table from the history command, newest first.
 
     For many tables use ``commit_history``, which reads commit logs in one job.
     """
     run = run or spark.sql
-    rows = run(f"DESCRIBE HISTORY {quoted(*key)} LIMIT {config.max_history_records}")
+    rows = run(f"DESCRIBE HISTORY {quoted(*key)}")
     keyed = rows.withColumns({name: F.lit(value) for name, value in zip(KEY, key)})
     return keyed.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in TABLE_HISTORY.fields])
 
@@ -177,21 +177,20 @@ def history_of_table(
 def collect_history(
     spark: SparkSession,
     tables: DataFrame,
-    config: LayoutConfig,
     scratch: str | None = None,
     run: Runner | None = None,
     workers: int = 8,
 ) -> DataFrame:
     """Commits of many tables from the history command, for logs that cannot be read.
 
-    Each table's result, at most ``max_history_records`` rows, is written below the
+    Each table's result, with every commit, is written below the
     scratch folder as it comes, so the driver never holds more than a few of them.
     A table whose command fails has no history.
     """
     folder = scratch or scratch_folder(spark, "history")
 
     def read(key: Row) -> dict:
-        history_of_table(spark, config, tuple(key), run).write.parquet(f"{folder}/{uuid.uuid4().hex}")
+        history_of_table(spark, tuple(key), run).write.parquet(f"{folder}/{uuid.uuid4().hex}")
         return {"done": True}
 
     schema = T.StructType([*TABLES.fields, T.StructField("done", T.BooleanType())])

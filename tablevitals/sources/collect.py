@@ -21,16 +21,15 @@ def collect_inventories(
     spark: SparkSession,
     config: LayoutConfig,
     scratch: str | None = None,
-    files: str = "walk",
-    history: str = "walk",
+    history: str = "logs",
 ) -> Inventories:
     """Discover tables, describe them, list their files, and read their commits.
 
-    ``files`` and ``history`` say how: ``walk`` or ``reader``, and for the history
-    also ``command`` where the logs cannot be read.
+    ``history`` says how: from the commit ``logs``, or by ``command`` where these
+    cannot be read.
     """
     detail = collect_details(spark, discover_tables(spark, config))
-    return inventories_of(spark, detail, config, scratch, files, history)
+    return inventories_of(spark, detail, config, scratch, history)
 
 
 def inventories_of(
@@ -38,21 +37,22 @@ def inventories_of(
     detail: DataFrame,
     config: LayoutConfig,
     scratch: str | None = None,
-    files: str = "walk",
-    history: str = "walk",
+    history: str = "logs",
 ) -> Inventories:
     """Inventories of described tables; only those in the supported format are read."""
     located = detail.join(supported_tables(detail), list(KEY), "left_semi").select(
         *KEY, "location", "partitionColumns"
     )
+    if history not in ("logs", "command"):
+        raise ValueError(f"history must be 'logs' or 'command', not {history!r}")
     if history == "command":
-        commits = collect_history(spark, located, config, scratch and f"{scratch}/history")
+        commits = collect_history(spark, located, scratch and f"{scratch}/history")
     else:
-        commits = commit_history(spark, located, config.max_history_records, history)
+        commits = commit_history(spark, located, scratch and f"{scratch}/commits")
     return Inventories(
         detail=detail,
         ddl=collect_ddl(spark, located),
-        files=file_inventory(spark, located, files, scratch and f"{scratch}/files"),
+        files=file_inventory(spark, located, scratch and f"{scratch}/files"),
         history=commits,
         partition_counts=partition_counts(spark, located),
     )

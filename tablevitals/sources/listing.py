@@ -1,36 +1,31 @@
 """File inventory: every data file below many table roots.
 
-Two ways to list. They agree unless one table lies inside another: a walk counts
-the inner table's files for both, the reader for the inner one only.
-
-* ``walk_files`` lists directories on the executors, level by level. Directories
-  are dealt out over the cluster at every level, so neither the driver nor one
-  task holds a table's listing, however many files it has. Each level is written
-  below ``spark.checkpoint.dir``: a lost executor costs no second walk, and all
-  users of the inventory read the stored snapshot.
-* ``listed_files`` asks Spark's own file reader for the metadata of the files. It
-  needs no scratch folder and uses the cluster's own file system settings, but
-  the driver keeps an entry per file: right for some hundred thousand files.
+Directories are listed on the executors, level by level. They are dealt out over
+the cluster at every level, so neither the driver nor one task holds a table's
+listing, however many files it has. Each level is written below
+``spark.checkpoint.dir``: a lost executor costs no second walk, and all users of
+the inventory read the stored snapshot. If one table lies inside another, the
+inner table's files count for both.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import file_name, partition_of_path
-from ..operators.first import first_per_table
 from ..schemas import FILE_INVENTORY, KEY
-from .attribute import attribute_paths, existing, table_roots
 from .scratch import scratch_folder
 from .walk import ENTRY, directory_lister, roots_of, spread_paths
 
 DATA_SUFFIX = ".parquet"
 HIDDEN_PREFIX = "_"
 
-_MAX_DEPTH = 64
+# More than file systems take, so no real directory is lost to it.
+_LONGEST_PATH = 32_768
 
 
 def walk_files(spark: SparkSession, tables: DataFrame, scratch: str | None = None) -> DataFrame:
@@ -42,7 +37,7 @@ def walk_files(spark: SparkSession, tables: DataFrame, scratch: str | None = Non
     pending = roots_of(tables)
     lister = directory_lister(DATA_SUFFIX, HIDDEN_PREFIX)
     levels = []
-    for depth in range(_MAX_DEPTH):
+    for depth in count():
         folder = f"{scratch}/level={depth}"
         spread_paths(pending).mapInPandas(lister, ENTRY).write.mode("overwrite").parquet(folder)
         level = spark.read.schema(ENTRY).parquet(folder)
@@ -50,49 +45,23 @@ def walk_files(spark: SparkSession, tables: DataFrame, scratch: str | None = Non
         pending = level.filter("is_dir").select(*KEY, "root", "path")
         if pending.isEmpty():
             break
+        # A path this long can only come from a directory that links to one above it.
+        if not pending.filter(F.length("path") - F.length("root") > _LONGEST_PATH).isEmpty():
+            raise ValueError(f"directories below {scratch} go in a circle: a path has over {_LONGEST_PATH} characters")
     files = reduce(DataFrame.unionByName, levels)
     return files.withColumn("relative_path", F.expr("substr(path, length(root) + 2)"))
 
 
-def listed_files(spark: SparkSession, tables: DataFrame, batch: int = 2000) -> DataFrame:
-    """List the files of ``tables`` through Spark's file reader, without contents."""
-    roots = table_roots(tables)
-    present = existing(spark, [r.location for r in roots])
-    if not present:
-        return spark.createDataFrame([], ENTRY).withColumn("relative_path", F.col("path"))
-    reads = [
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", f"*{DATA_SUFFIX}")
-        .load(present[start : start + batch])
-        .select("path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modification_time"))
-        for start in range(0, len(present), batch)
-    ]
-    found = attribute_paths(reduce(DataFrame.unionByName, reads), roots, spark)
-    # Hidden at any level below the root, as in a walk.
-    return found.filter(f"NOT relative_path RLIKE '(^|/){HIDDEN_PREFIX}'")
-
-
 def file_inventory(
-    spark: SparkSession,
-    tables: DataFrame,
-    how: str = "walk",
-    scratch: str | None = None,
-    max_files_per_table: int | None = None,
+    spark: SparkSession, tables: DataFrame, scratch: str | None = None
 ) -> DataFrame:
     """One row per data file of each table, with its name and partition.
 
-    ``max_files_per_table`` keeps the first files in path order, for a quick look
-    at a sample; by default every file counts. The listing is physical: files a
+    Every file counts. The listing is physical: files a
     table no longer uses count until they are vacuumed.
     """
-    if how not in ("walk", "reader"):
-        raise ValueError(f"how must be 'walk' or 'reader', not {how!r}")
-    found = walk_files(spark, tables, scratch) if how == "walk" else listed_files(spark, tables)
+    found = walk_files(spark, tables, scratch)
     named = found.withColumns(
         {"name": F.expr(file_name("path")), "partition": F.expr(partition_of_path("relative_path"))}
     )
-    files = named.select(*FILE_INVENTORY.names)
-    if max_files_per_table is not None:
-        files = first_per_table(files, [F.col("path")], max_files_per_table, spread="path")
-    return files
+    return named.select(*FILE_INVENTORY.names)

@@ -48,7 +48,7 @@ def _append(rows: DataFrame, config: LayoutConfig, table: str) -> None:
     writer.saveAsTable(name)
 
 
-def read_reports(spark: SparkSession, config: LayoutConfig, limit: int = 100) -> DataFrame:
-    """The latest saved report rows, newest first."""
+def read_reports(spark: SparkSession, config: LayoutConfig, limit: int | None = None) -> DataFrame:
+    """Saved report rows, newest first; the latest ones only if a limit is given."""
     name = quoted(config.output_catalog, config.output_schema, config.output_table)
     return report_history(spark.table(name), limit)

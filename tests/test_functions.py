@@ -83,11 +83,12 @@ def test_skew_tiers(spark, ratio, tier):
     "ddl, clustered, columns",
     [
         ("CREATE TABLE t (id INT)\nUSING delta\nCLUSTER BY (id, created_at)", True, ["id", "created_at"]),
-        ("create table t cluster\n by ( `a b` , \"c\", 'd' )", True, ["a b", "c", "d"]),
+        ("create table t cluster\n by ( `a b` , \"c\", `d,(``e`, f.`g h` )", True, ["a b", "c", "d,(`e", "f.g h"]),
         ("... CLUSTER BY größe ...", True, ["größe"]),
         ("... CLUSTER BY AUTO", True, ["AUTO"]),
         ("... CLUSTER BY ( )", True, []),
-        ("-- we do not CLUSTER BY x here", True, ["x"]),
+        ("-- we do not CLUSTER BY x here\nCLUSTER BY y", True, ["y"]),
+        ("COMMENT 'CLUSTER BY (z)' /* CLUSTER BY\n q */", False, []),
         ("CREATE TABLE t (id INT)", False, []),
         ("PARTITIONED BY (cluster_by(a, b))", False, []),
         (
@@ -151,7 +152,6 @@ def test_sql_string_survives_odd_text(spark):
 def test_config_checks_its_values():
     for bad in (
         {"scan_mode": "galaxy"},
-        {"max_history_records": 0},
         {"optimize_stale_days": -1},
         {"skew_low_threshold": 6.0},
         {"small_file_severe_mb": 500},

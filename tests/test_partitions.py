@@ -22,7 +22,6 @@ def test_sizes_add_up_over_all_levels_and_skip_unpartitioned_rows(spark):
     found = {r.partition: r.size_bytes for r in ops.partition_sizes(rows).collect()}
     assert found == {"a=1/b=1": 11, "a=1/b=2": 1}
     assert ops.partition_count(rows).first().partition_count == 2
-    assert [r.partition for r in ops.partition_sizes(rows, max_partitions_per_table=1).collect()] == ["a=1/b=1"]
 
 
 def test_stats_equal_brute_force(spark):
@@ -60,14 +59,13 @@ def test_unmeasured_partitions_are_taken_to_be_even(spark):
     assert (row.partition_count, row.largest_partition_size_mb, row.partition_sizes_estimated) == (2, 50.0, True)
 
 
-def test_sizing_limit_and_unpartitioned_tables(spark):
+def test_many_partitions_and_unpartitioned_tables(spark):
     detail = ops.table_detail(
         detail_frame(spark, {"table": "many", "partitionColumns": ["p"]}, {"table": "flat"}, {"table": "none", "partitionColumns": ["p"]})
     )
-    rows = inventory(spark, [("many", f"p={i}", MB) for i in range(4)] + [("flat", "p=1", MB)])
-    config = LayoutConfig(partition_sizing_limit=3)
-    stats = by_table(ops.partition_stats(detail, ops.partition_sizes(rows), config))
-    assert (stats["many"].partition_count, stats["many"].largest_partition_size_mb) == (4, 0.0)
+    rows = inventory(spark, [("many", f"p={i}", MB) for i in range(12_000)] + [("flat", "p=1", MB)])
+    stats = by_table(ops.partition_stats(detail, ops.partition_sizes(rows), CONFIG))
+    assert (stats["many"].partition_count, stats["many"].largest_partition_size_mb) == (12_000, 1.0)
     assert (stats["flat"].partition_count, stats["flat"].partition_note) == (0, "not partitioned")
     assert (stats["none"].partition_count, stats["none"].partition_skew_ratio) == (0, 0.0)
 

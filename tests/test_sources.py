@@ -62,10 +62,9 @@ def on_disk(root):
     return found
 
 
-@pytest.mark.parametrize("how", ["walk", "reader"])
-def test_inventory_equals_the_disk(spark, lake, tmp_path, how):
+def test_inventory_equals_the_disk(spark, lake, tmp_path):
     base, tables = lake
-    inventory = sources.file_inventory(spark, tables, how=how, scratch=str(tmp_path / "scratch"))
+    inventory = sources.file_inventory(spark, tables, scratch=str(tmp_path / "scratch"))
     assert inventory.columns == FILE_INVENTORY.names
     rows = inventory.collect()
     for table, root in (("deep", f"{base}/a b/deep"), ("flat", f"{base}/flat")):
@@ -82,12 +81,13 @@ def test_inventory_equals_the_disk(spark, lake, tmp_path, how):
     assert {r["table"] for r in rows} == {"deep", "flat"}
 
 
-def test_inventory_sample_is_off_by_default(spark, lake, tmp_path):
-    _, tables = lake
-    some = sources.file_inventory(spark, tables, scratch=str(tmp_path / "s"), max_files_per_table=2)
-    assert {r["table"]: r["count"] for r in some.groupBy("table").count().collect()} == {"deep": 2, "flat": 2}
-    with pytest.raises(ValueError):
-        sources.file_inventory(spark, tables, how="guess")
+def test_a_file_far_below_its_root_is_found(spark, tmp_path):
+    deep = tmp_path.joinpath("t", *(f"d{i}" for i in range(70)))
+    deep.mkdir(parents=True)
+    (deep / "x.parquet").write_bytes(b"12345")
+    tables = spark.createDataFrame([("c", "s", "t", str(tmp_path / "t"))], LOCATED)
+    found = sources.file_inventory(spark, tables, scratch=str(tmp_path / "scratch")).collect()
+    assert [(r.name, r.size_bytes) for r in found] == [("x.parquet", 5)]
 
 
 def test_inventory_feeds_the_operators(spark, lake, tmp_path):
@@ -98,28 +98,24 @@ def test_inventory_feeds_the_operators(spark, lake, tmp_path):
     assert by_table(ops.file_layout(files, LayoutConfig()))["flat"].total_files == 2
 
 
-def test_reader_gives_nested_files_to_the_inner_table(spark, tmp_path):
-    spark.range(5).coalesce(1).write.parquet(str(tmp_path / "outer"))
-    spark.range(5).coalesce(1).write.parquet(str(tmp_path / "outer/x/inner"))
-    rows = [("c", "s", "outer", str(tmp_path / "outer")), ("c", "s", "inner", str(tmp_path / "outer/x/inner"))]
-    tables = spark.createDataFrame(rows, LOCATED)
-    counts = sources.file_inventory(spark, tables, how="reader").groupBy("table").count().collect()
-    assert {r["table"]: r["count"] for r in counts} == {"outer": 1, "inner": 1}
-
-
-def test_attribution_without_broadcast(spark, lake, monkeypatch):
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_paths_belong_to_their_innermost_root(spark, monkeypatch, broadcast):
     from tablevitals.sources import attribute
 
-    _, tables = lake
-    before = sorted(map(str, sources.file_inventory(spark, tables, how="reader").collect()))
-    monkeypatch.setattr(attribute, "BROADCAST_CHARACTERS", 0)
-    assert sorted(map(str, sources.file_inventory(spark, tables, how="reader").collect())) == before
+    if not broadcast:
+        monkeypatch.setattr(attribute, "BROADCAST_CHARACTERS", 0)
+    rows = [("c", "s", "outer", "/lake/outer/"), ("c", "s", "inner", "file:///lake/outer/x/inner"), ("c", "s", "gone", None)]
+    paths = ["file:/lake/outer/a.parquet", "file:///lake/outer/x/inner/p=1/b.parquet", "file:/lake/elsewhere/c.parquet"]
+    files = spark.createDataFrame([(p,) for p in paths], "path string")
+    owned = attribute.attribute_paths(files, spark.createDataFrame(rows, LOCATED)).collect()
+    assert {(r["table"], r.relative_path) for r in owned} == {("outer", "a.parquet"), ("inner", "p=1/b.parquet")}
+    nowhere = spark.createDataFrame(rows[2:], LOCATED)
+    assert attribute.attribute_paths(files, nowhere).count() == 0
 
 
-@pytest.mark.parametrize("how", ["walk", "reader"])
-def test_commit_logs(spark, lake, how):
+def test_commit_logs(spark, lake, tmp_path):
     _, tables = lake
-    history = sources.commit_history(spark, tables, how=how)
+    history = sources.commit_history(spark, tables, str(tmp_path / "a"))
     assert history.columns == TABLE_HISTORY.names
     rows = history.orderBy("version").collect()
     assert [(r["table"], r.version, r.operation) for r in rows] == [
@@ -129,15 +125,26 @@ def test_commit_logs(spark, lake, how):
     assert rows[1].operationParameters == {"zOrderBy": '["a"]'}
     assert rows[1].operationMetrics == {"numOutputBytes": "100"}
     nowhere = tables.filter("`table` = 'missing'")
-    assert sources.commit_history(spark, nowhere, how=how).count() == 0
-
-
-def test_commit_limit_reaches_the_listing(spark, lake):
-    _, tables = lake
-    newest = sources.commit_history(spark, tables, limit=2).collect()
-    assert sorted(r.version for r in newest) == [1, 2]
-    with pytest.raises(ValueError):
-        sources.commit_history(spark, tables, how="guess")
+    assert sources.commit_history(spark, nowhere, str(tmp_path / "b")).count() == 0
+
+
+def test_every_commit_of_a_log_counts(spark, tmp_path):
+    """Plain, with a misleading line first, without commitInfo, and with parameters that are no text."""
+    log = tmp_path / "t" / "_delta_log"
+    log.mkdir(parents=True)
+    info = {"commitInfo": {"timestamp": 1700000000000, "operation": "WRITE"}}
+    add = {"add": {"path": "x", "partitionValues": {"commitInfo": "1"}}}
+    typed = {"commitInfo": {"timestamp": 1700000000000, "operation": "OPTIMIZE", "operationParameters": {"n": 3, "zOrderBy": ["a"]}}}
+    for version, lines in enumerate(([info], [add, info], [add], [typed])):
+        (log / f"{version:020}.json").write_text("".join(json.dumps(line) + "\n" for line in lines))
+    os.utime(log / f"{2:020}.json", (1700000100, 1700000100))
+    tables = spark.createDataFrame([("c", "s", "t", str(tmp_path / "t"))], LOCATED)
+    rows = sources.commit_history(spark, tables, str(tmp_path / "scratch")).orderBy("version").collect()
+    assert [(r.version, r.operation) for r in rows] == [(0, "WRITE"), (1, "WRITE"), (2, None), (3, "OPTIMIZE")]
+    assert [r.timestamp.minute for r in rows] == [13, 13, 15, 13]
+    assert rows[3].operationParameters == {"n": "3", "zOrderBy": '["a"]'}
+    counts = ops.operation_counts(sources.commit_history(spark, tables, str(tmp_path / "again"))).collect()
+    assert {r.operation: r.commits for r in counts} == {"WRITE": 2, "UNKNOWN": 1, "OPTIMIZE": 1}
 
 
 def test_tables_of_schemas_and_catalogs(spark):
@@ -178,7 +185,7 @@ class Commands:
             rows = [("delta", "x", f"{self.base}/{'a b/' if name == 'deep' else ''}{name}", 3, 999, ["p", "q"] if name == "deep" else [])]
             return self.spark.createDataFrame([] if "`empty`" in text else rows, columns)
         if text.startswith("DESCRIBE HISTORY"):
-            assert text.endswith("LIMIT 7")
+            assert "LIMIT" not in text
             return self.spark.createDataFrame(
                 [(5, datetime(2024, 1, 1), "WRITE", {"a": "b"}, {"c": "d"}, "someone")],
                 "version bigint, timestamp timestamp, operation string, operationParameters map<string,string>, "
@@ -203,20 +210,19 @@ def test_commands_per_table(spark, lake):
     assert ddl["flat"].ddl.startswith("CREATE TABLE") and ddl["gone"].ddl is None
     counts = by_table(partition_counts(spark, detail, run))
     assert {t: r.partition_count for t, r in counts.items()} == {"deep": 3}
-    history = sources.history_of_table(spark, LayoutConfig(max_history_records=7), ("c", "s", "flat"), run)
+    history = sources.history_of_table(spark, ("c", "s", "flat"), run)
     assert history.columns == TABLE_HISTORY.names
     assert history.first().operation == "WRITE"
 
 
 def test_history_command_for_many_tables(spark, lake, tmp_path):
     run = Commands(spark, lake[0])
-    config = LayoutConfig(max_history_records=7)
     tables = spark.createDataFrame([("c", "s", t) for t in ("deep", "_fl/at", "gone")], TABLES)
-    history = sources.collect_history(spark, tables, config, str(tmp_path / "h"), run)
+    history = sources.collect_history(spark, tables, str(tmp_path / "h"), run)
     assert history.schema == TABLE_HISTORY
     assert sorted((r["table"], r.version) for r in history.collect()) == [("_fl/at", 5), ("deep", 5)]
     failing = spark.createDataFrame([("c", "s", "gone")], TABLES)
-    assert sources.collect_history(spark, failing, config, str(tmp_path / "g"), run).count() == 0
+    assert sources.collect_history(spark, failing, str(tmp_path / "g"), run).count() == 0
 
 
 def test_collected_inventories_can_be_analyzed(spark, lake, tmp_path):

@@ -138,7 +138,7 @@ joined AS (
     b.bytes, p.hi, p.lo, p.med, p.mean
   FROM based b LEFT JOIN pstat p USING (tbl)),
 measured AS (
-  SELECT *, n BETWEEN 1 AND 10000 AS fits,
+  SELECT *, n > 0 AS fits,
     CASE WHEN n > 0 THEN {mb("CAST(bytes AS BIGINT) // n")} ELSE 0e0 END AS even FROM joined),
 filled AS (
   SELECT *, CASE WHEN NOT fits THEN 0e0 ELSE coalesce({rnd("hi")}, even) END AS largest,
@@ -159,21 +159,25 @@ bal AS (
 HISTORY = """
 hist AS (
   SELECT 'src' || k AS tbl, event_id AS version, ts, operation AS op, event_id, value, zorder,
-    CASE WHEN event_id % 10 IN (0, 5) THEN 0 ELSE CAST(floor(value * 1000000) AS HUGEINT) END AS written
+    CASE WHEN event_id % 10 IN (0, 5) THEN 0 WHEN event_id % 10 = 7 THEN NULL
+      ELSE CAST(floor(value * 1000000) AS HUGEINT) END AS written,
+    event_type = 'purchase' AND op_kept AND event_id % 7 = 0 AS has_predicate
   FROM (SELECT *, user_id % 20 AS k,
-      CASE WHEN event_type = 'view' THEN 'WRITE' WHEN event_type = 'signup' THEN 'MERGE'
+      NOT (event_type = 'purchase' AND user_id % 20 IN (0, 7)) AND NOT (event_type = 'error' AND user_id % 20 IN (3, 7))
+        AND NOT (event_type IN ('purchase', 'error') AND user_id % 20 IN (1, 5, 9) AND ts >= TIMESTAMP '2024-01-06')
+        AS op_kept,
+      CASE WHEN event_type = 'view' OR NOT op_kept THEN 'WRITE' WHEN event_type = 'signup' THEN 'MERGE'
         WHEN event_type = 'purchase' THEN 'OPTIMIZE'
         WHEN event_type = 'error' AND event_id % 2 = 0 THEN 'VACUUM START'
         WHEN event_type = 'error' THEN 'VACUUM END'
         WHEN event_id % 2 = 0 THEN 'DELETE' ELSE 'STREAMING UPDATE' END AS operation,
       CASE event_id % 3 WHEN 0 THEN '["c1","c2"]' WHEN 1 THEN '[]' ELSE 'c3, c4' END AS zorder
-    FROM events)
-  WHERE NOT (event_type = 'purchase' AND k IN (0, 7)) AND NOT (event_type = 'error' AND k IN (3, 7))
-    AND NOT (event_type IN ('purchase', 'error') AND k IN (1, 5, 9) AND ts >= TIMESTAMP '2024-01-06')),
-recent AS (
-  SELECT * FROM hist QUALIFY row_number() OVER (PARTITION BY tbl ORDER BY version DESC) <= {n})"""
+    FROM events))"""
 
-RECENT = HISTORY.replace("{n}", "1000")
+RECENT = HISTORY + ",\nrecent AS (SELECT * FROM hist)"
+NEWEST = HISTORY + """,
+recent AS (
+  SELECT * FROM hist QUALIFY row_number() OVER (PARTITION BY tbl ORDER BY version DESC) <= 100)"""
 
 PIVOT = """
 pivot_ops AS (
@@ -213,10 +217,10 @@ status AS (
 
 CADENCE = f"""
 gaps AS (
-  SELECT tbl, ts, {days("ts", "lead(ts) OVER (PARTITION BY tbl ORDER BY ts DESC)")} AS gap
+  SELECT tbl, ts, has_predicate, {days("ts", "lead(ts) OVER (PARTITION BY tbl ORDER BY ts DESC)")} AS gap
   FROM recent WHERE op = 'OPTIMIZE'),
 cadence AS (
-  SELECT tbl, count(*) AS optimize_count, max(ts) AS last_ts,
+  SELECT tbl, count(*) AS optimize_count, max(ts) AS last_ts, count(*) FILTER (has_predicate) AS predicates,
     {rnd("CASE WHEN count(gap) > 0 THEN sum(gap) / CAST(count(gap) AS DOUBLE) END", 1)} AS optimize_frequency_days
   FROM gaps GROUP BY tbl),
 znames AS (
@@ -226,7 +230,7 @@ zcols AS (SELECT tbl, list(name ORDER BY name) AS zorder_columns FROM znames GRO
 
 GROWTH = f"""
 writes AS (
-  SELECT tbl, count(*) AS n, CAST(sum(written) AS DOUBLE) AS bytes_written, CAST(count(*) AS DOUBLE) AS with_metrics,
+  SELECT tbl, count(*) AS n, CAST(sum(written) AS DOUBLE) AS bytes_written, CAST(count(written) AS DOUBLE) AS with_metrics,
     CAST(greatest({days("max(ts)", "min(ts)")}, 1) AS DOUBLE) AS span
   FROM recent WHERE op IN ('WRITE', 'MERGE', 'UPDATE', 'DELETE') GROUP BY tbl),
 weekdays AS (
@@ -265,8 +269,8 @@ _SMALL = "num_files > 0 AND avg_file_size_mb > 0"
 _CRITICAL = "(avg_file_size_mb < 32 OR severe_small_files_pct > 50)"
 _VACUUM = f"'VACUUM ' || {NAME} || ' RETAIN 168 HOURS;'"
 _SKETCH = (
-    f"'-- Pick the partition column first:' || chr(10) || '-- CREATE TABLE ' || {NAME} || "
-    f"'_partitioned PARTITIONED BY (partition_column) AS SELECT * FROM ' || {NAME} || ';'"
+    f"'-- Choose the column, then run without the dashes:' || chr(10) || '-- CREATE TABLE ' || '`lake`.`main`.`' || tbl || "
+    f"'_by_column` PARTITIONED BY (chosen_column) AS SELECT * FROM ' || {NAME} || ';'"
 )
 _PARTS = f"{counted('partition_count')} || ' partitions"
 RULES = (
@@ -318,14 +322,14 @@ RULES = (
      f"'The table holds ' || {grouped('size_gb')} || ' GB and has no clustering columns.'",
      "'not clustered'", "'clustered from 10 GB to 1000 GB'",
      "'Cluster the table by the columns that queries filter on.'",
-     f"'ALTER TABLE ' || {NAME} || ' CLUSTER BY (column1, column2);'"),
+     f"'ALTER TABLE ' || {NAME} || ' CLUSTER BY (first_filter_column, second_filter_column);'"),
     (7, "'NO_ZORDER'", "no_zorder", "'medium'",
      "size_gb > 500 AND len(zorder_columns) = 0 AND NOT is_liquid_clustered",
      "'Large table that was never z-ordered'",
      f"'The table holds ' || {grouped('size_gb')} || ' GB and no commit looked at z-ordered it.'",
      "'no z-order columns'", "'z-ordered or clustered above 500 GB'",
      "'Z-order the table by the columns that queries filter on, or cluster it by them.'",
-     f"'OPTIMIZE ' || {NAME} || ' ZORDER BY (column1, column2);'"),
+     f"'OPTIMIZE ' || {NAME} || ' ZORDER BY (first_filter_column, second_filter_column);'"),
     (8, "'EXCESS_PARTITIONS'", "excess_partitions", "'critical'", "partition_count > 5000",
      "'Too many partitions'", f"{_PARTS} by lang'", f"{_PARTS}'", "'at most 5,000 partitions'",
      "'Partition by fewer columns or by a coarser one, such as month instead of day.'", "NULL"),
@@ -536,7 +540,7 @@ FROM counts""",
         "AS partition_count FROM lineitem"
     ),
     "recent_history": query(
-        [HISTORY.replace("{n}", "100")],
+        [NEWEST],
         f"SELECT {KEYS}, version, {iso('ts')} AS timestamp, op AS operation FROM recent",
     ),
     "operation_counts": query(
@@ -567,7 +571,7 @@ FROM counts""",
     "zorder_columns": query(
         [RECENT, CADENCE],
         f"""SELECT {KEYS}, coalesce(array_to_string(zorder_columns, ','), '') AS zorder_columns,
-  optimize_count AS zorder_usage_count, 0::BIGINT AS predicate_optimizations
+  optimize_count AS zorder_usage_count, predicates AS predicate_optimizations
 FROM cadence LEFT JOIN zcols USING (tbl)""",
     ),
     "optimize_cadence": query(

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
 from datetime import timedelta
 from functools import reduce
 
@@ -16,12 +15,6 @@ from tablevitals.schemas import KEY
 
 from . import inputs as I
 
-RECENT_CONFIG = replace(I.CONFIG, max_history_records=100)
-
-
-def _recent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.recent_history(I.history(spark, sf_dir), I.CONFIG)
-
 
 def _detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.table_detail(I.detail(spark, sf_dir))
@@ -94,7 +87,7 @@ def partition_count(spark, sf_dir):
 
 
 def partition_balance(spark, sf_dir):
-    """Balance of tables with thousands of partitions, with the sizing limit."""
+    """Balance of tables with thousands of partitions."""
     detail = ops.table_detail(I.count_detail(spark, sf_dir))
     sizes = ops.partition_sizes(I.partition_rows(spark, sf_dir))
     rows = ops.partition_stats(detail, sizes, I.COUNT_CONFIG)
@@ -121,48 +114,48 @@ def partition_count_from_data(spark, sf_dir):
 
 
 def recent_history(spark, sf_dir):
-    rows = ops.recent_history(I.history(spark, sf_dir), RECENT_CONFIG)
+    rows = ops.recent_history(I.history(spark, sf_dir), 100)
     return _iso(rows.select(*KEY, "version", "timestamp", "operation"), "timestamp")
 
 
 def operation_counts(spark, sf_dir):
-    return ops.operation_counts(_recent(spark, sf_dir))
+    return ops.operation_counts(I.history(spark, sf_dir))
 
 
 def operation_pivot(spark, sf_dir):
-    return ops.operation_pivot(_recent(spark, sf_dir))
+    return ops.operation_pivot(I.history(spark, sf_dir))
 
 
 def last_operations(spark, sf_dir):
-    rows = ops.last_operations(_recent(spark, sf_dir))
+    rows = ops.last_operations(I.history(spark, sf_dir))
     return _iso(rows, *[c for c in rows.columns if c.startswith("last_")])
 
 
 def maintenance_status(spark, sf_dir):
-    rows = ops.maintenance_status(_recent(spark, sf_dir), I.AS_OF)
+    rows = ops.maintenance_status(I.history(spark, sf_dir), I.AS_OF)
     return _iso(rows, *[c for c in rows.columns if c.endswith("_timestamp")])
 
 
 def zorder_columns(spark, sf_dir):
-    return _joined(ops.zorder_columns(_recent(spark, sf_dir)), "zorder_columns")
+    return _joined(ops.zorder_columns(I.history(spark, sf_dir)), "zorder_columns")
 
 
 def optimize_cadence(spark, sf_dir):
-    return _iso(ops.optimize_cadence(_recent(spark, sf_dir)), "last_optimize_timestamp")
+    return _iso(ops.optimize_cadence(I.history(spark, sf_dir)), "last_optimize_timestamp")
 
 
 def recent_optimizes(spark, sf_dir):
-    rows = ops.recent_optimizes(_recent(spark, sf_dir))
+    rows = ops.recent_optimizes(I.history(spark, sf_dir))
     zorder = "try_element_at(parameters, 'zOrderBy') AS zorder_by"
     return _iso(rows.selectExpr(*KEY, "position", "version", "timestamp", zorder), "timestamp")
 
 
 def growth(spark, sf_dir):
-    return ops.growth(_recent(spark, sf_dir), _detail(spark, sf_dir))
+    return ops.growth(I.history(spark, sf_dir), _detail(spark, sf_dir))
 
 
 def weekday_pattern(spark, sf_dir):
-    rows = ops.weekday_pattern(_recent(spark, sf_dir))
+    rows = ops.weekday_pattern(I.history(spark, sf_dir))
     entries = "transform(map_entries(write_patterns), e -> concat(e.key, '=', e.value))"
     return rows.withColumn("write_patterns", F.expr(f"array_join(array_sort({entries}), ',')"))
 
