@@ -224,7 +224,7 @@ def linked(docs: DataFrame, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     signed = stored(signatures(docs, rows, bands), "signatures")
     classes = signed.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("last"))
     copies = stored(classes.where("node < last").select("set_key", "node"), "classes")
-    nodes = signed.select("doc_id", "n_shingles", "set_key").join(copies, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("node", "doc_id").alias("node"))
+    nodes = signed.select("doc_id", "n_shingles", "set_key").join(copies, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")).alias("node"))
 
     of_bands = signed.where("doc_id is not null").join(copies.withColumnRenamed("node", "first"), "set_key", "left").where("first is null or first = doc_id")
     of_bands = of_bands.select(F.explode("buckets").alias("bucket"), F.col("doc_id").alias("node"), "n_shingles")

@@ -1,0 +1,157 @@
+"""Near-duplicates and benchmark passages against brute force."""
+
+import random
+import re
+
+import pytest
+
+from tablevitals.llm import decontamination, minhash
+
+SCHEMA = "doc_id long, text string, node string, bucket int"
+
+
+def words(rng, n, vocabulary=400):
+    return [f"w{rng.randrange(vocabulary)}" for _ in range(n)]
+
+
+def shingles(text):
+    own = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
+    count = min(5, len(own))
+    return {tuple(own[i : i + count]) for i in range(len(own) - count + 1)} if own else set()
+
+
+def expected_components(rows):
+    sets = {}
+    for doc_id, text in rows:
+        sets.setdefault(doc_id, set()).update(shingles(text))
+    ids = sorted(sets)
+    parent = {i: i for i in ids}
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for x, a in enumerate(ids):
+        for b in ids[x + 1 :]:
+            common = len(sets[a] & sets[b])
+            if common and 100 * common >= 75 * (len(sets[a]) + len(sets[b]) - common):
+                lo, hi = sorted((top(a), top(b)))
+                parent[hi] = lo
+    return {i: top(i) for i in ids}, {i: len(s) for i, s in sets.items()}
+
+
+def corpus():
+    rng = random.Random(5)
+    texts = ["", None, " \t\n", "one", "One", "one two three", "İ straße", "  a  b c\td\ne f "]
+    base = words(rng, 120, 5000)
+    for copy in range(90):  # near copies, some just below the limit and linked only through others
+        own = list(base)
+        for _ in range(copy % 7):
+            own[rng.randrange(len(own))] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(own))
+    texts += ["same words in every copy of this text here"] * 30
+    passage = " ".join(words(rng, 40))
+    texts += [f"{' '.join(words(rng, 60))} {passage}" for _ in range(40)]
+    chain = words(rng, 100, 5000)
+    for step in range(8):
+        chain = chain[3:] + [f"c{step}", f"d{step}", f"e{step}"]
+        texts.append(" ".join(chain))
+    texts += [" ".join(words(rng, 30)) for _ in range(40)]
+    rng.shuffle(texts)
+    return list(enumerate(texts))
+
+
+def test_components_equal_brute_force(spark):
+    rows = corpus()
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], SCHEMA).repartition(3)
+    found = {r.doc_id: r for r in minhash.linked(docs).collect()}
+    component, size = expected_components(rows)
+    assert {i: r.component_id for i, r in found.items()} == component
+    assert {i: r.n_shingles for i, r in found.items()} == size
+    assert all(r.kept == (i == component[i]) for i, r in found.items())
+    kept = minhash.kept(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(component.values()))
+
+
+def test_small_cells_give_the_same_pairs(spark):
+    rows = [(i, t) for i, t in corpus() if t]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = minhash.shingle_sets(docs).withColumnRenamed("node", "node")
+    members = sets.selectExpr("1L AS bucket", "node", "node AS label")
+    whole = {tuple(r) for r in minhash.pairs_in_cells(members, sets).collect()}
+    assert {tuple(r) for r in minhash.pairs_in_cells(members, sets, cell=16).collect()} == whole
+    of = {i: shingles(t) for i, t in rows}
+    close = {(a, b) for a in of for b in of if a < b and (c := len(of[a] & of[b])) and 100 * c >= 75 * (len(of[a]) + len(of[b]) - c)}
+    assert close <= whole
+
+
+def test_repeated_and_missing_ids(spark):
+    text = "a b c d e f g h"
+    rows = [(1, text), (1, text), (2, text), (None, text), (3, "other words are in this one")]
+    found = minhash.linked(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in found if r.doc_id is not None) == [
+        (1, 1, True), (1, 1, True), (2, 1, False), (3, 3, True),
+    ]
+    assert [(r.component_id, r.kept) for r in found if r.doc_id is None] == [(None, True)]
+    kept = minhash.kept(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(str(r.doc_id) for r in kept) == ["1", "3", "None"]
+    assert minhash.linked(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def plain_words(text):
+    return [w for w in re.split(r"[\W_]+", (text or "").lower()) if w]
+
+
+def bag(own, n):
+    out = {}
+    for i in range(len(own) - n + 1):
+        gram = tuple(own[i : i + n])
+        out[gram] = out.get(gram, 0) + 1
+    return out
+
+
+def expected_leaks(docs, items):
+    """The best similarity of each document and item over all windows of the item's length."""
+    out = {}
+    for doc_id, text in docs:
+        own = plain_words(text)
+        for item_id, item in items:
+            mine = plain_words(item)
+            if not mine:
+                continue
+            n, target = min(5, len(mine)), bag(mine, min(5, len(mine)))
+            for start in range(1 - len(mine), len(own)):
+                window = bag(own[max(start, 0) : start + len(mine)], n)
+                grams = window.keys() | target.keys()
+                common = sum(min(window.get(g, 0), target.get(g, 0)) for g in grams)
+                whole = sum(max(window.get(g, 0), target.get(g, 0)) for g in grams)
+                if common and 100 * common >= 75 * whole:
+                    out[doc_id, item_id] = max(out.get((doc_id, item_id), 0), common / whole)
+    return out
+
+
+def test_leaks_equal_brute_force(spark):
+    rng = random.Random(9)
+    items = [(i, " ".join(words(rng, n, 60))) for i, n in enumerate([30, 30, 12, 5, 4, 2, 1])] + [(7, ""), (8, None), (9, "a b a b a b a b a b")]
+    docs = [(0, None), (1, ""), (2, "w1"), (3, items[0][1])]
+    for i in range(4, 60):
+        _, item = items[i % 10]
+        own = (item or "").upper().split()
+        if own and i % 3 == 0:
+            own[rng.randrange(len(own))] = "changed"
+        if own and i % 5 == 0:
+            own.insert(len(own) // 2, "more")
+        docs.append((i, " ".join(words(rng, 20, 60)) + "\n" + ", ".join(own) + ". " + " ".join(words(rng, 15, 60))))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    frame = spark.createDataFrame([(i, t, "z") for i, t in docs], "doc_id long, text string, start string")
+    found = {(r.doc_id, r.item_id): r.similarity for r in decontamination.matches(frame, benchmark).collect()}
+    assert found == pytest.approx(expected_leaks(docs, items))
+    assert len(found) > 30
+    kept = decontamination.kept(frame, benchmark)
+    assert kept.columns == frame.columns
+    assert {r.doc_id for r in kept.collect()} == {i for i, _ in docs} - {i for i, _ in found}
+    nothing = spark.createDataFrame([], "item_id long, text string")
+    assert decontamination.matches(frame, nothing).count() == 0
+    assert decontamination.kept(frame, nothing).count() == len(docs)
