@@ -87,6 +87,7 @@ def token_counts(docs: DataFrame, ranks_path: str, pattern: str, rule: str = "st
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
 
+    by_line = sections is None
     names = ["doc_id", "section", "start", "end", "n_tokens", "doc_tokens"]
 
     def count(batches):
@@ -96,7 +97,7 @@ def token_counts(docs: DataFrame, ranks_path: str, pattern: str, rule: str = "st
             for row in range(batch.num_rows):
                 text = batch.column(1)[row].as_py() or ""
                 _, first, stop = encoder.spans(text)
-                if sections is None:
+                if by_line:
                     start, end = lines(text)
                     number = np.arange(len(start))
                 else:
