@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tablevitals.llm import attribution, decontamination, licenses, minhash, packing, quality, scoring, sharding, toxicity, warc
 from tablevitals.llm.common import table, tokenizer_path, tokenizer_pattern
+from tablevitals.llm.oracle import ORACLE
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,4 +77,4 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]

@@ -11,9 +11,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from compare import connect, differences
 from tablevitals.llm import minhash, packing, sharding, warc
 from tablevitals.llm.common import scratch_path, stored, tokenizer_path
-from tablevitals.llm.queries import QUERIES
+from tablevitals.llm.queries import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TEXTS = [None, "", " \n", "a", "it's 5 o'clock <|endoftext|> (x)", "é ́a ΣΑΣ", "word " * 5000, "x" * 9000, "same text", "same text"]
@@ -168,3 +169,8 @@ def test_pipeline_equals_its_stages(spark):
 def test_every_operator_has_a_query():
     numbers = sorted(int(name[2:].split("_")[0]) for name in QUERIES)
     assert numbers == list(range(1, 11))
+
+
+@pytest.mark.parametrize("name", ORACLE)
+def test_query_equals_its_sql(spark, name):
+    assert differences(QUERIES[name](spark, SF), connect(SF), ORACLE[name]) == []
