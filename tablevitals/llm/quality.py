@@ -142,9 +142,11 @@ def fences(parts: DataFrame) -> DataFrame:
         return wide.select("lang", "source", *columns)
     by_source = wide.where(F.col("level") == levels[0]).select("lang", "source", pack("a"))
     by_lang = wide.where(F.col("level") == levels[1]).select("lang", pack("b"))
-    of_all = wide.where(F.col("level") == levels[2]).select(pack("c"))
-    joined = by_source.join(by_lang, "lang").join(F.broadcast(of_all))  # of_all is one row
-    chosen = F.when(F.col("a.total") >= ENOUGH, F.col("a")).when(F.col("b.total") >= ENOUGH, F.col("b")).otherwise(F.col("c"))
+    # The fences of all documents are one row of numbers.
+    numbers = wide.where(F.col("level") == levels[2]).select("total", *columns).first()
+    of_all = F.struct(*(F.lit(numbers[c]).cast("long" if c == "total" else "double").alias(c) for c in ("total", *columns)))
+    joined = by_source.join(by_lang, "lang")
+    chosen = F.when(F.col("a.total") >= ENOUGH, F.col("a")).when(F.col("b.total") >= ENOUGH, F.col("b")).otherwise(of_all)
     return joined.select("lang", "source", chosen.alias("limit")).select("lang", "source", *(f"limit.{c}" for c in columns))
 
 
