@@ -93,12 +93,17 @@ def run_analysis(
     as_of: datetime | None = None,
     inputs: Inventories | None = None,
 ) -> Analysis:
-    """Collect the scope's inventories unless given, analyze, and save the reports."""
+    """Collect the scope's inventories unless given, analyze, and save the reports.
+
+    The row of each table is computed once and kept below the scratch folder; report,
+    issues, summary and statements, saved or shown, all start from there.
+    """
     from ..sources import collect_inventories, save_report
+    from ..sources.scratch import stored
 
     as_of = as_of or datetime.now(timezone.utc)
     inputs = inputs or collect_inventories(spark, config)
-    analysis = analyze_scope(inputs, config, as_of)
+    analysis = Analysis(stored(analyze_scope(inputs, config, as_of).tables, "tables"))
     if config.persist_results:
         save_report(analysis, config)
     return analysis

@@ -1,8 +1,8 @@
-"""Where sources keep what they have read so far."""
+"""Where steps keep what they have read or computed so far."""
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_folder(spark: SparkSession, purpose: str) -> str:
@@ -10,4 +10,14 @@ def scratch_folder(spark: SparkSession, purpose: str) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         raise ValueError("set spark.checkpoint.dir to a folder all executors share, or pass scratch")
+    local = spark.sparkContext.master.split("[")[0] in ("local", "local-cluster")
+    if str(base).startswith("file:") and not local:
+        raise ValueError(f"{base} is a folder of one machine; executors need one they all share")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def stored(frame: DataFrame, purpose: str) -> DataFrame:
+    """The same rows, written once below the scratch folder and read from there."""
+    folder = scratch_folder(frame.sparkSession, purpose)
+    frame.write.parquet(folder)
+    return frame.sparkSession.read.schema(frame.schema).parquet(folder)

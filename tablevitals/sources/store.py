@@ -20,25 +20,20 @@ log = logging.getLogger(__name__)
 def save_report(analysis: Analysis, config: LayoutConfig) -> bool:
     """Append the report and the issues to their tables; False if off or failed.
 
-    Both come from the same table-sized frame, kept for the second write. Its
-    blocks are recomputed if an executor is lost. The schemas are fixed; formats
-    that can merge schemas also take rows of earlier versions.
+    ``run_analysis`` hands over rows that are computed already, one for each table. The
+    schemas are fixed; formats that can merge schemas also take rows of earlier versions.
     """
     if not config.persist_results:
         log.info("saving reports is switched off")
         return False
     spark = analysis.tables.sparkSession
-    tables = analysis.tables.persist()
     try:
         spark.sql(f"CREATE SCHEMA IF NOT EXISTS {quoted(config.output_catalog, config.output_schema)}")
-        kept = type(analysis)(tables)
-        _append(kept.report, config, config.output_table)
-        _append(kept.issues, config, config.output_issues_table)
+        _append(analysis.report, config, config.output_table)
+        _append(analysis.issues, config, config.output_issues_table)
     except ERRORS:
         log.exception("cannot save to %s", config.output_table_name())
         return False
-    finally:
-        tables.unpersist()
     return True
 
 

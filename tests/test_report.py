@@ -182,3 +182,13 @@ def test_saving_and_reading_back(spark):
 def test_saving_can_be_off_and_can_fail(spark, analysis):
     assert sources.save_report(analysis, LayoutConfig(persist_results=False)) is False
     assert sources.save_report(analysis, LayoutConfig(output_format="no_such_format")) is False
+
+
+def test_all_outputs_start_from_stored_rows(spark):
+    """After a run, no output reads an inventory again."""
+    config = LayoutConfig(scan_mode="schema", catalog="c", schema="s", persist_results=False)
+    result = run_analysis(spark, config, AS_OF, inventories(spark))
+    for frame in (result.report, result.issues, result.summary, result.maintenance):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan parquet") == 1 and "LocalTableScan" not in plan and "ExistingRDD" not in plan
+    assert by_table(result.report) == by_table(analyze_scope(inventories(spark), config, AS_OF).report)

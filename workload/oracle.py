@@ -625,6 +625,9 @@ FROM events""",
     ),
     "table_health": query(assessed(), _simple("assessed", "worst_severity, health_status")),
     "table_report": query(report(), "SELECT * FROM report"),
+    "scope_single": query(report(), """SELECT * FROM report WHERE "table" = 'src19'"""),
+    "scope_schema": query(report(), "SELECT * FROM report WHERE error IS NULL"),
+    "scope_catalog": query(report(), "SELECT * FROM report WHERE error IS NULL"),
     "fleet_summary": query(
         assessed(),
         "SELECT count(*) AS tables, "
@@ -640,7 +643,7 @@ FROM events""",
   CAST(row_number() OVER (PARTITION BY tbl ORDER BY position) AS INTEGER) AS step, sql_command AS statement
 FROM ranked JOIN assessed USING (tbl) WHERE sql_command IS NOT NULL""",
     ),
-    "report_history": saved_reports('ORDER BY analysis_timestamp DESC, "table" LIMIT 100'),
+    "report_history": saved_reports(''),
     "latest_reports": saved_reports(
         'QUALIFY row_number() OVER (PARTITION BY "table" ORDER BY analysis_timestamp DESC) = 1'
     ),

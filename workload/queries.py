@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import timedelta
 from functools import reduce
 
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablevitals import analyze, functions as fx
+from tablevitals.plans.analyze import analyze_scope
 from tablevitals import operators as ops
 from tablevitals import plans
 from tablevitals.schemas import KEY
@@ -276,6 +278,23 @@ def table_report(spark, sf_dir):
     return _analysis(spark, sf_dir).report
 
 
+def _scoped(spark, sf_dir, **scope):
+    return analyze_scope(I.inventories(spark, sf_dir), replace(I.CONFIG, **scope), I.AS_OF).report
+
+
+def scope_single(spark, sf_dir):
+    """One table, which is reported though its format is not supported."""
+    return _scoped(spark, sf_dir, scan_mode="single_table", table="src19")
+
+
+def scope_schema(spark, sf_dir):
+    return _scoped(spark, sf_dir, scan_mode="schema")
+
+
+def scope_catalog(spark, sf_dir):
+    return _scoped(spark, sf_dir, scan_mode="catalog")
+
+
 def fleet_summary(spark, sf_dir):
     return _analysis(spark, sf_dir).summary
 
@@ -335,6 +354,9 @@ QUERIES = {
         issue_counts,
         table_health,
         table_report,
+        scope_single,
+        scope_schema,
+        scope_catalog,
         fleet_summary,
         maintenance_sql,
         report_history,
