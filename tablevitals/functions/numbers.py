@@ -41,9 +41,10 @@ def safe_divide(numerator: str, denominator: str, default: float = 0.0) -> str:
 
 
 def digits_to_number(text: str) -> str:
-    """Text made of digits only, as a whole number; anything else is 0.
+    """Text made of digits only, as a whole number; other text is 0, missing text too.
 
-    Decimal rather than bigint, so that sums of metrics cannot wrap or fail.
+    Decimal rather than bigint, so that sums of metrics cannot wrap or fail. More than
+    28 digits are no size; they give null, so the commit has no bytes stated.
     """
     number = f"try_cast({text} AS DECIMAL(28, 0))"
-    return f"coalesce(CASE WHEN {text} RLIKE '^[0-9]+$' THEN {number} END, CAST(0 AS DECIMAL(28, 0)))"
+    return f"CASE WHEN {text} RLIKE '^[0-9]+$' THEN {number} ELSE CAST(0 AS DECIMAL(28, 0)) END"

@@ -161,3 +161,19 @@ def test_config_checks_its_values():
     config = LayoutConfig(catalog="a", schema="b", table="c", output_catalog="x", output_schema="y", output_table="z")
     assert config.full_table_name() == "a.b.c"
     assert config.output_table_name() == "x.y.z"
+
+
+def test_numbers_no_size_can_have_are_missing(spark):
+    assert evaluate(spark, fx.digits_to_number("x"), x="9" * 29) is None
+    assert int(evaluate(spark, fx.digits_to_number("CAST(x AS STRING)"), x=None)) == 0
+
+
+def test_suggested_names_are_identifiers(spark):
+    """Spark's own parser reads the names that statements hold."""
+    row = {"catalog": "c a", "schema": "s`b", "table": "t.1"}
+    frame = spark.createDataFrame([tuple(row.values())], ", ".join(f"`{k}` STRING" for k in row))
+    parser = spark._jsparkSession.sessionState().sqlParser()
+    for suffix in ("", "_by_column"):
+        name = frame.selectExpr(fx.quoted_name(suffix)).first()[0]
+        parts = parser.parseMultipartIdentifier(name)
+        assert [parts.apply(i) for i in range(parts.size())] == ["c a", "s`b", "t.1" + suffix]

@@ -508,11 +508,23 @@ ORACLE: dict[str, str] = {
 WHERE rn - 1 = least(floor(n * 95e0 / 100), n - 1)""",
     ),
     "layout_from_detail": query(
-        [FILES, DETAIL, f"\nest AS (SELECT *, {rnd('bytes / CAST(num_files AS DOUBLE) / 1048576e0')} AS avg_mb FROM detail)"],
-        f"""SELECT {KEYS}, 'detail' AS layout_source, num_files AS total_files, avg_mb AS avg_file_size_mb,
-  avg_mb AS median_file_size_mb, 0e0 AS max_file_size_mb,
-  CASE WHEN avg_mb < 128 THEN 100e0 ELSE 0e0 END AS small_files_pct,
-  CASE WHEN avg_mb < 32 THEN 100e0 ELSE 0e0 END AS severe_small_files_pct, 'none' AS file_skew_severity FROM est""",
+        [
+            FILES,
+            DETAIL,
+            PROFILE,
+            f"""
+est AS (SELECT *, CAST(substr(tbl, 4) AS INTEGER) % 2 = 0 AS listed,
+  {rnd('bytes / CAST(num_files AS DOUBLE) / 1048576e0')} AS avg_mb FROM detail)""",
+        ],
+        f"""SELECT {KEYS}, CASE WHEN listed THEN 'listing' ELSE 'detail' END AS layout_source,
+  CASE WHEN listed THEN total_files ELSE num_files END AS total_files,
+  CASE WHEN listed THEN avg_file_size_mb ELSE avg_mb END AS avg_file_size_mb,
+  CASE WHEN listed THEN median_file_size_mb ELSE avg_mb END AS median_file_size_mb,
+  CASE WHEN listed THEN max_file_size_mb ELSE 0e0 END AS max_file_size_mb,
+  CASE WHEN listed THEN small_files_pct WHEN avg_mb < 128 THEN 100e0 ELSE 0e0 END AS small_files_pct,
+  CASE WHEN listed THEN severe_small_files_pct WHEN avg_mb < 32 THEN 100e0 ELSE 0e0 END AS severe_small_files_pct,
+  CASE WHEN listed THEN file_skew_severity ELSE 'none' END AS file_skew_severity
+FROM est JOIN prof USING (tbl)""",
     ),
     "partition_sizes": query(
         [FILES],

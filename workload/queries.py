@@ -54,9 +54,9 @@ def floor_percentile(spark, sf_dir):
 
 
 def layout_from_detail(spark, sf_dir):
-    """Layout of tables none of whose files could be listed."""
-    nothing_listed = I.files(spark, sf_dir).filter(F.lit(False))
-    profile = ops.file_profile(nothing_listed, I.CONFIG)
+    """Layout where only the tables with an even number could be listed."""
+    listed = I.files(spark, sf_dir).filter("CAST(substring(`table`, 4) AS INT) % 2 = 0")
+    profile = ops.file_profile(listed, I.CONFIG)
     rows = ops.layout_with_fallback(_detail(spark, sf_dir), profile, I.CONFIG)
     return rows.select(
         *KEY,
