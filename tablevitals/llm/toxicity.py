@@ -2,8 +2,9 @@
 
 Voters are lexicon entries (a whole word is present) and patterns (a word starts so); each votes
 "toxic" where it matches and abstains elsewhere, and one more votes "clean" where none matches.
-The entries are mined from labelled training rows by a likelihood ratio that stands out among all
-that were tried.
+The entries are mined from all labelled training rows by a likelihood ratio that stands out among all
+that were tried; every entry that does is a voter. Entries that match the same labelled rows are one voter,
+which votes where any of them matches; a sum of row hashes, kept with the counts, tells which these are.
 
 The label model sees votes only, no labels. Voters that nearly always vote together (a correlation
 above SAME) would count one finding many times, so each such group is one source, whose vote is any
@@ -11,9 +12,12 @@ of its members'. Rates of vote of each source, given the hidden class, and the c
 estimated by expectation maximisation. The posterior of each row is its soft label, and a logistic
 regression on the voters is fitted to these.
 
-What is bounded: the classifier is fitted on a sample of at most about TRAIN_ROWS labelled rows,
-chosen by a hash of the id, and MOST_VOTERS voters; the sample's ids and the model are all that is broadcast. Mining
-counts in tasks, with one partial sum a batch. Scores are one pass over whole texts without a shuffle.
+What is bounded: label model and classifier are fitted on a sample of at most about TRAIN_ROWS labelled rows,
+chosen by a hash of the id, and on the MOST_VOTERS strongest voters that have LEAST_SEEN votes in it. All other
+voters keep the log-odds of "toxic" among all labelled rows they match, and a row's score is the larger of
+the classifier's and that of the strongest such voter. The sample's ids and the model are all that is broadcast by hint.
+Mining joins all labels with the texts, and counts in tasks, with a partial sum whenever MOST_COUNTED entries
+are held. Scores are one pass over whole texts without a shuffle.
 
 Defined results: null, empty and wordless texts have no votes and get the score of none; a null id
 counts as remainder 0, so nothing is learnt from it; with no toxic training row all scores are the
@@ -33,6 +37,9 @@ from tablevitals.llm.common import CACHE_WORDS, id_remainder
 
 TRAIN_ROWS = 20_000
 MOST_VOTERS = 300
+LEAST_SEEN = 20
+MOST_COUNTED = 100_000  # entries, and words, that a task remembers while it counts
+MARK_BITS = 62  # of the row hashes whose sums tell entries that match the same rows
 PREFIXES = range(3, 9)  # lengths of word starts tried
 SAME = 0.8
 LEAST_LOG_ODDS = 2.5
@@ -57,9 +64,9 @@ def candidates(word: str) -> list[str]:
 class Matches(dict):
     """The voters that a word matches, as a tuple of numbers; remembered while few."""
 
-    def __init__(self, voters: list[str]):
+    def __init__(self, voters: list[list[str]]):
         super().__init__()
-        self.numbers = {entry: number for number, entry in enumerate(voters)}
+        self.numbers = {entry: number for number, entries in enumerate(voters) for entry in entries}
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) >= CACHE_WORDS:
@@ -76,44 +83,68 @@ class Matches(dict):
         return sorted(out)
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, held_out, most: int = TRAIN_ROWS) -> DataFrame:
-    """text and toxic of about `most` labelled rows that are not held out."""
+def known_labels(labels: DataFrame, held_out: Column) -> DataFrame:
+    """doc_id and toxic of every labelled row that is not held out."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    known = known.where(~held_out)
+    return known.where(~held_out)
+
+
+def training_rows(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """text, toxic and mark (a hash of MARK_BITS bits) of every labelled row."""
+    mark = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 64 - MARK_BITS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(known, "doc_id").select("text", "toxic", mark.alias("mark"))
+
+
+def training_sample(docs: DataFrame, known: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
+    """The text of about `most` labelled rows."""
     share = most / max(known.count(), 1)
     if share < 1:
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     # At most about `most` rows of two numbers: a proven bound.
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id").select("text", "toxic")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id").select("text")
 
 
-def mined(sample: DataFrame, most: int = MOST_VOTERS) -> list[str]:
-    """The entries that stand out in toxic texts, strongest first."""
+def mined(rows: DataFrame) -> tuple[list[list[str]], np.ndarray]:
+    """The entries that stand out in toxic texts, strongest first, those that match the same rows together; and the log-odds of each."""
+    half = MARK_BITS // 2
 
     def count(batches):
+        seen: dict[str, list[int]] = {}
+        known: dict[str, list[str]] = {}
+
+        def partial():
+            marks = [x[2] % (1 << MARK_BITS) for x in seen.values()]
+            columns = [[x[0] for x in seen.values()], [x[1] for x in seen.values()], [m >> half for m in marks], [m % (1 << half) for m in marks]]
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), *(pa.array(column, pa.int64()) for column in columns)], ["entry", "clean", "toxic", "high", "low"])
+
         for batch in batches:
-            seen: dict[str, list[int]] = {}
-            rows = [0, 0]
-            known: dict[str, list[str]] = {}
-            for text, toxic in zip(batch.column(0), batch.column(1)):
-                side = 1 if toxic.as_py() else 0
-                rows[side] += 1
-                own = set()
+            for text, toxic, mark in zip(batch.column(0), batch.column(1), batch.column(2)):
+                side, mark, own = 1 if toxic.as_py() else 0, mark.as_py(), {""}
                 for word in set((text.as_py() or "").lower().split()):
-                    if word not in known:
-                        known[word] = candidates(word)
-                    own.update(known[word])
+                    found = known.get(word)
+                    if found is None:
+                        if len(known) >= MOST_COUNTED:
+                            known.clear()
+                        found = known[word] = candidates(word)
+                    own.update(found)
                 for entry in own:
-                    seen.setdefault(entry, [0, 0])[side] += 1
-            seen[""] = rows
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array([x[0] for x in seen.values()], pa.int64()), pa.array([x[1] for x in seen.values()], pa.int64())], ["entry", "clean", "toxic"])
-
-    counts = sample.mapInArrow(count, "entry string, clean long, toxic long").groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).cache()
+                    counts = seen.get(entry)
+                    if counts is None:
+                        counts = seen[entry] = [0, 0, 0]
+                    counts[side] += 1
+                    counts[2] += mark
+                if len(seen) >= MOST_COUNTED:
+                    yield partial()
+                    seen.clear()
+        yield partial()
+
+    sums = [F.sum(column).alias(column) for column in ("clean", "toxic", "high", "low")]
+    counts = rows.mapInArrow(count, "entry string, clean long, toxic long, high long, low long").groupBy("entry").agg(*sums).cache()
     all_rows = counts.where("entry = ''").first()
     clean, toxic = (all_rows["clean"], all_rows["toxic"]) if all_rows else (0, 0)
     if not toxic:
         counts.unpersist()
-        return []
+        return [], np.empty(0)
     t, c = F.col("toxic").cast("double"), F.col("clean").cast("double")
     part = lambda seen, total, rate: seen * F.log(F.greatest(seen, F.lit(1e-9)) / (rate * total))
     rate = (t + c) / (toxic + clean)
@@ -121,25 +152,25 @@ def mined(sample: DataFrame, most: int = MOST_VOTERS) -> list[str]:
     odds = F.log((t + 0.5) / (toxic + 1)) - F.log((c + 0.5) / (clean + 1))
     tried = counts.count()
     bar = 2 * math.log(max(tried, 1)) + 4
-    rows = counts.where("entry <> '' and toxic > 1").select("entry", ratio.alias("ratio"), odds.alias("odds")).where((F.col("odds") >= LEAST_LOG_ODDS) & (F.col("ratio") >= bar))
-    best = [row.entry for row in rows.orderBy(F.desc("ratio"), "entry").limit(most).collect()]
+    # Modulo 2^MARK_BITS, whatever the partial sums were.
+    mark = F.pmod(F.pmod("high", F.lit(1 << half)) * (1 << half) + F.col("low"), F.lit(1 << MARK_BITS))
+    passed = counts.where("entry <> '' and toxic > 1").select("entry", "clean", "toxic", mark.alias("mark"), ratio.alias("ratio"), odds.alias("odds")).where((F.col("odds") >= LEAST_LOG_ODDS) & (F.col("ratio") >= bar))
+    same: dict[tuple, list[str]] = {}
+    for row in passed.orderBy(F.desc("ratio"), "entry").collect():
+        same.setdefault((row.clean, row.toxic, row.mark), []).append(row.entry)
     counts.unpersist()
-    return best
+    return list(same.values()), np.array([math.log((key[1] + 0.5) / (key[0] + 0.5)) for key in same])
 
 
-def votes(sample: DataFrame, voters: list[str]) -> np.ndarray:
-    """The sample's votes as rows of 0 and 1; its size is bounded by the sample's and the voters'."""
+def votes(sample: DataFrame, voters: list[list[str]]) -> list[list[int]]:
+    """The voters of each row of the sample; the size is bounded by the sample's."""
 
     def vote(batches):
         matches = Matches(voters)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([matches.of(text.as_py()) for text in batch.column(0)], pa.list_(pa.int32()))], ["own"])
 
-    lists = [row.own for row in sample.select("text").mapInArrow(vote, "own array<int>").collect()]
-    out = np.zeros((len(lists), len(voters)), dtype=np.float64)
-    for row, own in enumerate(lists):
-        out[row, own] = 1
-    return out
+    return [row.own for row in sample.mapInArrow(vote, "own array<int>").collect()]
 
 
 def sources_of(votes_of: np.ndarray) -> list[list[int]]:
@@ -187,14 +218,27 @@ def fitted(votes_of: np.ndarray, target: np.ndarray, penalty: float = 0.3, round
     return weights
 
 
-def model(docs: DataFrame, labels: DataFrame, held_out: Column) -> tuple[list[str], np.ndarray]:
-    """Voters and the classifier's weights, from labelled rows that are not held out."""
-    sample = training_sample(docs, labels, held_out)
-    voters = mined(sample)
+def model(docs: DataFrame, labels: DataFrame, held_out: Column) -> tuple[list[list[str]], np.ndarray, np.ndarray]:
+    """Voters, the classifier's weights (the last is the intercept), and the log-odds of voters it doesn't know (else -inf)."""
+    known = known_labels(labels, held_out)
+    voters, log_odds = mined(training_rows(docs, known))
+    weights = np.zeros(len(voters) + 1)
+    weights[-1] = -20.0
     if not voters:
-        return [], np.array([-20.0])
-    votes_of = votes(sample, voters)
-    return voters, fitted(votes_of, posteriors(votes_of))
+        return voters, weights, log_odds
+    lists = votes(training_sample(docs, known), voters)
+    seen = np.bincount(np.array([voter for own in lists for voter in own], dtype=np.int64), minlength=len(voters))
+    chosen = np.flatnonzero(seen >= LEAST_SEEN)[:MOST_VOTERS]
+    if len(chosen):
+        place = {voter: column for column, voter in enumerate(chosen.tolist())}
+        # Rows with votes of other voters only would pass for rows without a vote.
+        lists = [[place[voter] for voter in own if voter in place] for own in lists if not own or any(voter in place for voter in own)]
+        votes_of = np.zeros((len(lists), len(chosen)), dtype=np.float64)
+        for row, own in enumerate(lists):
+            votes_of[row, own] = 1
+        weights[[*chosen, -1]] = fitted(votes_of, posteriors(votes_of))
+        log_odds[chosen] = -np.inf
+    return voters, weights, log_odds
 
 
 def scored(docs: DataFrame, labels: DataFrame, held_out: Column | None = None) -> DataFrame:
@@ -206,7 +250,7 @@ def scored(docs: DataFrame, labels: DataFrame, held_out: Column | None = None) -
 
 def with_score(docs: DataFrame, labels: DataFrame, held_out: Column) -> tuple[DataFrame, str]:
     """docs with a column for the score, and that column's name."""
-    voters, weights = model(docs, labels, held_out)
+    voters, weights, log_odds = model(docs, labels, held_out)
     name = "score"
     while name.lower() in {column.lower() for column in docs.columns}:
         name = f"_{name}"
@@ -215,7 +259,8 @@ def with_score(docs: DataFrame, labels: DataFrame, held_out: Column) -> tuple[Da
 
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in parts:
-            logits = np.array([weights[-1] + weights[matches.of(text)].sum() for text in texts], dtype=np.float64)
+            own = [matches.of(text) for text in texts]
+            logits = np.array([max(weights[-1] + weights[x].sum(), log_odds[x].max()) if x else weights[-1] for x in own], dtype=np.float64)
             yield pd.Series(1 / (1 + np.exp(-np.clip(logits, -30, 30))))
 
     return docs.withColumn(name, F.pandas_udf(score, "double")(F.col("text"))), name

@@ -67,6 +67,40 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.scored(docs.limit(0), labels).count() == 0
 
 
+def toxic_rows(spark, words_of, n):
+    """Rows 1 to n with a toxic word, from words_of(id), or none; and labels."""
+    rows = [(i, f"some plain w{i % 997} words{' ' + own if (own := words_of(i)) else ''}", int(own is not None)) for i in range(1, n + 1)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    return frame.select("doc_id", "text"), frame.select("doc_id", "toxic")
+
+
+def test_toxic_words_that_are_rare_in_a_sample(spark):
+    n = 4 * toxicity.TRAIN_ROWS
+    rare = [i for i in range(1, n + 1) if crc32(str(i).encode()) % 5 and i % 50][:: n // 16][:12]
+    docs, labels = toxic_rows(spark, lambda i: "vilest" if i in rare else "scum" if i % 50 == 0 else None, n)
+    new = spark.createDataFrame([(-1, "the vilest of all"), (-2, "the scum of all"), (-3, "the rest of all")], docs.schema)
+    found = {r.doc_id: r.predicted for r in toxicity.scored(docs.union(new), labels).where("doc_id < 0").collect()}
+    assert found == {-1: 1, -2: 1, -3: 0}
+
+
+def test_toxic_words_beyond_the_strongest(spark):
+    bad = lambda k: f"{'abcdefghijklmnopqrstuvwxyz'[k % 26]}{'abcdefghijklmnopqrst'[k // 26]}zoxq"
+    docs, labels = toxic_rows(spark, lambda i: f"{bad(i // 20 % 320)} {bad((i // 20 + i // 6400 + 1) % 320)}" if i % 20 == 0 else None, 16 * 20 * 320)
+    new = spark.createDataFrame([(-k - 1, f"plain words {bad(k)}") for k in range(320)] + [(-1000, "plain words")], docs.schema)
+    found = {r.doc_id: r.predicted for r in toxicity.scored(docs.union(new), labels).where("doc_id < 0").collect()}
+    assert found == {-1000: 0} | {-k - 1: 1 for k in range(320)}
+
+
+def test_partial_counts_give_the_same_voters(spark, monkeypatch):
+    docs, labels = toxic_rows(spark, lambda i: f"scum vile{'abcdefghi'[i % 9]}" if i % 20 == 0 else None, 3000)
+    rows = toxicity.training_rows(docs, toxicity.known_labels(labels, F.lit(False)))
+    voters, log_odds = toxicity.mined(rows)
+    assert any("=scum" in own for own in voters) and all(any(f"=vile{k}" in own for own in voters) for k in "abcdefghi")
+    monkeypatch.setattr(toxicity, "MOST_COUNTED", 10)
+    again, log_odds_again = toxicity.mined(rows)
+    assert again == voters and log_odds_again.tolist() == log_odds.tolist()
+
+
 def test_licence_notices(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     lines = ["Released under the MIT License.", "licensed under the apache license, version 2.0", "SPDX-License-Identifier: MPL-2.0",
