@@ -6,10 +6,11 @@ copy of an item if a window of as many words as the item has a weighted shingle
 
     sum over shingles of min(count in window, count in item) / sum of max(...)  >=  0.75
 
-* Anchors. A window that is similar shares a shingle with the item, so only windows laid over
-  a shared shingle are looked at: a shingle at place p of a text and q of an item starts a window at
-  p - q. Finding them is one join of the documents' shingles with the items'; it loses nothing,
-  and only its matches, which are few, are kept.
+* Anchors. An item of m shingles and a window that is similar have at least 0.75 m of them in common (the
+  union is no smaller than m), so the window holds at least that many places with a shingle of the item. The
+  places come from one join of the documents' shingles with the items'. Of a document's sorted places,
+  each run of k = 0.75 m that fits in a window gives the starts that cover it; all starts, in
+  whatever order the shingles are, come out once, so this loses nothing.
 * Fingerprints. Each such window and each item gets a 64-bit SimHash: the sign, bit by bit, of
   the sum of its shingles' hashes as +1 and -1.
 * Multi-index. A fingerprint is cut in BLOCKS blocks. If two differ in at most RADIUS bits, then
@@ -18,14 +19,14 @@ copy of an item if a window of as many words as the item has a weighted shingle
 * The weighted similarity of these pairs is then computed from the full shingle counts.
 
 With RADIUS 31 a pair at similarity 0.75, at an angle of about 0.54 and so at 11 +- 3 bits, is lost with a
-probability of some 1e-9; the anchors already leave few windows, so the radius can be wide.
+probability of some 1e-9; the anchors leave few windows, so the radius can be wide.
 
 Everything is SQL functions. The benchmark's shingles join by hash, and Spark decides by their size
 whether to broadcast them; a shingle that many items share yields one row for each, as it must. A
 shingle that very many documents have only meets the items that hold it.
 
 Defined results: null, empty or wordless texts or items match nothing; repeated items and rows each
-match for themselves; null ids come through as null; of several windows the best one is
+match for themselves; rows with a null id match nothing; of several windows the best one is
 returned, the first of equal ones; other columns are ignored.
 """
 
@@ -72,16 +73,22 @@ def items_of(benchmark: DataFrame) -> DataFrame:
 
 
 def anchors(docs: DataFrame, key: str, items: DataFrame) -> DataFrame:
-    """key, item, start: distinct windows laid over a shingle shared with an item."""
+    """key, start, length, n: the distinct windows that hold enough places of some item's shingles."""
     sizes = sorted(row.n for row in items.select("n").distinct().collect())  # at most SHINGLE numbers
-    entries = items.select("item", "n", F.posexplode("shingles").alias("at", "hash"))
-    words = docs.select(key, word_array("text").alias("words"))
+    entries = items.select("item", "length", "n", F.explode(F.array_distinct("shingles")).alias("hash")).distinct()
+    words = docs.where(F.col(key).isNotNull()).select(key, word_array("text").alias("words"))
     found = None
     for n in sizes:
         grams = words.select(key, F.posexplode(F.expr(shingle_hashes("words", str(n)))).alias("place", "hash"))
-        part = grams.join(entries.where(F.col("n") == n).drop("n"), "hash").select(key, "item", (F.col("place") - F.col("at")).alias("start"))
+        part = grams.join(entries.where(F.col("n") == n), "hash").select(key, "item", "length", "n", "place")
         found = part if found is None else found.union(part)
-    return found.distinct()
+    found = found.groupBy(key, "item", "length", "n").agg(F.array_sort(F.collect_set("place")).alias("places"))
+    found = found.withColumn("m", F.expr("length - n + 1")).withColumn("k", F.expr(f"cast(({PERCENT} * m + 99) div 100 as int)")).where("size(places) >= k")
+    # Starts up to the place before belong to the run before.
+    low = "greatest(get(places, i + k - 1) - m + 1, coalesce(get(places, i - 1) + 1, 1 - length))"
+    runs = "filter(sequence(0, size(places) - k), i -> get(places, i + k - 1) - get(places, i) < m)"
+    starts = F.expr(f"flatten(transform({runs}, i -> sequence({low}, get(places, i))))")
+    return found.select(key, F.explode(starts).alias("start"), "length", "n").distinct()
 
 
 def weighted_similarity(one: str, other: str) -> str:
@@ -96,8 +103,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataF
     items = stored(items_of(benchmark), "items")
     if not items.take(1):
         return docs.select(key).where(F.lit(False)).select(key, *(F.lit(None).cast(t).alias(c) for c, t in (("item_id", dict(benchmark.dtypes)["item_id"]), ("start", "int"), ("length", "int"), ("similarity", "double"))))
-    lengths = items.select("item", "length", "n").distinct()
-    placed = stored(anchors(docs, key, items), "anchors").join(lengths, "item").select(key, "start", "length", "n").distinct()
+    placed = stored(anchors(docs, key, items), "anchors")
     # The windows' own shingles, from the texts of documents that have any.
     with_windows = placed.groupBy(key).agg(F.collect_set(F.struct("start", "length", "n")).alias("windows"))
     texts = docs.join(with_windows, key).select(key, word_array("text").alias("words"), "windows")

@@ -155,3 +155,18 @@ def test_leaks_equal_brute_force(spark):
     nothing = spark.createDataFrame([], "item_id long, text string")
     assert decontamination.matches(frame, nothing).count() == 0
     assert decontamination.kept(frame, nothing).count() == len(docs)
+
+
+def test_leaks_with_parts_in_another_order(spark):
+    rng = random.Random(4)
+    items = [(n, " ".join(f"i{n}w{k}" for k in range(n))) for n in (24, 36, 59)]
+    docs = []
+    for _, item in items:
+        own = item.split()
+        for cut in (len(own) // 2, len(own) // 3):
+            docs.append((len(docs), " ".join(words(rng, 40) + own[cut:] + own[:cut] + words(rng, 40))))
+        docs.append((len(docs), " ".join(own[len(own) // 2 :] + own[: len(own) // 2])))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    found = {(r.doc_id, r.item_id): r.similarity for r in decontamination.matches(frame, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert found == pytest.approx(expected_leaks(docs, items))
+    assert {36, 59} <= {item for _, item in found}
