@@ -3,7 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablevitals.llm import attribution, decontamination, licenses, minhash, packing, quality, scoring, sharding, toxicity, warc
+from tablevitals.llm import attribution, decontamination, divergence, embeddings, infilling
+from tablevitals.llm import licenses, minhash, packing, quality, scoring, sharding, toxicity, warc
 from tablevitals.llm.common import table, tokenizer_path, tokenizer_pattern
 from tablevitals.llm.oracle import ORACLE
 
@@ -64,6 +65,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language are apart in their words, and the words each uses most beyond it."""
+    return divergence.audited(table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fill-in-the-middle form of every document, and the hashes of it and of the text rebuilt from it."""
+    rows = infilling.restored(infilling.transformed(table(spark, sf_dir, "documents")))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number of near-duplicates of every vector, and the component it belongs to."""
+    return embeddings.linked(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_warc": op2_warc,
@@ -75,6 +92,9 @@ QUERIES = {
     "op8_virtual_slots": op8_virtual_slots,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_toxicity": op10_toxicity,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_embedding_dedup": op13_embedding_dedup,
 }
 
 __all__ = ["ORACLE", "QUERIES"]
