@@ -39,7 +39,7 @@ LIMIT = 0.98
 RECALL = 0.97  # of pairs at exactly the limit
 SAMPLE, SAMPLE_VALUES = 10_000, 4_000_000  # rows that the rotation is fitted on, and their components at most
 BITS, BYTES, ROUNDS = 64, 8, 50
-CELL = 512
+CELL = 128
 _TRIALS = 4_000
 
 
