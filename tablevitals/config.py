@@ -54,6 +54,7 @@ class LayoutConfig:
     output_schema: str = "default"
     output_table: str = "table_layout_report"
     output_issues_table: str = "table_layout_issues"
+    output_runs_table: str = "table_layout_runs"
     output_format: str = "parquet"
 
     def __post_init__(self) -> None:

@@ -11,6 +11,7 @@ from .history import (
     operation_pivot,
     recent_history,
 )
+from .layout import layout_profile
 from .optimize import optimize_cadence, recent_optimizes, zorder_columns
 from .partitions import (
     partition_count,
@@ -32,6 +33,7 @@ __all__ = [
     "history_profile",
     "in_scope",
     "last_operations",
+    "layout_profile",
     "layout_with_fallback",
     "maintenance_status",
     "operation_counts",

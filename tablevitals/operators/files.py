@@ -36,26 +36,33 @@ SKEW_COLUMNS = (
 )
 
 
-def file_profile(files: DataFrame, config: LayoutConfig) -> DataFrame:
-    """All listing-based figures of every table, from one pass over the files."""
+def size_bands(config: LayoutConfig) -> dict[str, str]:
+    """The size bands as conditions on exact bytes."""
     severe, acceptable = config.small_file_severe_mb * MIB, config.small_file_acceptable_mb * MIB
     smallest, largest = config.optimal_file_size_min_mb * MIB, config.optimal_file_size_max_mb * MIB
-    bands = {
+    return {
         "severe_small_files_count": f"size_bytes < {severe:.0f}L",
         "small_files_count": f"size_bytes < {acceptable:.0f}L",
         "optimal_files_count": f"size_bytes BETWEEN {smallest:.0f}L AND {largest:.0f}L",
     }
+
+
+def file_profile(files: DataFrame, config: LayoutConfig) -> DataFrame:
+    """All listing-based figures of every table, from one pass over the files."""
+    bands = size_bands(config)
     summary = size_summary(size_histogram(files, **bands), *bands)
-    ratios = summary.selectExpr(
-        "*",
-        "CASE WHEN n >= 2 AND median_mb > 0 THEN max_mb / median_mb ELSE 0D END AS ratio",
-        "CASE WHEN n >= 2 AND mean_mb > 0 THEN stddev_mb / mean_mb * 100D ELSE 0D END AS variation",
-    )
+    return summary.selectExpr(*KEY, *profile_figures(config))
+
+
+def profile_figures(config: LayoutConfig) -> list[str]:
+    """The figures of ``file_profile`` over the columns of a size summary with its bands."""
+    bands = size_bands(config)
+    ratio = "CASE WHEN n >= 2 AND median_mb > 0 THEN max_mb / median_mb ELSE 0D END"
+    variation = "CASE WHEN n >= 2 AND mean_mb > 0 THEN stddev_mb / mean_mb * 100D ELSE 0D END"
     # Tiers look at the unrounded ratio.
-    severity = skew_severity("ratio", config)
-    shown = f"concat(' (largest file is ', {ratio_text('ratio')}, ' times the median)')"
-    return ratios.selectExpr(
-        *KEY,
+    severity = skew_severity(ratio, config)
+    shown = f"concat(' (largest file is ', {ratio_text(ratio)}, ' times the median)')"
+    return [
         "n AS total_files",
         "bytes AS total_size_bytes",
         "CAST(bytes AS DOUBLE) / CAST(n AS DOUBLE) AS avg_file_size_bytes",
@@ -66,16 +73,16 @@ def file_profile(files: DataFrame, config: LayoutConfig) -> DataFrame:
         f"{round_binary('stddev_mb')} AS std_dev_mb",
         *bands,
         *[f"{percent_of(b, 'n')} AS {b.replace('_count', '_pct')}" for b in bands],
-        f"{round_binary('ratio')} AS file_skew_ratio",
-        f"ratio > {config.file_skew_threshold}D AS has_file_skew",
+        f"{round_binary(ratio)} AS file_skew_ratio",
+        f"{ratio} > {config.file_skew_threshold}D AS has_file_skew",
         f"{severity} AS file_skew_severity",
-        f"{round_binary('variation')} AS coefficient_of_variation",
+        f"{round_binary(variation)} AS coefficient_of_variation",
         f"""CASE {severity} WHEN 'none' THEN 'file sizes are even'
             WHEN 'low' THEN concat('slightly uneven file sizes', {shown})
             WHEN 'medium' THEN concat('uneven file sizes', {shown})
             ELSE concat('very uneven file sizes', {shown}) END AS skew_description""",
         "CASE WHEN n < 2 THEN 'fewer than two files' END AS skew_error",
-    )
+    ]
 
 
 def file_layout(files: DataFrame, config: LayoutConfig) -> DataFrame:

@@ -47,6 +47,9 @@ COUNTS = {
     "update_count": "count_if(op = 'UPDATE')",
 }
 
+# Commits by any operation name.
+OPERATION_SUMMARY = {"operation_summary": "map_from_entries(sort_array(collect_list(struct(op, total_commits))))"}
+
 # Latest time per tracked name, found anywhere within the operation: STREAMING
 # UPDATE moves the last UPDATE, though it is not counted as one.
 LAST = {
@@ -55,16 +58,16 @@ LAST = {
 }
 
 
-def aggregate(rows: DataFrame, *aggregates: dict[str, str]) -> DataFrame:
-    """One row per table of the given named aggregates."""
+def aggregate(rows: DataFrame, *aggregates: dict[str, str], by: tuple[str, ...] = ()) -> DataFrame:
+    """One row per table (and columns of ``by``) of the given named aggregates."""
     columns = [F.expr(text).alias(name) for group in aggregates for name, text in group.items()]
-    return rows.groupBy(*KEY).agg(*columns)
+    return rows.groupBy(*KEY, *by).agg(*columns)
 
 
-def by_day(rows: DataFrame, *aggregates: dict[str, str]) -> DataFrame:
-    """One row per table and UTC day of the given named aggregates."""
+def by_day(rows: DataFrame, *aggregates: dict[str, str], by: tuple[str, ...] = ()) -> DataFrame:
+    """One row per table and UTC day (and columns of ``by``) of the given named aggregates."""
     columns = [F.expr(text).alias(name) for group in aggregates for name, text in group.items()]
-    return rows.groupBy(*KEY, F.expr("floor(unix_seconds(timestamp) / 86400)").alias("day")).agg(*columns)
+    return rows.groupBy(*KEY, *by, F.expr("floor(unix_seconds(timestamp) / 86400)").alias("day")).agg(*columns)
 
 
 def over_days(*aggregates: dict[str, str]) -> dict[str, str]:
@@ -83,19 +86,19 @@ def last_operations(history: DataFrame) -> DataFrame:
     return aggregate(with_operation(history), LAST)
 
 
-def status_figures(as_of: datetime) -> dict[str, str]:
-    """Maintenance times and ages over the columns of ``last_operations``.
+def status_figures(as_of: str) -> dict[str, str]:
+    """Maintenance times and ages, at a time given as an expression, over the columns of ``last_operations``.
 
     A finished vacuum wins over a started one even when the start is newer.
     """
     vacuum = "coalesce(last_vacuum_end, last_vacuum_start)"
-    optimized, vacuumed = floor_days(moment(as_of), "last_optimize"), floor_days(moment(as_of), vacuum)
+    optimized, vacuumed = floor_days(as_of, "last_optimize"), floor_days(as_of, vacuum)
     return {
         "last_write_timestamp": "last_write",
         "last_optimize_timestamp": "last_optimize",
         "last_vacuum_timestamp": vacuum,
         "last_merge_timestamp": "last_merge",
-        "days_since_last_write": floor_days(moment(as_of), "last_write"),
+        "days_since_last_write": floor_days(as_of, "last_write"),
         "days_since_last_optimize": optimized,
         "days_since_last_vacuum": vacuumed,
         "optimize_status": age_text(optimized, never="Never run"),
@@ -109,4 +112,4 @@ def named(figures: dict[str, str]) -> list[str]:
 
 def maintenance_status(history: DataFrame, as_of: datetime) -> DataFrame:
     """Last write, optimize, vacuum and merge with their ages at ``as_of``."""
-    return last_operations(history).selectExpr(*KEY, *named(status_figures(as_of)))
+    return last_operations(history).selectExpr(*KEY, *named(status_figures(moment(as_of))))

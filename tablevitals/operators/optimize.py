@@ -29,6 +29,20 @@ ZORDER_FIGURES = {
     "predicate_optimizations": "predicate_optimizations",
 }
 
+# The latest optimizes with parameters: the latest of a day, then those among the latest of days.
+DETAILS = 5
+_NEWEST = "slice(sort_array({}, false), 1, " + str(DETAILS) + ")"
+_DETAIL = (
+    f"CASE WHEN {_IS_OPTIMIZE} AND size(operationParameters) > 0 "
+    "THEN struct(timestamp, version, sort_array(map_entries(operationParameters)) AS entries) END"
+)
+DETAIL_TEXTS = {"optimize_details": _NEWEST.format(f"collect_list({_DETAIL})")}
+DETAIL_ALL = {"optimize_details": _NEWEST.format("flatten(collect_list(optimize_details))")}
+DETAIL_FIGURES = {
+    "optimize_details": "transform(optimize_details, d -> struct(d.version AS version, d.timestamp AS timestamp, "
+    "map_from_entries(d.entries) AS parameters))"
+}
+
 # Of one day, and of all days.
 DAY_SUMS = {
     "first_optimize": f"min(CASE WHEN {_IS_OPTIMIZE} THEN timestamp END)",

@@ -35,20 +35,23 @@ def partition_count_from_data(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.agg(F.count_distinct(value).alias("partition_count"))
 
 
+# The measures over the columns of a size summary of partitions.
+MEASURES = (
+    "partition_count",
+    "min_mb AS _smallest_mb",
+    "max_mb AS _largest_mb",
+    "median_mb AS _median_mb",
+    "mean_mb AS _mean_mb",
+)
+
+
 def partition_measures(partitions: DataFrame) -> DataFrame:
     """Count and size summary of each table's partitions, in one pass.
 
     Partitions without bytes are counted but not measured.
     """
     histogram = size_histogram(partitions, counts="size_bytes > 0", partition_count="true")
-    return size_summary(histogram, "partition_count").selectExpr(
-        *KEY,
-        "partition_count",
-        "min_mb AS _smallest_mb",
-        "max_mb AS _largest_mb",
-        "median_mb AS _median_mb",
-        "mean_mb AS _mean_mb",
-    )
+    return size_summary(histogram, "partition_count").selectExpr(*KEY, *MEASURES)
 
 
 def partition_figures(joined: DataFrame, config: LayoutConfig) -> DataFrame:
@@ -101,7 +104,11 @@ def join_partition_measures(
     rows: DataFrame, partitions: DataFrame, counts: DataFrame | None = None
 ) -> DataFrame:
     """Left-join measures; a count in ``counts`` wins over the one found in the sizes."""
-    joined = rows.join(partition_measures(partitions), list(KEY), "left")
+    return with_stated_counts(rows.join(partition_measures(partitions), list(KEY), "left"), counts)
+
+
+def with_stated_counts(joined: DataFrame, counts: DataFrame | None) -> DataFrame:
+    """Rows with measures, with the counts of another source in place of those measured."""
     if counts is None:
         return joined
     stated = counts.select(*KEY, F.col("partition_count").alias("_stated"))

@@ -39,8 +39,9 @@ def size_histogram(rows: DataFrame, counts: str = "true", **flags: str) -> DataF
     )
 
 
-def size_summary(histogram: DataFrame, *flags: str) -> DataFrame:
-    """Per table: count, bytes, and unrounded statistics of the rounded MB."""
+def size_summary(histogram: DataFrame, *flags: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Per table (and columns of ``by``): count, bytes, and unrounded statistics of the rounded MB."""
+    keys = [*KEY, *by]
     hundredths = "CAST(size_mb * 100 + 0.5D AS BIGINT)"
     fraction = f"(size_mb - floor(size_mb)) * {1 << _HIGH_BITS}D"
     aggregates = {
@@ -59,7 +60,7 @@ def size_summary(histogram: DataFrame, *flags: str) -> DataFrame:
         "part_low": f"sum(CAST(({fraction} - floor({fraction})) * {1 << _LOW_BITS}D AS BIGINT) * n)",
         **{name: f"sum({name})" for name in flags},
     }
-    sums = histogram.groupBy(*KEY).agg(*[F.expr(a).alias(name) for name, a in aggregates.items()])
+    sums = histogram.groupBy(*keys).agg(*[F.expr(a).alias(name) for name, a in aggregates.items()])
     doubles = f"((whole * {1 << _HIGH_BITS}BD + part_high) * {1 << _LOW_BITS}BD + part_low)"
     joined = {
         "s1": "CAST(s1 AS DECIMAL(19, 0))",
@@ -75,7 +76,7 @@ def size_summary(histogram: DataFrame, *flags: str) -> DataFrame:
         sums.withColumns({name: F.expr(text) for name, text in joined.items()})
         .withColumn("quotient", F.expr(quotient))
         .selectExpr(
-            *KEY,
+            *keys,
             "n",
             "bytes",
             "min_mb",

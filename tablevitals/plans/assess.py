@@ -23,8 +23,10 @@ def assess(metrics: DataFrame, config: LayoutConfig, rules: Iterable[str] = R.RU
     All rules are one projection: no union, explode, shuffle or join. The issues
     of a table stand worst first, then in rule order: a struct sorts by its
     leading fields, which are exactly those two. An invalid table raises no issue
-    and has the health ``error``.
+    and has the health ``error``. Metrics without error columns are taken as read without failures.
     """
+    unstated = [c for c in R.ERROR_COLUMNS if c not in metrics.columns]
+    metrics = metrics.withColumns({c: F.lit(None).cast("string") for c in unstated})
     found = ", ".join(R.raised(category, config) for category in rules)
     listed = metrics.withColumn("issues", F.expr(f"array_sort(array_compact(array({found})))"))
     folds = {

@@ -10,6 +10,8 @@ Points decided on purpose:
 * Identifiers in statements are back-quoted.
 * A table without history counts as never optimized and never vacuumed; the
   metrics carry ``history_available`` for those who want to tell them apart.
+* What could not be read is not known to be missing: where the history or the DDL
+  failed, no rule says that something was never done (see ``history_error``, ``ddl_error``).
 * Clustered tables above the large-table limit are still asked to partition.
 * Partition skew is raised above ``partition_skew_threshold`` only, and never
   with the tier none when that threshold is set below the lowest tier.
@@ -53,6 +55,9 @@ class Issue:
     sql_command: str = "CAST(NULL AS STRING)"
 
 
+# Columns of failed steps that rules look at.
+ERROR_COLUMNS = ("history_error", "ddl_error")
+
 Rule = Callable[[LayoutConfig], tuple[Issue, ...]]
 
 _lit = sql_string
@@ -166,7 +171,7 @@ def stale_optimize(config: LayoutConfig) -> tuple[Issue, ...]:
     age = _Value("days_since_last_optimize")
     return (
         Issue(
-            when="days_since_last_optimize IS NULL",
+            when="days_since_last_optimize IS NULL AND history_error IS NULL",
             issue_id=_lit("OPTIMIZE_NEVER_RUN"),
             severity=_lit("high"),
             title=_lit("Never compacted"),
@@ -196,7 +201,7 @@ def stale_vacuum(config: LayoutConfig) -> tuple[Issue, ...]:
     command = _join("VACUUM ", _NAME, f" RETAIN {config.vacuum_retain_hours} HOURS;")
     return (
         Issue(
-            when="days_since_last_vacuum IS NULL",
+            when="days_since_last_vacuum IS NULL AND history_error IS NULL",
             issue_id=_lit("VACUUM_NEVER_RUN"),
             severity=_lit("medium"),
             title=_lit("Never vacuumed"),
@@ -251,7 +256,7 @@ def no_clustering(config: LayoutConfig) -> tuple[Issue, ...]:
     return (
         Issue(
             when=f"table_size_gb > {config.clustering_min_gb}D "
-            f"AND table_size_gb < {config.large_table_threshold_gb}D AND NOT is_liquid_clustered",
+            f"AND table_size_gb < {config.large_table_threshold_gb}D AND NOT is_liquid_clustered AND ddl_error IS NULL",
             issue_id=_lit("NO_LIQUID_CLUSTERING"),
             severity=_lit("medium"),
             title=_lit("No clustering columns"),
@@ -271,7 +276,8 @@ def no_zorder(config: LayoutConfig) -> tuple[Issue, ...]:
     return (
         Issue(
             when=f"table_size_gb > {config.zorder_recommend_threshold_gb}D "
-            "AND size(zorder_columns) = 0 AND NOT is_liquid_clustered",
+            "AND size(zorder_columns) = 0 AND NOT is_liquid_clustered "
+            "AND history_error IS NULL AND ddl_error IS NULL",
             issue_id=_lit("NO_ZORDER"),
             severity=_lit("medium"),
             title=_lit("Large table that was never z-ordered"),

@@ -53,6 +53,11 @@ TABLE_HISTORY = _struct(
     ("operationMetrics", _STRING_MAP),
 )
 
+# What could not be read: one row per failing step and path. A scope that cannot be listed has no table.
+FAILURES = _struct(
+    *_KEY_COLUMNS, ("step", T.StringType()), ("path", T.StringType()), ("error", T.StringType())
+)
+
 # Column names, order and types of the saved report are fixed: saved rows of
 # earlier runs must stay readable next to new ones.
 TABLE_REPORT = _struct(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import KEY
@@ -12,17 +12,12 @@ from ..schemas import KEY
 BROADCAST_CHARACTERS = 16 << 20
 
 
-def plain_path(location: str) -> str:
-    """A location without its scheme's extra slashes: file:///a and file:/a are one."""
-    head, colon, tail = location.partition(":")
-    if not colon or "/" in head:
-        return location.rstrip("/")
-    return f"{head}:/{tail.lstrip('/')}".rstrip("/")
-
-
-def _plain(path: str) -> str:
-    """``plain_path`` as an expression."""
-    return f"regexp_replace({path}, '^([A-Za-z0-9+.-]+):/+', '$1:/')"
+def located(column: str, spark: SparkSession) -> Column:
+    """A location in one form: with a scheme, that of the session's file system by default."""
+    default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///").rstrip("/")
+    full = F.when(F.col(column).rlike("^[^/]*:"), F.col(column)).otherwise(F.concat(F.lit(default), column))
+    plain = F.regexp_replace(full, "^([A-Za-z0-9+.-]+):/+", "$1:/")
+    return F.rtrim(plain, F.lit("/"))
 
 
 def attribute_paths(rows: DataFrame, tables: DataFrame) -> DataFrame:
@@ -35,18 +30,16 @@ def attribute_paths(rows: DataFrame, tables: DataFrame) -> DataFrame:
     small enough; else Spark shuffles both sides by root.
     """
     spark = rows.sparkSession
-    rooted = tables.filter("location IS NOT NULL").select(*KEY, F.rtrim("location", F.lit("/")).alias("root"))
-    default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///").rstrip("/")
-    full = F.when(F.col("root").rlike("^[^/]*:"), F.col("root")).otherwise(F.concat(F.lit(default), "root"))
-    frame = rooted.withColumn("root", full).withColumn("root", F.rtrim(F.expr(_plain("root")), F.lit("/")))
-    frame = frame.dropDuplicates(["root"])
+    frame = tables.filter("location IS NOT NULL").select(*KEY, located("location", spark).alias("root"))
+    # Of several tables at one root the first by name owns its files.
+    frame = frame.groupBy("root").agg(F.min(F.struct(*KEY)).alias("owner")).select("owner.*", "root")
     shape = frame.agg(
         F.sum(F.length(F.concat(*KEY, "root"))), F.collect_set(F.size(F.split("root", "/")))
     ).first()
     if (shape[0] or 0) <= BROADCAST_CHARACTERS:
         frame = F.broadcast(frame)
     depths = sorted(shape[1], reverse=True)
-    found = rows.withColumn("_path", F.expr(_plain("path")))
+    found = rows.withColumn("_path", located("path", spark))
     for at, depth in enumerate(depths):
         side = frame.filter(F.size(F.split("root", "/")) == depth).select(
             F.struct(*KEY, "root").alias(f"_at{at}"), F.col("root").alias(f"_root{at}")

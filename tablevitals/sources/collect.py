@@ -1,5 +1,9 @@
 """Collect every inventory of the configured scope."""
 
+from __future__ import annotations
+
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..config import LayoutConfig
@@ -9,12 +13,13 @@ from ..schemas import KEY
 from .catalog import (
     collect_ddl,
     collect_details,
-    collect_history,
-    discover_tables,
+    command_history,
+    discover,
     partition_counts,
 )
-from .commits import commit_history
-from .listing import file_inventory
+from .collected import failures_of
+from .commits import read_commits
+from .listing import list_inventory
 
 
 def collect_inventories(
@@ -26,10 +31,12 @@ def collect_inventories(
     """Discover tables, describe them, list their files, and read their commits.
 
     ``history`` says how: from the commit ``logs``, or by ``command`` where these
-    cannot be read.
+    cannot be read. All snapshots lie below ``scratch``, if given.
     """
-    detail = collect_details(spark, discover_tables(spark, config))
-    return inventories_of(spark, detail, config, scratch, history)
+    found = discover(spark, config)
+    detail = collect_details(spark, found.rows, scratch=scratch and f"{scratch}/detail")
+    inputs = inventories_of(spark, detail, config, scratch, history)
+    return replace(inputs, failures=inputs.failures.unionByName(found.failures))
 
 
 def inventories_of(
@@ -39,20 +46,24 @@ def inventories_of(
     scratch: str | None = None,
     history: str = "logs",
 ) -> Inventories:
-    """Inventories of described tables; only those in the supported format are read."""
+    """Inventories of described tables; only those in the supported format are read.
+
+    What could not be read is in ``failures``: directories, log files and commands.
+    """
+    if history not in ("logs", "command"):
+        raise ValueError(f"history must be 'logs' or 'command', not {history!r}")
     located = detail.join(supported_tables(detail), list(KEY), "left_semi").select(
         *KEY, "location", "partitionColumns"
     )
-    if history not in ("logs", "command"):
-        raise ValueError(f"history must be 'logs' or 'command', not {history!r}")
-    if history == "command":
-        commits = collect_history(spark, located, scratch and f"{scratch}/history")
-    else:
-        commits = commit_history(spark, located, scratch and f"{scratch}/commits")
+    read_history = command_history if history == "command" else read_commits
+    commits = read_history(spark, located, scratch and f"{scratch}/history")
+    files = list_inventory(spark, located, scratch and f"{scratch}/files")
+    counts = partition_counts(spark, located, scratch=scratch and f"{scratch}/partitions")
     return Inventories(
         detail=detail,
-        ddl=collect_ddl(spark, located),
-        files=file_inventory(spark, located, scratch and f"{scratch}/files"),
-        history=commits,
-        partition_counts=partition_counts(spark, located),
+        ddl=collect_ddl(spark, located, scratch=scratch and f"{scratch}/ddl"),
+        files=files.rows,
+        history=commits.rows,
+        partition_counts=counts,
+        failures=files.failures.unionByName(commits.failures).unionByName(failures_of(counts, "partitions")),
     )

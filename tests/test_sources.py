@@ -208,6 +208,7 @@ def test_commands_per_table(spark, lake):
     assert "no such command" in rows["gone"].error
     ddl = by_table(sources.collect_ddl(spark, tables, run))
     assert ddl["flat"].ddl.startswith("CREATE TABLE") and ddl["gone"].ddl is None
+    assert "no such command" in ddl["gone"].error
     counts = by_table(partition_counts(spark, detail, run))
     assert {t: r.partition_count for t, r in counts.items()} == {"deep": 3}
     history = sources.history_of_table(spark, ("c", "s", "flat"), run)
@@ -222,7 +223,10 @@ def test_history_command_for_many_tables(spark, lake, tmp_path):
     assert history.schema == TABLE_HISTORY
     assert sorted((r["table"], r.version) for r in history.collect()) == [("_fl/at", 5), ("deep", 5)]
     failing = spark.createDataFrame([("c", "s", "gone")], TABLES)
-    assert sources.collect_history(spark, failing, str(tmp_path / "g"), run).count() == 0
+    found = sources.command_history(spark, failing, str(tmp_path / "g"), run)
+    assert found.rows.count() == 0 and found.rows.schema == TABLE_HISTORY
+    failure = found.failures.first()
+    assert (failure["table"], failure.step) == ("gone", "history") and "no such command" in failure.error
 
 
 def test_collected_inventories_can_be_analyzed(spark, lake, tmp_path):
@@ -232,12 +236,20 @@ def test_collected_inventories_can_be_analyzed(spark, lake, tmp_path):
     run = Commands(spark, base)
     detail = sources.collect_details(spark, spark.createDataFrame([("c", "s", "deep"), ("c", "s", "flat")], TABLES), run)
     inputs = inventories_of(spark, detail, LayoutConfig(), scratch=str(tmp_path / "s"))
-    report = by_table(analyze(inputs, LayoutConfig(), datetime(2024, 3, 1)).report)
+    analysis = analyze(inputs, LayoutConfig(), datetime(2024, 3, 1))
+    report, tables = by_table(analysis.report), by_table(analysis.tables)
     # SHOW CREATE TABLE and SHOW PARTITIONS fail here: no clustering, counts from the listing.
     assert (report["deep"].is_liquid_clustered, report["deep"].partition_count) == (False, 3)
     assert report["flat"].last_optimize == "2023-11-16T22:13:20"
     # The files are so small that their mean rounds to 0 MB, which the small-file rule skips.
-    assert (report["deep"].avg_file_size_mb, report["deep"].health_status) == (0.0, "warning")
+    assert report["deep"].avg_file_size_mb == 0.0
+    # Without a commit log nothing is said of its maintenance; the failures are.
+    assert (report["deep"].health_status, report["deep"].issue_count) == ("healthy", 0)
+    assert "_delta_log" in tables["deep"].history_error and tables["flat"].history_error is None
+    assert tables["deep"].ddl_error and tables["flat"].ddl_error and tables["deep"].partitions_error
+    assert tables["deep"].listing_error is None
+    steps = {(r["table"], r.step) for r in inputs.failures.collect()}
+    assert steps == {("deep", "history"), ("deep", "partitions")}
     assert set(report["deep"].asDict()) >= set(KEY)
 
 

@@ -127,6 +127,79 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_NUMBER = "CAST(substring({}, 4) AS INT)"
+_K = _NUMBER.format("`table`")
+
+
+def failing(spark: SparkSession, sf_dir: str) -> Inventories:
+    """The fleet where some directories, commit logs and DDL texts could not be read."""
+    documents = _table(spark, sf_dir, "documents").withColumn("k", F.expr(_NUMBER.format("source")))
+    listed = files_of(documents.filter("NOT (k % 7 = 3 AND doc_id % 3 = 0)"))
+    unlisted = documents.filter("k % 7 = 3 AND doc_id % 3 = 0").select("source", "lang").distinct()
+    directories = unlisted.selectExpr(
+        *_key("source"), "'listing' AS step", "concat('/lake/main/', source, '/lang=', lang, '/b=0') AS path",
+        "'PermissionError: denied' AS error",
+    )
+    logs = documents.filter("k % 5 = 2").select("source").distinct().selectExpr(
+        *_key("source"), "'history' AS step", "concat('/lake/main/', source, '/_delta_log') AS path",
+        "'FileNotFoundError: no such directory' AS error",
+    )
+    failed = f"{_K} % 6 = 4"
+    texts = ddl_of(documents).selectExpr(
+        *KEY, f"CASE WHEN NOT {failed} THEN ddl END AS ddl", f"CASE WHEN {failed} THEN 'command failed' END AS error"
+    )
+    return Inventories(
+        detail=detail_of(files_of(documents)),
+        ddl=texts,
+        files=listed,
+        history=history(spark, sf_dir).filter(f"{_K} % 5 <> 2"),
+        failures=directories.unionByName(logs),
+    )
+
+
+def sparse(spark: SparkSession, sf_dir: str) -> Inventories:
+    """The fleet with little known of most tables.
+
+    By k % 4: tables without files (0), never listed but with a partition count (1), large ones without
+    history (2), and ordinary ones (3). Only those of 1 and 3 have a DDL text, only those of 3 commits.
+    """
+    documents = _table(spark, sf_dir, "documents").withColumn("k", F.expr(_NUMBER.format("source")))
+    described = detail_of(files_of(documents)).withColumns(
+        {
+            "numFiles": F.expr(f"CASE WHEN {_K} % 4 = 0 THEN 0L ELSE numFiles END"),
+            "sizeInBytes": F.expr(
+                f"CASE {_K} % 4 WHEN 0 THEN 0L WHEN 2 THEN 600 * 1073741824L + sizeInBytes ELSE sizeInBytes END"
+            ),
+            "partitionColumns": F.expr(
+                f"CASE WHEN {_K} % 4 = 1 THEN array('lang') ELSE CAST(array() AS ARRAY<STRING>) END"
+            ),
+        }
+    )
+    counts = documents.filter("k % 4 = 1").groupBy("source").agg(F.count_distinct("lang").alias("partition_count"))
+    return Inventories(
+        detail=described,
+        ddl=ddl_of(documents.filter("k % 2 = 1")),
+        files=files_of(documents.filter("k % 4 <> 1")),
+        history=history(spark, sf_dir).filter(f"{_K} % 4 = 3"),
+        partition_counts=counts.selectExpr(*_key("source"), "partition_count"),
+    )
+
+
+def nested_roots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Files without owners, and table roots of which every other one lies inside the one before."""
+    documents = _table(spark, sf_dir, "documents").withColumn("k", F.expr(_NUMBER.format("source")))
+    outer = "concat('/lake/main/src', k - k % 2)"
+    inner = f"concat({outer}, '/nested/', source)"
+    folder = f"CASE WHEN k = 19 THEN '/elsewhere' WHEN k % 2 = 0 OR doc_id % 5 = 0 THEN {outer} ELSE {inner} END"
+    paths = documents.selectExpr(
+        "doc_id", f"concat(if(doc_id % 2 = 0, 'file://', 'file:'), {folder}, '/lang=', lang, '/', doc_id, '.parquet') AS path"
+    )
+    roots = documents.select("source", "k").distinct().selectExpr(
+        *_key("source"), f"concat(CASE WHEN k % 2 = 0 THEN {outer} ELSE {inner} END, '/') AS location"
+    )
+    return paths, roots
+
+
 def inventories(spark: SparkSession, sf_dir: str) -> Inventories:
     documents = _table(spark, sf_dir, "documents")
     listed = files_of(documents)

@@ -363,13 +363,10 @@ def rule_rows(rules=RULES, source: str = "metrics") -> str:
 BASED = "\nbased AS (SELECT tbl, bytes, partitioned FROM detail)"
 
 
-def metrics(as_of: str = AS_OF) -> list[str]:
-    return [
-        FILES, DETAIL, PROFILE, BALANCE, BASED, balance("3e0"), RECENT, PIVOT, LAST, status(as_of), CADENCE,
-        GROWTH, CLUSTERING,
-        """
+METRICS = """
 metrics AS (
-  SELECT d.*, p.* EXCLUDE (tbl), b.* EXCLUDE (tbl, ratio), c.* EXCLUDE (tbl),
+  SELECT d.*, p.* EXCLUDE (tbl), b.* EXCLUDE (tbl, ratio), coalesce(c.is_liquid_clustered, false) AS is_liquid_clustered,
+    coalesce(c.clustering_columns, CAST([] AS VARCHAR[])) AS clustering_columns,
     o.tbl IS NOT NULL AS history_available, coalesce(o.total_commits, 0) AS total_commits,
     coalesce(o.vacuum_count, 0) AS vacuum_count, s.* EXCLUDE (tbl, optimize_status, vacuum_status),
     coalesce(s.optimize_status, 'Never run') AS optimize_status,
@@ -380,12 +377,111 @@ metrics AS (
     coalesce(g.growth_rate_pct_daily, 0e0) AS growth_rate_pct_daily, g.busiest_day
   FROM sized d JOIN prof p USING (tbl) JOIN bal b USING (tbl) LEFT JOIN clus c USING (tbl)
     LEFT JOIN pivot_ops o USING (tbl) LEFT JOIN status s USING (tbl) LEFT JOIN zcols z USING (tbl)
-    LEFT JOIN cadence a USING (tbl) LEFT JOIN grow g USING (tbl))""",
+    LEFT JOIN cadence a USING (tbl) LEFT JOIN grow g USING (tbl))"""
+
+
+def metrics(as_of: str = AS_OF) -> list[str]:
+    return [
+        FILES, DETAIL, PROFILE, BALANCE, BASED, balance("3e0"), RECENT, PIVOT, LAST, status(as_of), CADENCE,
+        GROWTH, CLUSTERING, METRICS,
+    ]
+
+
+def worst_first(severity: str = "severity") -> str:
+    return f"CASE {severity} WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END"
+
+
+# No rule says that something was never done where its source failed.
+_SOURCES = {
+    "'OPTIMIZE_NEVER_RUN'": " AND history_error IS NULL",
+    "'VACUUM_NEVER_RUN'": " AND history_error IS NULL",
+    "'NO_LIQUID_CLUSTERING'": " AND ddl_error IS NULL",
+    "'NO_ZORDER'": " AND history_error IS NULL AND ddl_error IS NULL",
+}
+CERTAIN = tuple((*rule[:4], f"({rule[4]}){_SOURCES.get(rule[1], '')}", *rule[5:]) for rule in RULES)
+
+
+def issue_ids(rules, source: str) -> list[str]:
+    """The ids of each table's issues, worst first, as ``raised`` (tbl, issue_ids)."""
+    return [
+        f"\nfound AS ({rule_rows(rules, source)})",
+        f"""
+raised AS (SELECT tbl, string_agg(issue_id, ',' ORDER BY {worst_first()}, rule_no) AS issue_ids FROM found GROUP BY tbl)""",
+    ]
+
+
+_NUM = "CAST(substr(tbl, 4) AS INTEGER)"
+
+
+def failing() -> list[str]:
+    """Some directories, logs and DDL texts could not be read."""
+    return [
+        FILES.replace("AS size\n", "AS size, doc_id, CAST(substr(source, 4) AS INT) AS num\n"),
+        DETAIL,
+        "\nlisted AS (SELECT * FROM files WHERE NOT (num % 7 = 3 AND doc_id % 3 = 0))",
+        PROFILE.replace("FROM files", "FROM listed"),
+        BALANCE.replace("FROM files", "FROM listed"),
+        BASED,
+        balance("3e0"),
+        HISTORY + f",\nrecent AS (SELECT * FROM hist WHERE {_NUM} % 5 <> 2)",
+        PIVOT, LAST, status(), CADENCE, GROWTH,
+        CLUSTERING.replace("FROM (SELECT DISTINCT", "FROM (SELECT * FROM (SELECT DISTINCT") + " WHERE k % 6 <> 4))",
+        METRICS,
+        """
+unlisted AS (
+  SELECT tbl, min('/lake/main/' || tbl || '/lang=' || part || '/b=0: PermissionError: denied') AS first_error, count(DISTINCT part) AS n
+  FROM files WHERE num % 7 = 3 AND doc_id % 3 = 0 GROUP BY tbl),
+erred AS (
+  SELECT m.*, CASE WHEN n > 1 THEN first_error || ' (and ' || (n - 1) || ' more)' ELSE first_error END AS listing_error,
+    CASE WHEN k % 5 = 2 THEN '/lake/main/' || tbl || '/_delta_log: FileNotFoundError: no such directory' END AS history_error,
+    CASE WHEN k % 6 = 4 THEN 'command failed' END AS ddl_error
+  FROM metrics m LEFT JOIN unlisted USING (tbl))""",
+        *issue_ids(CERTAIN, "erred"),
+    ]
+
+
+def sparse() -> list[str]:
+    """Little is known of most tables, by k % 4."""
+
+    def either(listed: str, estimate: str, default: str) -> str:
+        return f"CASE d.k % 4 WHEN 0 THEN {default} WHEN 1 THEN {estimate} ELSE p.{listed} END AS {listed}"
+
+    avg = rnd("d.bytes / CAST(d.num_files AS DOUBLE) / 1048576e0")
+    zeros = ("min_file_size_mb", "max_file_size_mb", "file_skew_ratio", "coefficient_of_variation")
+    return [
+        FILES,
+        DETAIL.replace("detail AS (", "full_detail AS (").replace("sized AS (SELECT *", """
+detail AS (
+  SELECT * REPLACE (CASE WHEN k % 4 = 0 THEN 0 ELSE num_files END AS num_files,
+    CAST(CASE k % 4 WHEN 0 THEN 0 WHEN 2 THEN 600 * 1073741824 + bytes ELSE bytes END AS BIGINT) AS bytes,
+    k % 4 = 1 AS partitioned) FROM full_detail),
+sized AS (SELECT *"""),
+        f"\nlisted AS (SELECT * FROM files WHERE {_NUM} % 4 <> 1)",
+        PROFILE.replace("FROM files", "FROM listed").replace("prof AS (", "of_files AS ("),
+        f"""
+prof AS (
+  SELECT d.tbl, {either("total_files", "d.num_files", "0")}, {either("avg_file_size_mb", avg, "0e0")},
+    {either("median_file_size_mb", avg, "0e0")}, {", ".join(either(name, "0e0", "0e0") for name in zeros)},
+    {either("small_files_pct", f"CASE WHEN {avg} < 128 THEN 100e0 ELSE 0e0 END", "0e0")},
+    {either("severe_small_files_pct", f"CASE WHEN {avg} < 32 THEN 100e0 ELSE 0e0 END", "0e0")},
+    {either("file_skew_severity", "'none'", "'none'")},
+    CASE d.k % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'detail' ELSE 'listing' END AS layout_source
+  FROM detail d LEFT JOIN of_files p USING (tbl)),
+pstat AS (
+  SELECT tbl, CAST(count(DISTINCT part) AS INTEGER) AS n, NULL::DOUBLE AS hi, NULL::DOUBLE AS lo, NULL::DOUBLE AS med, NULL::DOUBLE AS mean
+  FROM files WHERE {_NUM} % 4 = 1 GROUP BY tbl)""",
+        BASED,
+        balance("3e0"),
+        HISTORY + f",\nrecent AS (SELECT * FROM hist WHERE {_NUM} % 4 = 3)",
+        PIVOT, LAST, status(), CADENCE, GROWTH,
+        CLUSTERING.replace("FROM (SELECT DISTINCT", "FROM (SELECT * FROM (SELECT DISTINCT") + " WHERE k % 2 = 1))",
+        METRICS,
+        *issue_ids(RULES, "metrics"),
     ]
 
 
 def assessed(as_of: str = AS_OF) -> list[str]:
-    order = "CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END"
+    order = worst_first()
     summary = """'{"id":"' || issue_id || '","category":"' || category || '","severity":"' || severity || '","title":"' || title || '","details":"' || details || '"}'"""
     command = "'\"' || replace(sql_command, chr(10), '\\n') || '\"'"
     return [
@@ -655,6 +751,50 @@ FROM events""",
   CAST(row_number() OVER (PARTITION BY tbl ORDER BY position) AS INTEGER) AS step, sql_command AS statement
 FROM ranked JOIN assessed USING (tbl) WHERE sql_command IS NOT NULL""",
     ),
+    "source_failures": query(
+        failing(),
+        _simple(
+            "erred LEFT JOIN raised USING (tbl)",
+            "listing_error, history_error, ddl_error, total_files, history_available, is_liquid_clustered, "
+            "coalesce(issue_ids, '') AS issue_ids",
+        ),
+    ),
+    "table_defaults": query(
+        sparse(),
+        _simple(
+            "metrics LEFT JOIN raised USING (tbl)",
+            "layout_source, total_files, avg_file_size_mb, small_files_pct, partition_count, partition_sizes_estimated, "
+            "largest_partition_size_mb, partition_skew_ratio, history_available, total_commits, optimize_status, "
+            "is_liquid_clustered, coalesce(issue_ids, '') AS issue_ids",
+        ),
+    ),
+    "extended_report": query(
+        [
+            *metrics(),
+            f"""
+operations AS (SELECT tbl, string_agg(op || '=' || n, ',' ORDER BY op) AS summary
+  FROM (SELECT tbl, op, count(*) AS n FROM recent GROUP BY tbl, op) GROUP BY tbl),
+newest AS (
+  SELECT tbl, string_agg(version || '@' || {iso("ts")} || ' ' || zorder || ' ' || CASE WHEN event_id % 7 = 0 THEN '["a = 1"]' ELSE '' END, ';' ORDER BY rn) AS details
+  FROM (SELECT *, row_number() OVER (PARTITION BY tbl ORDER BY ts DESC, version DESC) AS rn FROM recent WHERE op = 'OPTIMIZE')
+  WHERE rn <= 5 GROUP BY tbl)""",
+        ],
+        _simple(
+            "metrics LEFT JOIN operations USING (tbl) LEFT JOIN newest USING (tbl)",
+            "coalesce(summary, '') AS operation_summary, coalesce(details, '') AS optimize_details, total_commits, "
+            "optimize_frequency_days, daily_write_count, partition_skew_severity",
+        ),
+    ),
+    "file_owners": """
+WITH own AS (SELECT doc_id, lang, source, CAST(substr(source, 4) AS INT) AS k FROM documents),
+named AS (SELECT *, '/lake/main/src' || (k - k % 2) AS outer_root, '/lake/main/src' || (k - k % 2) || '/nested/' || source AS inner_root FROM own),
+paths AS (
+  SELECT doc_id, CASE WHEN k = 19 THEN '/elsewhere' WHEN k % 2 = 0 OR doc_id % 5 = 0 THEN outer_root ELSE inner_root END
+    || '/lang=' || lang || '/' || doc_id || '.parquet' AS path FROM named),
+roots AS (SELECT DISTINCT source AS tbl, CASE WHEN k % 2 = 0 THEN outer_root ELSE inner_root END AS root FROM named)
+SELECT 'lake' AS catalog, 'main' AS schema, tbl AS "table", doc_id, substr(path, length(root) + 2) AS relative_path
+FROM paths JOIN roots ON starts_with(path, root || '/')
+QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length(root) DESC) = 1""",
     "report_history": saved_reports(''),
     "latest_reports": saved_reports(
         'QUALIFY row_number() OVER (PARTITION BY "table" ORDER BY analysis_timestamp DESC) = 1'

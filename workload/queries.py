@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import replace
 from datetime import timedelta
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +13,7 @@ from tablevitals.plans.analyze import analyze_scope
 from tablevitals import operators as ops
 from tablevitals import plans
 from tablevitals.schemas import KEY
+from tablevitals.sources.attribute import attribute_paths
 
 from . import inputs as I
 
@@ -295,6 +295,50 @@ def scope_catalog(spark, sf_dir):
     return _scoped(spark, sf_dir, scan_mode="catalog")
 
 
+_ISSUE_IDS = "array_join(transform(issues, i -> i.issue_id), ',') AS issue_ids"
+
+
+def source_failures(spark, sf_dir):
+    """What could not be read of each table, and the issues that are raised nevertheless."""
+    tables = analyze(I.failing(spark, sf_dir), I.CONFIG, I.AS_OF).tables
+    errors = ("listing_error", "history_error", "ddl_error")
+    return tables.selectExpr(*KEY, *errors, "total_files", "history_available", "is_liquid_clustered", _ISSUE_IDS)
+
+
+def table_defaults(spark, sf_dir):
+    """Tables without files, listing, partition sizes, history or DDL."""
+    tables = analyze(I.sparse(spark, sf_dir), I.CONFIG, I.AS_OF).tables
+    figures = (
+        "layout_source", "total_files", "avg_file_size_mb", "small_files_pct", "partition_count",
+        "partition_sizes_estimated", "largest_partition_size_mb", "partition_skew_ratio", "history_available",
+        "total_commits", "optimize_status", "is_liquid_clustered",
+    )
+    return tables.selectExpr(*KEY, *figures, _ISSUE_IDS)
+
+
+def extended_report(spark, sf_dir):
+    """The operations and latest optimizes of each table, which the 33 columns leave out."""
+    rows = plans.extended_report(_analysis(spark, sf_dir).tables)
+    summary = "array_join(transform(sort_array(map_entries(operation_summary)), e -> concat(e.key, '=', e.value)), ',')"
+    detail = "concat(d.version, '@', {}, ' ', d.parameters['zOrderBy'], ' ', d.parameters['predicate'])"
+    details = f"array_join(transform(optimize_details, d -> {detail.format(fx.iso_text('d.timestamp'))}), ';')"
+    return rows.selectExpr(
+        *KEY,
+        f"{summary} AS operation_summary",
+        f"{details} AS optimize_details",
+        "total_commits",
+        "optimize_frequency_days",
+        "daily_write_count",
+        "partition_skew_severity",
+    )
+
+
+def file_owners(spark, sf_dir):
+    """The table each file belongs to where tables lie inside one another."""
+    files, roots = I.nested_roots(spark, sf_dir)
+    return attribute_paths(files, roots).select(*KEY, "doc_id", "relative_path")
+
+
 def fleet_summary(spark, sf_dir):
     return _analysis(spark, sf_dir).summary
 
@@ -304,12 +348,9 @@ def maintenance_sql(spark, sf_dir):
 
 
 def _saved(spark, sf_dir):
-    """Reports of three weekly runs, as they would stand in the report table."""
-    inventories = I.inventories(spark, sf_dir)
-    runs = [
-        analyze(inventories, I.CONFIG, I.AS_OF - timedelta(weeks=week)).report for week in (2, 1, 0)
-    ]
-    return reduce(DataFrame.unionByName, runs)
+    """Reports of three weekly runs, as they would stand in the report table, from one plan."""
+    weeks = [I.AS_OF - timedelta(weeks=week) for week in (2, 1, 0)]
+    return analyze(I.inventories(spark, sf_dir), I.CONFIG, weeks).report
 
 
 def report_history(spark, sf_dir):
@@ -357,6 +398,10 @@ QUERIES = {
         scope_single,
         scope_schema,
         scope_catalog,
+        source_failures,
+        table_defaults,
+        extended_report,
+        file_owners,
         fleet_summary,
         maintenance_sql,
         report_history,
