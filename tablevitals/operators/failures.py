@@ -23,8 +23,3 @@ def step_errors(failures: DataFrame) -> DataFrame:
     shown = "CASE WHEN {0}_n > 1 THEN concat({0}_first, ' (and ', {0}_n - 1, ' more)') ELSE {0}_first END AS {0}_error"
     return folded.selectExpr(*KEY, *[shown.format(s) for s in STEPS])
 
-
-def ddl_failures(ddl: DataFrame) -> DataFrame:
-    """Failure rows of DDL texts that could not be read."""
-    failed = ddl.filter("error IS NOT NULL") if "error" in ddl.columns else ddl.limit(0).withColumn("error", F.lit(None).cast("string"))
-    return failed.selectExpr(*KEY, "'ddl' AS step", "CAST(NULL AS STRING) AS path", "error")

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from ..config import LayoutConfig
 from ..functions import NO_STRINGS, moment
-from ..operators import clustering, file_profile, layout_profile, partition_sizes, table_detail
-from ..operators.failures import ddl_failures, step_errors
+from ..operators import file_profile, layout_profile, partition_sizes, table_detail
+from ..operators.clustering import ddl_profile
+from ..operators.failures import STEPS, step_errors
 from ..operators.files import layout_figures
 from ..operators.growth import growth_rate
 from ..operators.history import LAST, status_figures
@@ -62,9 +63,6 @@ def table_metrics(
     give a text per table and step, null where the step went well.
     """
     key = list(KEY)
-    failed = ddl_failures(ddl)
-    if failures is not None:
-        failed = failed.unionByName(failures.select(*failed.columns))
     joined = table_detail(detail)
     if partitions is None:
         joined = joined.join(layout_profile(files, config), key, "left")
@@ -72,16 +70,20 @@ def table_metrics(
     else:
         joined = joined.join(file_profile(files, config), key, "left")
         joined = join_partition_measures(joined, partition_sizes(partitions), partition_counts)
-    joined = joined.join(clustering(ddl), key, "left").join(history_totals(history), key, "left")
-    joined = joined.join(step_errors(failed), key, "left")
+    joined = joined.join(ddl_profile(ddl), key, "left").join(history_totals(history), key, "left")
+    if failures is None:
+        joined = joined.withColumns({f"{step}_error": F.lit(None).cast("string") for step in STEPS})
+    else:
+        joined = joined.join(step_errors(failures), key, "left")
     figures = {
+        "ddl_error": "coalesce(ddl_error, ddl_failure)",
         **layout_figures(config),
         **{name: f"coalesce({name}, {value})" for name, value in _DEFAULTS.items()},
         "history_available": "total_commits IS NOT NULL",
         "growth_rate_pct_daily": growth_rate("coalesce(write_bytes_per_day, 0D)", "table_size_bytes"),
     }
     filled = joined.withColumns({name: F.expr(text) for name, text in figures.items()})
-    dated = at_dates(partition_figures(filled.drop("write_bytes_per_day"), config), as_of)
+    dated = at_dates(partition_figures(filled.drop("write_bytes_per_day", "ddl_failure"), config), as_of)
     status = {name: F.expr(text) for name, text in status_figures("analysis_timestamp").items()}
     return dated.withColumns(status).drop(*LAST)
 

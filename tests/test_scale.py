@@ -91,6 +91,6 @@ def test_joins_are_as_long_as_the_list_of_tables(spark):
     catalog = LayoutConfig(scan_mode="catalog", catalog="c")
     tables = analyze_scope(inputs, catalog, datetime(2024, 1, 1)).tables
     joins = re.findall(r"\w*Join \[[^\]]*\]", tables._jdf.queryExecution().executedPlan().toString())
-    assert len(joins) == 5  # supported tables, layout, clustering, history, failures
+    assert len(joins) == 4  # supported tables, layout, clustering, history
     assert all("path" not in j and "version" not in j for j in joins)
     assert tables.count() == detail.count()

@@ -425,7 +425,7 @@ def failing() -> list[str]:
         balance("3e0"),
         HISTORY + f",\nrecent AS (SELECT * FROM hist WHERE {_NUM} % 5 <> 2)",
         PIVOT, LAST, status(), CADENCE, GROWTH,
-        CLUSTERING.replace("FROM (SELECT DISTINCT", "FROM (SELECT * FROM (SELECT DISTINCT") + " WHERE k % 6 <> 4))",
+        CLUSTERING.replace("FROM (SELECT DISTINCT", "FROM (SELECT * FROM (SELECT DISTINCT") + " WHERE k % 6 <> 4)",
         METRICS,
         """
 unlisted AS (
@@ -453,7 +453,7 @@ def sparse() -> list[str]:
         DETAIL.replace("detail AS (", "full_detail AS (").replace("sized AS (SELECT *", """
 detail AS (
   SELECT * REPLACE (CASE WHEN k % 4 = 0 THEN 0 ELSE num_files END AS num_files,
-    CAST(CASE k % 4 WHEN 0 THEN 0 WHEN 2 THEN 600 * 1073741824 + bytes ELSE bytes END AS BIGINT) AS bytes,
+    CAST(CASE k % 4 WHEN 0 THEN 0 WHEN 2 THEN 600::BIGINT * 1073741824 + bytes ELSE bytes END AS BIGINT) AS bytes,
     k % 4 = 1 AS partitioned) FROM full_detail),
 sized AS (SELECT *"""),
         f"\nlisted AS (SELECT * FROM files WHERE {_NUM} % 4 <> 1)",
@@ -474,7 +474,7 @@ pstat AS (
         balance("3e0"),
         HISTORY + f",\nrecent AS (SELECT * FROM hist WHERE {_NUM} % 4 = 3)",
         PIVOT, LAST, status(), CADENCE, GROWTH,
-        CLUSTERING.replace("FROM (SELECT DISTINCT", "FROM (SELECT * FROM (SELECT DISTINCT") + " WHERE k % 2 = 1))",
+        CLUSTERING.replace("FROM (SELECT DISTINCT", "FROM (SELECT * FROM (SELECT DISTINCT") + " WHERE k % 2 = 1)",
         METRICS,
         *issue_ids(RULES, "metrics"),
     ]
