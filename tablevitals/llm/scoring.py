@@ -10,11 +10,13 @@ c the dequantised counts, tokens of a text have
 
 where c(v w) is at most c(v), so that errors can't lift a pair above its context.
 
-Counting is one pass: each task sums pairs and words per batch and sends them packed by bucket of
-hash; a bucket's task adds them up and returns its blocks of the filter. The number of buckets
-follows the size of the input, so no bucket holds more than a bounded share of n-grams, and a frequent
-one arrives summed from each task. The same buckets hold which document has which word, and give the
-exact counts behind base_score, again as sums by document.
+Counting is one pass: each task sums pairs and words of a few texts and sends them packed by bucket of
+hash; a bucket's task adds them up and returns its blocks of the filter, and for words the counts. The
+number of buckets follows the size of the input, so no bucket holds more than a bounded share of n-grams, and
+a frequent one arrives summed. Only then a second pass sends which text has which word to its bucket's exact
+counts, and back come sums by text for base_score. These postings are dealt by bucket and a salt of the
+texts they are from, each salt with its bucket's counts, so those of a word in every text, as the
+end token is, spread over as many tasks as there are millions of texts.
 
 The filters are broadcast in parts below FILTER_BYTES. Mostly one part holds all. Otherwise there is a
 round for each choice of the parts of v, of w and of v w; it scores the tokens whose words and pair
@@ -39,7 +41,8 @@ BASE = 1.5  # of the count levels
 BITS, PROBES = 8, 4  # bits an entry, bits set for it in its block
 WEIGHT = 0.3  # of what pairs say, against the word alone
 FILTER_BYTES = 80_000_000  # of filters broadcast at once
-BUCKET_TOKENS = 2_000_000, 4_000_000  # tokens for each bucket of pairs, of words
+BUCKET_TOKENS = 1_000_000, 2_000_000  # tokens for each bucket of pairs, of words
+SALT_TEXTS = 1_000_000  # texts for each salt of a bucket's postings
 END = np.uint64(0x51ED270B35D8A2F1)  # the end token, and what stands before the first word
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _PAIR_BITS = np.uint64((1 << 48) - 1)  # of a pair's hash; fewer bytes to shuffle
@@ -120,8 +123,17 @@ def unplaned(raw: bytes, size: int) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
-_PACKED = "kind int, bucket int, source long, hashes binary, counts binary, runs binary, rows binary, ids binary"
-_TOTALS = "kind int, bucket int, source long, blocks binary, tokens long, distinct long, row_ids binary, sums binary"
+_PACKED = "kind int, bucket int, hashes binary, counts binary"
+_TOTALS = "kind int, bucket int, blocks binary, tokens long, distinct long, hashes binary, counts binary"
+_POSTINGS = "bucket int, source long, hashes binary, counts binary, runs binary, rows binary, ids binary"
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    """Rows as a record batch of a schema of ints, longs and binaries."""
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [field.split() for field in schema.split(", ")]
+    columns = list(zip(*rows)) or [[]] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[kind]) for c, (_, kind) in zip(columns, fields)], [name for name, _ in fields])
 
 
 def _texts(batch, words: WordHashes, at_once: int = 200_000):
@@ -153,64 +165,92 @@ def _by_bucket(hashes: np.ndarray, buckets: int):
 
 
 def counted(source: DataFrame, pair_buckets: int, word_buckets: int) -> DataFrame:
-    """Rows of _TOTALS: filters of pairs (kind 2) and of words (1), and sums by row over known words (0)."""
+    """Rows of _TOTALS: the filter of each bucket of pairs (kind 2) and of words (1), these with their counts."""
+
+    def pack(batches):
+        words = WordHashes()
+        for batch in batches:
+            train = ~batch.column("held_out").to_numpy(zero_copy_only=False)
+            for start, tokens, ends in _texts(batch, words):
+                learn = np.repeat(train[start : start + len(ends)], np.diff(ends, prepend=0))
+                out, ones = [], np.ones(int(learn.sum()), dtype=np.int64)
+                for kind, grams, buckets in ((2, pair_hash(_before(tokens, ends), tokens), pair_buckets), (1, tokens, word_buckets)):
+                    grams, counts = _summed(grams[learn], ones)
+                    for bucket, part in _by_bucket(grams, buckets):
+                        out.append((kind, bucket, planes(grams[part], 6 if kind == 2 else 8), planes(counts[part], 4)))
+                yield _batch(out, _PACKED)
+
+    def total(key, packed):
+        kind = key[0].as_py()
+        hashes = np.concatenate([unplaned(x.as_py(), 6 if kind == 2 else 8) for x in packed.column("hashes")])
+        counts = np.concatenate([unplaned(x.as_py(), 4).astype(np.int64) for x in packed.column("counts")])
+        hashes, counts = _summed(hashes, counts)
+        exact = (hashes.tobytes(), counts.tobytes()) if kind == 1 else (None, None)
+        return pa.Table.from_batches([_batch([(kind, key[1].as_py(), filter_of(hashes, counts).tobytes(), int(counts.sum()), len(hashes), *exact)], _TOTALS)])
+
+    return source.select("held_out", "text").mapInArrow(pack, _PACKED).groupBy("kind", "bucket").applyInArrow(total, _TOTALS)
+
+
+def postings(source: DataFrame, buckets: int) -> DataFrame:
+    """Rows of _POSTINGS: by bucket, the words of a few texts, and how often each is in which of these."""
 
     def pack(batches):
         words = WordHashes()
         for batch in batches:
-            row_ids, train = batch.column("row_id").to_numpy(), ~batch.column("held_out").to_numpy(zero_copy_only=False)
+            row_ids = batch.column("row_id").to_numpy()
             for start, tokens, ends in _texts(batch, words):
+                own_ids = row_ids[start : start + len(ends)]
+                source_id = int(mixed(own_ids.view(np.uint64)).sum().view(np.int64))
                 row = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
-                learn = train[start + row]
-                out, source_id = [], int(mixed(row_ids[start : start + len(ends)].view(np.uint64)).sum().view(np.int64))
-                pairs, counts = _summed(pair_hash(_before(tokens, ends), tokens)[learn], np.ones(int(learn.sum()), dtype=np.int64))
-                for bucket, part in _by_bucket(pairs, pair_buckets):
-                    out.append((2, bucket, source_id, planes(pairs[part], 6), planes(counts[part], 4), b"", b"", b""))
                 order = np.lexsort((row, tokens))
                 tokens, row = tokens[order], row[order]
                 first = np.flatnonzero(np.append(True, (tokens[1:] != tokens[:-1]) | (row[1:] != row[:-1])))
                 counts = np.diff(np.append(first, len(tokens)))
                 tokens, row = tokens[first], row[first]
-                for bucket, part in _by_bucket(tokens, word_buckets):
+                out = []
+                for bucket, part in _by_bucket(tokens, buckets):
                     heads = np.flatnonzero(np.append(True, tokens[part][1:] != tokens[part][:-1]))
                     own, place = np.unique(row[part], return_inverse=True)
-                    marked = (place << 1) | train[start + row[part]]
                     runs = np.diff(np.append(heads, len(part)))
-                    out.append((1, bucket, source_id, tokens[part][heads].tobytes(), planes(counts[part], 4), planes(runs, 4), planes(marked, 4), row_ids[start + own].tobytes()))
-                columns = list(zip(*out)) or [[]] * 8
-                kinds = (pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 5)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["kind", "bucket", "source", "hashes", "counts", "runs", "rows", "ids"])
-
-    def total(key, packed):
-        kind, bucket = key[0].as_py(), key[1].as_py()
-        column = lambda name, size: [unplaned(x, size) for x in packed.column(name).to_pylist()]
-        counts, out = [x.astype(np.int64) for x in column("counts", 4)], []
-        if kind == 2:
-            pairs, times = _summed(np.concatenate(column("hashes", 6)), np.concatenate(counts))
-            out.append((2, bucket, None, filter_of(pairs, times).tobytes(), int(times.sum()), len(pairs), None, None))
-        else:
-            heads = [np.frombuffer(x, dtype=np.uint64) for x in packed.column("hashes").to_pylist()]
-            runs = [x.astype(np.int64) for x in column("runs", 4)]
-            marks = [x.astype(np.int64) for x in column("rows", 4)]
-            learnt = [np.add.reduceat(c * (m & 1), np.append(0, np.cumsum(r)[:-1])) for c, m, r in zip(counts, marks, runs)]
-            known, times = _summed(np.concatenate(heads), np.concatenate(learnt))
-            known, times = known[times > 0], times[times > 0]
-            out.append((1, bucket, None, filter_of(known, times).tobytes() if len(known) else b"", int(times.sum()), len(known), None, None))
-            for head, run, count, mark, ids, source_id in zip(heads, runs, counts, marks, packed.column("ids").to_pylist(), packed.column("source").to_pylist()):
-                c = np.zeros(len(head), dtype=np.int64)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, head), len(known) - 1)
-                    c = np.where(known[at] == head, times[at], 0)
-                c = np.repeat(c, run)
-                sums = [np.bincount(mark >> 1, weights=x) for x in (count, count * (c > 0), count * np.log10(c + 1.0))]
-                out.append((0, bucket, source_id, None, 0, 0, ids, np.concatenate(sums).tobytes()))
-        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["kind", "bucket", "source", "blocks", "tokens", "distinct", "row_ids", "sums"])
-
-    return source.select("row_id", "held_out", "text").mapInArrow(pack, _PACKED).groupBy("kind", "bucket").applyInArrow(total, _TOTALS)
-
-
-def by_row(totals: DataFrame) -> DataFrame:
+                    out.append((bucket, source_id, tokens[part][heads].tobytes(), planes(counts[part], 4), planes(runs, 4), planes(place, 4), own_ids[own].tobytes()))
+                yield _batch(out, _POSTINGS)
+
+    return source.select("row_id", "text").mapInArrow(pack, _POSTINGS)
+
+
+def looked_up(posted: DataFrame, totals: DataFrame, salts: int) -> DataFrame:
+    """source, row_ids, sums: what a bucket's exact counts say of the texts of each row of postings."""
+    nothing = F.lit(None).cast("binary")
+    salted = posted.withColumn("salt", F.pmod("source", F.lit(salts)).cast("int"))
+    known = totals.where("kind = 1").select("bucket", F.lit(None).cast("long").alias("source"), "hashes", "counts", *(nothing.alias(c) for c in ("runs", "rows", "ids")), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+
+    def look(rows):
+        places = np.flatnonzero(rows.column("source").is_null().to_numpy(zero_copy_only=False))
+        known, times = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
+        if len(places):
+            known, times = (np.frombuffer(rows.column(name)[int(places[0])].as_py(), dtype=kind) for name, kind in (("hashes", np.uint64), ("counts", np.int64)))
+        sources, ids, sums = [], [], []
+        for source, *packed in zip(*(rows.column(name) for name in ("source", "hashes", "counts", "runs", "rows", "ids"))):
+            if not source.is_valid:
+                continue
+            head, count, run, place, own = (x.as_py() for x in packed)
+            head, (count, run, place) = np.frombuffer(head, dtype=np.uint64), (unplaned(x, 4).astype(np.int64) for x in (count, run, place))
+            c = np.zeros(len(head), dtype=np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, head), len(known) - 1)
+                c = np.where(known[at] == head, times[at], 0)
+            c = np.repeat(c, run)
+            found = [np.bincount(place, weights=x) for x in (count, count * (c > 0), count * np.log10(c + 1.0))]
+            sources.append(source.as_py())
+            ids.append(own)
+            sums.append(np.concatenate(found).tobytes())
+        return pa.table({"source": pa.array(sources, pa.int64()), "row_ids": pa.array(ids, pa.binary()), "sums": pa.array(sums, pa.binary())})
+
+    rows = salted.unionByName(known)
+    return rows.groupBy("bucket", "salt").applyInArrow(look, "source long, row_ids binary, sums binary")
+
+
+def by_row(parts: DataFrame) -> DataFrame:
     """The sums over words as rows: all tokens, known ones, and log10(c + 1), of each row_id.
 
     What the buckets say of one task's few texts meets again by its source, and only then
@@ -224,8 +264,8 @@ def by_row(totals: DataFrame) -> DataFrame:
         everything, known, logs = (np.bincount(place, weights=x) for x in sums)
         return pa.table({"row_id": own, "all_tokens": np.round(everything).astype(np.int64), "n_known": np.round(known).astype(np.int64), "logs": logs})
 
-    parts = totals.where("kind = 0").select("source", "row_ids", "sums").groupBy("source").applyInArrow(add, "row_id long, all_tokens long, n_known long, logs double")
-    return parts.groupBy("row_id").agg(F.sum("all_tokens").alias("all_tokens"), F.sum("n_known").alias("n_known"), F.sum("logs").alias("logs"))
+    sums = parts.groupBy("source").applyInArrow(add, "row_id long, all_tokens long, n_known long, logs double")
+    return sums.groupBy("row_id").agg(F.sum("all_tokens").alias("all_tokens"), F.sum("n_known").alias("n_known"), F.sum("logs").alias("logs"))
 
 
 def model_sums(source: DataFrame, filters, n: int, v: int, parts: tuple[int, ...], at: tuple[int, ...]) -> DataFrame:
@@ -279,9 +319,10 @@ def scored(docs: DataFrame, held_out=None, filter_bytes: int = FILTER_BYTES) ->
     spark = docs.sparkSession
     held_out = id_remainder("doc_id", 7) == 2 if held_out is None else held_out
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row_id"), held_out.alias("held_out"), "text")
-    size = (source.agg(F.sum(F.length("text"))).first()[0] or 0) // 6
-    pair_buckets, word_buckets = (max(8, -(-size // each)) for each in BUCKET_TOKENS)
+    characters, texts = source.agg(F.sum(F.length("text")), F.count("*")).first()
+    pair_buckets, word_buckets = (max(8, -(-((characters or 0) // 6) // each)) for each in BUCKET_TOKENS)
     totals = stored(counted(source, pair_buckets, word_buckets), "counts")
+    looked = stored(looked_up(postings(source, word_buckets), totals, -(-texts // SALT_TEXTS) or 1), "word-sums")
     n, v = (x or 0 for x in totals.where("kind = 1").agg(F.sum("tokens"), F.sum("distinct")).first())
 
     rounds, kinds = None, ((1, word_buckets), (1, word_buckets), (2, pair_buckets))
@@ -299,7 +340,7 @@ def scored(docs: DataFrame, held_out=None, filter_bytes: int = FILTER_BYTES) ->
         count = math.prod(parts)
         scores = rounds.groupBy(*keys).agg(F.sum("score").alias("total"), (F.count("*") / count).cast("int").alias("copies"))
         scores = scores.select(*keys, (F.col("total") / F.col("copies")).alias("score"), F.explode(F.sequence(F.lit(1), "copies"))).drop("col")
-    base = scores.join(by_row(totals), "row_id")
+    base = scores.join(by_row(looked), "row_id")
     # Equal rows were added up; each has its share of tokens.
     share = F.col("n_tokens") / F.col("all_tokens")
     return base.select(

@@ -101,6 +101,10 @@ def header_fields(head: bytes) -> dict[str, str]:
     return {name.strip().lower(): value.strip() for name, _, value in (line.partition(":") for line in lines)}
 
 
+class _Ended(ValueError):
+    """A member has no more bytes."""
+
+
 class Member:
     """A gzip member read from a place on; `head` is None if it is not the start of a WARC record."""
 
@@ -114,7 +118,8 @@ class Member:
             head, found, self.text = self.text.partition(b"\r\n\r\n")
             if found and head.startswith(b"WARC/1."):
                 self.head = header_fields(head)
-        except zlib.error:
+        except (zlib.error, _Ended):
+            # Not a record: what looks like a member's start may stand in another one, near the end of a file.
             self.head = None
 
     def _more(self, size: int) -> bool:
@@ -123,7 +128,7 @@ class Member:
             return False
         raw = self.source.read_at(size, self.at)
         if not raw:
-            raise ValueError("an archive ends within a record")
+            raise _Ended("an archive ends within a record")
         self.at += len(raw)
         self.text += self.unpack.decompress(raw)
         return True
