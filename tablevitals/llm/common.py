@@ -3,6 +3,9 @@
 import sys
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import xxhash
@@ -34,10 +37,69 @@ def scratch_path(spark: SparkSession, purpose: str) -> str:
 def stored(frame: DataFrame, purpose: str) -> DataFrame:
     """The same rows, written once to scratch and read back: later jobs start from there."""
     path = scratch_path(frame.sparkSession, purpose)
+    for paths in _temporary.get():
+        paths.append(path)
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+_temporary: ContextVar[tuple[list[str], ...]] = ContextVar("temporary", default=())
+
+
+@contextmanager
+def temporary(spark: SparkSession):
+    """Deletes, at the end of the block, what `stored` wrote within it; what reads it must be done by then."""
+    paths: list[str] = []
+    token = _temporary.set((*_temporary.get(), paths))
+    try:
+        yield
+    finally:
+        _temporary.reset(token)
+        for path in paths:
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def found_in(spark: SparkSession, purpose: str, made: Callable[[], DataFrame]) -> DataFrame:
+    """A small result, stored; what is stored on the way to it is deleted."""
+    path = scratch_path(spark, purpose)
+    for paths in _temporary.get():
+        paths.append(path)
+    with temporary(spark):
+        rows = made()
+        rows.write.parquet(path)
+        schema = rows.schema
+    return spark.read.schema(schema).parquet(path)
+
+
+#: Bits of the bitmap below: 8 MB, whatever the number of keys.
+FILTER_BITS = 1 << 26
+
+
+def row_keyed(docs: DataFrame, *columns: str) -> tuple[DataFrame, str]:
+    """docs with a hash of some of its columns, nulls included, and that column's name."""
+    name = "_row"
+    while name in {column.lower() for column in docs.columns}:
+        name = f"_{name}"
+    return docs.withColumn(name, F.xxhash64(*columns)), name
+
+
+def maybe_in(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows whose key may be among those of keys: all that are, and few others while keys are few.
+
+    Keys are marked by their hash in a bitmap of FILTER_BITS bits, which is broadcast. So a join that
+    follows need not move the other rows. Null keys are never in.
+    """
+    slot = lambda: F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)) + 1
+    maps = keys.where(F.col(key).isNotNull()).select(slot().alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("_bucket"))
+    maps = maps.agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("_bitmap"))
+    placed = rows.where(F.col(key).isNotNull()).withColumn("_slot", slot())
+    placed = placed.withColumn("_bucket", F.bitmap_bucket_number("_slot")).join(F.broadcast(maps), "_bucket")
+    position = F.bitmap_bit_position("_slot")
+    byte = F.conv(F.hex(F.expr("substring(_bitmap, cast(bitmap_bit_position(_slot) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    return placed.where(F.getbit(byte, (position % 8).cast("int")) == 1).select(*rows.columns)
+
+
 def tokenizer_path(name: str) -> str:
     """A vocabulary file of the installed package of public tokenizers."""
     import public_tokenizers

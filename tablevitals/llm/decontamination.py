@@ -26,14 +26,14 @@ whether to broadcast them; a shingle that many items share yields one row for ea
 shingle that very many documents have only meets the items that hold it.
 
 Defined results: null, empty or wordless texts or items match nothing; repeated items and rows each
-match for themselves; rows with a null id match nothing; of several windows the best one is
+match for themselves; rows with a null key match nothing (`kept` has a key for every row: its text); of several windows the best one is
 returned, the first of equal ones; other columns are ignored.
 """
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablevitals.llm.common import stored
+from tablevitals.llm.common import found_in, maybe_in, row_keyed, stored
 
 SHINGLE = 5
 PERCENT = 75
@@ -106,7 +106,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataF
     placed = stored(anchors(docs, key, items), "anchors")
     # The windows' own shingles, from the texts of documents that have any.
     with_windows = placed.groupBy(key).agg(F.collect_set(F.struct("start", "length", "n")).alias("windows"))
-    texts = docs.join(with_windows, key).select(key, word_array("text").alias("words"), "windows")
+    # Few documents have any, and the others need not be moved to find that out.
+    texts = maybe_in(docs.select(key, "text"), key, placed).join(with_windows, key).select(key, word_array("text").alias("words"), "windows")
     windows = texts.select(key, "words", F.explode("windows").alias("w")).select(
         key, F.col("w.start").alias("start"), F.col("w.length").alias("length"), F.col("w.n").alias("n"), F.expr("slice(words, greatest(w.start, 0) + 1, w.length + least(w.start, 0))").alias("part")
     )
@@ -129,6 +130,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataF
 
 
 def kept(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without a copy of an item, with the columns they came with."""
-    found = stored(matches(docs.where("doc_id is not null"), benchmark).select("doc_id").distinct(), "leaks")
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """The documents without a copy of an item, with the columns they came with.
+
+    Each row is judged by its own text, whatever its id: rows without one too, and rows that share one apart.
+    """
+    keyed, name = row_keyed(docs, "text")
+    leaks = lambda: matches(keyed.select(name, "text"), benchmark, name).select(name).distinct()
+    found = found_in(docs.sparkSession, "leaks", leaks)
+    return keyed.join(found, name, "left_anti").select(*docs.columns)

@@ -17,8 +17,8 @@ Nothing is compared all with all:
 
 Every link is confirmed on the full sets. Steps write to scratch, so that a lost executor costs
 one step's tasks. Defined results: null or wordless texts have n_shingles 0 and are linked with
-nothing; rows with the same id and text are one document; a null id is linked with nothing and
-kept; only doc_id and text are read, whatever other columns there are.
+nothing; rows with the same id and text are one document; in `linked` a null id is linked with nothing and
+kept, while `kept` judges such rows by their text; only doc_id and text are read, whatever other columns there are.
 """
 
 import numpy as np
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablevitals.llm.common import WordHashes, empty, mixed, stored, words_of
+from tablevitals.llm.common import WordHashes, empty, found_in, maybe_in, mixed, row_keyed, stored, words_of
 
 ROWS, BANDS, SHINGLE = 5, 51, 5
 CELL = 256  # members of a block; a task compares two blocks at most
@@ -219,18 +219,14 @@ def pairs_in_cells(members: DataFrame, sets: DataFrame, cell: int = CELL) -> Dat
     return rows.join(short, "node").groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
-def linked(docs: DataFrame, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row of docs; see the module."""
-    signed = stored(signatures(docs, rows, bands), "signatures")
-    classes = signed.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("last"))
-    copies = stored(classes.where("node < last").select("set_key", "node"), "classes")
-    nodes = signed.select("doc_id", "n_shingles", "set_key").join(copies, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")).alias("node"))
-
+def _labels(docs: DataFrame, signed: DataFrame, copies: DataFrame) -> DataFrame:
+    """(node, label) of every node that is linked with another one."""
     of_bands = signed.where("doc_id is not null").join(copies.withColumnRenamed("node", "first"), "set_key", "left").where("first is null or first = doc_id")
     of_bands = of_bands.select(F.explode("buckets").alias("bucket"), F.col("doc_id").alias("node"), "n_shingles")
     shared = of_bands.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last").select("bucket", "pivot")
     members = stored(of_bands.join(shared, "bucket").distinct(), "members")
-    text_of = docs.where("doc_id is not null").join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    named, texts = members.select(F.col("node").alias("doc_id")).distinct(), docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    text_of = maybe_in(texts, "doc_id", named).join(named, "doc_id", "left_semi")
     sets = stored(shingle_sets(text_of).distinct(), "sets")
 
     size = members.groupBy("node").agg(F.max("n_shingles").alias("n"))
@@ -244,23 +240,42 @@ def linked(docs: DataFrame, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
         found = stored(confirmed(pairs_in_cells(rest, sets), sets), "links")
         known = labels.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
         labels = stored(components(known.union(found)), "labels")
+    return labels
+
+
+def linked(docs: DataFrame, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row of docs; see the module."""
+    signed = stored(signatures(docs, rows, bands), "signatures")
+    classes = signed.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("last"))
+    copies = stored(classes.where("node < last").select("set_key", "node"), "classes")
+    nodes = signed.select("doc_id", "n_shingles", "set_key").join(copies, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")).alias("node"))
+    labels = found_in(docs.sparkSession, "labels", lambda: _labels(docs, signed, copies))
     result = nodes.join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("label", "node").alias("component_id"))
     return result.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def kept(docs: DataFrame, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
-    """One row of each group, with the columns docs came with: that of its smallest id.
+    """One row of each group, with the columns docs came with: that of its smallest id, a null one last.
 
-    Of rows that share this id, those with its smallest text stay, once if they are equal.
+    Each row is judged by its own text, so rows that share an id, or have none, and differ in text are documents
+    of their own; rows of equal id and text, null or not, are one.
     """
-    found = linked(docs, rows, bands)
-    gone = stored(found.where("not kept").select("doc_id").distinct(), "duplicates")
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    again = stored(left.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("text").alias("least")).where("n > 1").select("doc_id", "least"), "repeated")
+    spark = docs.sparkSession
+    keyed, name = row_keyed(docs, "doc_id", "text")
+
+    def duplicates() -> DataFrame:
+        found = linked(keyed.select(F.col(name).alias("doc_id"), "text"), rows, bands)
+        found = stored(found.select(F.col("doc_id").alias("key"), "component_id").distinct(), "components")
+        members = keyed.select(F.col(name).alias("key"), F.col("doc_id").alias("id")).join(found, "key")
+        first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key")).alias("first")
+        stays = members.groupBy("component_id").agg(first)
+        return found.join(stays, "component_id").where("key <> first.key").select(F.col("key").alias(name))
+
+    gone = found_in(spark, "duplicates", duplicates)
+    left = keyed.join(gone, name, "left_anti")
+    again = found_in(spark, "repeated", lambda: left.groupBy(name).agg(F.count("*").alias("n")).where("n > 1").select(name))
     if empty(again):
-        return left
-    marks = again.withColumnRenamed("doc_id", "again")
-    several = left.join(marks, left.doc_id == marks.again, "left")
-    once = several.where("again is null").select(*docs.columns)
-    first = several.where("again is not null and (text <=> least)").select(*docs.columns).dropDuplicates(["doc_id"])
+        return left.select(*docs.columns)
+    once = left.join(again, name, "left_anti").select(*docs.columns)
+    first = left.join(again, name, "left_semi").dropDuplicates([name, "text"]).select(*docs.columns)
     return once.union(first)

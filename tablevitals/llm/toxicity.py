@@ -33,12 +33,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablevitals.llm.common import CACHE_WORDS, id_remainder
+from tablevitals.llm.common import CACHE_WORDS, id_remainder, maybe_in, stored, temporary
 
 TRAIN_ROWS = 20_000
 MOST_VOTERS = 300
 LEAST_SEEN = 20
-MOST_COUNTED = 100_000  # entries, and words, that a task remembers while it counts
+MOST_COUNTED = 250_000  # entries, and words, that a task remembers while it counts
 MARK_BITS = 62  # of the row hashes whose sums tell entries that match the same rows
 PREFIXES = range(3, 9)  # lengths of word starts tried
 SAME = 0.8
@@ -92,7 +92,9 @@ def known_labels(labels: DataFrame, held_out: Column) -> DataFrame:
 def training_rows(docs: DataFrame, known: DataFrame) -> DataFrame:
     """text, toxic and mark (a hash of MARK_BITS bits) of every labelled row."""
     mark = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 64 - MARK_BITS)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(known, "doc_id").select("text", "toxic", mark.alias("mark"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # Texts without a label stay where they are.
+    return maybe_in(texts, "doc_id", known).join(known, "doc_id").select("text", "toxic", mark.alias("mark"))
 
 
 def training_sample(docs: DataFrame, known: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
@@ -139,11 +141,11 @@ def mined(rows: DataFrame) -> tuple[list[list[str]], np.ndarray]:
         yield partial()
 
     sums = [F.sum(column).alias(column) for column in ("clean", "toxic", "high", "low")]
-    counts = rows.mapInArrow(count, "entry string, clean long, toxic long, high long, low long").groupBy("entry").agg(*sums).cache()
+    counts = rows.mapInArrow(count, "entry string, clean long, toxic long, high long, low long").groupBy("entry").agg(*sums)
+    counts = stored(counts, "entries")
     all_rows = counts.where("entry = ''").first()
     clean, toxic = (all_rows["clean"], all_rows["toxic"]) if all_rows else (0, 0)
     if not toxic:
-        counts.unpersist()
         return [], np.empty(0)
     t, c = F.col("toxic").cast("double"), F.col("clean").cast("double")
     part = lambda seen, total, rate: seen * F.log(F.greatest(seen, F.lit(1e-9)) / (rate * total))
@@ -158,7 +160,6 @@ def mined(rows: DataFrame) -> tuple[list[list[str]], np.ndarray]:
     same: dict[tuple, list[str]] = {}
     for row in passed.orderBy(F.desc("ratio"), "entry").collect():
         same.setdefault((row.clean, row.toxic, row.mark), []).append(row.entry)
-    counts.unpersist()
     return list(same.values()), np.array([math.log((key[1] + 0.5) / (key[0] + 0.5)) for key in same])
 
 
@@ -221,7 +222,8 @@ def fitted(votes_of: np.ndarray, target: np.ndarray, penalty: float = 0.3, round
 def model(docs: DataFrame, labels: DataFrame, held_out: Column) -> tuple[list[list[str]], np.ndarray, np.ndarray]:
     """Voters, the classifier's weights (the last is the intercept), and the log-odds of voters it doesn't know (else -inf)."""
     known = known_labels(labels, held_out)
-    voters, log_odds = mined(training_rows(docs, known))
+    with temporary(docs.sparkSession):
+        voters, log_odds = mined(training_rows(docs, known))
     weights = np.zeros(len(voters) + 1)
     weights[-1] = -20.0
     if not voters:

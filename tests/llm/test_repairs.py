@@ -1,15 +1,16 @@
-"""Scores against plain counts, postings by salt, and archives that hold what looks like a member."""
+"""Scores against plain counts, archives that hold what looks like a member, rows without ids, and scratch."""
 
 import gzip
 import math
+import os
 import random
 import zlib
 from collections import Counter
 
 import numpy as np
 
-from tablevitals.llm import scoring, warc
-from tablevitals.llm.common import scratch_path
+from tablevitals.llm import decontamination, minhash, scoring, warc
+from tablevitals.llm.common import maybe_in, scratch_path
 
 SCHEMA = "doc_id long, text string"
 
@@ -69,3 +70,55 @@ def test_a_false_member_near_the_end_of_an_archive(spark):
     rows = warc.records(spark, files, 50, with_payload=True).orderBy("page_id").collect()
     assert [(r.page_id, bytes(r.payload), r.digest_ok) for r in rows] == [(1, b"first", True), (2, payload, True)]
     assert rows[0].path == f"file://{path}"
+
+
+def words(seed, n=80):
+    rng = random.Random(seed)
+    return [f"v{rng.randrange(10**6)}" for _ in range(n)]
+
+
+def near(own):
+    return " ".join([*own[:-1], "changed"])
+
+
+def test_rows_that_share_an_id_or_have_none_are_judged_apart(spark):
+    """Near-dedup and decontamination look at each row's own text; a third of the rows have no id."""
+    a, b, c, leak = (words(s) for s in range(4))
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (5, near(b)), (None, near(a)), (None, " ".join(c)), (None, " ".join(c)), (None, near(c))]
+    rows += [(7, " ".join(leak)), (7, " ".join(words(9))), (None, near(leak)), (None, None), (8, ""), (9, None)]
+    docs = spark.createDataFrame([(i, t, 0) for i, t in rows], SCHEMA + ", _row int").repartition(3)
+    stays = minhash.kept(docs)
+    assert stays.columns == docs.columns
+    left = Counter((r.doc_id, r.text) for r in stays.collect())
+    of_c = [key for key in left if key[1] in (" ".join(c), near(c))]
+    assert len(of_c) == 1 and left[of_c[0]] == 1
+    of_leak = {(7, " ".join(leak))}
+    assert set(left) - set(of_c) == {(1, " ".join(a)), (1, " ".join(b)), (7, " ".join(words(9))), (None, None), (8, ""), (9, None)} | of_leak
+    bench = spark.createDataFrame([(1, " ".join(leak[10:50])), (2, None), (3, "")], "item_id long, text string")
+    clean = decontamination.kept(docs, bench)
+    assert clean.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in clean.collect()) == Counter(r for r in rows if r[1] is None or leak[20] not in r[1])
+
+
+def test_stages_leave_only_what_their_result_reads(spark):
+    base = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()).removeprefix("file:")
+    before = set(os.listdir(base))
+    docs = spark.createDataFrame([(i, " ".join(words(i % 20))) for i in range(60)], SCHEMA)
+    assert minhash.kept(docs).count() == 20
+    left = {name.rpartition("-")[0].split("-")[0] for name in set(os.listdir(base)) - before}
+    assert left <= {"duplicates", "repeated"}
+
+
+def test_a_hot_row_without_an_id(spark):
+    rows = [(None, "the same text of all of these rows " * 4)] * 900 + [(i, " ".join(words(i))) for i in range(50)]
+    left = minhash.kept(spark.createDataFrame(rows, SCHEMA).repartition(8)).collect()
+    assert len(left) == 51
+
+
+def test_bitmap_keeps_every_key(spark):
+    rows = spark.range(3000).selectExpr("CASE WHEN id % 7 = 0 THEN NULL ELSE id END AS doc_id", "id AS n")
+    found = maybe_in(rows, "doc_id", spark.range(0, 3000, 3).selectExpr("id AS doc_id"))
+    assert found.columns == ["doc_id", "n"]
+    ids = {r.doc_id for r in found.collect()}
+    assert {i for i in range(0, 3000, 3) if i % 7} <= ids and len(ids) < 1000 and None not in ids
+    assert maybe_in(rows, "doc_id", rows.limit(0)).count() == 0
