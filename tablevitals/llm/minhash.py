@@ -11,9 +11,10 @@ Nothing is compared all with all:
 * Documents with equal sets form a class, and its smallest id stands for it.
 * In a bucket, the members are checked against its smallest id (the pivot) first. What is
   linked that way is one component; members of a bucket that already share one need no check.
-* Only buckets that then hold several components go on. Their members are cut in blocks of
-  at most CELL by hash, and each pair of blocks is one cell, whose task counts what the sets
-  share and returns just the pairs that pass, never the pairs it looks at. No pair is dropped.
+* Only buckets that then hold several components go on. Their members are paired by exact prefix
+  filtering: shingles are ordered by rarity, and only the rarest quarter of each set, and one more, is joined.
+  Any two members that are similar meet there, in whatever buckets they are, and a passage that many have in
+  common pairs nobody. No pair is dropped.
 
 Every link is confirmed on the full sets. Steps write to scratch, so that a lost executor costs
 one step's tasks. Defined results: null or wordless texts have n_shingles 0 and are linked with
@@ -23,14 +24,12 @@ kept, while `kept` judges such rows by their text; only doc_id and text are read
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablevitals.llm.common import WordHashes, empty, found_in, maybe_in, mixed, row_keyed, stored, words_of
 
 ROWS, BANDS, SHINGLE = 5, 51, 5
-CELL = 256  # members of a block; a task compares two blocks at most
-_COLUMNS = 16_384  # values whose owners are compared at once
 _BLOCK = 64  # shingles whose coordinates are computed at once
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
 
@@ -175,48 +174,25 @@ def open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
     return all_members.join(mixed_ones, "bucket", "left_semi")
 
 
-def _shared(first: np.ndarray, second: np.ndarray, owners: int) -> np.ndarray:
-    """How many values each two owners share; first holds values, second whose they are."""
-    order = np.argsort(first, kind="stable")
-    first, second = first[order], second[order]
-    starts = np.flatnonzero(np.append(True, first[1:] != first[:-1]))
-    sizes = np.diff(np.append(starts, len(first)))
-    often = np.repeat(sizes > 1, sizes)
-    column = np.repeat(np.cumsum(sizes > 1) - 1, sizes)[often]
-    second = second[often]
-    total = np.zeros((owners, owners), dtype=np.float32)
-    for start in range(0, int(column[-1]) + 1 if len(column) else 0, _COLUMNS):
-        lo, hi = np.searchsorted(column, [start, start + _COLUMNS])
-        has = np.zeros((owners, _COLUMNS), dtype=np.float32)
-        has[second[lo:hi], column[lo:hi] - start] = 1
-        total += has @ has.T
-    return total
-
-
-def pairs_in_cells(members: DataFrame, sets: DataFrame, cell: int = CELL) -> DataFrame:
-    """Distinct pairs (a, b) that share a bucket, have different labels, and pass by 32-bit hashes."""
-    sizes = members.groupBy("bucket").agg(F.ceil(F.count("*") / cell).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    other = F.explode(F.expr("sequence(0, blocks - 1)"))
-    dealt = dealt.select("bucket", "node", "label", "block", other.alias("other"))
-    short = sets.select("node", F.transform("shingles", lambda x: F.shiftright(x, 32).cast("int")).alias("short"))
-    rows = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label")
-
-    def compare(key, cell_rows):
-        cell_rows = cell_rows.sort_by("node")
-        node, label, block = (cell_rows.column(name).to_numpy() for name in ("node", "label", "block"))
-        lists = cell_rows.column("short").combine_chunks()
-        lists = lists.chunks[0] if isinstance(lists, pa.ChunkedArray) else lists
-        sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
-        common = _shared(lists.flatten().to_numpy(), np.repeat(np.arange(len(node)), sizes), len(node))
-        passed = 100 * common >= 75 * (sizes[:, None] + sizes[None, :] - common) - 2
-        passed &= (label[:, None] != label[None, :]) & (node[:, None] < node[None, :])
-        if key[1].as_py() != key[2].as_py():  # pairs within one block belong to its own cell
-            passed &= block[:, None] != block[None, :]
-        a, b = np.nonzero(passed)
-        return pa.table({"a": node[a], "b": node[b]})
-
-    return rows.join(short, "node").groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+def pairs_by_prefix(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of members with different labels that may be similar; none that is, is left out.
+
+    Exact prefix filtering. Shingles are ordered by how many members have them, those of one component only
+    first. Two sets of which one of size n has 0.75 n in common with the other share a shingle among the
+    first n - ceil(0.75 n) + 1 of each; so only these are joined, and what many members have in common pairs
+    nobody unless hardly anything else is left of them.
+    """
+    nodes = members.select("node", "label").distinct()
+    grams = sets.join(nodes, "node").select("node", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("gram"))
+    counts = grams.groupBy("gram").agg(F.count("*").alias("often"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
+    shared = grams.join(counts.select("gram", "often"), "gram")
+    own = Window.partitionBy("node")
+    ranked = shared.withColumn("place", F.row_number().over(own.orderBy("often", "gram"))).withColumn("total", F.count("*").over(own))
+    # Those of one component only, n - total of them, stand before.
+    first = ranked.where("n - total + place <= n div 4 + 1").select("gram", "node", "label", "n")
+    one, other = (first.select("gram", *(F.col(name).alias(f"{name}_{side}") for name in ("node", "label", "n"))) for side in "ab")
+    met = one.join(other, "gram").where("node_a < node_b AND label_a <> label_b AND 100L * least(n_a, n_b) >= 75L * greatest(n_a, n_b)")
+    return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
 def _labels(docs: DataFrame, signed: DataFrame, copies: DataFrame) -> DataFrame:
@@ -237,7 +213,7 @@ def _labels(docs: DataFrame, signed: DataFrame, copies: DataFrame) -> DataFrame:
 
     rest = stored(open_buckets(members.select("bucket", "node"), labels), "open")
     if not empty(rest):
-        found = stored(confirmed(pairs_in_cells(rest, sets), sets), "links")
+        found = stored(confirmed(pairs_by_prefix(rest, sets), sets), "links")
         known = labels.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
         labels = stored(components(known.union(found)), "labels")
     return labels

@@ -75,16 +75,28 @@ def test_components_equal_brute_force(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(component.values()))
 
 
-def test_small_cells_give_the_same_pairs(spark):
+def test_prefixes_meet_in_every_similar_pair(spark):
     rows = [(i, t) for i, t in corpus() if t]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    sets = minhash.shingle_sets(docs).withColumnRenamed("node", "node")
-    members = sets.selectExpr("1L AS bucket", "node", "node AS label")
-    whole = {tuple(r) for r in minhash.pairs_in_cells(members, sets).collect()}
-    assert {tuple(r) for r in minhash.pairs_in_cells(members, sets, cell=16).collect()} == whole
+    sets = minhash.shingle_sets(docs)
+    members = sets.selectExpr("node", "node AS label")
+    found = [tuple(r) for r in minhash.pairs_by_prefix(members, sets).collect()]
     of = {i: shingles(t) for i, t in rows}
     close = {(a, b) for a in of for b in of if a < b and (c := len(of[a] & of[b])) and 100 * c >= 75 * (len(of[a]) + len(of[b]) - c)}
-    assert close <= whole
+    assert close <= set(found) and len(found) == len(set(found))
+    one = members.selectExpr("node", "1L AS label")
+    assert minhash.pairs_by_prefix(one, sets).count() == 0
+
+
+def test_a_hot_bucket_of_texts_with_a_common_passage(spark):
+    """2,000 members of one bucket share half of their words and are near nobody, but for two pairs."""
+    rng = random.Random(8)
+    passage = words(rng, 60)
+    texts = [" ".join(passage + words(rng, 60)) for _ in range(2000)]
+    texts += [f"{texts[0]} more", f"{texts[1]} more"]
+    sets = minhash.shingle_sets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    members = sets.selectExpr("1L AS bucket", "node", "node AS label")
+    assert {tuple(r) for r in minhash.pairs_by_prefix(members, sets).collect()} == {(0, 2000), (1, 2001)}
 
 
 def test_repeated_and_missing_ids(spark):
