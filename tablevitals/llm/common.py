@@ -31,6 +31,9 @@ def scratch_path(spark: SparkSession, purpose: str) -> str:
         if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='llm-')}"
+    # A local cluster's executors share the machine's folders; those of another master need not.
+    if str(base).startswith("file:") and spark.sparkContext.master.split("[")[0] not in ("local", "local-cluster"):
+        raise ValueError(f"{base} is a folder of one machine; executors need one that they all share")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 

@@ -1,7 +1,8 @@
 """Shards of near-equal bytes through a fixed number of virtual slots.
 
 A record's hash (of all that is sharded: id and text) puts it in one of SLOTS virtual slots, for
-good. A slot map says which shard each slot belongs to; it is a small table of SLOTS rows, kept
+good. Of equal rows each has a salt of its own in its hash, so that many of them spread over the slots; they are
+interchangeable, and which of them has which salt may differ from run to run. A slot map says which shard each slot belongs to; it is a small table of SLOTS rows, kept
 as versions side by side. Only the map is edited when shards are rebalanced or added, so records
 of slots that keep their shard never move.
 
@@ -16,7 +17,7 @@ task ever holds a shard, only slots. The law is `bytes`: sums of sizes are near
 of a small slot or one record that is larger than a shard's share.
 
 Defined results: null text has 0 bytes, hence size OVERHEAD, and the crc32 of an empty text; null ids hash
-like any value; equal rows lie in the same slot and get places of their own; an empty
+like any value; equal rows get slots and places of their own; an empty
 table gives no row; only doc_id and text are read.
 """
 
@@ -31,15 +32,24 @@ OVERHEAD = 16  # bytes a record takes besides its text
 
 
 def records(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32 and virtual slot of every row."""
+    """doc_id, size, text_crc32 and virtual slot of every row; stored, as equal rows are numbered once."""
     text = F.coalesce(F.col("text"), F.lit(""))
     raw = F.encode(text, "UTF-8")
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        (F.octet_length(text) + OVERHEAD).cast("long").alias("size"),
-        F.crc32(raw).alias("text_crc32"),
-        F.pmod(F.xxhash64("doc_id", "text"), F.lit(slots)).cast("long").alias("virtual_slot"),
+    hashed = stored(
+        docs.select(
+            F.col("doc_id").cast("long").alias("doc_id"),
+            (F.octet_length(text) + OVERHEAD).cast("long").alias("size"),
+            F.crc32(raw).alias("text_crc32"),
+            F.xxhash64("doc_id", "text").alias("hash"),
+            F.monotonically_increasing_id().alias("nth"),
+        ),
+        "hashes",
     )
+    repeated = hashed.groupBy("hash").agg(F.count("*").alias("n"), F.min("nth").alias("first")).where("n > 1").select("hash", "first")
+    salted = hashed.join(repeated, "hash", "left")
+    # The first of equal rows, and rows without equals, have their own hash.
+    slot = F.when(F.col("nth") > F.col("first"), F.xxhash64("hash", "nth")).otherwise(F.col("hash"))
+    return salted.select("doc_id", "size", "text_crc32", F.pmod(slot, F.lit(slots)).cast("long").alias("virtual_slot"))
 
 
 def slot_bytes(placed_records: DataFrame) -> DataFrame:
