@@ -1,6 +1,9 @@
 """Every registered query against its SQL, and the shape of its plan."""
 
+import os
 import re
+import subprocess
+import sys
 
 import pytest
 
@@ -30,6 +33,27 @@ def test_entry(spark):
     assert entry_file.entry(spark).count() == 20
 
 
+def test_entry_works_without_what_the_optional_part_imports():
+    """The core queries are there when a module the other part needs cannot be imported."""
+    code = (
+        "import sys, warnings; warnings.simplefilter('ignore'); sys.modules['xxhash'] = None; "
+        "import __spark_entry__ as e; from workload.queries import QUERIES as q; assert set(e.queries()) == set(q) == set(e.oracle_sql())"
+    )
+    root = os.path.dirname(os.path.abspath(entry_file.__file__))
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
+
+
+def test_fixtures_take_the_rare_branches(spark, sf_dir):
+    rows = {r["table"]: r for r in QUERIES["table_defaults"](spark, sf_dir).collect()}
+    assert {r.layout_source for r in rows.values()} == {"none", "detail", "listing"}
+    assert (rows["src0"].total_files, rows["src0"].avg_file_size_mb, rows["src0"].optimize_status) == (0, 0.0, "Never run")
+    assert rows["src1"].partition_sizes_estimated and rows["src1"].partition_skew_ratio == 1.0
+    assert "NO_ZORDER" in rows["src2"].issue_ids and rows["src3"].history_available
+    failed = {r["table"]: r for r in QUERIES["source_failures"](spark, sf_dir).collect()}
+    assert failed["src2"].history_error and "OPTIMIZE_NEVER_RUN" not in failed["src2"].issue_ids
+    assert failed["src10"].ddl_error and failed["src3"].listing_error
+
+
 def plan(frame):
     return frame._jdf.queryExecution().executedPlan().toString()
 
