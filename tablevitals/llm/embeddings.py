@@ -8,7 +8,8 @@ Vectors are compared when their labels are equal, and linked when their cosine i
   limit differ: how many of a code's 8 bytes may be asked to be equal (`same`), and how many bits may
   differ (`radius`), so that a share RECALL of such pairs is a candidate.
 * `candidates` looks codes up in one table for each choice of `same` bytes: codes that agree in these
-  bytes meet, and go on if they differ in at most `radius` bits.
+  bytes meet, and go on if they differ in at most `radius` bits. Where more than HOT codes meet, as in a
+  large group of near copies, their blocks are paired instead, which are few; so codes make no pairs there.
 * Candidates are compared in cells of two blocks of vectors; a block is what shares a code's first bits, cut
   at CELL vectors. A cell has the vectors of its blocks once, whatever number of pairs it compares, and
   returns a count of links for each vector and its smallest companion, never the pairs.
@@ -40,6 +41,7 @@ RECALL = 0.97  # of pairs at exactly the limit
 SAMPLE, SAMPLE_VALUES = 10_000, 4_000_000  # rows that the rotation is fitted on, and their components at most
 BITS, BYTES, ROUNDS = 64, 8, 50
 CELL = 128
+HOT = 64  # codes in a place of a table beyond which blocks are paired, not codes
 _TRIALS = 4_000
 
 
@@ -186,11 +188,18 @@ def candidates(coded_rows: DataFrame, model: Quantiser, width: int) -> DataFrame
     codes = coded_rows.select("label", "dims", "code").distinct()
     keyed = codes.select("label", "dims", "code", F.explode(F.lit(byte_masks(model.same))).alias("mask"))
     keyed = keyed.select("label", "dims", "code", F.xxhash64("mask", F.col("code").bitwiseAND(F.col("mask"))).alias("key"))
-    met = keyed.alias("a").join(keyed.alias("b"), ["label", "dims", "key"])
-    near = met.where((F.col("a.code") < F.col("b.code")) & (F.bit_count(F.col("a.code").bitwiseXOR(F.col("b.code"))) <= model.radius))
-    one, other = (F.shiftrightunsigned(F.col(f"{side}.code"), BITS - width) for side in "ab")
-    pairs = near.select("label", "dims", F.least(one, other).alias("one"), F.greatest(one, other).alias("other"))
-    return pairs.union(several).distinct()
+    keyed = keyed.withColumn("prefix", F.shiftrightunsigned("code", BITS - width))
+    key = ["label", "dims", "key"]
+    hot = keyed.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > HOT).select(*key)
+
+    def met(rows: DataFrame, column: str) -> DataFrame:
+        one, other = (rows.select(*key, *(F.col(c).alias(f"{c}_{side}") for c in dict.fromkeys((column, "prefix")))) for side in "ab")
+        return one.join(other, key)
+
+    near = met(keyed.join(hot, key, "left_anti"), "code").where((F.col("code_a") < F.col("code_b")) & (F.bit_count(F.col("code_a").bitwiseXOR(F.col("code_b"))) <= model.radius))
+    close = met(keyed.join(hot, key, "left_semi").select(*key, "prefix").distinct(), "prefix")
+    columns = ("label", "dims", F.least("prefix_a", "prefix_b").alias("one"), F.greatest("prefix_a", "prefix_b").alias("other"))
+    return near.select(*columns).union(close.select(*columns)).union(several).distinct()
 
 
 def compared(coded_rows: DataFrame, pairs: DataFrame, model: Quantiser, width: int, limit: float = LIMIT, cell: int = CELL) -> DataFrame:

@@ -116,3 +116,13 @@ def test_empty_table_and_other_columns(spark):
     rows = [(1, [1.0, 1.0], 1, 5, "x"), (2, [1.0, 1.01], 1, 6, "y")]
     found = embeddings.linked(spark.createDataFrame(rows, SCHEMA + ", node int, code string")).collect()
     assert sorted(map(tuple, found)) == [(1, 1, 1, True), (2, 1, 1, False)]
+
+
+def test_hot_places_of_tables_lose_nothing(spark, monkeypatch):
+    """Where blocks are paired and not codes, the same links come out, as cells look at the same rule."""
+    rows = fixture()
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    monkeypatch.setattr(embeddings, "HOT", 1 << 40)
+    plain = sorted(map(tuple, embeddings.linked(frame).collect()))
+    monkeypatch.setattr(embeddings, "HOT", 3)
+    assert sorted(map(tuple, embeddings.linked(frame, cell=16).collect())) == plain
