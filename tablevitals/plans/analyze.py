@@ -143,7 +143,8 @@ def run_analysis(
             inputs = inputs or collect_inventories(spark, config, snapshots.base)
             analysis = analyze_scope(inputs, config, as_of)
             tables = stored(analysis.tables, "tables", scratch)
-            failures = analysis.failures and stored(analysis.failures, "failures", scratch)
+            failures = analysis.failures
+            failures = None if failures is None else stored(failures, "failures", scratch)
         analysis = Analysis(tables, failures, scratch)
         if config.persist_results:
             save_report(analysis, config)

@@ -7,6 +7,8 @@ and stays lazy, so pruning and pushdown reach the scan.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -200,6 +202,51 @@ def nested_roots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     return paths, roots
 
 
+def _lake(spark: SparkSession) -> str:
+    """A new folder that executors share; a temporary one only where a local session names none."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='lake-')}"
+    base = base if ":" in base else f"file://{base}"
+    return f"{base.rstrip('/')}/lake-{uuid.uuid4().hex}"
+
+
+def written_tables(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """The documents as partitioned tables on disk, one per source: their folder, and their roots."""
+    folder = _lake(spark)
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    documents.repartition("source", "lang").write.partitionBy("source", "lang").parquet(f"{folder}/tables")
+    roots = documents.select("source").distinct()
+    return folder, roots.selectExpr(*_key("source"), f"concat('{folder}/tables/source=', source) AS location")
+
+
+def written_logs(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """The commits as log files on disk, one per commit: their folder, and the roots of their tables."""
+    folder = _lake(spark)
+    info = "struct(unix_millis(timestamp) AS timestamp, operation, operationParameters, operationMetrics)"
+    commits = history(spark, sf_dir).selectExpr(
+        f"concat('{folder}/tables/', `table`, '/_delta_log/', lpad(CAST(version AS STRING), 20, '0'), '.json') AS path",
+        f"to_json(struct({info} AS commitInfo)) AS line",
+    )
+
+    def write(batches):
+        from pyarrow import fs
+
+        for batch in batches:
+            for path, line in zip(batch["path"], batch["line"]):
+                system, place = fs.FileSystem.from_uri(path)
+                system.create_dir(place.rpartition("/")[0], recursive=True)
+                with system.open_output_stream(place) as out:
+                    out.write(line.encode() + b"\n")
+            yield batch[["path"]]
+
+    commits.mapInPandas(write, "path STRING").write.parquet(f"{folder}/written")
+    roots = history(spark, sf_dir).select(*KEY).distinct()
+    return folder, roots.selectExpr(*KEY, f"concat('{folder}/tables/', `table`) AS location")
+
+
 def inventories(spark: SparkSession, sf_dir: str) -> Inventories:
     documents = _table(spark, sf_dir, "documents")
     listed = files_of(documents)

@@ -785,6 +785,17 @@ newest AS (
             "optimize_frequency_days, daily_write_count, partition_skew_severity",
         ),
     ),
+    "walked_files": query(
+        [FILES],
+        f"SELECT DISTINCT {KEYS}, 'lang=' || part AS partition, CAST(1 AS BIGINT) AS files, CAST(1 AS BIGINT) AS named_files, true AS have_bytes FROM files",
+    ),
+    "logged_commits": query(
+        [RECENT],
+        f"""SELECT {KEYS}, count(*) AS commits, count(*) FILTER (op = 'OPTIMIZE') AS optimizes, max(version) AS newest_version,
+  {iso("max(date_trunc('millisecond', ts))")} AS newest, 2 * count(*) FILTER (op = 'OPTIMIZE') AS parameters,
+  count(*) FILTER (event_id % 10 NOT IN (0, 7)) AS sized_commits
+FROM recent GROUP BY tbl""",
+    ),
     "file_owners": """
 WITH own AS (SELECT doc_id, lang, source, CAST(substr(source, 4) AS INT) AS k FROM documents),
 named AS (SELECT *, '/lake/main/src' || (k - k % 2) AS outer_root, '/lake/main/src' || (k - k % 2) || '/nested/' || source AS inner_root FROM own),

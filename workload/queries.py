@@ -13,6 +13,7 @@ from tablevitals.plans.analyze import analyze_scope
 from tablevitals import operators as ops
 from tablevitals import plans
 from tablevitals.schemas import KEY
+from tablevitals.sources import Scratch, list_inventory, read_commits
 from tablevitals.sources.attribute import attribute_paths
 
 from . import inputs as I
@@ -339,6 +340,33 @@ def file_owners(spark, sf_dir):
     return attribute_paths(files, roots).select(*KEY, "doc_id", "relative_path")
 
 
+def walked_files(spark, sf_dir):
+    """The partitions found by listing tables on disk, with their files."""
+    folder, roots = I.written_tables(spark, sf_dir)
+    files = list_inventory(spark, roots, f"{folder}/listed").rows
+    Scratch(spark, base=f"{folder}/tables").close()  # the listing is a snapshot of its own
+    named = "count_if(endswith(path, name) AND endswith(name, '.parquet') AND modification_time IS NOT NULL)"
+    return files.groupBy(*KEY, "partition").agg(
+        F.count(F.lit(1)).alias("files"), F.expr(named).alias("named_files"), F.expr("min(size_bytes) > 0").alias("have_bytes")
+    )
+
+
+def logged_commits(spark, sf_dir):
+    """Commits read from log files on disk."""
+    folder, roots = I.written_logs(spark, sf_dir)
+    commits = read_commits(spark, roots, f"{folder}/read").rows
+    Scratch(spark, base=f"{folder}/tables").close()
+    rows = commits.groupBy(*KEY).agg(
+        F.count(F.lit(1)).alias("commits"),
+        F.expr("count_if(operation = 'OPTIMIZE')").alias("optimizes"),
+        F.max("version").alias("newest_version"),
+        F.max("timestamp").alias("newest"),
+        F.expr("sum(size(operationParameters))").alias("parameters"),
+        F.expr("count(operationMetrics['numOutputBytes'])").alias("sized_commits"),
+    )
+    return _iso(rows, "newest")
+
+
 def fleet_summary(spark, sf_dir):
     return _analysis(spark, sf_dir).summary
 
@@ -402,6 +430,8 @@ QUERIES = {
         table_defaults,
         extended_report,
         file_owners,
+        walked_files,
+        logged_commits,
         fleet_summary,
         maintenance_sql,
         report_history,
