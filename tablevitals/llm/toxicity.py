@@ -221,9 +221,13 @@ def fitted(votes_of: np.ndarray, target: np.ndarray, penalty: float = 0.3, round
 
 def model(docs: DataFrame, labels: DataFrame, held_out: Column) -> tuple[list[list[str]], np.ndarray, np.ndarray]:
     """Voters, the classifier's weights (the last is the intercept), and the log-odds of voters it doesn't know (else -inf)."""
-    known = known_labels(labels, held_out)
     with temporary(docs.sparkSession):
-        voters, log_odds = mined(training_rows(docs, known))
+        # Stored, so that Spark knows their size when it chooses between broadcasting labels and moving texts.
+        return _learnt(docs, stored(known_labels(labels, held_out), "labels"))
+
+
+def _learnt(docs: DataFrame, known: DataFrame) -> tuple[list[list[str]], np.ndarray, np.ndarray]:
+    voters, log_odds = mined(training_rows(docs, known))
     weights = np.zeros(len(voters) + 1)
     weights[-1] = -20.0
     if not voters:
