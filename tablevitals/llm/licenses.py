@@ -2,33 +2,35 @@
 
 A paragraph (a line with a word) is the set of those words and word pairs in it that occur in a
 template. A multinomial logistic regression gives it a licence family or "unknown". It is trained on
-notices made from fixed templates and on paragraphs of the documents themselves: about NEGATIVES documents,
-chosen by a hash of the id, without those paragraphs in which a pair of several templates turns up.
+notices made from fixed templates and on the paragraphs of all documents, without those in which a
+pair of several templates turns up. Paragraphs that hold the same terms are one row with a weight.
+However many documents there are, their paragraphs together weigh what those of NEGATIVES documents
+would, so that the templates keep their share.
 
-Unknown is calibrated: a quarter of the paragraphs is held back from training, and a family is only
-believed at a probability that no more than one in a thousand of these reaches, and at least one half. A prediction is
+Unknown is calibrated: a quarter of these paragraphs is held back from training, and a family is only
+believed at a probability that no more than one in a thousand of them reaches, and at least one half. A prediction is
 then confirmed, or not, by comparison with the family's templates: the share of a template's word
 pairs that the paragraph has, which must be CONFIRM or more for the best template.
 
 Scoring looks each word and pair up by hash. Most paragraphs end at a bound: if even the largest
 weights, over families, of what they hold stay below unknown's, no family can win.
 
-All steps are SQL functions and Spark's own ML stages, and run inside the JVM. The pass over all
-documents has no shuffle; what is broadcast are the templates and the model, whose sizes are fixed by
-the templates.
+All steps are SQL functions and Spark's own ML stages, and run inside the JVM. Two passes read all
+documents: the one for training shuffles counts of sets of terms, that for scoring has no shuffle. What is
+broadcast are the templates and the model, whose sizes are fixed by the templates.
 
 Defined results: null, empty or wordless texts have no paragraphs; a paragraph counts in full, however long; each of repeated
 rows is reported; a null id comes through as null; without documents there is nothing to report; only doc_id and text are read.
 """
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablevitals.llm.common import stored
 
-NEGATIVES = 1000
+NEGATIVES = 1000  # documents whose weight the paragraphs of all have together, at most
 CONFIRM = 0.75
 UNKNOWN = "unknown"
 
@@ -133,24 +135,24 @@ def trained(docs: DataFrame) -> tuple[Vocabulary, list[list[float]], list[float]
     vocabulary = Vocabulary(known)
     size = len(vocabulary.terms)
     number = F.element_at(F.create_map(*(F.lit(x) for i, family in enumerate(FAMILIES) for x in (family, float(i)))), F.col("family"))
-    share = NEGATIVES / max(docs.count(), 1)
-    some = docs if share >= 1 else docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    share = min(1.0, NEGATIVES / max(docs.count(), 1))
     # Paragraphs with a pair that several templates have, such as "licensed under", may be notices.
     marks = known.select(F.explode(F.array_distinct(F.expr(_PAIRS))).alias("pair")).groupBy("pair").count().where("count >= 3").select("pair")
     listed = literal(sorted(row.pair for row in marks.collect()), "bigint")
-    others = paragraphs(some).where(f"not arrays_overlap({_PAIRS}, {listed})")
-    others = stored(others.select(F.expr(vocabulary.found()).alias("found"), (F.pmod(F.xxhash64("words"), F.lit(4)) == 0).alias("held")), "negatives")
-    rows = known.select(F.expr(vocabulary.found()).alias("found"), number.alias("label"))
-    # Equal paragraphs are one row with a weight.
-    rows = rows.union(others.where("not held").select("found", F.lit(0.0).alias("label"))).groupBy(F.sort_array("found").alias("found"), "label").agg(F.count("*").cast("double").alias("weight"))
-    dense = array_to_vector(F.expr(f"transform(sequence(0, {size - 1}), j -> if(array_contains(found, j), 1.0D, 0.0D))"))
-    rows = stored(rows, "training").select(dense.alias("features"), "label", "weight").cache()
+    others = paragraphs(docs).where(f"not arrays_overlap({_PAIRS}, {listed})")
+    others = others.select(F.sort_array(F.expr(vocabulary.found())).alias("found"), (F.pmod(F.xxhash64("words"), F.lit(4)) == 0).alias("held"))
+    others = stored(others.groupBy("found", "held").agg(F.count("*").cast("double").alias("times")), "negatives")
+    rows = known.select(F.sort_array(F.expr(vocabulary.found())).alias("found"), number.alias("label")).groupBy("found", "label").agg(F.count("*").cast("double").alias("weight"))
+    rows = rows.union(others.where("not held").select("found", F.lit(0.0).alias("label"), F.col("times") * share))
+    places = CountVectorizerModel.from_vocabulary([str(j) for j in range(size)], inputCol="terms", outputCol="features")
+    rows = places.transform(rows.withColumn("terms", F.col("found").cast("array<string>"))).select("features", "label", "weight")
     fit = LogisticRegression(maxIter=30, regParam=1e-4, family="multinomial", weightCol="weight", standardization=False).fit(rows)
-    rows.unpersist()
     weights, intercepts = fit.coefficientMatrix.toArray().tolist(), fit.interceptVector.toArray().tolist()
     weights += [[0.0] * size for _ in range(len(FAMILIES) - len(weights))]
-    reached = others.where("held").select(F.array_max(F.slice(F.expr(probabilities(weights, intercepts)), 2, len(FAMILIES))).alias("p"))
-    top = reached.agg(F.percentile("p", 0.999)).first()[0]
+    reached = others.where("held").select(F.array_max(F.slice(F.expr(probabilities(weights, intercepts)), 2, len(FAMILIES))).alias("p"), F.col("times").cast("long").alias("times"))
+    # Below one half it does not matter which, so few values are told apart.
+    reached = reached.select(F.when(F.col("p") < 0.5, 0.0).otherwise(F.floor(F.col("p") * 1e6) / 1e6).alias("p"), "times")
+    top = reached.agg(F.percentile("p", 0.999, F.col("times"))).first()[0]
     return vocabulary, weights, intercepts, max(0.5, top or 0.0)
 
 

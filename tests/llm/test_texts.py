@@ -115,6 +115,16 @@ def test_licence_notices(spark):
     assert licenses.scanned(docs.limit(0)).count() == 0
 
 
+def test_all_documents_calibrate_unknown(spark, monkeypatch):
+    monkeypatch.setattr(licenses, "NEGATIVES", 4)
+    # One line in twenty is the bare name of a licence, which a few documents would not show.
+    docs = spark.range(400).selectExpr("id as doc_id", "if(id % 20 = 7, concat('gplv3 x', id), concat('the story of day ', id)) as text")
+    vocabulary, weights, intercepts, believed = licenses.trained(docs)
+    names = licenses.paragraphs(docs).where("doc_id % 20 = 7 and pmod(xxhash64(words), 4) = 0").select(F.expr(vocabulary.found()).alias("found"))
+    reached = [max(row.p[1:]) for row in names.select(F.expr(licenses.probabilities(weights, intercepts)).alias("p")).collect()]
+    assert reached and believed == pytest.approx(max(0.5, *reached), abs=2e-6)
+
+
 @pytest.mark.parametrize("rule", attribution.RULES)
 def test_token_counts_of_lines(spark, rule):
     from tokenizers import Tokenizer
