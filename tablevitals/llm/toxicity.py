@@ -93,8 +93,8 @@ def training_rows(docs: DataFrame, known: DataFrame) -> DataFrame:
     """text, toxic and mark (a hash of MARK_BITS bits) of every labelled row."""
     mark = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 64 - MARK_BITS)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    # Texts without a label stay where they are.
-    return maybe_in(texts, "doc_id", known).join(known, "doc_id").select("text", "toxic", mark.alias("mark"))
+    # Texts without a label stay where they are. Labels grow with the documents, so they are never sent to all tasks.
+    return maybe_in(texts, "doc_id", known).join(known.hint("merge"), "doc_id").select("text", "toxic", mark.alias("mark"))
 
 
 def training_sample(docs: DataFrame, known: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
