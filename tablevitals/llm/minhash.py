@@ -11,8 +11,10 @@ Nothing is compared all with all:
 * Documents with equal sets form a class, and its smallest id stands for it.
 * In a bucket, the members are checked against its smallest id (the pivot) first. What is
   linked that way is one component; members of a bucket that already share one need no check.
-* Only buckets that then hold several components go on. Their members are cut in blocks of
-  at most CELL by hash, and each pair of blocks is one cell, whose task counts what the sets
+* Only buckets that then hold several components go on. Up to WHOLE members are one cell. In a larger
+  bucket, its largest component is cut in blocks of about CELL by hash, and so are the other members; a
+  cell is a pair of blocks, but for two of the largest component, which has nothing left to find. So
+  members are repeated by the number of those outside it. A cell's task counts what the sets
   share and returns just the pairs that pass, never the pairs it looks at. No pair is dropped.
 
 Every link is confirmed on the full sets. Steps write to scratch, so that a lost executor costs
@@ -29,8 +31,9 @@ from pyspark.sql import functions as F
 from tablevitals.llm.common import WordHashes, empty, found_in, maybe_in, mixed, row_keyed, stored, words_of
 
 ROWS, BANDS, SHINGLE = 5, 51, 5
-CELL = 256  # members of a block; a task compares two blocks at most
-_COLUMNS = 16_384  # values whose owners are compared at once
+CELL = 256  # members of a block of a large bucket; a task compares two blocks at most
+WHOLE = 4 * CELL  # members of a bucket that is compared as one
+_COLUMNS = 4_096  # values whose owners are compared at once
 _BLOCK = 64  # shingles whose coordinates are computed at once
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
 
@@ -193,14 +196,25 @@ def _shared(first: np.ndarray, second: np.ndarray, owners: int) -> np.ndarray:
     return total
 
 
+def dealt_in_cells(members: DataFrame, cell: int = CELL) -> DataFrame:
+    """bucket, i and j of the cells of each member, its block there, node and label; see the module."""
+    of_label = members.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    sizes = of_label.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most"))
+    # Blocks of the members outside the largest component come first, then that component's own.
+    parts = [F.when(F.col("n") <= min(4 * cell, WHOLE), least).otherwise(F.ceil(count / cell)).cast("int") for count, least in ((F.col("n") - F.col("most.n"), 1), (F.col("most.n"), 0))]
+    sizes = sizes.select("bucket", F.col("most.label").alias("largest"), parts[0].alias("few"), parts[1].alias("many")).where("few > 0")
+    inside = "many > 0 and label = largest"
+    block = F.expr(f"cast(if({inside}, few + pmod(xxhash64(node), many), pmod(xxhash64(node), few)) as int)")
+    dealt = members.join(sizes, "bucket").withColumn("block", block)
+    other = F.explode(F.expr(f"sequence(0, if({inside}, few, few + many) - 1)"))
+    dealt = dealt.select("bucket", "node", "label", "block", other.alias("other"))
+    return dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label")
+
+
 def pairs_in_cells(members: DataFrame, sets: DataFrame, cell: int = CELL) -> DataFrame:
     """Distinct pairs (a, b) that share a bucket, have different labels, and pass by 32-bit hashes."""
-    sizes = members.groupBy("bucket").agg(F.ceil(F.count("*") / cell).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    other = F.explode(F.expr("sequence(0, blocks - 1)"))
-    dealt = dealt.select("bucket", "node", "label", "block", other.alias("other"))
     short = sets.select("node", F.transform("shingles", lambda x: F.shiftright(x, 32).cast("int")).alias("short"))
-    rows = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label")
+    rows = dealt_in_cells(members, cell)
 
     def compare(key, cell_rows):
         cell_rows = cell_rows.sort_by("node")

@@ -87,6 +87,18 @@ def test_small_cells_give_the_same_pairs(spark):
     assert close <= whole
 
 
+def test_a_large_component_is_not_repeated_in_cells(spark):
+    members = spark.range(400).selectExpr("1L AS bucket", "id AS node", "if(id % 40 = 7, id, 0L) AS label")
+    rows = minhash.dealt_in_cells(members, cell=16).collect()
+    assert len(rows) <= 400 + 10 * 26
+    of = {}
+    for r in rows:
+        of.setdefault((r.i, r.j), []).append(r)
+    met = {frozenset((a.node, b.node)) for cell in of.values() for a in cell for b in cell if a.label != b.label}
+    labels = {r.node: r.label for r in rows}
+    assert met == {frozenset((a, b)) for a in labels for b in labels if labels[a] != labels[b]} and len(labels) == 400
+
+
 def test_repeated_and_missing_ids(spark):
     text = "a b c d e f g h"
     rows = [(1, text), (1, text), (2, text), (None, text), (3, "other words are in this one")]
