@@ -24,7 +24,8 @@ an equal bag, at 0 bits.
 
 Everything is SQL functions. The benchmark's shingles join by hash, and Spark decides by their size
 whether to broadcast them; a shingle that many items share yields one row for each, as it must. A
-shingle that very many documents have only meets the items that hold it.
+shingle that very many documents have only meets the items that hold it. Items of equal words are one
+until the end, so repeated ones cost no more. The index is never broadcast, and no row of a window holds its text.
 
 Defined results: null, empty or wordless texts or items match nothing; repeated items and rows each
 match for themselves; rows with a null key match nothing (`kept` has a key for every row: its text); of several windows the best one is
@@ -65,11 +66,17 @@ def near_masks(bits: int, most: int) -> list[int]:
     return [mask for mask in range(1 << bits) if mask.bit_count() <= most]
 
 
-def items_of(benchmark: DataFrame) -> DataFrame:
-    """item_id, item (unique), length in words, n, shingle hashes and fingerprint of each item with words."""
+def worded(benchmark: DataFrame) -> DataFrame:
+    """item_id, item (one for equal words) and words of each item with words."""
     rows = benchmark.select("item_id", word_array("text").alias("words")).where("size(words) > 0")
+    return rows.select("item_id", F.xxhash64("words").alias("item"), "words")
+
+
+def items_of(benchmark: DataFrame) -> DataFrame:
+    """item (unique), length in words, n, shingle hashes and fingerprint of each sequence of words, however many items have it."""
+    rows = worded(benchmark).groupBy("item").agg(F.first("words").alias("words"))
     rows = rows.withColumn("n", F.least(F.lit(SHINGLE), F.size("words"))).withColumn("shingles", F.expr(shingle_hashes("words", "n")))
-    rows = rows.select("item_id", F.xxhash64("item_id", "words").alias("item"), F.size("words").alias("length"), "n", "shingles")
+    rows = rows.select("item", F.size("words").alias("length"), "n", "shingles")
     return rows.withColumn("fingerprint", F.expr(simhash("shingles")))
 
 
@@ -99,21 +106,22 @@ def weighted_similarity(one: str, other: str) -> str:
     return common
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, item_id, start, length, similarity: the best window of each document and similar item."""
-    items = stored(items_of(benchmark), "items")
-    if not items.take(1):
-        return docs.select(key).where(F.lit(False)).select(key, *(F.lit(None).cast(t).alias(c) for c, t in (("item_id", dict(benchmark.dtypes)["item_id"]), ("start", "int"), ("length", "int"), ("similarity", "double"))))
-    placed = stored(anchors(docs, key, items), "anchors")
-    # The windows' own shingles, from the texts of documents that have any.
-    with_windows = placed.groupBy(key).agg(F.collect_set(F.struct("start", "length", "n")).alias("windows"))
+def windows_of(texts: DataFrame, key: str, placed: DataFrame) -> DataFrame:
+    """key, start, length and own shingle hashes of the windows placed; texts has key and text.
+
+    A text's shingles are hashed once and a window takes its run of them, so no row of a window holds the text.
+    """
+    with_windows = placed.groupBy(key, "n").agg(F.collect_set(F.struct("start", "length")).alias("windows"))
     # Few documents have any, and the others need not be moved to find that out.
-    texts = maybe_in(docs.select(key, "text"), key, placed).join(with_windows, key).select(key, word_array("text").alias("words"), "windows")
-    windows = texts.select(key, "words", F.explode("windows").alias("w")).select(
-        key, F.col("w.start").alias("start"), F.col("w.length").alias("length"), F.col("w.n").alias("n"), F.expr("slice(words, greatest(w.start, 0) + 1, w.length + least(w.start, 0))").alias("part")
-    )
-    windows = windows.withColumn("own", F.expr(shingle_hashes("part", "n"))).where("size(own) > 0")
-    windows = stored(windows.select(key, "start", "length", "own", F.expr(simhash("own")).alias("print")), "windows")
+    words = maybe_in(texts, key, placed).join(with_windows, key).select(key, "n", "windows", word_array("text").alias("words"))
+    hashes = words.select(key, "n", "windows", F.size("words").alias("n_words"), F.expr(shingle_hashes("words", "n")).alias("hashes"))
+    own = "slice(hashes, greatest(w.start, 0) + 1, greatest(least(w.start + w.length, n_words) - greatest(w.start, 0) - n + 1, 0))"
+    runs = F.explode(F.expr(f"transform(windows, w -> struct(w.start, w.length, {own} AS own))"))
+    return hashes.select(key, runs.alias("w")).select(key, "w.start", "w.length", "w.own").where("size(own) > 0")
+
+
+def near_items(windows: DataFrame, key: str, items: DataFrame) -> DataFrame:
+    """key, start, length, item: the items whose fingerprints are within RADIUS of a window's."""
     width = BITS // BLOCKS
     block = lambda value, i: F.shiftrightunsigned(value, width * i).bitwiseAND((1 << width) - 1)
     masks = F.array(*map(F.lit, near_masks(width, RADIUS // BLOCKS)))
@@ -121,12 +129,33 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataF
     listed = items.select("item", "length", "fingerprint", F.posexplode(blocks("fingerprint")).alias("block", "value"))
     listed = listed.select("item", "length", "fingerprint", "block", F.explode(F.transform(masks, lambda mask: F.col("value").bitwiseXOR(mask))).alias("value"))
     asked = windows.select(key, "start", "length", "print", F.posexplode(blocks("print")).alias("block", "value"))
-    near = asked.join(listed, ["length", "block", "value"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("fingerprint"))) <= RADIUS).select(key, "start", "length", "item").distinct()
-    pairs = near.join(windows.select(key, "start", "length", "own"), [key, "start", "length"]).join(items.select("item", "item_id", "shingles"), "item")
+    # The rows are hundreds for an item and eight for a window; Spark's estimate for a broadcast, from the files, leaves that out.
+    near = asked.join(listed.hint("merge"), ["length", "block", "value"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("fingerprint"))) <= RADIUS)
+    return near.select(key, "start", "length", "item").distinct()
+
+
+def similar(docs: DataFrame, benchmark: DataFrame, key: str) -> DataFrame:
+    """key, item, best (similarity, back, length): the best window of each document and similar sequence of words."""
+    items = stored(items_of(benchmark), "items")
+    if not items.take(1):
+        return docs.select(key).where(F.lit(False)).selectExpr(f"`{key}`", "cast(null as bigint) AS item", "cast(null as struct<similarity: double, back: int, length: int>) AS best")
+    placed = stored(anchors(docs, key, items), "anchors")
+    # The windows' own shingles, from the texts of documents that have any.
+    windows = windows_of(docs.select(key, "text"), key, placed)
+    windows = stored(windows.withColumn("print", F.expr(simhash("own"))), "windows")
+    # No broadcast either: the files are much smaller than their rows.
+    own = windows.select(key, "start", "length", "own").hint("merge")
+    pairs = near_items(windows, key, items).join(own, [key, "start", "length"]).join(items.select("item", "shingles"), "item")
     common = F.expr(weighted_similarity("own", "shingles"))
     scored = pairs.withColumn("common", common).withColumn("whole", F.size("own") + F.size("shingles") - F.col("common")).where(100 * F.col("common") >= PERCENT * F.col("whole"))
     best = F.max(F.struct((F.col("common") / F.col("whole")).alias("similarity"), (-F.col("start")).alias("back"), "length"))
-    rows = scored.groupBy(key, "item", "item_id").agg(best.alias("best"))
+    return scored.groupBy(key, "item").agg(best.alias("best"))
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, item_id, start, length, similarity: the best window of each document and similar item."""
+    ids = worded(benchmark).select("item", "item_id").distinct()
+    rows = similar(docs, benchmark, key).join(ids, "item")
     return rows.select(key, "item_id", (-F.col("best.back")).alias("start"), F.col("best.length").alias("length"), F.col("best.similarity").alias("similarity"))
 
 
@@ -136,6 +165,6 @@ def kept(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Each row is judged by its own text, whatever its id: rows without one too, and rows that share one apart.
     """
     keyed, name = row_keyed(docs, "text")
-    leaks = lambda: matches(keyed.select(name, "text"), benchmark, name).select(name).distinct()
+    leaks = lambda: similar(keyed.select(name, "text"), benchmark, name).select(name).distinct()
     found = found_in(docs.sparkSession, "leaks", leaks)
     return keyed.join(found, name, "left_anti").select(*docs.columns)
